@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bitplanes
+from codeloom.llm import bitplanes, curriculum, warc
 from codeloom.llm.common import table
 
 
@@ -21,9 +21,60 @@ def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.tokens_to_shards(docs, tokenizer_path(), end_id=1).drop("shard")
 
 
+def op4_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
+OP4_SQL = """
+with p as (select page_id, coalesce(html, '') html from pages),
+d as (
+  select page_id, strlen(html)::bigint payload_bytes, sha1(html) h, count(*) over (partition by html) n, max(page_id) over (partition by html) top
+  from p)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (1 + 10 * (i // 8))::int, 10))::bigint >> (35 - 5 * (i % 8))::int) & 31)::int + 1, 1)), '') payload_digest,
+  case when n > 1 and page_id <> top then 'revisit' else 'response' end record_type,
+  case when n > 1 and page_id <> top then top end refers_to
+from d
+"""
+
+
+def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+with sizes as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
+    ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::varchar, ''), coalesce(strlen(text), 0)::varchar, '17')), 1, 14))::bigint ord
+  from documents),
+per as (select source, sum(size)::bigint source_size, 3.0 * sum(size)::double cap from sizes group by source),
+weighed as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double weight from per),
+levels as (
+  select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) lvl from weighed),
+best_level as (select *, min(case when lvl * weight <= cap then lvl end) over () best from levels),
+targets as (select source, source_size, least(cap, coalesce(best * weight, cap))::double target from best_level),
+placed as (
+  select s.*, t.source_size, t.target,
+    coalesce(sum(size) over (partition by s.source order by ord, doc_id, size rows between unbounded preceding and 1 preceding), 0) + size / 2 mid
+  from sizes s join targets t on s.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+  (size * case when size > 0 then least(3, greatest(0, ceil((target - mid) / source_size))) else 0 end)::bigint taken
+from placed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bitplane_tokens": op1_bitplane_tokens}
+    return {
+        "op1_bitplane_tokens": op1_bitplane_tokens,
+        "op4_warc_capture_index": op4_warc_capture_index,
+        "op6_curriculum_mix": op6_curriculum_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_warc_capture_index": OP4_SQL,
+        "op6_curriculum_mix": OP6_SQL,
+    }

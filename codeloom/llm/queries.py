@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import bitplanes, curriculum, warc
+from codeloom.llm import bitplanes, curriculum, line_frequency, site_spread, warc
 from codeloom.llm.common import table
 
 
@@ -39,6 +40,57 @@ from d
 """
 
 
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.quality(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+with d as (select row_number() over () r, doc_id, source, coalesce(text, '') t from documents),
+w as (select r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) w, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) k from d),
+win as (
+  select r, k, w || ' ' || lead(w, 1) over x || ' ' || lead(w, 2) over x || ' ' || lead(w, 3) over x || ' ' || lead(w, 4) over x v
+  from w window x as (partition by r order by k)),
+twice as (select r, k from (select r, k, count(*) over (partition by r, v) n from win where v is not null) where n > 1),
+rep as (select r, count(distinct k + j) n from twice, range(5) t(j) group by r),
+l as (select r, source, line from (select r, source, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup as (select r, count(*) - count(distinct line) n from l group by r),
+norm as (
+  select r, source, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) words
+  from l),
+hosts as (select source, count(*) docs from d group by source),
+freq as (
+  select c.source, c.line from (select source, line, count(distinct r) n from norm group by all) c
+  join hosts h on c.source is not distinct from h.source where n > 20 and n > 0.02 * docs),
+gone as (select n.r, sum(words) n from norm n join freq f on n.source is not distinct from f.source and n.line = f.line group by n.r),
+counts as (select r, count(*) n, sum(length(w)) chars from w group by r),
+facts as (
+  select d.doc_id, coalesce(c.n, 0)::bigint n_words, coalesce(c.chars, 0)::bigint word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, coalesce(dup.n, 0)::bigint n_dup_lines,
+    coalesce(rep.n, 0)::bigint n_repeat_words, coalesce(gone.n, 0)::bigint n_removed_words
+  from d left join counts c using (r) left join dup using (r) left join rep using (r) left join gone using (r)),
+base as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, n_words - n_removed_words rest from facts)
+select * exclude (rest), not base_failed and rest >= 10 and rest >= 0.3 * n_words kept from base
+"""
+
+
+def op10_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = site_spread.spread_report(table(spark, sf_dir, "documents"))
+    return report.withColumn("removed", F.array_join(F.transform("removed", lambda k: k.cast("string")), ","))
+
+
+OP10_SQL = r"""
+with d as (select row_number() over () r, doc_id, source, string_split(coalesce(text, ''), chr(10)) lines from documents),
+l as (select r, source, unnest(lines) line, generate_subscripts(lines, 1)::int - 1 k from d),
+n as (select r, source, k, length(line) chars, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) line from l),
+boiler as (select line from n where line <> '' group by line having count(distinct coalesce('=' || source, '')) >= 8),
+gone as (select r, list(k order by k) removed, sum(chars + 1) chars from n join boiler using (line) group by r),
+total as (select r, sum(chars + 1) chars from n group by r)
+select doc_id, len(lines)::bigint n_lines, coalesce(len(removed), 0)::bigint n_removed, array_to_string(coalesce(removed, []), ',') removed,
+  greatest(0, t.chars - coalesce(g.chars, 0) - 1)::bigint clean_chars
+from d join total t using (r) left join gone g using (r)
+"""
+
+
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,12 +121,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitplane_tokens": op1_bitplane_tokens,
         "op4_warc_capture_index": op4_warc_capture_index,
+        "op5_line_frequency": op5_line_frequency,
         "op6_curriculum_mix": op6_curriculum_mix,
+        "op10_site_spread_lines": op10_site_spread_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc_capture_index": OP4_SQL,
+        "op5_line_frequency": OP5_SQL,
         "op6_curriculum_mix": OP6_SQL,
+        "op10_site_spread_lines": OP10_SQL,
     }

@@ -164,7 +164,7 @@ class WordEncoder:
 
     A tokenizer that drops white space, composes, lowers and splits by a pattern (WORD_NORMALIZERS, then a removing Split
     by WORD_SPLIT before a byte-level step) gives a text the ids of its pieces one after another. Texts of Latin-1
-    letters, digits and punctuation are lowered and split here by array operations, 2 MB at a time, and each distinct
+    letters, digits and punctuation are lowered and split here by array operations, 0.5 MB at a time, and each distinct
     piece goes to the library's model once; its ids are found again by a 64-bit hash of the piece. In other texts each
     distinct word (between ASCII white space, which nothing merges across) goes through the whole library once. Any other
     tokenizer gets whole texts. What is kept is bounded in number and forgotten all at once when it is too much.
@@ -175,7 +175,7 @@ class WordEncoder:
     WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     SPACE, LETTER, DIGIT, MARK = range(4)
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -278,7 +278,7 @@ class WordEncoder:
         cut = int(starts[0])
         raw, starts = raw[cut:], starts - cut
         spans = np.diff(np.append(starts, len(raw)))
-        place = np.arange(len(raw)) - np.repeat(starts, spans)
+        place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts.astype(np.int32), spans)
         inside = place < np.repeat(lengths, spans)
         powers = np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
         powers[0] = 1
@@ -331,7 +331,7 @@ class WordEncoder:
             else:
                 waiting.append((k, raw.translate(self.lower)))
                 size += len(raw)
-            if size > 2_000_000:
+            if size > 500_000:
                 flush()
                 size = 0
         if waiting:
@@ -382,8 +382,8 @@ def write_shards(
             done.append((name, len(shard.docs), shard.n_ids, shard.close()))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                rows = batch.slice(at, 200)
                 for doc_id, raw in zip(rows.column(0).to_pylist(), encode.encode(rows.column(1).to_pylist()), strict=True):
                     if shard is not None and shard.n_ids >= shard_ids:
                         finish()
@@ -405,7 +405,9 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
     The offset of a shard is a running sum over the manifest, one row per shard; the ids themselves are never moved."""
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    shards = manifest.select("shard", F.coalesce(before, F.lit(0)).alias("base")).repartition(F.col("shard"))
+    shards = manifest.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
+    # as many tasks as asked for: the rows are few, but a file stands behind each
+    shards = shards.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bitplanes, curriculum, line_frequency, site_spread, warc
+from codeloom.llm import bitplanes, curriculum, line_frequency, phrase_index, site_spread, unit_dedup, warc
 from codeloom.llm.common import table
 
 
@@ -22,6 +22,25 @@ def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.tokens_to_shards(docs, tokenizer_path(), end_id=1).drop("shard")
 
 
+def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+with d as (select row_number() over () r, doc_id, coalesce(doc_id, 9223372036854775807) rank, regexp_extract_all(text, '[^\n.!?]+[.!?]*|[.!?]+|\n') parts from documents),
+p as (select r, doc_id, rank, unnest(parts) u, generate_subscripts(parts, 1) k from d),
+o as (select *, coalesce(sum(length(u)) over (partition by r order by k rows between unbounded preceding and 1 preceding), 0) a from p),
+w as (select r, doc_id, rank, k, a, a + length(u) b,
+  regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') words from o),
+n as (select r, doc_id, rank, row_number() over (partition by r order by k) place, a, b, len(words) words, array_to_string(words, ' ') v from w where len(words) > 0),
+f as (select *, min(rank) over (partition by v) first, row_number() over (partition by r, v order by place) nth from n),
+x as (select *, place - row_number() over (partition by r order by place) run from f where nth > 1 or first < rank)
+select doc_id, min(a)::int start, max(b)::int stop, count(*)::bigint n_units, sum(words)::bigint n_words,
+  nullif(min(first), 9223372036854775807) first_doc_id
+from x group by r, doc_id, run having sum(words) >= 25
+"""
+
+
 def op4_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
@@ -73,6 +92,28 @@ select * exclude (rest), not base_failed and rest >= 10 and rest >= 0.3 * n_word
 """
 
 
+def op9_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = r"""
+with i as (select row_number() over () q, coalesce(item_id::varchar, 'null') item,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+size as (select q, item, w, least(13, len(w)) n from i where len(w) > 0),
+win as (select distinct item, n, array_to_string(list_slice(w, k, k + n - 1), ' ') v from (select item, w, n, unnest(range(1, len(w) - n + 2)) k from size)),
+d as (select row_number() over () r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
+places as (select r, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') v
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) k from d, (select distinct n from size) s where len(w) >= n)),
+m as (select r, a.k, a.n, item from places a join win using (n, v)),
+h as (select r, count(distinct k + j) n_hit from (select r, k, unnest(range(0, n)) j from m) group by r),
+t as (select r, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from m group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join h using (r) left join t using (r)
+"""
+
+
 def op10_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = site_spread.spread_report(table(spark, sf_dir, "documents"))
     return report.withColumn("removed", F.array_join(F.transform("removed", lambda k: k.cast("string")), ","))
@@ -120,17 +161,21 @@ from placed
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitplane_tokens": op1_bitplane_tokens,
+        "op2_unit_dedup": op2_unit_dedup,
         "op4_warc_capture_index": op4_warc_capture_index,
         "op5_line_frequency": op5_line_frequency,
         "op6_curriculum_mix": op6_curriculum_mix,
+        "op9_phrase_decontamination": op9_phrase_decontamination,
         "op10_site_spread_lines": op10_site_spread_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_unit_dedup": OP2_SQL,
         "op4_warc_capture_index": OP4_SQL,
         "op5_line_frequency": OP5_SQL,
         "op6_curriculum_mix": OP6_SQL,
+        "op9_phrase_decontamination": OP9_SQL,
         "op10_site_spread_lines": OP10_SQL,
     }

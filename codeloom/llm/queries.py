@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bitplanes, curriculum, line_frequency, phrase_index, site_spread, unit_dedup, warc
+from codeloom.llm import bitplanes, curriculum, gam_classifier, license_scan, line_frequency, phrase_index, site_spread, unit_dedup, warc
 from codeloom.llm.common import table
 
 
@@ -41,6 +41,10 @@ from x group by r, doc_id, run having sum(words) >= 25
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
@@ -92,6 +96,10 @@ select * exclude (rest), not base_failed and rest >= 10 and rest >= 0.3 * n_word
 """
 
 
+def op7_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -162,9 +170,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitplane_tokens": op1_bitplane_tokens,
         "op2_unit_dedup": op2_unit_dedup,
+        "op3_license_scan": op3_license_scan,
         "op4_warc_capture_index": op4_warc_capture_index,
         "op5_line_frequency": op5_line_frequency,
         "op6_curriculum_mix": op6_curriculum_mix,
+        "op7_gam_quality": op7_gam_quality,
         "op9_phrase_decontamination": op9_phrase_decontamination,
         "op10_site_spread_lines": op10_site_spread_lines,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bitplanes, curriculum, gam_classifier, license_scan, line_frequency, phrase_index, site_spread, unit_dedup, warc
+from codeloom.llm import bitplanes, chosen_path, curriculum, gam_classifier, license_scan, line_frequency, phrase_index, site_spread, unit_dedup, warc
 from codeloom.llm.common import table
 
 
@@ -100,6 +100,25 @@ def op7_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+OP8_SQL = r"""
+with recursive d as (select row_number() over () r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
+s as (select distinct r, array_to_string(list_slice(w, k, k + least(5, len(w)) - 1), ' ') v
+  from (select r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) k from d where len(w) > 0)),
+n as (select r, count(*) n from s group by r),
+c as (select a.r a, b.r b, count(*) c from s a join s b using (v) where a.r <> b.r group by all),
+e as (select a, b from c join n x on a = x.r join n y on b = y.r where 5 * c >= 4 * (x.n + y.n - c)),
+reach as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a),
+low as (select a r, min(doc_id) m from (select a, b from reach union select r, r from d) z join d on z.b = d.r group by a),
+k as (select a r, count(*) n from e group by a)
+select doc_id, low.m class_id, coalesce(k.n, 0)::bigint n_links from d join low using (r) left join k using (r)
+"""
+
+
 def op9_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -175,6 +194,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_frequency": op5_line_frequency,
         "op6_curriculum_mix": op6_curriculum_mix,
         "op7_gam_quality": op7_gam_quality,
+        "op8_chosen_path_join": op8_chosen_path_join,
         "op9_phrase_decontamination": op9_phrase_decontamination,
         "op10_site_spread_lines": op10_site_spread_lines,
     }
@@ -186,6 +206,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc_capture_index": OP4_SQL,
         "op5_line_frequency": OP5_SQL,
         "op6_curriculum_mix": OP6_SQL,
+        "op8_chosen_path_join": OP8_SQL,
         "op9_phrase_decontamination": OP9_SQL,
         "op10_site_spread_lines": OP10_SQL,
     }

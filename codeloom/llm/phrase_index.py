@@ -205,12 +205,26 @@ def read_items(benchmark: DataFrame, max_bytes: int = 64_000_000) -> list[tuple[
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 13) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
+    return verdicts(docs, benchmark, width)[1]
+
+
+def verdicts(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[Workspace, DataFrame]:
     items = read_items(benchmark)
     terms = {w for _, text in items for window in windows_of(text, width) for w in window}
     space = Workspace(docs.sparkSession, "phrases")
     index = space.write(build_index(docs, terms), "index")
     found = search(index, items, width)
-    return found.select(
+    return space, found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 13) -> DataFrame:
+    """docs without the contaminated documents; all columns stay.
+
+    Rows are named by a hash of doc_id and text here, so that rows that share a doc_id are told apart."""
+    named = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    space, found = verdicts(named, benchmark, width)
+    bad = space.write(found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("_bad"), "left_anti")

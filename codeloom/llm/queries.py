@@ -173,7 +173,7 @@ weighed as (select *, ((row_number() over (order by source nulls last) - 1) % 3
 levels as (
   select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
     / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) lvl from weighed),
-best_level as (select *, min(case when lvl * weight <= cap then lvl end) over () best from levels),
+best_level as (select *, max(case when lvl * weight <= cap then lvl end) over () best from levels),
 targets as (select source, source_size, least(cap, coalesce(best * weight, cap))::double target from best_level),
 placed as (
   select s.*, t.source_size, t.target,
@@ -185,6 +185,12 @@ from placed
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitplane_tokens": op1_bitplane_tokens,
@@ -197,6 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chosen_path_join": op8_chosen_path_join,
         "op9_phrase_decontamination": op9_phrase_decontamination,
         "op10_site_spread_lines": op10_site_spread_lines,
+        "pipeline": pipeline,
     }
 
 

@@ -18,8 +18,12 @@ REVIEW = (
 
 
 def valid_json(value: Column) -> Column:
-    """The text if it is JSON, else null."""
-    return F.when(F.try_parse_json(value).isNotNull(), value)
+    """The text if it is JSON, else null. The parser stops at the end of a value; that nothing follows it shows where the
+    text stands for one element of an array and one member of an object."""
+    element = F.concat(F.lit("["), value, F.lit("]"))
+    member = F.concat(F.lit('{"v":'), value, F.lit("}"))
+    single = F.try_parse_json(element).isNotNull() & (F.json_array_length(element) == 1) & F.try_parse_json(member).isNotNull()
+    return F.when(single, value)
 
 
 def recovered_json(reply: Column) -> Column:

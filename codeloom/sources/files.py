@@ -47,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of a folder tree that a scan takes: path, size, filename, language. Contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    base = F.lit(folder.rstrip("/") + "/")
+    base = folder.rstrip("/") + "/"
     path = F.substring_index(F.col("path"), base, -1)
     rows = named(found.select(path.alias("path"), F.col("length").alias("size"), F.lit("blob").alias("type")))
     return rows.where(in_tree(F.col("path"), F.col("type"), F.col("size"), F.col("language"))).drop("type")
@@ -59,6 +59,6 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     head = F.substring(F.col("content"), 1, LONGEST)
     code = F.try_validate_utf8(head.cast("string"))
-    base = F.lit(folder.rstrip("/") + "/")
+    base = folder.rstrip("/") + "/"
     rows = found.select(F.substring_index(F.col("path"), base, -1).alias("path"), code.alias("code"))
     return named(rows).withColumn("fetch_error", F.when(F.col("code").isNull(), "Binary file").otherwise(""))

@@ -32,7 +32,8 @@ class Table:
 
     def _typed(self, rows: DataFrame) -> DataFrame:
         fields = self.spark.createDataFrame([], self.schema).schema.fields
-        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+        known = {f.name: F.col(f.name) if f.name in rows.columns else F.lit(None) for f in fields}
+        return rows.select(*[known[f.name].cast(f.dataType).alias(f.name) for f in fields])
 
     def append(self, rows: DataFrame) -> None:
         self._typed(rows).write.mode("append").parquet(f"{self.folder}/v{max(1, self.version())}")
@@ -47,14 +48,19 @@ class Table:
             fs.delete(path(f"{self.folder}/v{n}"), True)
 
 
+def stamped(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the time of writing where they have none of their own."""
+    now = F.current_timestamp().cast("timestamp_ntz")
+    return rows.withColumn(column, F.coalesce(F.col(column).cast("timestamp_ntz"), now) if column in rows.columns else now)
+
+
 class Snippets(Table):
     def __init__(self, spark: SparkSession, folder: str):
         super().__init__(spark, folder, SNIPPET)
 
     def save(self, rows: DataFrame, order: str) -> None:
         numbered = history.numbered_after(history.with_defaults(rows), self.read(), order)
-        created = F.coalesce("created_at", F.to_timestamp_ntz(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))) if "created_at" in rows.columns else F.current_timestamp()
-        self.append(numbered.withColumn("created_at", created))
+        self.append(stamped(numbered, "created_at"))
 
     def delete(self, snippet_id: int) -> bool:
         """Whether there was such a snippet. Messages about it stay."""
@@ -76,7 +82,7 @@ class Chat(Table):
         super().__init__(spark, folder, CHAT)
 
     def save(self, rows: DataFrame, order: str) -> None:
-        self.append(history.numbered_after(rows, self.read(), order))
+        self.append(stamped(history.numbered_after(rows, self.read(), order), "ts"))
 
     def of(self, snippet_id: int) -> DataFrame:
         return history.chat_history(self.read(), snippet_id)

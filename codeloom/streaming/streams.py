@@ -24,9 +24,10 @@ def stream_issues(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery
 
 def event_windows(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """window_start, event_type, n, value of tumbling windows; works on a stream (with its watermark) and on a table."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    # watermarks need a time with a zone; the session's is taken, and taken off again
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     grouped = timed.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
-    return grouped.select(F.col("w.start").alias("window_start"), "event_type", "n", "value")
+    return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "value")
 
 
 def user_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:

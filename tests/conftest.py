@@ -5,9 +5,8 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), os.environ.get("PYTHONPATH", "")]))
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -23,34 +22,12 @@ def spark():
     session.stop()
 
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-
-
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from helpers import SMALL, TABLES
 
     con = duckdb.connect()
     for name in TABLES.split():
         con.execute(f"create view {name} as select * from '{SMALL}/{name}.parquet'")
     return con
-
-
-def cell(value):
-    if isinstance(value, float):
-        return None if value != value else round(value, 6)
-    return [cell(v) for v in value] if isinstance(value, list | tuple) else value
-
-
-def rows_of(names, rows):
-    """Rows as sorted texts, columns by name."""
-    order = sorted(range(len(names)), key=lambda k: names[k])
-    return sorted(repr([cell(r[k]) for k in order]) for r in rows)
-
-
-def assert_same(spark_rows, con, sql):
-    found = con.execute(sql)
-    names = [d[0] for d in found.description]
-    assert sorted(spark_rows.columns) == sorted(names)
-    got, wanted = rows_of(spark_rows.columns, [tuple(r) for r in spark_rows.collect()]), rows_of(names, found.fetchall())
-    assert got == wanted

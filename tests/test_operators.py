@@ -258,7 +258,7 @@ def plan_of(df):
 
 def test_plans(spark):
     from codeloom import queries
-    from conftest import SMALL
+    from helpers import SMALL
 
     top = plan_of(queries.QUERIES["triage_top"](spark, SMALL))
     assert "TakeOrderedAndProject" in top and "Exchange" not in top and "Python" not in top

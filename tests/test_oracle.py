@@ -1,7 +1,7 @@
 """Every query against its SQL twin on the smallest tables; every query runs."""
 
 import pytest
-from conftest import SMALL, assert_same
+from helpers import SMALL, assert_same
 
 import __spark_entry__ as entry_point
 from codeloom import queries as engine

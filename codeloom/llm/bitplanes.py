@@ -230,7 +230,21 @@ class WordEncoder:
             open_, slot = open_[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return found
 
+    def _grow(self) -> None:
+        """Twice the slots, so that at most half of them are ever taken and probing ends soon."""
+        taken = np.flatnonzero(self.keys)
+        keys, at = self.keys[taken], self.at[taken]
+        self.bits += 1
+        self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        for value, number in zip(keys.tolist(), at.tolist(), strict=True):
+            slot = value >> (64 - self.bits)
+            while self.keys[slot]:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.at[slot] = value, number
+
     def _learn(self, value: int, piece: str) -> None:
+        if 2 * self.known >= 1 << self.bits:
+            self._grow()
         letters = piece.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
         slot = value >> (64 - self.bits)

@@ -226,5 +226,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 13)
     Rows are named by a hash of doc_id and text here, so that rows that share a doc_id are told apart."""
     named = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
     space, found = verdicts(named, benchmark, width)
-    bad = space.write(found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("_bad"), "left_anti")
+    bad = space.write(found.where("contaminated").select(F.col("doc_id").alias("__cl_bad")).distinct(), "contaminated")
+    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("__cl_bad"), "left_anti")

@@ -66,13 +66,13 @@ def spread_report(docs: DataFrame, **options) -> DataFrame:
 def remove_boilerplate(docs: DataFrame, **options) -> DataFrame:
     """docs with the boilerplate lines taken out of text; a text of which nothing is left becomes empty."""
     _, boiler = boilerplate(docs, **options)
-    known = boiler.select(F.col("hash").alias("_hash"))
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    known = boiler.select(F.col("hash").alias("__cl_hash"))
+    keyed = docs.withColumn("__cl_row", F.monotonically_increasing_id())
     space = Workspace(docs.sparkSession, "clean")
     keyed = space.write(keyed, "docs")
-    lines = keyed.select("_row", F.posexplode(F.split("text", "\n")).alias("_at", "_line"))
-    hits = lines.join(known, F.xxhash64(normal_line(F.col("_line"))) == F.col("_hash"), "left_semi").where(normal_line(F.col("_line")) != "")
-    gone = hits.groupBy(F.col("_row").alias("_r")).agg(F.collect_list("_at").alias("_gone"))
-    out = keyed.join(gone, F.col("_row") == F.col("_r"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("_gone", k)), "\n")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).drop("_row", "_r", "_gone")
+    lines = keyed.select("__cl_row", F.posexplode(F.split("text", "\n")).alias("__cl_at", "__cl_line"))
+    hits = lines.join(known, F.xxhash64(normal_line(F.col("__cl_line"))) == F.col("__cl_hash"), "left_semi").where(normal_line(F.col("__cl_line")) != "")
+    gone = hits.groupBy(F.col("__cl_row").alias("__cl_r")).agg(F.collect_list("__cl_at").alias("__cl_gone"))
+    out = keyed.join(gone, F.col("__cl_row") == F.col("__cl_r"), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("__cl_gone", k)), "\n")
+    return out.withColumn("text", F.when(F.col("__cl_gone").isNull(), F.col("text")).otherwise(left)).drop("__cl_row", "__cl_r", "__cl_gone")

@@ -104,8 +104,8 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with text cut, and kept: array of (start, stop) of the kept parts in the original text (null: all of it).
 
     doc_id names the documents here: rows that share one lose the spans of each."""
-    spans = repeated_spans(docs, **options).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
-    joined = docs.drop("kept").join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    spans = repeated_spans(docs, **options).groupBy(F.col("doc_id").alias("__cl_doc")).agg(F.collect_set(F.struct("start", "stop")).alias("__cl_spans"))
+    joined = docs.drop("kept").join(spans, F.col("doc_id").eqNullSafe(F.col("__cl_doc")), "left").drop("__cl_doc")
 
     @F.udf("struct<text:string,kept:array<struct<start:int,stop:int>>>", useArrow=True)
     def cut(text, spans):  # noqa: ANN001, ANN202
@@ -113,4 +113,4 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
             return text, None
         return without_spans(text, [(s["start"], s["stop"]) for s in spans])
 
-    return joined.withColumn("_cut", cut("text", "_spans")).withColumn("text", F.col("_cut.text")).withColumn("kept", F.col("_cut.kept")).drop("_cut", "_spans")
+    return joined.withColumn("__cl_cut", cut("text", "__cl_spans")).withColumn("text", F.col("__cl_cut.text")).withColumn("kept", F.col("__cl_cut.kept")).drop("__cl_cut", "__cl_spans")

@@ -19,7 +19,7 @@ from codeloom.llm.queries import tokenizer_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. It learns from labels of documents that are there."""
     model = gam_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return gam_classifier.with_score(docs, model, "_score").where("_score >= 0.5").drop("_score")
+    return gam_classifier.with_score(docs, model, "__cl_score").where("__cl_score >= 0.5").drop("__cl_score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -449,7 +449,8 @@ def test_index_equals_brute_force(spark, make):
 
 
 def test_proximity(make):
-    row = phrase_index.build_index(make([(0, "a x b y c"), (1, "a b c"), (2, "c z z z z z a b")])).first().asDict()
+    docs = make([(0, "a x b y c"), (1, "a b c"), (2, "c z z z z z a b")]).coalesce(1)
+    row = phrase_index.build_index(docs).first().asDict()
     shard = phrase_index.open_shard(row)
     assert len(shard.phrase(("a", "b", "c"))) == 1 and len(shard.near(("a", "b", "c"), 2)) == 2 and len(shard.near(("a", "b", "c"), 0)) == 1
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -733,7 +734,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on a stream of the corpus, as far as it is there, appended to a folder and read again."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
-    folder = f"{root.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     files = corpus(spark, sf_dir)
     files.where(RULED).write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(files.schema).parquet(f"{folder}/in")

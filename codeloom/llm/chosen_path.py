@@ -188,6 +188,11 @@ def roots_of(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def tasks(df: DataFrame) -> int:
+    """Partitions for steps whose rows are few and whose work is not: as many as the session asks for, never merged."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def compare_sketches(leaves: DataFrame, least: float) -> DataFrame:
     """(a, b) that join the sets of each small bucket whose sketches agree in at least the share least of places."""
 
@@ -207,7 +212,7 @@ def compare_sketches(leaves: DataFrame, least: float) -> DataFrame:
     def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return leaves.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+    return leaves.repartition(tasks(leaves), "path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
 
 
 def meetings(sets: DataFrame, space: Workspace, *, recall: float, depth: int, small: int, least: float) -> DataFrame:
@@ -275,11 +280,12 @@ def exact_links(docs: DataFrame, sets: DataFrame, families: DataFrame, space: Wo
     member = families.join(sized, F.col("root") == F.col("family")).join(sets.select("set", "doc_id", "text_hash", "copies"), F.col("node") == F.col("set"))
     member = space.write(member.select("set", "family", "blocks", "doc_id", "text_hash", "copies"), "member")
     mine = member.select("set", "family", "blocks", "copies", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
-    texts = docs.select("doc_id", "text").join(mine, (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    # the texts are shuffled for this at every size: members are a share of the corpus, never a side to broadcast
+    texts = docs.select("doc_id", "text").join(mine.hint("merge"), (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     own = F.pmod(F.xxhash64(F.lit(3), "set"), F.col("blocks").cast("long")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("low"), F.greatest(k, own).alias("high"), own.alias("side")))
     dealt = texts.withColumn("pair", F.explode(others)).select("set", "family", "copies", "text", "pair.*")
-    dealt = dealt.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "set")
+    dealt = dealt.repartition(tasks(docs), "family", "low", "high").sortWithinPartitions("family", "low", "high", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int]] = []
@@ -334,15 +340,16 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class: the one with its smallest doc_id. All columns stay."""
     space = Workspace(docs.sparkSession, "keep")
     rows = space.write(near_duplicates(docs, **options), "rows")
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_root").agg(F.min("row").alias("_row"))
-    kept = rows.join(first.drop("class_root"), F.col("row") == F.col("_row")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
-    kept = space.write(kept, "kept")
-    # rows alike in doc_id and text are all found by the key of the one that stays: they are made one here
-    times = rows.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    alike = (F.col("_key") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-    left = keyed.join(kept, alike, "left_semi")
-    times = space.write(times.drop("_n"), "times")
-    once = left.join(times, alike, "left_anti")
-    several = left.join(times, alike, "left_semi").dropDuplicates(["doc_id", "_key"])
-    return once.unionByName(several).drop("_key")
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_root").agg(F.min("row").alias("__cl_row"))
+    # rows alike in doc_id and text are all found by the key of the one that stays: they are made one below
+    named = [F.col("doc_id").alias("__cl_doc"), F.col("text_hash").alias("__cl_hash")]
+    times = space.write(rows.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "times")
+    kept = rows.join(first.drop("class_root"), F.col("row") == F.col("__cl_row")).select(*named)
+    several = times.select(F.col("__cl_doc").alias("d"), F.col("__cl_hash").alias("h"))
+    kept = kept.join(several, (F.col("__cl_hash") == F.col("h")) & F.col("__cl_doc").eqNullSafe(F.col("d")), "left")
+    kept = space.write(kept.select("__cl_doc", "__cl_hash", F.col("h").isNotNull().alias("__cl_several")), "kept")
+    alike = (F.col("__cl_key") == F.col("__cl_hash")) & F.col("doc_id").eqNullSafe(F.col("__cl_doc"))
+    # what stays is a share of the corpus: the texts are shuffled once, at every size
+    left = docs.withColumn("__cl_key", F.xxhash64("text")).join(kept.hint("merge"), alike).drop("__cl_doc", "__cl_hash")
+    once, more = left.where("not __cl_several"), left.where("__cl_several")
+    return once.unionByName(more.dropDuplicates(["doc_id", "__cl_key"])).drop("__cl_key", "__cl_several")

@@ -7,6 +7,11 @@ of neighbouring repeats with enough words are removed, and their offsets in the
 Sentences are the units of the query: a passage found in two documents need not start a line in either, and the words
 asked of a run keep short sentences that meet by chance. Each unit counts wherever it stands in its line.
 
+A passage need not hold a whole unit, so every window of WINDOW words is a repeat as well where it stands in a document of
+smaller rank, or WINDOW words or more behind its first place in the same text. Repeated units and windows that overlap or
+touch are one run. Windows are exact: of all runs of GRAM words the smallest hash of each window is a mark of its document
+(winnowing), so equal windows share a mark, and only the windows that hold a mark found again are compared.
+
 Defined results: rank is doc_id, null last; rows that share a doc_id share a rank and none of them removes from another;
 null, empty and wordless texts have no units; ties inside a document go to the first place; an empty table gives no rows.
 """
@@ -17,6 +22,7 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,63 +35,248 @@ UNITS = {
     "paragraph": re.compile(r"[^\n]+(?:\n[^\S\n]*[^\s][^\n]*)*"),
     "sentence": re.compile(r"[^\n.!?]+[.!?]*|[.!?]+"),
 }
-UNIT_TYPE = pa.struct([("digest", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("again", pa.bool_())])
+UNIT_TYPE = pa.struct([("digest", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("again", pa.bool_()), ("word", pa.int32())])
 LAST_RANK = (1 << 63) - 1
+#: Words of a window and of the shorter runs that its mark is chosen from.
+WINDOW, GRAM = 50, 25
+#: Bases of the rolling hashes (odd, so that they have inverses modulo 2**64).
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: A window has 64 + 32 bits; the zeros of the second part, first in a row, cost nothing in a shuffle.
+UPPER = np.uint64(0xFFFFFFFF00000000)
+SOME_CHARS = 1 << 20
 
 
-def units_of(text: str | None, kind: str = "sentence") -> list[tuple[bytes, int, int, int, bool]]:
-    """(digest, start, stop, words, whether it stands earlier in the text too) of each unit with a word; offsets count
-    characters."""
-    out, seen = [], set()
+def units_of(text: str | None, kind: str = "sentence") -> list[tuple[bytes, int, int, int, bool, int]]:
+    """(digest, start, stop, words, whether it stands earlier in the text too, words before it) of each unit with a word;
+    offsets count characters."""
+    out, seen, before = [], set(), 0
     for found in UNITS[kind].finditer(text or ""):
         words = found.group().encode("utf-8", "replace").translate(WORD_BYTES).split()
         if words:
             digest = blake2b(b" ".join(words), digest_size=16).digest()
-            out.append((digest, found.start(), found.end(), len(words), digest in seen))
+            out.append((digest, found.start(), found.end(), len(words), digest in seen, before))
             seen.add(digest)
+            before += len(words)
     return out
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: int) -> np.ndarray:
+    """64-bit hash of each run of values (uint64) from start up to stop."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(base, len(values))[:-1], out=sums[1:])
+    return mixed((sums[stops] - sums[starts]) * powers(pow(base, -1, 1 << 64), len(values))[starts])
+
+
+class Words:
+    """Words of texts as arrays: the text of each, its (start, stop) in the joined bytes, a hash by each base asked for."""
+
+    def __init__(self, texts: list[str | None], bases: tuple[int, ...] = BASES[:1]):
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        self.bytes = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+        self.offsets = np.cumsum([0, *[len(r) + 1 for r in raw]])
+        plain = np.frombuffer(self.bytes.tobytes().translate(WORD_BYTES), np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], plain != 32, [False]]).astype(np.int8)))
+        self.starts, self.stops = edges[::2], edges[1::2]
+        self.text = np.searchsorted(self.offsets, self.starts, "right") - 1
+        self.hashes = [run_hashes(plain.astype(np.uint64) + np.uint64(1), self.starts, self.stops, b) for b in bases]
+
+    def runs(self, n: int, base: int = 0) -> np.ndarray:
+        """Hash of the n words from each word on, also where they reach into the next text."""
+        at = np.arange(max(0, len(self.starts) - n + 1))
+        return run_hashes(self.hashes[base], at, at + n, BASES[base])
+
+    def windows(self) -> np.ndarray:
+        """Whether the WINDOW words from each word on are of one text."""
+        return self.text[: max(0, len(self.text) - WINDOW + 1)] == self.text[WINDOW - 1 :]
+
+
+def sliding(values: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
+    """best (minimum or maximum) of each n neighbours."""
+    wide = 1
+    size = len(values) - n + 1
+    while 2 * wide <= n:
+        values = best(values[:-wide], values[wide:])
+        wide *= 2
+    return best(values[:size], values[n - wide : n - wide + size])
+
+
+def marks_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of each run of GRAM words that is the smallest of a window."""
+    inside, span = words.windows(), WINDOW - GRAM + 1
+    if not inside.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    grams, rim = words.runs(GRAM), np.zeros(span - 1, np.uint64)
+    least = np.where(inside, sliding(grams, span, np.minimum), np.uint64(0))
+    chosen = np.flatnonzero(sliding(np.concatenate([rim, least, rim]), span, np.maximum) == grams)
+    return chosen, grams[chosen]
+
+
+def parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about SOME_CHARS characters each."""
+    start = chars = 0
+    for at, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= SOME_CHARS or at == len(texts) - 1:
+            yield start, at + 1
+            start, chars = at + 1, 0
+
+
+def marks_by_text(texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
+    """Distinct marks of each text, and whether one of them stands in it twice."""
+    marks, own = [], []
+    for a, b in parts(texts):
+        words = Words(texts[a:b])
+        place, found = marks_of(words)
+        cuts = np.searchsorted(words.text[place], np.arange(b - a + 1))
+        for k in range(b - a):
+            once = np.unique(found[cuts[k] : cuts[k + 1]])
+            marks.append(once.view(np.int64))
+            own.append(len(once) < cuts[k + 1] - cuts[k])
+    return marks, own
+
+
+WINDOW_TYPE = "array<struct<high:bigint,low:bigint,word:int,start:int,stop:int,fresh:boolean,again:boolean,open:boolean>>"
+WINDOW_ARROW = pa.struct([("high", pa.int64()), ("low", pa.int64()), *[(n, pa.int32()) for n in ("word", "start", "stop")], *[(n, pa.bool_()) for n in ("fresh", "again", "open")]])
+
+
+def windows_of(text: str, asked: np.ndarray, runs: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The columns of WINDOW_ARROW for all windows whose mark is asked for, or stands in the text twice. Open are those that
+    no run (from word, up to word) holds already."""
+    words = Words([text], BASES)
+    place, found = marks_of(words)
+    _, back, count = np.unique(found, return_inverse=True, return_counts=True)
+    held = np.unique(found[(count[back] > 1) | np.isin(found, asked.view(np.uint64))])
+    at = np.zeros(0, np.int64)
+    if len(held):
+        at = np.flatnonzero(np.isin(sliding(words.runs(GRAM), WINDOW - GRAM + 1, np.minimum), held))
+    high, low = words.runs(WINDOW)[at].view(np.int64), (words.runs(WINDOW, 1)[at] & UPPER).view(np.int64)
+    pairs = np.empty(len(at), [("high", np.int64), ("low", np.int64)])
+    pairs["high"], pairs["low"] = high, low
+    _, first, back = np.unique(pairs, return_index=True, return_inverse=True)
+    before = at[first[back]] if len(at) else at
+    last = np.full(len(words.starts) + 1, -1)
+    for start, stop in runs:
+        last[start:stop] = stop
+    chars = np.concatenate([[0], np.cumsum((words.bytes & 0xC0) != 0x80)])
+    fresh, again, free = before == at, at - before >= WINDOW, last[at] < at + WINDOW
+    use = fresh | free
+    return [c[use] for c in (high, low, at, chars[words.starts[at]], chars[words.stops[at + WINDOW - 1]], fresh, again, free)]
+
+
+def lists_of(values: list[list] | list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.cumsum([0, *[len(v) for v in values]])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values), kind))
+
+
 def unit_table(docs: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in UNIT_TYPE]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
-                found = [units_of(t, kind) for t in rows.column(1).to_pylist()]
+                texts = rows.column(1).to_pylist()
+                found = [units_of(t, kind) for t in texts]
                 offsets = [0]
                 for units in found:
                     offsets.append(offsets[-1] + len(units))
                 flat = [u for units in found for u in units]
-                cols = list(zip(*flat, strict=True)) if flat else [()] * 5
+                cols = list(zip(*flat, strict=True)) if flat else [()] * len(names)
                 made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, UNIT_TYPE, strict=True)], names)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)], ["doc_id", "units"])
+                units = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)
+                marks, own = marks_by_text(texts)
+                # only texts with marks are asked for again
+                kept = pa.array([t if len(m) else None for t, m in zip(texts, marks, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([rows.column(0), units, lists_of(marks, pa.int64()), pa.array(own), kept], ["doc_id", "units", "marks", "own", "text"])
 
-    kinds = "doc_id long, units array<struct<digest:binary,start:int,stop:int,words:int,again:boolean>>"
+    kinds = "doc_id long, units array<struct<digest:binary,start:int,stop:int,words:int,again:boolean,word:int>>, marks array<long>, own boolean, text string"
     return docs.select("doc_id", "text").mapInArrow(run, kinds).withColumn("row", F.monotonically_increasing_id())
 
 
+def window_table(texts: DataFrame) -> DataFrame:
+    """row, rank, windows, from row, rank, text, asked (marks that were found again), runs (of repeated units)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                rows = batch.slice(at, 100)
+                given = zip(*[rows.column(k).to_pylist() for k in (2, 3, 4)], strict=True)
+                found = [windows_of(t, np.array(a or [], np.int64), [(r["word"], r["end"]) for r in u or []]) for t, a, u in given]
+                offsets = np.cumsum([0, *[len(w[0]) for w in found]])
+                cols = [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), WINDOW_ARROW, strict=True)]
+                made = pa.StructArray.from_arrays(cols, [f.name for f in WINDOW_ARROW])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists], ["row", "rank", "windows"])
+
+    return texts.mapInArrow(run, f"row long, rank long, windows {WINDOW_TYPE}")
+
+
+def repeated_windows(space: Workspace, table: DataFrame, runs: DataFrame) -> DataFrame:
+    """row, word, end, start, stop, n_units (0), first of every repeated window of WINDOW words that no run holds already."""
+    marks = table.select("row", F.explode("marks").alias("mark"))
+    again = space.write(marks.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("_mark")), "marks")
+    asked = marks.join(again, F.col("mark") == F.col("_mark")).groupBy("row").agg(F.collect_list("mark").alias("asked"))
+    asked = space.write(asked, "asked").withColumnRenamed("row", "_row")
+    space.drop("marks")
+    held = runs.groupBy(F.col("row").alias("_held")).agg(F.collect_list(F.struct("word", "end")).alias("runs"))
+    texts = table.where(F.size("marks") > 0).join(asked, F.col("row") == F.col("_row"), "left").where(F.col("own") | F.col("asked").isNotNull())
+    texts = texts.join(held, F.col("row") == F.col("_held"), "left").select("row", "rank", "text", "asked", "runs")
+    windows = space.write(window_table(texts), "windows")
+    space.drop("asked")
+    once = windows.select("rank", F.explode(F.filter("windows", lambda w: w.fresh)).alias("w")).select("w.low", "w.high", "rank")
+    groups = once.groupBy("low", "high").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = space.write(groups.select(F.col("low").alias("_low"), F.col("high").alias("_high"), "first"), "window_groups")
+    placed = windows.select("row", "rank", F.explode(F.filter("windows", lambda w: w.open)).alias("w")).select("w.low", "w.high", "row", "rank", "w.word", "w.start", "w.stop", "w.again")
+    elsewhere = placed.join(groups, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")), "left")
+    found = elsewhere.where(F.col("again") | (F.col("first") < F.col("rank")))
+    end, first = F.col("word") + F.lit(WINDOW), F.least(F.col("rank"), F.col("first"))
+    return found.select("row", "word", end.alias("end"), "start", "stop", F.lit(0).cast("long").alias("n_units"), first.alias("first"))
+
+
+def joined(pieces: DataFrame) -> DataFrame:
+    """Pieces (row, word, end, start, stop, n_units, first) of a row that overlap or touch made one."""
+    in_row = Window.partitionBy("row").orderBy("word")
+    reach = F.max("end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
+    apart = pieces.withColumn("apart", F.coalesce((F.col("word") > reach).cast("int"), F.lit(1)))
+    runs = apart.withColumn("run", F.sum("apart").over(in_row.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "run")
+    return runs.agg(
+        F.min("word").alias("word"), F.max("end").alias("end"), F.min("start").alias("start"), F.max("stop").alias("stop"),
+        F.sum("n_units").alias("n_units"), F.min("first").alias("first"),
+    ).drop("run")
+
+
 def repeated_spans(docs: DataFrame, *, unit: str = "sentence", min_run_words: int = 25) -> DataFrame:
-    """Removed spans: doc_id, start, stop (characters of the original text), n_units, n_words, first_doc_id (the smallest
-    doc_id that keeps a unit of the span)."""
+    """Removed spans: doc_id, start, stop (characters of the original text), n_units (whole repeated units in it), n_words,
+    first_doc_id (the smallest doc_id that keeps a unit of the span, or a window that its units do not hold)."""
     space = Workspace(docs.sparkSession, "units")
     table = space.write(unit_table(docs, unit).withColumn("rank", F.coalesce("doc_id", F.lit(LAST_RANK))), "units")
     # a document gives each digest once: only its first occurrence can be the one that stays
     once = table.select("rank", F.explode(F.filter("units", lambda u: ~u.again)).alias("u")).select("rank", "u.digest")
     groups = once.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = space.write(groups.select(F.col("digest").alias("_digest"), "first"), "groups")
-    placed = table.select("row", "doc_id", "rank", F.posexplode("units").alias("at", "u")).select("row", "doc_id", "rank", "at", "u.*")
+    placed = table.select("row", "rank", F.explode("units").alias("u")).select("row", "rank", "u.*")
     # both sides of this join come fresh from tables, so that a hot digest is split among tasks at run time
     elsewhere = placed.join(groups, F.col("digest") == F.col("_digest"), "left")
     repeats = elsewhere.where(F.col("again") | (F.col("first") < F.col("rank")))
-    repeats = repeats.withColumn("first", F.least(F.col("rank"), F.col("first")))
-    run = F.col("at") - F.row_number().over(Window.partitionBy("row").orderBy("at"))
-    runs = repeats.withColumn("run", run).groupBy("row", "doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_units"),
-        F.sum("words").alias("n_words"), F.min("first").alias("first"),
-    )
+    end, first = F.col("word") + F.col("words"), F.least(F.col("rank"), F.col("first"))
+    pieces = repeats.select("row", "word", end.alias("end"), "start", "stop", F.lit(1).cast("long").alias("n_units"), first.alias("first"))
+    units = space.write(joined(pieces), "unit_runs")
+    space.drop("groups")
+    runs = joined(units.unionByName(repeated_windows(space, table, units))).withColumn("n_words", (F.col("end") - F.col("word")).cast("long"))
+    names = table.select(F.col("row").alias("_row"), "doc_id")
     first = F.when(F.col("first") < LAST_RANK, F.col("first")).alias("first_doc_id")
-    return runs.where(F.col("n_words") >= min_run_words).select("doc_id", "start", "stop", "n_units", "n_words", first)
+    return runs.where(F.col("n_words") >= min_run_words).join(names, F.col("row") == F.col("_row")).select("doc_id", "start", "stop", "n_units", "n_words", first)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:

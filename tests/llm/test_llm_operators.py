@@ -130,6 +130,56 @@ def test_units_cover_words(kind):
         assert all(a[2] <= b[1] for a, b in zip(units, units[1:], strict=False))
 
 
+def passages(docs, size=50):
+    """(doc_id, words) of maximal runs of words inside windows that stand in an earlier document, by brute force."""
+    seen, out = set(), []
+    for doc_id, text in docs:
+        words = plain_words(text)
+        windows = [" ".join(words[k : k + size]) for k in range(len(words) - size + 1)]
+        inside = sorted({j for k, w in enumerate(windows) if w in seen for j in range(k, k + size)})
+        seen.update(windows)
+        runs = {}
+        for place, j in enumerate(inside):
+            runs.setdefault(j - place, []).append(j)
+        out += [(doc_id, r) for r in runs.values()]
+    return out
+
+
+def covered(spans, text):
+    """Places of the words of a text that lie in spans of characters."""
+    ends = [m.span() for m in re.finditer(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))]
+    return {k for k, (a, b) in enumerate(ends) for s in spans if s.start <= a and b <= s.stop}
+
+
+def test_every_repeated_window_is_removed(make):
+    """Passages that hold no whole sentence of both texts, or only short ones, at every place in a text."""
+    rng = random.Random(15)
+    words = lambda n: [w + rng.choice(["", "é漢"]) for w in random_words(rng, n, 10**6)]
+    shared = [words(n) for n in (50, 51, 60, 75, 120, 49)]
+    docs = []
+    for k in range(40):
+        text = words(rng.randrange(40))
+        for _ in range(2):
+            text += [*rng.choice(shared), *words(rng.randrange(1, 30))]
+        text = [w + rng.choice(["", ".", ",", "!\n"]) if rng.random() < 0.3 else w for w in text]
+        docs.append((k, " ".join(text)))
+    docs.append((40, " ".join([*words(7), *shared[2], *words(5)]) + "."))
+    docs.append((41, "A. " + " ".join([*words(3), *shared[2], *words(9)]) + " and so on."))
+    spans = {}
+    for r in unit_dedup.repeated_spans(make(docs)).collect():
+        spans.setdefault(r.doc_id, []).append(r)
+    wanted = passages(docs)
+    assert len(wanted) > 10
+    for doc_id, places in wanted:
+        assert set(places) <= covered(spans.get(doc_id, []), dict(docs)[doc_id]), doc_id
+    assert [r.n_words for r in spans[41]] == [60] and spans[41][0].n_units == 0
+
+
+def test_periodic_text_keeps_one_window(make):
+    got = unit_dedup.repeated_spans(make([(1, "word " * 1000)])).collect()
+    assert [(r.start, r.stop, r.n_words, r.first_doc_id) for r in got] == [(250, 4999, 950, 1)]
+
+
 # 3. licences
 
 

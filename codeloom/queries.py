@@ -128,7 +128,7 @@ CAP_FILES = f"select file_id, path, repeat(code || chr(10), 30) as code from ({C
 
 @query("issue_cap50", issues_sql(CAP_FILES) + f"select file_id, code, count(*)::bigint n, min(line)::int first_line, max(line)::int last_line from issues where {RULED} group by file_id, code")
 def issue_cap50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus(spark, sf_dir).where(f"file_id % 20 = 3 and {RULED}").withColumn("code", F.expr("repeat(concat(code, chr(10)), 30)"))
+    files = corpus(spark, sf_dir).where(RULED).withColumn("code", F.expr("repeat(concat(code, chr(10)), 30)"))
     rows = rules.issue_rows(rules.with_rules(files), "style_issues", "file_id")
     return rows.groupBy("file_id", "code").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 

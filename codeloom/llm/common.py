@@ -112,3 +112,11 @@ class AtomicFile:
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra columns, whatever their names, play no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it as long as df has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -27,17 +27,36 @@ def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-with d as (select row_number() over () r, doc_id, coalesce(doc_id, 9223372036854775807) rank, regexp_extract_all(text, '[^\n.!?]+[.!?]*|[.!?]+|\n') parts from documents),
-p as (select r, doc_id, rank, unnest(parts) u, generate_subscripts(parts, 1) k from d),
-o as (select *, coalesce(sum(length(u)) over (partition by r order by k rows between unbounded preceding and 1 preceding), 0) a from p),
-w as (select r, doc_id, rank, k, a, a + length(u) b,
-  regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') words from o),
-n as (select r, doc_id, rank, row_number() over (partition by r order by k) place, a, b, len(words) words, array_to_string(words, ' ') v from w where len(words) > 0),
-f as (select *, min(rank) over (partition by v) first, row_number() over (partition by r, v order by place) nth from n),
-x as (select *, place - row_number() over (partition by r order by place) run from f where nth > 1 or first < rank)
-select doc_id, min(a)::int start, max(b)::int stop, count(*)::bigint n_units, sum(words)::bigint n_words,
-  nullif(min(first), 9223372036854775807) first_doc_id
-from x group by r, doc_id, run having sum(words) >= 25
+with d as (select row_number() over (order by doc_id nulls last, md5(text)) r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select r, unnest(x) u, generate_subscripts(x, 1) k from (select r, regexp_extract_all(t, '\n|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+') x from d)),
+o as (
+  select *, coalesce(sum(length(u)) over (w rows between unbounded preceding and 1 preceding), 0) a, regexp_matches(u, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]') is_word,
+    count(*) filter (u = chr(10)) over w line, count(*) filter (regexp_matches(u, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]')) over w n
+  from p window w as (partition by r order by k)),
+words as (select r, line, n - 1 word, a, a + length(u) b, u from o where is_word),
+units as (
+  select r, min(n) filter (is_word) - 1 word, max(n) filter (is_word) stop_word, min(a) a, max(a + length(u)) b, string_agg(u, ' ' order by k) filter (is_word) v
+  from o where u <> chr(10) group by r, line having count(*) filter (is_word) > 0),
+found_units as (
+  select *, min(r) over (partition by v) keeper, row_number() over (partition by r, v order by word) nth from units),
+pieces as (select r, word, stop_word, a, b, 1 n_units, keeper from found_units where keeper <> r or nth > 1),
+marked as (select *, case when word > max(stop_word) over (partition by r order by word rows between unbounded preceding and 1 preceding) then 1 else 0 end gap from pieces),
+unit_runs as (select r, min(word) word, max(stop_word) stop_word, min(a) a, max(b) b, sum(n_units) n_units, min(keeper) keeper
+  from (select *, sum(gap) over (partition by r order by word rows unbounded preceding) run from marked) group by r, run),
+win as (
+  select r, word, a, last_b b, v from (
+    select r, word, a, lead(b, 49) over w last_b, string_agg(u, ' ') over (partition by r order by word rows between current row and 49 following) v
+    from words window w as (partition by r order by word)) where last_b is not null),
+found_win as (select *, min(r) over (partition by v) keeper, min(word) over (partition by r, v) first_word from win),
+open_win as (
+  select w.r, w.word, w.word + 50 stop_word, w.a, w.b, 0 n_units, keeper from found_win w where (keeper <> r or word - first_word >= 50)
+    and not exists (select 1 from unit_runs u where u.r = w.r and u.word <= w.word and u.stop_word >= w.word + 50)),
+every as (select r, word, stop_word, a, b, n_units, keeper from unit_runs union all select * from open_win),
+apart as (select *, case when word > max(stop_word) over (partition by r order by word, n_units rows between unbounded preceding and 1 preceding) then 1 else 0 end gap from every),
+runs as (select r, min(word) word, max(stop_word) stop_word, min(a) a, max(b) b, sum(n_units) n_units, min(keeper) keeper
+  from (select *, sum(gap) over (partition by r order by word, n_units rows unbounded preceding) run from apart) group by r, run)
+select d.doc_id, runs.a::int start, runs.b::int stop, n_units::bigint n_units, (stop_word - word)::bigint n_words, k.doc_id first_doc_id
+from runs join d using (r) join d k on k.r = runs.keeper
 """
 
 

@@ -1,24 +1,24 @@
 """Substring dedup by hashing units (lines, paragraphs or sentences) over the whole corpus.
 
 A text is cut into units; a unit is normalised to its lower-case words and hashed (128 bits). Digests are grouped over
-all documents; the occurrence in the document of smallest rank (its first one there) stays, all others are repeats. Runs
-of neighbouring repeats with enough words are removed, and their offsets in the original text are kept.
+all rows; the occurrence of smallest rank (its first one there) stays, all others are repeats and go. Lines are the units
+of the query, whatever their length (min_words can ask for more). Offsets of what goes are those of the original text.
 
-Sentences are the units of the query: a passage found in two documents need not start a line in either, and the words
-asked of a run keep short sentences that meet by chance. Each unit counts wherever it stands in its line.
-
-A passage need not hold a whole unit, so every window of WINDOW words is a repeat as well where it stands in a document of
+A passage need not be a whole unit, so every window of WINDOW words is a repeat as well where it stands in a row of
 smaller rank, or WINDOW words or more behind its first place in the same text. Repeated units and windows that overlap or
-touch are one run. Windows are exact: of all runs of GRAM words the smallest hash of each window is a mark of its document
+touch are one run. Windows are exact: of all runs of GRAM words the smallest hash of each window is a mark of its row
 (winnowing), so equal windows share a mark, and only the windows that hold a mark found again are compared.
 
-Defined results: rank is doc_id, null last; rows that share a doc_id share a rank and none of them removes from another;
-null, empty and wordless texts have no units; ties inside a document go to the first place; an empty table gives no rows.
+Defined results: rank is doc_id, null last; of rows that share a doc_id, or have none, one that is the same for all units
+of equal place in the order of rows keeps, so that of repeated rows exactly one stays; null, empty and wordless texts have
+no units; very long texts are hashed piece by piece and compared whole; ties inside a text go to the first place; an empty
+table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.common import WORD_BYTES, Workspace
+from codeloom.llm.common import WORD_BYTES, Workspace, free_name
 
 UNITS = {
     "line": re.compile(r"[^\n]+"),
     "paragraph": re.compile(r"[^\n]+(?:\n[^\S\n]*[^\s][^\n]*)*"),
     "sentence": re.compile(r"[^\n.!?]+[.!?]*|[.!?]+"),
 }
-UNIT_TYPE = pa.struct([("digest", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("again", pa.bool_()), ("word", pa.int32())])
+UNIT_TYPE = pa.struct([("high", pa.int64()), ("low", pa.int64()), *[(n, pa.int32()) for n in ("start", "stop", "words", "word")], ("again", pa.bool_())])
 LAST_RANK = (1 << 63) - 1
 #: Words of a window and of the shorter runs that its mark is chosen from.
 WINDOW, GRAM = 50, 25
@@ -46,17 +46,17 @@ UPPER = np.uint64(0xFFFFFFFF00000000)
 SOME_CHARS = 1 << 20
 
 
-def units_of(text: str | None, kind: str = "sentence") -> list[tuple[bytes, int, int, int, bool, int]]:
-    """(digest, start, stop, words, whether it stands earlier in the text too, words before it) of each unit with a word;
-    offsets count characters."""
+def units_of(text: str | None, kind: str = "line", min_words: int = 1) -> list[tuple[int, int, int, int, int, int, bool]]:
+    """(digest as two integers, start, stop, words, words before it, whether it stands earlier in the text too) of each unit
+    of min_words or more; offsets count characters."""
     out, seen, before = [], set(), 0
     for found in UNITS[kind].finditer(text or ""):
         words = found.group().encode("utf-8", "replace").translate(WORD_BYTES).split()
-        if words:
+        if len(words) >= max(1, min_words):
             digest = blake2b(b" ".join(words), digest_size=16).digest()
-            out.append((digest, found.start(), found.end(), len(words), digest in seen, before))
+            out.append((*struct.unpack("<qq", digest), found.start(), found.end(), len(words), before, digest in seen))
             seen.add(digest)
-            before += len(words)
+        before += len(words)
     return out
 
 
@@ -87,10 +87,27 @@ class Words:
         self.bytes = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
         self.offsets = np.cumsum([0, *[len(r) + 1 for r in raw]])
         plain = np.frombuffer(self.bytes.tobytes().translate(WORD_BYTES), np.uint8)
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], plain != 32, [False]]).astype(np.int8)))
-        self.starts, self.stops = edges[::2], edges[1::2]
+        inside = np.concatenate([[False], plain != 32, [False]])
+        self.edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.stops = self.edges[::2], self.edges[1::2]
         self.text = np.searchsorted(self.offsets, self.starts, "right") - 1
-        self.hashes = [run_hashes(plain.astype(np.uint64) + np.uint64(1), self.starts, self.stops, b) for b in bases]
+        # a word's hash does not depend on where it stands: long texts are hashed piece by piece, in bounded memory
+        cuts = np.unique(np.searchsorted(self.starts, np.arange(0, len(plain) + SOME_CHARS, SOME_CHARS)))
+        self.hashes = [np.concatenate([np.zeros(0, np.uint64), *(self._piece(plain, a, b, base) for a, b in zip(cuts[:-1], cuts[1:], strict=True))]) for base in bases]
+
+    def _piece(self, plain: np.ndarray, first: int, stop: int, base: int) -> np.ndarray:
+        low, high = self.starts[first], self.stops[stop - 1]
+        return run_hashes(plain[low:high].astype(np.uint64) + np.uint64(1), self.starts[first:stop] - low, self.stops[first:stop] - low, base)
+
+    def chars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and stop of each word, counted in characters of the joined texts."""
+        if not len(self.edges):
+            return self.edges, self.edges
+        leading = ((self.bytes & 0xC0) != 0x80).view(np.uint8)
+        counts = np.add.reduceat(leading, self.edges[:-1], dtype=np.int64)
+        counts[-1] = leading[self.edges[-2] : self.edges[-1]].sum()
+        at = int(leading[: self.edges[0]].sum()) + np.concatenate([[0], np.cumsum(counts)])
+        return at[::2], at[1::2]
 
     def runs(self, n: int, base: int = 0) -> np.ndarray:
         """Hash of the n words from each word on, also where they reach into the next text."""
@@ -147,8 +164,8 @@ def marks_by_text(texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]
     return marks, own
 
 
-WINDOW_TYPE = "array<struct<high:bigint,low:bigint,word:int,start:int,stop:int,fresh:boolean,again:boolean,open:boolean>>"
-WINDOW_ARROW = pa.struct([("high", pa.int64()), ("low", pa.int64()), *[(n, pa.int32()) for n in ("word", "start", "stop")], *[(n, pa.bool_()) for n in ("fresh", "again", "open")]])
+WINDOW_TYPE = "array<struct<high:bigint,low:bigint,word:int,start:int,stop:int,again:boolean,open:boolean>>"
+WINDOW_ARROW = pa.struct([("high", pa.int64()), ("low", pa.int64()), *[(n, pa.int32()) for n in ("word", "start", "stop")], *[(n, pa.bool_()) for n in ("again", "open")]])
 
 
 def windows_of(text: str, asked: np.ndarray, runs: list[tuple[int, int]]) -> list[np.ndarray]:
@@ -169,10 +186,10 @@ def windows_of(text: str, asked: np.ndarray, runs: list[tuple[int, int]]) -> lis
     last = np.full(len(words.starts) + 1, -1)
     for start, stop in runs:
         last[start:stop] = stop
-    chars = np.concatenate([[0], np.cumsum((words.bytes & 0xC0) != 0x80)])
+    starts, stops = words.chars()
     fresh, again, free = before == at, at - before >= WINDOW, last[at] < at + WINDOW
     use = fresh | free
-    return [c[use] for c in (high, low, at, chars[words.starts[at]], chars[words.stops[at + WINDOW - 1]], fresh, again, free)]
+    return [c[use] for c in (high, low, at, starts[at], stops[at + WINDOW - 1], again, free)]
 
 
 def lists_of(values: list[list] | list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -180,17 +197,18 @@ def lists_of(values: list[list] | list[np.ndarray], kind: pa.DataType) -> pa.Lis
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values), kind))
 
 
-def unit_table(docs: DataFrame, kind: str) -> DataFrame:
+def unit_table(rows: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """row, doc_id, rank, units, marks, own (a mark stands in the text twice) and text (null without marks), from rows (row,
+    doc_id, text). One pass over the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in UNIT_TYPE]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                texts = rows.column(1).to_pylist()
-                found = [units_of(t, kind) for t in texts]
-                offsets = [0]
-                for units in found:
-                    offsets.append(offsets[-1] + len(units))
+                some = batch.slice(at, 500)
+                texts = some.column(2).to_pylist()
+                found = [units_of(t, kind, min_words) for t in texts]
+                offsets = np.cumsum([0, *map(len, found)])
                 flat = [u for units in found for u in units]
                 cols = list(zip(*flat, strict=True)) if flat else [()] * len(names)
                 made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, UNIT_TYPE, strict=True)], names)
@@ -198,28 +216,43 @@ def unit_table(docs: DataFrame, kind: str) -> DataFrame:
                 marks, own = marks_by_text(texts)
                 # only texts with marks are asked for again
                 kept = pa.array([t if len(m) else None for t, m in zip(texts, marks, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([rows.column(0), units, lists_of(marks, pa.int64()), pa.array(own), kept], ["doc_id", "units", "marks", "own", "text"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), units, lists_of(marks, pa.int64()), pa.array(own), kept], ["row", "doc_id", "units", "marks", "own", "text"])
 
-    kinds = "doc_id long, units array<struct<digest:binary,start:int,stop:int,words:int,again:boolean,word:int>>, marks array<long>, own boolean, text string"
-    return docs.select("doc_id", "text").mapInArrow(run, kinds).withColumn("row", F.monotonically_increasing_id())
+    kinds = "row long, doc_id long, units array<struct<high:long,low:long,start:int,stop:int,words:int,word:int,again:boolean>>, marks array<long>, own boolean, text string"
+    return rows.select("row", "doc_id", "text").mapInArrow(run, kinds).withColumn("rank", F.coalesce("doc_id", F.lit(LAST_RANK)))
 
 
 def window_table(texts: DataFrame) -> DataFrame:
-    """row, rank, windows, from row, rank, text, asked (marks that were found again), runs (of repeated units)."""
+    """row, doc_id, rank, windows, from row, doc_id, rank, text, asked (marks that were found again), runs (of repeated units)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 rows = batch.slice(at, 100)
-                given = zip(*[rows.column(k).to_pylist() for k in (2, 3, 4)], strict=True)
+                given = zip(*[rows.column(k).to_pylist() for k in (3, 4, 5)], strict=True)
                 found = [windows_of(t, np.array(a or [], np.int64), [(r["word"], r["end"]) for r in u or []]) for t, a, u in given]
                 offsets = np.cumsum([0, *[len(w[0]) for w in found]])
                 cols = [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), WINDOW_ARROW, strict=True)]
                 made = pa.StructArray.from_arrays(cols, [f.name for f in WINDOW_ARROW])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists], ["row", "rank", "windows"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], lists], ["row", "doc_id", "rank", "windows"])
+
+    return texts.mapInArrow(run, f"row long, doc_id long, rank long, windows {WINDOW_TYPE}")
+
 
-    return texts.mapInArrow(run, f"row long, rank long, windows {WINDOW_TYPE}")
+def keepers(places: DataFrame) -> DataFrame:
+    """_high, _low, keeper (the row that keeps), first (its doc_id) of every digest that places (high, low, row, rank, doc_id)
+    hold more than once. Pre-aggregated before the shuffle, whatever its frequency."""
+    groups = places.groupBy(F.col("high").alias("_high"), F.col("low").alias("_low"))
+    found = groups.agg(F.min_by("row", "rank").alias("keeper"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    return found.where("n > 1").drop("n")
+
+
+def repeats(placed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The places that are not their digest's first one in its keeper. Both sides come fresh from tables, so that a hot digest
+    is split among tasks at run time."""
+    found = placed.join(groups, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")))
+    return found.where(F.col("again") | (F.col("keeper") != F.col("row")))
 
 
 def repeated_windows(space: Workspace, table: DataFrame, runs: DataFrame) -> DataFrame:
@@ -227,21 +260,18 @@ def repeated_windows(space: Workspace, table: DataFrame, runs: DataFrame) -> Dat
     marks = table.select("row", F.explode("marks").alias("mark"))
     again = space.write(marks.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("_mark")), "marks")
     asked = marks.join(again, F.col("mark") == F.col("_mark")).groupBy("row").agg(F.collect_list("mark").alias("asked"))
-    asked = space.write(asked, "asked").withColumnRenamed("row", "_row")
-    space.drop("marks")
+    own = table.where("own").select("row", F.array().cast("array<long>").alias("asked"))
+    wanted = asked.unionByName(own).groupBy(F.col("row").alias("_row")).agg(F.flatten(F.collect_list("asked")).alias("asked"))
     held = runs.groupBy(F.col("row").alias("_held")).agg(F.collect_list(F.struct("word", "end")).alias("runs"))
-    texts = table.where(F.size("marks") > 0).join(asked, F.col("row") == F.col("_row"), "left").where(F.col("own") | F.col("asked").isNotNull())
-    texts = texts.join(held, F.col("row") == F.col("_held"), "left").select("row", "rank", "text", "asked", "runs")
+    wanted = space.write(wanted.join(held, F.col("_row") == F.col("_held"), "left").drop("_held"), "asked")
+    space.drop("marks")
+    texts = table.where("text is not null").join(wanted, F.col("row") == F.col("_row")).select("row", "doc_id", "rank", "text", "asked", "runs")
     windows = space.write(window_table(texts), "windows")
     space.drop("asked")
-    once = windows.select("rank", F.explode(F.filter("windows", lambda w: w.fresh)).alias("w")).select("w.low", "w.high", "rank")
-    groups = once.groupBy("low", "high").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = space.write(groups.select(F.col("low").alias("_low"), F.col("high").alias("_high"), "first"), "window_groups")
-    placed = windows.select("row", "rank", F.explode(F.filter("windows", lambda w: w.open)).alias("w")).select("w.low", "w.high", "row", "rank", "w.word", "w.start", "w.stop", "w.again")
-    elsewhere = placed.join(groups, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")), "left")
-    found = elsewhere.where(F.col("again") | (F.col("first") < F.col("rank")))
-    end, first = F.col("word") + F.lit(WINDOW), F.least(F.col("rank"), F.col("first"))
-    return found.select("row", "word", end.alias("end"), "start", "stop", F.lit(0).cast("long").alias("n_units"), first.alias("first"))
+    placed = windows.select("row", "doc_id", "rank", F.explode("windows").alias("w")).select("row", "doc_id", "rank", "w.*")
+    groups = space.write(keepers(placed), "window_groups")
+    found = repeats(placed.where("open").drop("doc_id", "rank"), groups)
+    return found.select("row", "word", (F.col("word") + F.lit(WINDOW)).alias("end"), "start", "stop", F.lit(0).cast("long").alias("n_units"), "first")
 
 
 def joined(pieces: DataFrame) -> DataFrame:
@@ -256,27 +286,27 @@ def joined(pieces: DataFrame) -> DataFrame:
     ).drop("run")
 
 
-def repeated_spans(docs: DataFrame, *, unit: str = "sentence", min_run_words: int = 25) -> DataFrame:
-    """Removed spans: doc_id, start, stop (characters of the original text), n_units (whole repeated units in it), n_words,
-    first_doc_id (the smallest doc_id that keeps a unit of the span, or a window that its units do not hold)."""
-    space = Workspace(docs.sparkSession, "units")
-    table = space.write(unit_table(docs, unit).withColumn("rank", F.coalesce("doc_id", F.lit(LAST_RANK))), "units")
-    # a document gives each digest once: only its first occurrence can be the one that stays
-    once = table.select("rank", F.explode(F.filter("units", lambda u: ~u.again)).alias("u")).select("rank", "u.digest")
-    groups = once.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = space.write(groups.select(F.col("digest").alias("_digest"), "first"), "groups")
-    placed = table.select("row", "rank", F.explode("units").alias("u")).select("row", "rank", "u.*")
-    # both sides of this join come fresh from tables, so that a hot digest is split among tasks at run time
-    elsewhere = placed.join(groups, F.col("digest") == F.col("_digest"), "left")
-    repeats = elsewhere.where(F.col("again") | (F.col("first") < F.col("rank")))
-    end, first = F.col("word") + F.col("words"), F.least(F.col("rank"), F.col("first"))
-    pieces = repeats.select("row", "word", end.alias("end"), "start", "stop", F.lit(1).cast("long").alias("n_units"), first.alias("first"))
+def spans_of_rows(rows: DataFrame, space: Workspace, unit: str, min_words: int) -> DataFrame:
+    """row, start, stop, n_units, n_words, first_doc_id, doc_id of each run that goes, from rows (row, doc_id, text)."""
+    table = space.write(unit_table(rows, unit, min_words), "units")
+    placed = table.select("row", "doc_id", "rank", F.explode("units").alias("u")).select("row", "doc_id", "rank", "u.*")
+    groups = space.write(keepers(placed), "groups")
+    found = repeats(placed.drop("doc_id", "rank"), groups)
+    pieces = found.select("row", "word", (F.col("word") + F.col("words")).alias("end"), "start", "stop", F.lit(1).cast("long").alias("n_units"), "first")
     units = space.write(joined(pieces), "unit_runs")
     space.drop("groups")
-    runs = joined(units.unionByName(repeated_windows(space, table, units))).withColumn("n_words", (F.col("end") - F.col("word")).cast("long"))
+    runs = space.write(joined(units.unionByName(repeated_windows(space, table, units))), "runs")
     names = table.select(F.col("row").alias("_row"), "doc_id")
-    first = F.when(F.col("first") < LAST_RANK, F.col("first")).alias("first_doc_id")
-    return runs.where(F.col("n_words") >= min_run_words).join(names, F.col("row") == F.col("_row")).select("doc_id", "start", "stop", "n_units", "n_words", first)
+    out = runs.join(names, F.col("row") == F.col("_row")).drop("_row")
+    return out.select("row", "doc_id", "start", "stop", "n_units", (F.col("end") - F.col("word")).cast("long").alias("n_words"), F.col("first").alias("first_doc_id"))
+
+
+def repeated_spans(docs: DataFrame, *, unit: str = "line", min_words: int = 1) -> DataFrame:
+    """Removed spans: doc_id, start, stop (characters of the original text), n_units (whole repeated units in it), n_words,
+    first_doc_id (the smallest doc_id that keeps a unit of the span, or a window that its units do not hold)."""
+    space = Workspace(docs.sparkSession, "units")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return spans_of_rows(rows, space, unit, min_words).drop("row")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -291,12 +321,16 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tu
     return "".join(text[a:b] for a, b in left), left
 
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """docs with text cut, and kept: array of (start, stop) of the kept parts in the original text (null: all of it).
+def remove_repeats(docs: DataFrame, *, unit: str = "line", min_words: int = 1, kept: str = "kept") -> DataFrame:
+    """docs with text cut, and a column kept: array of (start, stop) of the kept parts in the original text (null: all of it).
 
-    doc_id names the documents here: rows that share one lose the spans of each."""
-    spans = repeated_spans(docs, **options).groupBy(F.col("doc_id").alias("__cl_doc")).agg(F.collect_set(F.struct("start", "stop")).alias("__cl_spans"))
-    joined = docs.drop("kept").join(spans, F.col("doc_id").eqNullSafe(F.col("__cl_doc")), "left").drop("__cl_doc")
+    All columns stay; should docs have a column of that name, the new one gets underscores behind it until it is free."""
+    space = Workspace(docs.sparkSession, "cut")
+    kept = free_name(docs, kept)
+    rows = space.write(docs.withColumn("__cl_row", F.monotonically_increasing_id()), "rows")
+    spans = spans_of_rows(rows.select(F.col("__cl_row").alias("row"), "doc_id", "text"), space, unit, min_words)
+    spans = spans.groupBy(F.col("row").alias("__cl_r")).agg(F.collect_list(F.struct("start", "stop")).alias("__cl_spans"))
+    marked = rows.join(spans, F.col("__cl_row") == F.col("__cl_r"), "left").drop("__cl_row", "__cl_r")
 
     @F.udf("struct<text:string,kept:array<struct<start:int,stop:int>>>", useArrow=True)
     def cut(text, spans):  # noqa: ANN001, ANN202
@@ -304,4 +338,4 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
             return text, None
         return without_spans(text, [(s["start"], s["stop"]) for s in spans])
 
-    return joined.withColumn("__cl_cut", cut("text", "__cl_spans")).withColumn("text", F.col("__cl_cut.text")).withColumn("kept", F.col("__cl_cut.kept")).drop("__cl_cut", "__cl_spans")
+    return marked.withColumn("__cl_cut", cut("text", "__cl_spans")).withColumns({"text": F.col("__cl_cut.text"), kept: F.col("__cl_cut.kept")}).drop("__cl_cut", "__cl_spans")

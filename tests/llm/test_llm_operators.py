@@ -105,19 +105,57 @@ def test_repeated_spans(make):
     passage = ". ".join(" ".join(random_words(rng, 12, 10**6)) for _ in range(6)) + "."
     texts = {k: ". ".join(" ".join(random_words(rng, 11, 10**6)) for _ in range(5)) + "." for k in range(6)}
     given = {0: texts[0], 1: f"{texts[1]} {passage} {texts[2]}", 2: f"{passage}\n{texts[3]}", 3: f"Title. {texts[4]}\n{passage.upper()}", 4: texts[5]}
-    got = {r.doc_id: r for r in unit_dedup.repeated_spans(make([*given.items()])).collect()}
+    lines = {r.doc_id: (r.n_words, r.n_units, r.first_doc_id) for r in unit_dedup.repeated_spans(make([*given.items()])).collect()}
+    assert lines == {2: (72, 0, 1), 3: (72, 1, 2)}  # the windows of 2 stand in 1; the line of 3 is the line of 2
+    got = {r.doc_id: r for r in unit_dedup.repeated_spans(make([*given.items()]), unit="sentence").collect()}
     assert {k: (r.n_words, r.first_doc_id) for k, r in got.items()} == {2: (72, 1), 3: (72, 1)}
     assert all(plain_words(given[k][r.start : r.stop]) == plain_words(passage) for k, r in got.items())
-    cut = {r.doc_id: r for r in unit_dedup.remove_repeats(make([*given.items()])).collect()}
+    cut = {r.doc_id: r for r in unit_dedup.remove_repeats(make([*given.items()]), unit="sentence").collect()}
     assert cut[2].text.strip() == texts[3] and [tuple(s) for s in cut[2].kept] == [(got[2].stop, len(given[2]))]
     assert cut[1].text == given[1] and cut[1].kept is None
 
 
 def test_units_of_odd_rows(odd, odd_plain, none):
     assert unit_dedup.repeated_spans(odd).collect() == unit_dedup.repeated_spans(odd_plain).collect()
-    assert unit_dedup.repeated_spans(odd, unit="line", min_run_words=1).where("doc_id = 1").count() == 0  # equal ranks keep both
+    assert unit_dedup.repeated_spans(odd).where("doc_id = 1").count() == 1  # of two equal rows one keeps
     assert unit_dedup.repeated_spans(none).count() == 0
-    assert unit_dedup.remove_repeats(odd).count() == odd.count()
+    cut = unit_dedup.remove_repeats(odd)
+    assert cut.columns == [*odd.columns, "kept"] and sorted(r.text for r in cut.where("doc_id = 1").collect()) == ["", "one two three four five six seven"]
+    clash = unit_dedup.remove_repeats(odd.withColumnRenamed("n_chars", "Kept"))
+    assert clash.columns[-1] == "kept_" and "Kept" in clash.columns and clash.count() == odd.count()
+
+
+def test_equal_ranks_keep_one(make):
+    """Rows without a doc_id, rows that share one, and the largest one there is."""
+    rows = [(None, "a line of five words")] * 3 + [(2**63 - 1, "a line of five words"), (4, "Another line, of five words!\nx"), (4, "another line of five words")]
+    got = unit_dedup.repeated_spans(make(rows)).collect()
+    assert len(got) == 4 and sum(r.doc_id == 4 for r in got) == 1 and {r.first_doc_id for r in got if r.doc_id != 4} == {2**63 - 1}
+
+
+def test_every_repeated_line_goes(make):
+    rng = random.Random(21)
+    lines = [" ".join(random_words(rng, n)) for n in (1, 2, 5, 9, 30, 60)]
+    docs = [(k, "\n".join(rng.choice(["  {}.", "{}", "(({}))"]).format(rng.choice(lines)) + "\n" * rng.randint(0, 2) for _ in range(rng.randint(0, 6)))) for k in range(60)]
+    spans, seen = {}, set()
+    for r in unit_dedup.repeated_spans(make(docs)).collect():
+        spans.setdefault(r.doc_id, []).append(r)
+    for doc_id, text in docs:
+        at, gone = 0, set()
+        for line in text.split("\n"):
+            words = plain_words(line)
+            gone |= set(range(at, at + len(words))) if tuple(words) in seen else set()
+            seen |= {tuple(words)} if words else set()
+            at += len(words)
+        assert gone == covered(spans.get(doc_id, []), text)
+
+
+def test_long_texts_of_units(make):
+    """Some 20 MB of text a row: offsets hold, and the passage is found behind them."""
+    rng = random.Random(22)
+    filler = " ".join(f"é{k}" for k in range(2_000_000))
+    passage = " ".join(random_words(rng, 60, 10**6))
+    got = unit_dedup.repeated_spans(make([(1, passage), (2, f"{filler} {passage} end")])).collect()
+    assert [(r.doc_id, r.start, r.stop, r.n_words) for r in got] == [(2, len(filler) + 1, len(filler) + 1 + len(passage), 60)]
 
 
 @pytest.mark.parametrize("kind", ["line", "paragraph", "sentence"])
@@ -126,8 +164,8 @@ def test_units_cover_words(kind):
     for _ in range(300):
         text = "".join(rng.choice("ab .!\n") for _ in range(40))
         units = unit_dedup.units_of(text, kind)
-        assert sum(u[3] for u in units) == len(plain_words(text)) if kind != "sentence" else all(plain_words(text[u[1] : u[2]]) for u in units)
-        assert all(a[2] <= b[1] for a, b in zip(units, units[1:], strict=False))
+        assert sum(u[4] for u in units) == len(plain_words(text)) if kind != "sentence" else all(plain_words(text[u[2] : u[3]]) for u in units)
+        assert all(a[3] <= b[2] for a, b in zip(units, units[1:], strict=False))
 
 
 def passages(docs, size=50):

@@ -8,19 +8,23 @@ linked if their sets have a Jaccard similarity of 4/5 or more. Steps:
    of equal sets are linked, and one of them stands for all.
 2. Chosen paths: every run starts with all sets in one bucket. A bucket is split by a token sampled at a place of the sketch
    that the path so far chooses (often two places, so that a similar pair keeps about one common bucket a level);
-   buckets above small are split again, buckets up to it are compared by brute force on sketches, and what stays large
-   at the last depth stays together. Runs repeat until a pair at the threshold is met with the target recall.
+   buckets up to small are compared by brute force on sketches, larger ones are split again. Before that, each set of a
+   large bucket is compared with the bucket's lead: what agrees is tied to it, and a bucket whose sets are all tied
+   together is done, so that a hot family is not carried on. What is still large at the last depth is compared by brute
+   force too, dealt into pairs of blocks. Runs repeat until a pair at the threshold is met with the target recall.
 3. Sets that met and whose sketches agree well enough, far below the threshold, form families: connected components.
-4. In a family all pairs are compared exactly, from whole texts. Large families are dealt into blocks, and each pair of
-   blocks is one task's work; pairs are counted there and never leave it as rows. A block pair returns for each set its
-   number of links (copies counted) and its component there.
+4. In a family all pairs are compared exactly, from the shingle sets of whole texts. Families are dealt into blocks of
+   bounded size (sets and shingles), and the pairs of blocks evenly among tasks; pairs of sets are counted there and never
+   leave it as rows. A block pair returns for each set its number of links (copies counted) and its component there.
 5. Components of those are the classes.
 
 A link between different texts is lost only if no path of meetings joins its two sets, which is far rarer than that
 the pair itself never meets. Copies are never expanded into pairs.
 
-Defined results: texts without words are linked with nothing; class_id is the smallest doc_id of the class (nulls aside);
-rows that share a doc_id are texts of their own; ties and repeated rows are copies; an empty table gives no rows.
+Defined results: null and wordless texts are linked with nothing, and so is a text of fewer than five words but with copies of
+it; class_id is the smallest doc_id of the class (nulls aside); rows that share a doc_id are texts of their own; ties and
+repeated rows are copies; very long texts are hashed piece by piece and compared whole; an empty table gives no rows; other
+columns, whatever their names, play no part (keep_one returns them as they are).
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WORD_BYTES, Workspace
+from codeloom.llm.common import SOME_CHARS, WORD_BYTES, Workspace, text_parts
 from codeloom.llm.components import components
 
 WIDTH = 5
@@ -54,6 +58,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(raw: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each word raw[first:stop]: the sum of salt[byte] * odd ** place in the word, mixed."""
+    size = stop - first
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    powers = np.full(int(size.max()), ODD, np.uint64)
+    powers[0] = 1
+    return mix(np.add.reduceat(SALT[raw[place + np.repeat(first, size)]] * np.cumprod(powers)[place], begin))
+
+
 def shingle_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of all texts, one after another, and the number of each text's (repeats included)."""
     parts = [(t or "").encode("utf-8", "replace").translate(WORD_BYTES) + b" " for t in texts]
@@ -65,12 +79,8 @@ def shingle_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     n_words = np.diff(np.searchsorted(first, ends), prepend=0)
     if not len(first):
         return np.zeros(0, np.uint64), n_words * 0
-    # word: sum of salt[byte] * odd ** place in the word, mixed
-    size = stop - first
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    powers = np.full(int(size.max()), ODD, np.uint64)
-    powers[0] = 1
-    words = mix(np.add.reduceat(SALT[raw[inside]] * np.cumprod(powers)[place], np.cumsum(size) - size))
+    cuts = np.unique(np.searchsorted(first, np.arange(0, len(raw) + SOME_CHARS, SOME_CHARS)))
+    words = np.concatenate([word_hashes(raw, first[a:b], stop[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     counts = np.where(n_words >= WIDTH, n_words - WIDTH + 1, np.minimum(n_words, 1))
     starts = np.cumsum(n_words) - n_words
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
@@ -92,31 +102,53 @@ def sketch(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_hash, digest and sketch (null without words) of each document. One pass over the texts."""
+    """row, doc_id, text_hash, digest, size (shingles) and sketch (null without words) of each document. One pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200)
-                hashes, counts = shingle_hashes(rows.column(2).to_pylist())
+            texts = batch.column(2).to_pylist()
+            for at, stop in text_parts(texts):
+                hashes, counts = shingle_hashes(texts[at:stop])
                 found, ends = iter(sketch(hashes, counts)), np.cumsum(counts)
-                digests, sketches = [], []
+                digests, sizes, sketches = [], [], []
                 for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
-                    digests.append(blake2b(np.unique(hashes[end - n : end]).tobytes(), digest_size=16).digest() if n else None)
+                    distinct = np.unique(hashes[end - n : end])
+                    sizes.append(len(distinct))
+                    digests.append(blake2b(distinct.tobytes(), digest_size=16).digest() if n else None)
                     sketches.append(next(found).tobytes() if n else None)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "digest", "sketch"])
+                rows = batch.slice(at, stop - at)
+                columns = [rows.column(0), rows.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "digest", "size", "sketch"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInArrow(run, "doc_id long, text_hash long, digest binary, sketch binary").withColumn("row", F.monotonically_increasing_id())
+    return keyed.mapInArrow(run, "doc_id long, text_hash long, digest binary, size long, sketch binary").withColumn("row", F.monotonically_increasing_id())
 
 
-def runs_for(recall: float, depth: int, similarity: float = ABOVE / BELOW) -> int:
-    """Runs after which a pair at the similarity has met with probability recall, at full depth: a path goes on at one place,
-    and at a second one with the probability that keeps one common child on average."""
-    second, met = 1 / similarity - 1, 1.0
+def meets(similarity: float, depth: int) -> float:
+    """Probability that one run brings a pair whose sketches agree in this share of places together at full depth: a path goes
+    on at one place, and at a second one with the probability that keeps a pair at the threshold in one common child on
+    average."""
+    second, met = BELOW / ABOVE - 1, 1.0
     for _ in range(depth):
         met = 1 - (1 - similarity * met) * (1 - second * similarity * met)
-    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+    return met
+
+
+def recall_of(runs: int, depth: int, least: float, similarity: float = ABOVE / BELOW) -> float:
+    """Probability that a pair of this similarity meets and passes the check of sketches. All runs draw from one sketch, so that
+    they are independent only given the number of places in which it agrees, a binomial."""
+    chance = lambda k: math.comb(PLACES, k) * similarity**k * (1 - similarity) ** (PLACES - k)
+    return sum(chance(k) * (1 - (1 - meets(k / PLACES, depth)) ** runs) for k in range(math.ceil(least * PLACES), PLACES + 1))
+
+
+def runs_for(recall: float, depth: int, least: float) -> int:
+    """Runs that reach the recall at the threshold for a pair whose buckets are large at every level."""
+    runs, before = 1, 0.0
+    while before < (now := recall_of(runs, depth, least)) < recall:
+        runs, before = runs + 1, now
+    if now < recall:
+        raise ValueError(f"{PLACES} places with a check at {least} reach a recall of {now:.6f} at most")
+    return runs
 
 
 def children(paths: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,25 +164,49 @@ def children(paths: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, mix(mix(paths[at] * ODD + place.astype(np.uint64) + np.uint64(1)) + value)
 
 
-def split_buckets(rows: DataFrame, runs: int = 0) -> DataFrame:
-    """(path, set) of the children of rows (path, set, sketch); with runs, of that many roots for each (set, sketch)."""
-    first = bool(runs)
+#: Paths of sets; where tied, the path is the set that this one is tied to.
+PATHS = "path long, set long, label long, tied boolean"
+
+
+def sketches_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, PLACES)
+
+
+def path_batch(path: np.ndarray, sets: np.ndarray, label: np.ndarray, tied: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(path), pa.array(sets), pa.array(label), pa.array(np.full(len(sets), tied))], ["path", "set", "label", "tied"])
+
+
+def first_paths(sets: DataFrame, runs: int) -> DataFrame:
+    """PATHS of sets (set, sketch) below the roots of all runs. A set's label is its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * ODD)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sets = batch.column("set").to_numpy(zero_copy_only=False)
-            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, PLACES)
-            if first:
-                paths, owner = np.tile(roots, len(sets)), np.repeat(np.arange(len(sets)), runs)
-            else:
-                paths, owner = batch.column("path").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.arange(len(sets))
-            at, new = children(paths, sketches[owner])
-            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(sets[owner[at]])], ["path", "set"])
+            if batch.num_rows:
+                own = batch.column("set").to_numpy(zero_copy_only=False)
+                at, new = children(np.tile(roots, len(own)), sketches_of(batch.column("sketch"))[np.repeat(np.arange(len(own)), runs)])
+                yield path_batch(new.view(np.int64), own[at // runs], own[at // runs], False)
+
+    return sets.select("set", "sketch").mapInArrow(run, PATHS)
 
-    return rows.mapInArrow(run, "path long, set long")
+
+def next_paths(large: DataFrame, least: float) -> DataFrame:
+    """PATHS of the children of large buckets' rows (path, set, label, sketch, lead, lead_label, lead_sketch), and a tied row for
+    each set that the check of its sketch now ties to its lead; both have the lead's label from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                path, own, label, lead, to = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("path", "set", "label", "lead", "lead_label"))
+                sketches = sketches_of(batch.column("sketch"))
+                alike = (sketches == sketches_of(batch.column("lead_sketch"))).mean(axis=1) >= least
+                new = alike & (label != to)
+                if new.any():
+                    yield path_batch(lead[new], own[new], to[new], True)
+                at, below = children(path.view(np.uint64), sketches)
+                yield path_batch(below.view(np.int64), own[at], np.where(alike, to, label)[at], False)
+
+    return large.mapInArrow(run, PATHS)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
@@ -193,16 +249,32 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def compare_sketches(leaves: DataFrame, least: float) -> DataFrame:
-    """(a, b) that join the sets of each small bucket whose sketches agree in at least the share least of places."""
+def dealt(rows: DataFrame, key: str, blocks: str) -> DataFrame:
+    """rows (set, key, blocks) with low, high and side: each row once for every pair of blocks of its key that its own block is
+    in, dealt by the number of the pair, so that the pairs of one key are spread evenly over all tasks."""
+    n, n_tasks = F.col(blocks).cast("long"), tasks(rows)
+    own = F.pmod(F.xxhash64(F.lit(3), "set"), n)
+    pair = lambda k: F.struct(F.least(k, own).alias("low"), F.greatest(k, own).alias("high"), own.alias("side"))
+    spread = rows.withColumn("_pair", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), pair)))
+    spread = spread.select(*rows.columns, "_pair.*")
+    number = F.col("low") * n - F.expr("low * (low - 1) div 2") + F.col("high") - F.col("low")
+    task = F.pmod(F.xxhash64(F.lit(5), key) + number, F.lit(n_tasks)).cast("int")
+    return spread.repartitionById(n_tasks, task).sortWithinPartitions(key, "low", "high", "set")
+
+
+def compare_sketches(buckets: DataFrame, least: float) -> DataFrame:
+    """(a, b) that join the sets whose sketches agree in at least the share least of places, in each bucket (path, blocks, set,
+    sketch) or pair of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for _, rows in groups(batches, ["path"]):
+        for _, rows in groups(batches, ["path", "low", "high"]):
             sets = rows["set"]
             x = np.frombuffer(b"".join(rows["sketch"]), np.uint32).reshape(-1, PLACES)
-            agree = (x[:, None, :] == x[None, :, :]).mean(axis=2) >= least
-            out += [(a, sets[r]) for a, r in zip(sets, roots_of(agree).tolist(), strict=True) if a != sets[r]]
+            agree = np.zeros((len(x), len(x)), np.uint8)
+            for k in range(PLACES):
+                agree += x[:, None, k] == x[None, :, k]
+            out += [(a, sets[r]) for a, r in zip(sets, roots_of(agree >= least * PLACES).tolist(), strict=True) if a != sets[r]]
             if len(out) > 20_000:
                 yield pairs(out)
                 out = []
@@ -212,46 +284,51 @@ def compare_sketches(leaves: DataFrame, least: float) -> DataFrame:
     def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return leaves.repartition(tasks(leaves), "path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+    return dealt(buckets, "path", "blocks").select("path", "low", "high", "set", "sketch").mapInArrow(run, "a long, b long")
 
 
-def meetings(sets: DataFrame, space: Workspace, *, recall: float, depth: int, small: int, least: float) -> DataFrame:
-    """(a, b): edges over the sets that met in a bucket, enough to connect what belongs together."""
-    keyed = space.write(split_buckets(sets, runs_for(recall, depth)), "paths-1")
-    edges, leaves = [], []
+def meetings(sets: DataFrame, space: Workspace, *, recall: float, depth: int, small: int, least: float, block: int) -> DataFrame:
+    """(a, b), written: edges over the sets (set, sketch) that met in a bucket, enough to connect what belongs together."""
     slim = sets.select(F.col("set").alias("_set"), "sketch")
+    paths = space.write(first_paths(sets, runs_for(recall, depth, least)), "paths-1")
+    leaves, ties = [], []
     for level in range(1, depth + 1):
-        sizes = keyed.groupBy(F.col("path").alias("_path")).agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("lead")).where("n > 1")
-        sizes = space.write(sizes, f"sizes-{level}")
-        members = space.write(keyed.join(sizes, F.col("path") == F.col("_path")).select("path", "set", "n", "lead"), f"members-{level}")
+        sizes = paths.where("not tied").groupBy(F.col("path").alias("_path"))
+        sizes = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("lead"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("n > 1 and _lo <> _hi")
+        sizes = space.write(sizes.select("_path", "n", "lead"), f"sizes-{level}")
+        members = space.write(paths.where("not tied").join(sizes, F.col("path") == F.col("_path")).select("path", "set", "label", "n", "lead"), f"members-{level}")
+        if level > 1:
+            ties.append(space.write(paths.where("tied").select(F.col("set").alias("a"), F.col("path").alias("b")).distinct(), f"ties-{level}"))
         space.drop(f"paths-{level}")
-        leaves.append(members.where(F.col("n") <= small).select("path", "set"))
         large = members.where(F.col("n") > small)
-        if level == depth:
-            edges.append(large.where("set <> lead").select(F.col("set").alias("a"), F.col("lead").alias("b")))
-        elif large.isEmpty():
+        if level == depth or large.isEmpty():
+            leaves.append(members.select("path", "set", F.ceil(F.col("n") / block).alias("blocks")))
             break
-        else:
-            keyed = space.write(split_buckets(large.join(slim, F.col("set") == F.col("_set")).select("path", "set", "sketch")), f"paths-{level + 1}")
+        leaves.append(members.where(F.col("n") <= small).select("path", "set", F.lit(1).cast("long").alias("blocks")))
+        lead = large.where("set = lead").join(slim, F.col("set") == F.col("_set")).select(F.col("path").alias("_path"), F.col("label").alias("lead_label"), F.col("sketch").alias("lead_sketch"))
+        lead = space.write(lead, f"leads-{level}")
+        known = large.join(slim, F.col("set") == F.col("_set")).join(lead, F.col("path") == F.col("_path"))
+        paths = space.write(next_paths(known.select("path", "set", "label", "sketch", "lead", "lead_label", "lead_sketch"), least), f"paths-{level + 1}")
     all_leaves = leaves[0]
     for more in leaves[1:]:
         all_leaves = all_leaves.unionByName(more)
-    out = compare_sketches(all_leaves.join(slim, F.col("set") == F.col("_set")).select("path", "set", "sketch"), least)
-    for more in edges:
+    out = compare_sketches(all_leaves.join(slim, F.col("set") == F.col("_set")).select("path", "blocks", "set", "sketch"), least)
+    for more in ties:
         out = out.unionByName(more)
-    return out.distinct()
+    out = space.write(out.distinct(), "meetings")
+    for k in range(1, level + 1):
+        for name in ("sizes", "members", "leads", "ties"):
+            space.drop(f"{name}-{k}")
+    return out
 
 
 LINKS = "set long, links long, root long"
 
 
-def compare_block_pair(rows: dict[str, list], cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each set of a block pair, copies counted, and its component's smallest index. cross: only pairs of the two
-    blocks (rows' side) count."""
-    hashes, counts = shingle_hashes(rows["text"])
-    ends = np.cumsum(counts)
-    sets = [np.unique(hashes[e - n : e]) for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-    n, size = len(sets), np.array([len(s) for s in sets])
+def compare_block_pair(sets: list[np.ndarray], copies: list[int], side: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set of a block pair, copies counted, and its component's smallest index. side: the block of each set where
+    only pairs across the two count."""
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(n), size)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[column] > 1
@@ -259,42 +336,58 @@ def compare_block_pair(rows: dict[str, list], cross: bool) -> tuple[np.ndarray,
     _, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common = np.zeros((n, n), np.float32)
-    step = max(256, 8_000_000 // max(1, n))  # columns at once: a matrix of 32 MB
+    common = np.zeros((n, n), np.int64)
+    step = max(256, 8_000_000 // max(1, n))  # columns at once: a matrix of 32 MB, whose products are exact
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         a, b = np.searchsorted(column, [low, low + step])
-        part = np.zeros((n, step), np.float32)
+        part = np.zeros((n, min(step, int(column[b - 1]) - low + 1)), np.float32)
         part[owner[a:b], column[a:b] - low] = 1
-        common += part @ part.T
+        common += (part @ part.T).astype(np.int64)
     linked = BELOW * common >= ABOVE * (size[:, None] + size[None, :] - common)
     np.fill_diagonal(linked, False)
-    if cross:
-        side = np.array(rows["side"])
-        linked &= side[:, None] != side[None, :]
-    return linked @ np.array(rows["copies"], np.int64), roots_of(linked)
-
-
-def exact_links(docs: DataFrame, sets: DataFrame, families: DataFrame, space: Workspace, block: int) -> DataFrame:
-    """LINKS of the sets of families, from whole texts. A family of several blocks has a task for each pair of them."""
-    sized = families.groupBy(F.col("root").alias("family")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    member = families.join(sized, F.col("root") == F.col("family")).join(sets.select("set", "doc_id", "text_hash", "copies"), F.col("node") == F.col("set"))
-    member = space.write(member.select("set", "family", "blocks", "doc_id", "text_hash", "copies"), "member")
-    mine = member.select("set", "family", "blocks", "copies", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    if side is not None:
+        sides = np.array(side)
+        linked &= sides[:, None] != sides[None, :]
+    return linked @ np.array(copies, np.int64), roots_of(linked)
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """set, family, blocks, copies, shingles (sorted distinct hashes as bytes) from the same with text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(4).to_pylist()
+            for at, stop in text_parts(given):
+                hashes, counts = shingle_hashes(given[at:stop])
+                ends = np.cumsum(counts)
+                found = [np.unique(hashes[e - n : e]).tobytes() for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, stop - at).columns[:4], pa.array(found, pa.binary())], ["set", "family", "blocks", "copies", "shingles"])
+
+    return texts.select("set", "family", "blocks", "copies", "text").mapInArrow(run, "set long, family long, blocks long, copies long, shingles binary")
+
+
+def exact_links(docs: DataFrame, sets: DataFrame, families: DataFrame, space: Workspace, block: int, block_shingles: int) -> DataFrame:
+    """LINKS of the sets of families, from whole texts. A block has about block sets and block_shingles shingles at most, and
+    a family that is a large share of all work has blocks enough for every task to get some of its pairs."""
+    known = sets.select("set", "doc_id", "text_hash", "copies", "size")
+    member = space.write(families.join(known, F.col("node") == F.col("set")).select("set", F.col("root").alias("family"), "doc_id", "text_hash", "copies", "size"), "member")
+    sized = space.write(member.groupBy(F.col("family").alias("_family")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")), "sized")
+    work = sized.agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("w")).first().w or 1.0
+    even = F.least(F.ceil(F.col("n") / 64), F.ceil(F.col("n") * math.sqrt(2 * tasks(docs) / work)))
+    sized = sized.withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / block_shingles), even, F.lit(1)))
+    mine = member.join(sized, F.col("family") == F.col("_family")).select("set", "family", "blocks", "copies", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
     # the texts are shuffled for this at every size: members are a share of the corpus, never a side to broadcast
     texts = docs.select("doc_id", "text").join(mine.hint("merge"), (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    own = F.pmod(F.xxhash64(F.lit(3), "set"), F.col("blocks").cast("long")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("low"), F.greatest(k, own).alias("high"), own.alias("side")))
-    dealt = texts.withColumn("pair", F.explode(others)).select("set", "family", "copies", "text", "pair.*")
-    dealt = dealt.repartition(tasks(docs), "family", "low", "high").sortWithinPartitions("family", "low", "high", "set")
+    spread = dealt(space.write(shingle_sets(texts), "shingles"), "family", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int]] = []
         for (_, low, high), rows in groups(batches, ["family", "low", "high"]):
             keep = [k for k, s in enumerate(rows["set"]) if k == 0 or s != rows["set"][k - 1]]  # a repeated row has one set
-            rows = {n: [v[k] for k in keep] for n, v in rows.items()}
             if len(keep) > 1:
-                links, root = compare_block_pair(rows, low != high)
-                held += [(s, n, rows["set"][r]) for s, n, r in zip(rows["set"], links.tolist(), root.tolist(), strict=True) if n]
+                number, copies, side, raw = ([rows[n][k] for k in keep] for n in ("set", "copies", "side", "shingles"))
+                links, root = compare_block_pair([np.frombuffer(x, np.uint64) for x in raw], copies, side if low != high else None)
+                held += [(s, n, number[r]) for s, n, r in zip(number, links.tolist(), root.tolist(), strict=True) if n]
             if len(held) > 20_000:
                 yield as_batch(held)
                 held = []
@@ -304,22 +397,27 @@ def exact_links(docs: DataFrame, sets: DataFrame, families: DataFrame, space: Wo
     def as_batch(held: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], ["set", "links", "root"])
 
-    return dealt.mapInArrow(run, LINKS)
+    return spread.mapInArrow(run, LINKS)
 
 
 def near_duplicates(
-    docs: DataFrame, *, recall: float = 0.9999, depth: int = 3, small: int = 64, least: float = 0.55, block: int = 512
+    docs: DataFrame, *, recall: float = 0.995, depth: int = 6, small: int = 64, least: float = 0.55, block: int = 512, block_shingles: int = 2_000_000
 ) -> DataFrame:
-    """row, doc_id, text_hash, class_root (a number of the class), class_id, n_links of each document, copies included."""
+    """row, doc_id, text_hash, class_root (a number of the class), class_id, n_links of each document, copies included.
+
+    recall is that of a pair at the threshold whose buckets are large down to the last depth; the fewer levels a pair's
+    buckets need, the higher it is (recall_of)."""
     space = Workspace(docs.sparkSession, "paths")
     table = space.write(sketch_table(docs), "sketches")
     copies = table.where("digest is not null").groupBy(F.col("digest").alias("_digest")).agg(F.min("row").alias("set"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"))
     copies = space.write(copies, "copies")
-    sets = table.join(copies.drop("low"), F.col("row") == F.col("set")).select("set", "copies", "doc_id", "text_hash", "sketch")
+    sets = table.join(copies.drop("low", "_digest"), F.col("row") == F.col("set")).select("set", "copies", "doc_id", "text_hash", "size", "sketch")
     sets = space.write(sets, "sets")
-    met = space.write(meetings(sets.select("set", "sketch"), space, recall=recall, depth=depth, small=small, least=least), "meetings")
+    met = meetings(sets.select("set", "sketch"), space, recall=recall, depth=depth, small=small, least=least, block=block)
     families = components(met, space, "families")
-    links = space.write(exact_links(docs, sets, families, space, block), "links")
+    links = space.write(exact_links(docs, sets, families, space, block, block_shingles), "links")
+    for dead in ("sets", "meetings", "families", "member", "sized", "shingles"):
+        space.drop(dead)
     classes = components(links.select(F.col("set").alias("a"), F.col("root").alias("b")), space, "classes").withColumnRenamed("root", "class_root")
     linked = links.groupBy(F.col("set").alias("_set")).agg(F.sum("links").alias("links"))
     known = copies.join(linked, F.col("set") == F.col("_set"), "left").drop("_set").join(classes, F.col("set") == F.col("node"), "left")
@@ -329,6 +427,8 @@ def near_duplicates(
     known = space.write(known, "known-sets")
     lows = known.groupBy(F.col("class_root").alias("_root")).agg(F.min("low").alias("class_id"))
     known = space.write(known.join(lows, F.col("class_root") == F.col("_root")).drop("_root", "low"), "known")
+    for dead in ("copies", "links", "classes", "known-sets"):
+        space.drop(dead)
     out = table.drop("sketch").join(known, F.col("digest") == F.col("_digest"), "left")
     return out.select(
         "row", "doc_id", "text_hash", F.coalesce("class_root", "row").alias("class_root"),

@@ -6,6 +6,7 @@ import atexit
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pyarrow.fs as pafs
@@ -20,6 +21,8 @@ WORD_BYTES = bytes(
 )
 #: The words that the size of a text counts: runs of anything but ASCII white space.
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
+#: Characters that array operations take at once.
+SOME_CHARS = 1 << 20
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -27,6 +30,16 @@ def lower_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "replace").translate(WORD_BYTES).split()
 
 
+def text_parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about SOME_CHARS characters each."""
+    start = chars = 0
+    for at, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= SOME_CHARS or at == len(texts) - 1:
+            yield start, at + 1
+            start, chars = at + 1, 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,6 +7,8 @@ shuffle and split among tasks at run time, since both sides of a join come from
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,11 @@ def _attach(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     return edges.join(least, F.col("u") == F.col("_u")).drop("_u")
 
 
-def components(edges: DataFrame, space: Workspace, name: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """node, root (smallest node of its component) for the nodes of edges (a, b), written. Roots point to themselves."""
     now = space.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     mark = None
-    for k in range(1, max_rounds):
+    for k in itertools.count(1):  # each round at least lowers one end; the number of rounds grows as the logarithm of the nodes
         both = space.write(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{name}-both-{k}")
         large = _attach(both, space, f"{name}-large-least-{k}").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = space.write(large.where("u <> v").distinct(), f"{name}-large-{k}")
@@ -35,7 +37,7 @@ def components(edges: DataFrame, space: Workspace, name: str, max_rounds: int =
         last, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if mark == last:
             break
-    else:
-        raise RuntimeError(f"components not found in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-    return space.write(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), name)
+    out = space.write(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), name)
+    space.drop(f"{name}-{k}")
+    return out

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.common import WORD_BYTES, Workspace, free_name
+from codeloom.llm.common import SOME_CHARS, WORD_BYTES, Workspace, free_name, text_parts
 
 UNITS = {
     "line": re.compile(r"[^\n]+"),
@@ -43,7 +43,6 @@ WINDOW, GRAM = 50, 25
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: A window has 64 + 32 bits; the zeros of the second part, first in a row, cost nothing in a shuffle.
 UPPER = np.uint64(0xFFFFFFFF00000000)
-SOME_CHARS = 1 << 20
 
 
 def units_of(text: str | None, kind: str = "line", min_words: int = 1) -> list[tuple[int, int, int, int, int, int, bool]]:
@@ -140,20 +139,10 @@ def marks_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return chosen, grams[chosen]
 
 
-def parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about SOME_CHARS characters each."""
-    start = chars = 0
-    for at, text in enumerate(texts):
-        chars += len(text or "")
-        if chars >= SOME_CHARS or at == len(texts) - 1:
-            yield start, at + 1
-            start, chars = at + 1, 0
-
-
 def marks_by_text(texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
     """Distinct marks of each text, and whether one of them stands in it twice."""
     marks, own = [], []
-    for a, b in parts(texts):
+    for a, b in text_parts(texts):
         words = Words(texts[a:b])
         place, found = marks_of(words)
         cuts = np.searchsorted(words.text[place], np.arange(b - a + 1))

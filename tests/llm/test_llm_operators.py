@@ -481,11 +481,11 @@ def families(rng, n_families, size):
     return texts
 
 
-@pytest.mark.parametrize(("small", "block", "size"), [(64, 512, 12), (4, 8, 40)])
-def test_near_duplicates_equal_brute_force(make, small, block, size):
+@pytest.mark.parametrize(("small", "block", "size", "depth"), [(64, 512, 12, 6), (4, 8, 40, 6), (4, 8, 40, 1)])
+def test_near_duplicates_equal_brute_force(make, small, block, size, depth):
     """Small buckets and blocks send the same families through deeper paths and pairs of blocks."""
     texts = families(random.Random(13), 25, size) + ["", "one two", "one two", "a b c d e", "A b, c d e!"]
-    got = chosen_path.near_duplicates(make([*enumerate(texts)]), small=small, block=block).orderBy("doc_id").collect()
+    got = chosen_path.near_duplicates(make([*enumerate(texts)]), small=small, block=block, depth=depth, block_shingles=500).orderBy("doc_id").collect()
     classes, links = plain_classes(texts)
     assert [(r.class_id, r.n_links) for r in got] == [*zip(classes, links, strict=True)]
 
@@ -502,7 +502,69 @@ def test_keep_one(odd, none, make):
 
 
 def test_runs_reach_the_recall():
-    assert chosen_path.runs_for(0.9, 1) < chosen_path.runs_for(0.999, 1) < chosen_path.runs_for(0.999, 4)
+    """The stated recall against a simulation of paths and sketch checks, for pairs whose buckets are large at every level."""
+    rng = np.random.default_rng(31)
+    depth, least, n = 6, 0.55, 4000
+    runs = chosen_path.runs_for(0.995, depth, least)
+    assert chosen_path.recall_of(runs - 1, depth, least) < 0.995 <= chosen_path.recall_of(runs, depth, least)
+    assert chosen_path.recall_of(runs, 3, least) > 0.9995
+    one = rng.integers(0, 2**32, (n, chosen_path.PLACES), np.uint32)
+    two = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 2**32, one.shape, np.uint32))
+    met = np.zeros(n, bool)
+    roots = chosen_path.mix(np.arange(1, runs + 1, dtype=np.uint64) * chosen_path.ODD)
+    held = [(np.tile(roots, n), np.repeat(np.arange(n), runs)) for _ in range(2)]
+    for _ in range(depth):
+        nexts = []
+        for (paths, owner), x in zip(held, (one, two), strict=True):
+            at, new = chosen_path.children(paths, x[owner])
+            nexts.append((new, owner[at]))
+        held = nexts
+    for k in range(n):
+        met[k] = bool({*held[0][0][held[0][1] == k].tolist()} & {*held[1][0][held[1][1] == k].tolist()})
+    met &= (one == two).mean(axis=1) >= least
+    assert met.mean() > 0.99
+    with pytest.raises(ValueError, match="at most"):
+        chosen_path.runs_for(1 - 1e-12, 1, least)
+
+
+def test_pairs_at_the_threshold_are_found(make):
+    """2,000 pairs of similarity 0.80 to 0.82 that share frequent passages, so that nearly all buckets are split again."""
+    rng = random.Random(32)
+    frequent = [" ".join(random_words(rng, 12, 10**6)) for _ in range(2)]
+    texts, similarity = [], []
+    for _ in range(2000):
+        base = f"{frequent[0]} {' '.join(random_words(rng, rng.randint(26, 28), 10**9))} {frequent[1]}".split()
+        other = [*base]
+        other[len(base) // 2] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+        n = len(base) - 4
+        similarity.append((n - 5) / (n + 5))
+    assert 0.8 <= min(similarity) and max(similarity) < 0.83
+    got = chosen_path.near_duplicates(make([*enumerate(texts)]), small=8).orderBy("doc_id").collect()
+    linked = [got[k].class_id == got[k + 1].class_id == k and got[k].n_links == got[k + 1].n_links == 1 for k in range(0, len(got), 2)]
+    assert sum(linked) / len(linked) >= 0.99
+
+
+def test_block_pairs_count_exactly():
+    rng = np.random.default_rng(33)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)) for _ in range(40)]
+    alike = np.array([[5 * len({*a} & {*b}) >= 4 * len({*a} | {*b}) for b in sets] for a in sets])
+    np.fill_diagonal(alike, False)
+    links, root = chosen_path.compare_block_pair(sets, [*range(1, 41)], None)
+    assert links.tolist() == (alike @ np.arange(1, 41)).tolist() and root.tolist() == chosen_path.roots_of(alike).tolist()
+    side = rng.integers(0, 2, 40)
+    links, _ = chosen_path.compare_block_pair(sets, [1] * 40, side.tolist())
+    assert links.tolist() == (alike & (side[:, None] != side[None])).sum(axis=1).tolist()
+
+
+def test_long_texts_of_pairs(make):
+    """Two texts of some 10 MB that differ in a few words, hashed in pieces."""
+    words = [f"é{k}" for k in range(1_000_000)]
+    other = ["x" if k % 100 == 7 else w for k, w in enumerate(words)]
+    got = chosen_path.near_duplicates(make([(1, " ".join(words)), (2, " ".join(other)), (3, "short")])).orderBy("doc_id").collect()
+    assert [(r.class_id, r.n_links) for r in got] == [(1, 1), (1, 1), (3, 0)]
+    hashes, counts = chosen_path.shingle_hashes([" ".join(words)])
+    assert len({*hashes.tolist()}) == counts[0] == 999_996
 
 
 def test_components(spark):

@@ -179,12 +179,14 @@ from d join total t using (r) left join gone g using (r)
 
 
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    rows = curriculum.curriculum(table(spark, sf_dir, "documents"))
+    ends = {n: F.round(n, 9) for n in ("first_position", "last_position")}
+    return rows.withColumns(ends).select("doc_id", "size", "source_size", "target", "taken", "copies", *ends)
 
 
 OP6_SQL = r"""
 with sizes as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
+  select row_number() over () r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
     ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::varchar, ''), coalesce(strlen(text), 0)::varchar, '17')), 1, 14))::bigint ord
   from documents),
 per as (select source, sum(size)::bigint source_size, 3.0 * sum(size)::double cap from sizes group by source),
@@ -193,14 +195,21 @@ levels as (
   select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
     / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) lvl from weighed),
 best_level as (select *, max(case when lvl * weight <= cap then lvl end) over () best from levels),
-targets as (select source, source_size, least(cap, coalesce(best * weight, cap))::double target from best_level),
+targets as (select source, source_size, weight, least(cap, coalesce(best * weight, cap))::double target from best_level),
 placed as (
-  select s.*, t.source_size, t.target,
+  select s.*, t.source_size, t.target, t.weight,
     coalesce(sum(size) over (partition by s.source order by ord, doc_id, size rows between unbounded preceding and 1 preceding), 0) + size / 2 mid
-  from sizes s join targets t on s.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (size * case when size > 0 then least(3, greatest(0, ceil((target - mid) / source_size))) else 0 end)::bigint taken
-from placed
+  from sizes s join targets t on s.source is not distinct from t.source),
+counted as (select *, (case when size > 0 then least(3, greatest(0, ceil((target - mid) / source_size))) else 0 end)::bigint copies from placed),
+ends as (select *, least(1.0, mid / target) done1, least(1.0, (mid + (copies - 1) * source_size) / target) done2 from counted),
+parts as (select * from (values (1, 0.0, 0.0, 1.0, 1.0, 0.0, 1.0), (2, 0.0, 0.0, 1.0, 0.5, 1.0, 1.0), (3, 0.0, 0.0, 0.5, 0.2, 1.2, 1.0), (3, 0.25, 0.5, 0.5, 0.8, 2.8, 1.0)) v(weight, passed, start, length, height, slope, area)),
+timed as (
+  select r, which, start + least(length, 2 * (w - passed) / (height + sqrt(height * height + 2 * slope * (w - passed)))) time
+  from (select r, which, done * area::double w, passed::double passed, start::double start, length::double length, height::double height, slope::double slope
+    from (select r, weight, 1 which, done1 done from ends where copies > 0 union all select r, weight, 2, done2 from ends where copies > 0) e join parts using (weight)
+    where done * area >= passed qualify row_number() over (partition by r, which order by passed desc) = 1))
+select e.doc_id, size, source_size, target, size * copies taken, copies, round(a.time, 9) first_position, round(b.time, 9) last_position
+from ends e left join timed a on a.r = e.r and a.which = 1 left join timed b on b.r = e.r and b.which = 2
 """
 
 

@@ -384,19 +384,59 @@ def test_training_order(make):
     rows = out.collect()
     assert Counter(r.doc_id for r in rows) == Counter({k: n for k, n in copies.items() if n})
     assert [r.position for r in rows] == sorted(r.position for r in rows)
+    clash = curriculum.training_order(docs.withColumnRenamed("n_chars", "Position"), schedules={"big": FLAT_THEN_STEEP})
+    assert clash.columns == ["doc_id", "text", "lang", "source", "Position", "position_"] and min(r.position_ for r in clash.where("source = 'big'").collect()) >= 0.25
     twice = docs.unionByName(docs)
     assert sum(len(r.text.split()) for r in curriculum.training_order(twice).collect()) == sum(r.taken for r in curriculum.mix(twice).collect())
 
 
-def test_schedules_invert(spark):
+def area_until(t, corners):
+    total = 0.0
+    for (t0, h0), (t1, h1) in zip(corners, corners[1:], strict=False):
+        step = min(max(t - t0, 0), t1 - t0)
+        total += h0 * step + (h1 - h0) / (t1 - t0) * step**2 / 2
+    return total
+
+
+FLAT_THEN_STEEP = ((0.0, 0.0), (0.25, 0.0), (0.5, 3.0), (1.0, 0.0))
+
+
+@pytest.mark.parametrize("corners", [*curriculum.SCHEDULES, FLAT_THEN_STEEP])
+def test_schedules_invert(spark, corners):
     rng = random.Random(11)
-    for weight, corners in curriculum.SCHEDULES.items():
-        *parts, (area, *_) = curriculum.stretches(corners)
-        done = [rng.random() for _ in range(50)] + [0.0, 1.0]
-        df = spark.createDataFrame([(d, float(weight)) for d in done], "d double, w double")
-        for d, t in ((r.d, r.t) for r in df.select("d", curriculum.position(F.col("d"), F.col("w")).alias("t")).collect()):
-            before = sum(h * min(max(t - a, 0), n) + s * min(max(t - a, 0), n) ** 2 / 2 for _, a, n, h, s in parts)
-            assert before == pytest.approx(d * area, abs=1e-9)
+    done = [rng.random() for _ in range(50)] + [0.0, 1.0]
+    df = spark.createDataFrame([("x", 0, d) for d in done], "source string, place int, d double")
+    rows = curriculum.with_schedules(df, {"x": corners})
+    for d, t in ((r.d, r.t) for r in rows.select("d", curriculum.position(F.col("d"), F.col("_area"), F.col("_stretches")).alias("t")).collect()):
+        assert area_until(t, corners) == pytest.approx(d * area_until(1, corners), abs=1e-9)
+
+
+def test_positions_equal_brute_force(make):
+    """Positions of every copy from each source's line of documents, with schedules by turns and given ones."""
+    docs = mixed(make)
+    given = {"big": FLAT_THEN_STEEP, None: ((0.0, 2.0), (1.0, 0.0))}
+    rows = curriculum.curriculum(docs, schedules=given).collect()
+    order = {r.doc_id: r.o for r in docs.select("doc_id", curriculum.order_key(docs, 17).alias("o")).collect()}
+    names = sorted({r.source for r in rows} - {None}) + [None]
+    for place, source in enumerate(names):
+        corners = given.get(source, curriculum.SCHEDULES[place % 3])
+        before = 0
+        for r in sorted((r for r in rows if r.source == source), key=lambda r: (order[r.doc_id], r.doc_id, r.size)):
+            for k, t in enumerate(r.positions):
+                done = min(1.0, (before + r.size / 2 + k * r.source_size) / r.target)
+                assert area_until(t, corners) == pytest.approx(done * area_until(1, corners), abs=1e-9)
+            assert (r.first_position, r.last_position) == ((r.positions[0], r.positions[-1]) if r.copies else (None, None))
+            before += r.size
+    firsts = [r.first_position for r in rows]
+    taken = [t for t in firsts if t is not None]
+    assert taken == sorted(taken) and firsts[len(taken) :] == [None] * (len(firsts) - len(taken))
+    with pytest.raises(ValueError, match="no schedule"):
+        curriculum.curriculum(docs, schedules={"big": ((0.0, 1.0), (0.5, 1.0))})
+
+
+def test_curriculum_is_in_the_plan(spark):
+    plan = queries.op6_curriculum_mix(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(first_position" in plan and "SQRT" in plan.upper() and "Python" not in plan
 
 
 def test_mix_of_odd_rows(odd, none):

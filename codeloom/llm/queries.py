@@ -153,10 +153,18 @@ places as (select r, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') v
   from (select r, w, n, unnest(range(1, len(w) - n + 2)) k from d, (select distinct n from size) s where len(w) >= n)),
 m as (select r, a.k, a.n, item from places a join win using (n, v)),
 h as (select r, count(distinct k + j) n_hit from (select r, k, unnest(range(0, n)) j from m) group by r),
-t as (select r, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from m group by r)
+t as (select r, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from m group by r),
+occ as (select r, unnest(w) u, generate_subscripts(w, 1) k from d),
+f as (select u, count(*) c from occ group by u),
+wins as (select row_number() over () id, item, n, v from win),
+placed as (select id, item, n, string_split(v, ' ')[j] u, j from (select id, item, n, v, unnest(range(1, n + 1)) j from wins)),
+rare as (select id, item, n, u, j from (select p.*, c, min(coalesce(c, 0)) over (partition by id) least from placed p left join f using (u)) where least > 0 qualify row_number() over (partition by id order by c, j) = 1),
+cand as (select distinct id, item, n, o.r, o.k - a.j + x s from rare a join occ o using (u), range(-2, 3) g(x)),
+close as (select c.r, c.item, c.id, c.s, c.n, count(distinct p.j) got from cand c join placed p on p.id = c.id join occ o on o.r = c.r and o.u = p.u and o.k between c.s + p.j - 2 and c.s + p.j + 2 group by all),
+nears as (select r, count(distinct item) n_near from close where got = n group by r)
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
-from d left join h using (r) left join t using (r)
+  coalesce(n_near, 0)::bigint n_near, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join h using (r) left join t using (r) left join nears using (r)
 """
 
 

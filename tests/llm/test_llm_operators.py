@@ -621,28 +621,93 @@ def test_components(spark):
 # 9. phrases
 
 
-def test_index_equals_brute_force(spark, make):
+def with_rows(docs):
+    return docs.withColumn("row", F.monotonically_increasing_id())
+
+
+def plain_near(words, window, slop):
+    """Places p of a text's words where each word of the window stands within slop of p and its own place."""
+    at = {}
+    for k, w in enumerate(words):
+        at.setdefault(w, []).append(k)
+    return {p for p in range(-slop, len(words) + slop) if all(any(abs(k - p - j) <= slop for k in at.get(w, ())) for j, w in enumerate(window))}
+
+
+def test_index_equals_brute_force(make, monkeypatch):
     rng = random.Random(16)
     texts = [" ".join(random_words(rng, rng.randint(0, 60), 6)) for _ in range(80)]
-    docs = make([*enumerate(texts)])
-    for terms in (None, {"w1", "w2", "w3"}):
-        for row in phrase_index.build_index(docs, terms, shard_words=300).collect():
-            shard, starts = phrase_index.open_shard(row.asDict()), row.starts
-            for phrase in (("w1",), ("w1", "w2"), ("w3", "w3"), ("w1", "w2", "w1", "w3")):
-                wanted, near = set(), set()
-                for doc_id, start in zip(row.doc_ids, starts, strict=True):
-                    words = texts[doc_id].split()
-                    wanted |= {start + k for k in range(len(words)) if tuple(words[k : k + len(phrase)]) == phrase}
-                assert {*shard.phrase(phrase).tolist()} == wanted
-                near = {*shard.near(phrase, 2).tolist()}
-                assert wanted <= near or len({*phrase}) < len(phrase) or not wanted
-
-
-def test_proximity(make):
-    docs = make([(0, "a x b y c"), (1, "a b c"), (2, "c z z z z z a b")]).coalesce(1)
-    row = phrase_index.build_index(docs).first().asDict()
-    shard = phrase_index.open_shard(row)
-    assert len(shard.phrase(("a", "b", "c"))) == 1 and len(shard.near(("a", "b", "c"), 2)) == 2 and len(shard.near(("a", "b", "c"), 0)) == 1
+    monkeypatch.setattr(phrase_index, "CANDIDATES", 50)
+    phrases = [("w1",), ("w1", "w2"), ("w3", "w3"), ("w1", "w2", "w1", "w3"), ("w5", "w0", "w0"), ("w1", "nowhere")]
+    for row in phrase_index.build_index(with_rows(make([*enumerate(texts)])), shard_words=300).collect():
+        shard = phrase_index.open_shard(row.asDict())
+        windows = np.full((len(phrases), 4), -1)
+        for k, phrase in enumerate(phrases):
+            windows[k, : len(phrase)] = shard.numbers([*phrase])
+        sizes = np.array([*map(len, phrases)])
+        for slop in (0, 2):
+            got = {(w, p) for found in shard.find(windows, sizes, slop) for w, p, _ in zip(*(x.tolist() for x in found), strict=True)}
+            wanted = {(k, start + p) for k, phrase in enumerate(phrases) for doc_id, start in zip(row.doc_ids, row.starts, strict=True) for p in plain_near(texts[doc_id].split(), phrase, slop)}
+            assert got == wanted
+
+
+def test_proximity(spark, make):
+    docs = make([(0, "a x b y c"), (1, "a b c"), (2, "c z z z z z a b"), (3, "b a c"), (4, "a x x x b c")])
+    items = spark.createDataFrame([(7, "A b, c")], "item_id long, text string")
+    got = {r.doc_id: (r.n_items, r.n_near) for r in phrase_index.contamination(docs, items).collect()}
+    assert got == {0: (0, 1), 1: (1, 1), 2: (0, 0), 3: (0, 1), 4: (0, 1)}
+    assert {r.doc_id: r.n_near for r in phrase_index.contamination(docs, items, slop=0).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def plain_contamination(text, items, width=13, slop=2):
+    words, hit, exact, near = plain_words(text), set(), set(), set()
+    for item, said in items:
+        for window in phrase_index.windows_of(said, width):
+            window = [w.decode() for w in window]
+            places = [k for k in range(len(words) - len(window) + 1) if words[k : k + len(window)] == window]
+            hit |= {k + j for k in places for j in range(len(window))}
+            exact |= {item} if places else set()
+            near |= {item} if plain_near(words, window, slop) else set()
+    return len(words), len(hit), len(exact), len(near)
+
+
+def test_blocks_and_pieces_change_nothing(spark, make, monkeypatch):
+    """Benchmarks in many blocks, and texts in overlapping pieces, give what brute force gives."""
+    rng = random.Random(17)
+    said = [" ".join(random_words(rng, rng.randint(3, 30), 30)) for _ in range(12)]
+    docs = []
+    for k in range(30):
+        words = random_words(rng, rng.randint(0, 60), 30)
+        for _ in range(rng.randint(0, 3)):
+            part = rng.choice(said).split()[rng.randint(0, 3) :]
+            words += [w for w in part if rng.random() < 0.97] + random_words(rng, 9, 30)
+        docs.append((k, " ".join(words)))
+    items = [(str(k % 9), x) for k, x in enumerate(said)]
+    wanted = {k: plain_contamination(t, items) for k, t in docs}
+    frame = spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    answer = lambda **options: {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.n_near) for r in phrase_index.contamination(make(docs), frame, **options).collect()}
+    assert answer() == answer(block_bytes=60) == wanted
+    text = " ".join(t for _, t in docs) * 3
+    monkeypatch.setattr(phrase_index, "GAP", 40)
+    monkeypatch.setattr(phrase_index, "PIECE_BYTES", 500)
+    given = [{"piece": k, "offset": o, "own": n, "words": w} for k, (o, n, w) in enumerate(phrase_index.pieces_of(text))]
+    words = plain_words(text)
+    assert len(given) > 5 and sum(p["own"] for p in given) == len(words)
+    assert all([w.decode() for w in p["words"]] == words[p["offset"] : p["offset"] + len(p["words"])] for p in given)
+
+
+def test_long_texts_of_phrases(spark, make):
+    """A text of several pieces: counts, spans across the seams, and items of all pieces."""
+    item = " ".join(f"q{k}" for k in range(20))
+    filler = [f"é{k % 1000}" for k in range(2_200_000)]
+    seam = next(phrase_index.pieces_of(" ".join(filler)))[1]
+    for at in (5, seam - 9, 2_100_000):
+        filler[at : at + 20] = item.split()
+    items = spark.createDataFrame([(1, item), (2, "nothing of it here")], "item_id long, text string")
+    docs = make([(0, " ".join(filler)), (1, f"x {item}"), (2, None)])
+    found = {r.doc_id: r for r in phrase_index.matches(docs.select("doc_id", "text"), items).collect()}
+    assert found[0].n_words == len(filler) and found[0].items == found[0].near == ["1"]
+    assert [(s.start, s.stop) for s in found[0].spans] == [(5, 25), (seam - 9, seam + 11), (2_100_000, 2_100_020)] and found[0].n_hit == 60
+    assert (found[1].n_hit, found[2].n_words) == (20, 0)
 
 
 def test_contamination_of_odd_rows(spark, odd, none, make):
@@ -656,8 +721,9 @@ def test_contamination_of_odd_rows(spark, odd, none, make):
     assert left.columns == odd.columns and left.count() == odd.count() - 3
     edge = make([(0, " ".join(["a"] * 19 + ["one", "two", "three"]) + " b" * 38), (1, " ".join(["one", "two", "three"]) + " b" * 58)])
     assert {r.doc_id: r.contaminated for r in phrase_index.contamination(edge, items.limit(1)).collect()} == {0: True, 1: False}
-    with pytest.raises(ValueError, match="pass it in parts"):
-        phrase_index.read_items(items, max_bytes=10)
+    assert phrase_index.contamination(none, items.where("false")).count() == 0
+    with pytest.raises(ValueError, match="reach over"):
+        phrase_index.contamination(odd, items, slop=2000)
 
 
 # 10. spread

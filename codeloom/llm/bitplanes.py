@@ -12,13 +12,17 @@ Byte planes: plane k holds byte k of every id. Bit planes: plane k holds bit k o
 a small vocabulary are all zero and take no bytes; each other plane is far more regular than the ids as they stand.
 
 A shard holds whole documents; shards follow each other in ascending order of doc_id, so that id offsets over the whole
-corpus are sums over shards. Documents of equal doc_id are ordered by a hash of their text (copies are interchangeable);
-a null doc_id comes first. Null texts are empty: they hold the end id alone.
+corpus are sums over shards.
+
+Defined results: documents of equal doc_id are ordered by a hash of their text (copies and repeated rows are interchangeable);
+a null doc_id comes first; null and empty texts hold the end id alone; very long texts are encoded piece by piece, cut at
+white space; an empty table gives no shards and no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -34,10 +38,21 @@ from pyspark.sql.window import Window
 from codeloom.llm.common import AtomicFile, Workspace, store
 
 MAGIC = b"CLPLANE1"
+#: Characters that the encoder's array operations take at once.
+CHUNK = 500_000
 MANIFEST = "shard string, n_docs long, n_ids long, n_bytes long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
 
 
+def chunks_of(text: str | bytes) -> Iterator[str | bytes]:
+    """The text in parts of some CHUNK characters, cut before ASCII white space: words stay whole, however long."""
+    space, at = re.compile("[\t-\r ]" if isinstance(text, str) else rb"[\t-\r ]"), 0
+    while len(text) - at > CHUNK and (cut := space.search(text, at + CHUNK)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
     """ids as uint32. All-zero planes come back empty."""
     if bits:
@@ -164,9 +179,9 @@ class WordEncoder:
 
     A tokenizer that drops white space, composes, lowers and splits by a pattern (WORD_NORMALIZERS, then a removing Split
     by WORD_SPLIT before a byte-level step) gives a text the ids of its pieces one after another. Texts of Latin-1
-    letters, digits and punctuation are lowered and split here by array operations, 0.5 MB at a time, and each distinct
-    piece goes to the library's model once; its ids are found again by a 64-bit hash of the piece. In other texts each
-    distinct word (between ASCII white space, which nothing merges across) goes through the whole library once. Any other
+    letters, digits and punctuation are lowered and split here by array operations, CHUNK at a time, and each distinct
+    piece goes to the library's model once; its ids are found again by a 64-bit hash of the piece, whose bytes are then
+    compared (should two pieces share a hash, the library takes the whole part). In other texts each distinct word (between ASCII white space, which nothing merges across) goes through the whole library once. Any other
     tokenizer gets whole texts. What is kept is bounded in number and forgotten all at once when it is too much.
     """
 
@@ -208,11 +223,15 @@ class WordEncoder:
         self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.known, self.used = 0, 0
         self.first, self.length, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, "<u4")
+        self.spelt_at, self.spelt_size, self.spelt, self.n_spelt = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint8), 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _by_words(self, text: str) -> bytes:
+        return b"".join(map(self._some_words, chunks_of(text)))
+
+    def _some_words(self, text: str) -> bytes:
         words = text.encode("utf-8", "replace").split()
         new = list({*words}.difference(self.words))
         self.words.update(zip(new, self._whole([w.decode("utf-8", "replace") for w in new]), strict=True))
@@ -242,7 +261,8 @@ class WordEncoder:
                 slot = (slot + 1) & ((1 << self.bits) - 1)
             self.keys[slot], self.at[slot] = value, number
 
-    def _learn(self, value: int, piece: str) -> None:
+    def _learn(self, value: int, raw: bytes) -> None:
+        piece = raw.decode("latin-1")
         if 2 * self.known >= 1 << self.bits:
             self._grow()
         letters = piece.encode().decode("latin-1").translate(self.letters)
@@ -251,7 +271,11 @@ class WordEncoder:
         while self.keys[slot]:
             slot = (slot + 1) & ((1 << self.bits) - 1)
         if self.known == len(self.first):
-            self.first, self.length = np.resize(self.first, 2 * self.known), np.resize(self.length, 2 * self.known)
+            self.first, self.length, self.spelt_at, self.spelt_size = (np.resize(x, 2 * self.known) for x in (self.first, self.length, self.spelt_at, self.spelt_size))
+        while self.n_spelt + len(raw) > len(self.spelt):
+            self.spelt = np.resize(self.spelt, 2 * len(self.spelt))
+        self.spelt[self.n_spelt : self.n_spelt + len(raw)] = np.frombuffer(raw, np.uint8)
+        self.spelt_at[self.known], self.spelt_size[self.known], self.n_spelt = self.n_spelt, len(raw), self.n_spelt + len(raw)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.keys[slot], self.at[slot] = value, self.known
@@ -307,8 +331,11 @@ class WordEncoder:
         if len(missing):
             values, where = np.unique(hashes[missing], return_index=True)
             for v, k in zip(values.tolist(), missing[where].tolist(), strict=True):
-                self._learn(v, raw[starts[k] : starts[k] + lengths[k]].tobytes().decode("latin-1"))
+                self._learn(v, raw[starts[k] : starts[k] + lengths[k]].tobytes())
             numbers[missing] = self._find(hashes[missing])
+        spelt = self.spelt[np.minimum(np.repeat(self.spelt_at[numbers], spans) + place, len(self.spelt) - 1)]
+        if (self.spelt_size[numbers] != lengths).any() or (inside & (spelt != raw)).any():  # two pieces of one hash
+            return self._whole([t.decode("latin-1") for t in texts])
         counts = self.length[numbers].astype(np.int64)
         ends = np.cumsum(counts)
         ids = self.pool[np.arange(int(ends[-1])) + np.repeat(self.first[numbers] - (ends - counts), counts)]
@@ -324,12 +351,12 @@ class WordEncoder:
             return self._whole([t or "" for t in texts])
         if self.known + len(self.words) > self.keep:
             self.forget()
-        out: list[bytes] = [b""] * len(texts)
+        out: list[list[bytes]] = [[] for _ in texts]
         waiting: list[tuple[int, bytes]] = []
 
         def flush() -> None:
             for (k, _), ids in zip(waiting, self._plain([raw for _, raw in waiting]), strict=True):
-                out[k] = ids
+                out[k].append(ids)
             waiting.clear()
 
         size = 0
@@ -341,16 +368,17 @@ class WordEncoder:
             except UnicodeEncodeError:
                 raw = None
             if raw is None or raw.translate(None, self.plain) or any(t in text for t in self.special):
-                out[k] = self._by_words(text)
-            else:
-                waiting.append((k, raw.translate(self.lower)))
-                size += len(raw)
-            if size > 500_000:
-                flush()
-                size = 0
+                out[k].append(self._by_words(text))
+                continue
+            for part in chunks_of(raw.translate(self.lower)):
+                waiting.append((k, part))
+                size += len(part)
+                if size > CHUNK:
+                    flush()
+                    size = 0
         if waiting:
             flush()
-        return out
+        return [b"".join(parts) for parts in out]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import SOME_CHARS, WORD_BYTES, Workspace, text_parts
+from codeloom.llm.common import SOME_CHARS, WORD_BYTES, Workspace, tasks, text_parts
 from codeloom.llm.components import components
 
 WIDTH = 5
@@ -244,11 +244,6 @@ def roots_of(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def tasks(df: DataFrame) -> int:
-    """Partitions for steps whose rows are few and whose work is not: as many as the session asks for, never merged."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def dealt(rows: DataFrame, key: str, blocks: str) -> DataFrame:
     """rows (set, key, blocks) with low, high and side: each row once for every pair of blocks of its key that its own block is
     in, dealt by the number of the pair, so that the pairs of one key are spread evenly over all tasks."""

@@ -9,7 +9,9 @@ documents. Features come from the text alone: labels, lang, source and doc_id ar
 
 Defined results: null texts are empty; an empty text has all features 0 and gets the score of that point; without labels of
 both kinds every score is the smoothed share of label 1 (0.5 without any); rows that share a doc_id are scored each; labels
-that contradict each other for one doc_id each count; an empty table gives no rows.
+that contradict each other for one doc_id each count; of texts that share a labelled doc_id the smallest is learned from;
+features are those of whole texts, however long; an empty table gives no rows; other columns, whatever their names, play no
+part (with_score returns them as they are).
 """
 
 from __future__ import annotations

@@ -9,11 +9,13 @@ Two words that stand next to each other in no template end every run, so only st
 are streamed; the rest of a text costs an array lookup per word. Results are those of streaming every word.
 
 Defined results: null, empty and wordless texts have no words, places or labels and score 0; texts are scanned whole,
-whatever their length; an empty table gives no rows.
+whatever their length; rows that share a doc_id are texts of their own, repeated rows too; of spans with equal shares the
+first in the text comes first; an empty table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -45,6 +47,23 @@ TEMPLATES = {
     "mit-line": "Released under the MIT License.",
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "bsl-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "0bsd-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "bsd-3-clause-part": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "as-is-disclaimer": "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "wtfpl-text": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "cc0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nd-4.0-line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "bsd-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "mit-line-2": "This project is licensed under the terms of the MIT license.",
+    "rights-reserved-line": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means, without the prior written permission of the publisher.",
 }
 
 
@@ -54,13 +73,14 @@ class SuffixAutomaton:
     def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[set[tuple[int, int]]] = [set()]  # (sequence, last word) of each occurrence of a state's runs
+        self.ends: list[list[tuple[int, int]]] = [[]]  # (sequence, last word) where a state's longest run is a beginning
+        self.below: list[list[int]] = [[]]  # states whose suffix link leads here
 
     def _state(self, length: int, moves: dict[int, int], link: int) -> int:
         self.next.append(moves)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append(set())
+        self.ends.append([])
         return len(self.next) - 1
 
     def _split(self, at: int, word: int, found: int) -> int:
@@ -87,12 +107,21 @@ class SuffixAutomaton:
                 if at >= 0:
                     self.link[new] = self._split(at, word, self.next[at][word])
                 last = new
-            self.ends[last].add((sequence, k))
+            self.ends[last].append((sequence, k))
 
     def finish(self) -> None:
-        """Gives every state the occurrences of the longer runs that end with its own."""
-        for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            self.ends[self.link[s]] |= self.ends[s]
+        """Turns the suffix links round. Memory stays linear in the words that were added."""
+        self.below = [[] for _ in self.next]
+        for s in range(1, len(self.next)):
+            self.below[self.link[s]].append(s)
+
+    def occurrences(self, state: int) -> Iterator[tuple[int, int]]:
+        """(sequence, last word) of each place of a state's runs: those of the states that end with it."""
+        waiting = [state]
+        while waiting:
+            at = waiting.pop()
+            yield from self.ends[at]
+            waiting += self.below[at]
 
     def step(self, state: int, run: int, word: int) -> tuple[int, int]:
         """State and length of the longest known run after one more word."""
@@ -126,11 +155,12 @@ class LicenseScanner:
         for k, words in enumerate(coded):
             self.automaton.add(k, words)
         self.automaton.finish()
-        #: pairs[a, b]: b follows a in a template. The last row and column stand for words of no template.
+        #: a * (n + 1) + b, ascending, of each b that follows a in a template; n stands for words of no template.
         n = len(self.vocabulary)
-        self.pairs = np.zeros((n + 1, n + 1), bool)
-        for words in coded:
-            self.pairs[words[:-1], words[1:]] = True
+        self.pairs = np.unique(np.array([a * (n + 1) + b for words in coded for a, b in zip(words, words[1:], strict=False)], np.int64))
+        #: Whether a pair can be one, by the low bits of its number: nearly all others end here.
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.pairs & (len(self.maybe) - 1)] = True
         # phrases that end where a state's run ends: (label, words), found at the state itself or at its suffix links
         own: dict[int, list[tuple[str, int]]] = {}
         for label, words in zip(phrases.values(), coded[len(sequences) :], strict=True):
@@ -138,12 +168,26 @@ class LicenseScanner:
             for word in words:
                 state = self.automaton.next[state][word]
             own.setdefault(state, []).append((label, len(words)))
-        self.phrases_at: list[list[tuple[str, int]]] = [[] for _ in self.automaton.next]
-        for s in range(len(self.automaton.next)):
-            at = s
-            while at > 0:
-                self.phrases_at[s] += own.get(at, [])
-                at = self.automaton.link[at]
+        self.own = own
+        #: The first state with a phrase of its own among a state and its suffix links, 0 without.
+        self.nearest = [0] * len(self.automaton.next)
+        for s in sorted(range(1, len(self.nearest)), key=self.automaton.length.__getitem__):
+            self.nearest[s] = s if s in own else self.nearest[self.automaton.link[s]]
+
+    def phrases_at(self, state: int) -> Iterator[tuple[str, int]]:
+        """(label, words) of each phrase that a state's runs end with."""
+        while state := self.nearest[state]:
+            yield from self.own[state]
+            state = self.automaton.link[state]
+
+    def follows(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each word follows the one before it in some template."""
+        pairs = codes[:-1].astype(np.int64) * (len(self.vocabulary) + 1) + codes[1:]
+        out = self.maybe[pairs & (len(self.maybe) - 1)]
+        at = np.flatnonzero(out)
+        found = np.minimum(np.searchsorted(self.pairs, pairs[at]), max(0, len(self.pairs) - 1))
+        out[at] = self.pairs[found] == pairs[at] if len(self.pairs) else False
+        return out
 
     def codes(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all words with an unknown word after each text, and the start of each text in them."""
@@ -162,7 +206,7 @@ class LicenseScanner:
         if not texts:
             return []
         codes, starts = self.codes(texts)
-        linked = self.pairs[codes[:-1], codes[1:]]
+        linked = self.follows(codes)
         edges = np.flatnonzero(np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8)))
         owner = np.searchsorted(starts, edges[::2], "right") - 1
         step, phrases_at = self.automaton.step, self.phrases_at
@@ -174,7 +218,7 @@ class LicenseScanner:
                 state, run = step(state, run, word)
                 if run <= before[1] and before[1] >= self.min_match:
                     self._match(matches[text], *before, first + k - 1 - base)
-                for label, size in phrases_at[state]:
+                for label, size in phrases_at(state):
                     if run >= size:
                         places[text].append((label, first + k + 1 - size - base))
             if run >= self.min_match:
@@ -183,13 +227,14 @@ class LicenseScanner:
 
     def _match(self, out: list, state: int, run: int, last: int) -> None:
         """(template, first word in it, first word in the text, words) for every place of the run in a template."""
-        for template, end in self.automaton.ends[state]:
+        for template, end in self.automaton.occurrences(state):
             if template < len(self.labels):
                 out.append((template, end - run + 1, last - run + 1, run))
 
     def chain(self, matches: list[tuple[int, int, int, int]]) -> list[Span]:
         """Per template the chains of matches that go on in both text and template within max_gap words; of overlapping
-        parts each template word counts once. Chains of min_share of the template are spans, best first."""
+        parts each template word counts once. Chains of min_share of the template are spans, best first; of spans over the same
+        words the best covered stay."""
         spans, by = [], {}
         for template, there, here, words in matches:
             by.setdefault(template, []).append((here, there, words))
@@ -220,7 +265,19 @@ class LicenseScanner:
                 taken |= {*path}
                 covered = min(best[k][0], self.sizes[template])
                 spans.append(Span(self.labels[template], found[path[-1]][0], found[k][0] + found[k][2] - 1, covered, covered / self.sizes[template]))
-        return sorted(spans, key=lambda s: (-s.share, s.first, s.label))
+        return sorted(self.best_of(spans), key=lambda s: (-s.share, s.first, s.label))
+
+    @staticmethod
+    def best_of(spans: list[Span]) -> list[Span]:
+        """The spans of which no better covered one holds half or more: licences that differ in a word are told apart."""
+        spans = sorted(spans, key=lambda s: s.first)
+        firsts, longest = [s.first for s in spans], max((s.last - s.first for s in spans), default=0)
+        kept = []
+        for s in spans:
+            near = spans[bisect.bisect_left(firsts, s.first - longest) : bisect.bisect_right(firsts, s.last)]
+            if not any(b.share > s.share and 2 * (min(b.last, s.last) - max(b.first, s.first) + 1) >= s.last - s.first + 1 for b in near):
+                kept.append(s)
+        return kept
 
 
 RESULT = [

@@ -5,7 +5,8 @@ counts for each host (source) the distinct documents that hold a line, takes awa
 rejects documents that keep too little of their words.
 
 Defined results: a null text has no words and fails the base rules; the null source is a host; every row is a document
-of its own, also where rows share a doc_id; an empty table gives no rows.
+of its own, also where rows share a doc_id or are equal; very long texts are one array of words each; an empty table gives
+no rows; other columns, whatever their names, play no part (remove_lines returns them as they are).
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = lambda s: F.filter(F.split(s, SPACES), lambda w: w != "")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", text.alias("text"), words(text).alias("w"), lines.alias("lines"))
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), "doc_id", "source", text.alias("text"), words(text).alias("w"), lines.alias("lines"))
     hashes = F.transform("w", lambda w: F.xxhash64(w))
     rows = rows.select(
         "row", "doc_id", "source", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -66,22 +68,45 @@ def frequent_lines(rows: DataFrame, min_docs: int, max_share: float) -> DataFram
     return joined.where(F.col("_n") > max_share * F.col("_docs")).select("source", "hash")
 
 
-def quality(docs: DataFrame, *, min_docs: int = 20, max_share: float = 0.02, min_words_left: int = 10, min_share_left: float = 0.3) -> DataFrame:
-    """doc_id, base counts, n_removed_words (in lines above the host's limit), base_failed, kept.
-
-    kept: not base_failed, and at least min_words_left words and min_share_left of all words are left."""
-    space = Workspace(docs.sparkSession, "lines")
+def judged(docs: DataFrame, space: Workspace, *, min_docs: int = 20, max_share: float = 0.02, min_words_left: int = 10, min_share_left: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, base counts, n_removed_words, base_failed, kept) of docs, and (_row, _hash, _words) of the lines that go from
+    each row. docs may have a column row of the caller's numbers."""
     rows = space.write(base_counts(docs), "rows")
     frequent = space.write(frequent_lines(rows, min_docs, max_share), "frequent")
     frequent = frequent.select(F.col("source").alias("_source"), F.col("hash").alias("_hash"))
     # the written table is small or not as its size tells the planner; a hot line's rows are split at run time
     lines = rows.select("row", "source", F.explode("lines").alias("line")).select("row", "source", "line.hash", "line.words")
     hits = lines.join(frequent, (F.col("hash") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source")))
-    gone = hits.groupBy(F.col("row").alias("_row")).agg(F.sum("words").alias("_gone"))
+    going = hits.select(F.col("row").alias("_row"), "_hash", F.col("words").alias("_words"))
+    gone = going.groupBy("_row").agg(F.sum("_words").alias("_gone"))
     out = rows.drop("lines").join(gone, F.col("row") == F.col("_row"), "left")
     out = out.withColumn("n_removed_words", F.coalesce(F.col("_gone"), F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     kept = ~failed & (left >= min_words_left) & (left >= min_share_left * F.col("n_words"))
-    return out.withColumn("kept", kept).drop("row", "_row", "_gone", "source")
+    return out.withColumn("kept", kept).drop("_row", "_gone", "source"), going
+
+
+def quality(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, base counts, n_removed_words (in lines above the host's limit), base_failed, kept.
+
+    A line is above its host's limit where more than min_docs and max_share of the host's documents hold it. kept: not
+    base_failed, and at least min_words_left words and min_share_left of all words are left."""
+    space = Workspace(docs.sparkSession, "lines")
+    return judged(docs.select("doc_id", "source", "text"), space, **options)[0].drop("row")
+
+
+def remove_lines(docs: DataFrame, **options) -> DataFrame:
+    """The documents that quality() keeps, without the lines above their host's limit; all columns stay.
+
+    Other lines, blank ones too, stay as they are, so that offsets inside them do not move."""
+    space = Workspace(docs.sparkSession, "lines")
+    keyed = space.write(docs.withColumn("__cl_row", F.monotonically_increasing_id()), "docs")
+    verdicts, going = judged(keyed.select(F.col("__cl_row").alias("row"), "doc_id", "source", "text"), space, **options)
+    kept = verdicts.where("kept").select(F.col("row").alias("__cl_kept"))
+    gone = going.groupBy(F.col("_row").alias("__cl_r")).agg(F.collect_set("_hash").alias("__cl_gone"))
+    out = keyed.join(kept, F.col("__cl_row") == F.col("__cl_kept")).join(gone, F.col("__cl_row") == F.col("__cl_r"), "left")
+    stays = lambda x: ~F.array_contains("__cl_gone", F.xxhash64(normal_line(x))) | ~x.rlike(r"[^\x20\x09-\x0D]")
+    text = F.when(F.col("__cl_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
+    return out.withColumn("text", text).drop("__cl_row", "__cl_kept", "__cl_r", "__cl_gone")

@@ -5,7 +5,8 @@ shuffle. A line whose estimate is within the sketch's error of the limit gets an
 is decided by its sketch. Then boilerplate lines are removed wherever they stand.
 
 Defined results: a null text has no lines; blank lines are never removed; the null site is a site; every row is a
-document of its own, also where rows share a doc_id; an empty table gives no rows.
+document of its own, also where rows share a doc_id or are equal; very long texts are one array of lines each; an empty
+table gives no rows; other columns, whatever their names, play no part (remove_boilerplate returns them as they are).
 """
 
 from __future__ import annotations

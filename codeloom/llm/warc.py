@@ -9,8 +9,10 @@ directory holds the first key and the byte range of each block. A lookup searche
 searches that, and then reads one byte range of one archive.
 
 Defined results: a null html is an empty payload; a null url has the key "-"; pages that share a page_id and a payload
-are records of their own, all of them responses if they are the largest; an empty table gives no rows. A null page_id
-ranks below every other; a revisit of a payload that only null ids have does not occur (all are responses).
+are records of their own, all of them responses if they are the largest, and each record has an id of its own; an empty
+table gives no rows. A null page_id ranks below every other; a revisit of a payload that only null ids have does not occur
+(all are responses). Very long pages are records like others, one held at a time; other columns, whatever their names, play
+no part.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import AtomicFile, Workspace, store
+from codeloom.llm.common import AtomicFile, Workspace, store, tasks
 
 CAPTURES = "key string, page_id long, archive string, offset long, length long"
 FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 #: Index lines of a compressed block.
 BLOCK_LINES = 2_000
+#: Neighbouring bytes of an archive that one task reads.
+STRETCH = 16 << 20
 END = b"\r\n"
 
 
@@ -60,30 +64,35 @@ def payload_digest(payload: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, space: Workspace, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, _digest, _bytes, _first: the page_id of the response of a payload that several pages have.
+    """row, page_id, url, html, _digest, _bytes, and _first, _first_row: page_id and row of the response of a payload that several
+    pages have.
 
     Only digests and ids are grouped; the groups of several pages are written before the join, so that the rows of one
     hot payload are split among tasks at run time."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), payload_digest(html.cast("binary")).alias("_digest"), F.octet_length(html).cast("long").alias("_bytes"))
-    groups = rows.where(F.col("_bytes") >= min_revisit_bytes).groupBy("_digest").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    groups = space.write(groups.where("_n > 1 and _first is not null").select(F.col("_digest").alias("_d"), "_first"), "groups")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", html.alias("html"), payload_digest(html.cast("binary")).alias("_digest"), F.octet_length(html).cast("long").alias("_bytes"))
+    groups = rows.where(F.col("_bytes") >= min_revisit_bytes).groupBy("_digest").agg(F.max("page_id").alias("_first"), F.max_by("row", "page_id").alias("_first_row"), F.count(F.lit(1)).alias("_n"))
+    groups = space.write(groups.where("_n > 1 and _first is not null").select(F.col("_digest").alias("_d"), "_first", "_first_row"), "groups")
     return rows.join(groups, F.col("_digest") == F.col("_d"), "left").drop("_d")
 
 
-def record(page_id: int | None, url: str | None, html: str, digest: str, first: int | None) -> bytes:
-    """One uncompressed record. first: the response's page_id if several pages have this payload."""
+def record_id(page_id: int | None, row: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
+
+
+def record(row: int, page_id: int | None, url: str | None, html: str, digest: str, first: int | None, first_row: int | None) -> bytes:
+    """One uncompressed record. first, first_row: the response's page_id and row if several pages have this payload."""
     payload = html.encode("utf-8", "replace")
     revisit = first is not None and first != page_id
     head = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b"", b""]
     body = END.join(head) + (b"" if revisit else payload)
     fields = {
-        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
+        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(page_id, row),
         "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Target-URI": " ".join((url or "").split()), "WARC-Payload-Digest": f"sha1:{digest}",
         "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(body)),
     }
     if revisit:
-        fields["WARC-Refers-To"] = f"<urn:page:{first}>"
+        fields["WARC-Refers-To"] = record_id(first, first_row)
         fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
     lines = [b"WARC/1.1", *(f"{k}: {v}".encode("utf-8", "replace") for k, v in fields.items()), b""]
     return END.join(lines) + END + body + END + END
@@ -101,9 +110,9 @@ def read_record(raw: bytes) -> dict:
         found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
         if found != digest or len(payload) != length:
             raise ValueError(f"record {fields[b'WARC-Record-ID']!r} is damaged")
-    number = lambda name: int(x) if (x := fields[name][10:-1]) else None
+    number = lambda name: int(x) if (x := fields[name].split(b":")[2]) else None
     return {
-        "page_id": number(b"WARC-Record-ID"), "url": fields[b"WARC-Target-URI"].decode(), "payload": payload, "payload_bytes": length, "payload_digest": digest,
+        "record_id": fields[b"WARC-Record-ID"].decode(), "page_id": number(b"WARC-Record-ID"), "url": fields[b"WARC-Target-URI"].decode(), "payload": payload, "payload_bytes": length, "payload_digest": digest,
         "record_type": kind, "refers_to": number(b"WARC-Refers-To") if kind == "revisit" else None,
     }
 
@@ -115,7 +124,7 @@ def write_archives(plan: DataFrame, folder: str, *, archive_bytes: int = 1_000_0
         part, files, out, name = TaskContext.get().partitionId(), 0, None, ""
         for batch in batches:
             rows = []
-            for page_id, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, page_id, url, html, digest, first, first_row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is not None and out.at >= archive_bytes:
                     out.close()
                     out = None
@@ -123,14 +132,14 @@ def write_archives(plan: DataFrame, folder: str, *, archive_bytes: int = 1_000_0
                     name, files = f"part-{part:06d}-{files:04d}.warc.gz", files + 1
                     out = AtomicFile(f"{folder}/{name}")
                 pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-                raw = pack.compress(record(page_id, url, html, digest, first)) + pack.flush()
+                raw = pack.compress(record(row, page_id, url, html, digest, first, first_row)) + pack.flush()
                 rows.append((url_key(url), page_id, name, out.write(raw), len(raw)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "page_id", "archive", "offset", "length"])
         if out is not None:
             out.close()
 
-    return plan.select("page_id", "url", "html", "_digest", "_first").mapInArrow(run, CAPTURES)
+    return plan.select("row", "page_id", "url", "html", "_digest", "_first", "_first_row").mapInArrow(run, CAPTURES)
 
 
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -230,7 +239,7 @@ def lookup(pages: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     )
     wanted = pages.select("url", "page_id").mapInArrow(place, "number int, key string, page_id long").select("number", F.lit(1).alias("kind"), "key", "page_id")
     wanted = wanted.distinct().withColumn("block", F.lit(None).cast(blocks.schema["block"].dataType))
-    both = blocks.unionByName(wanted).repartition("number").sortWithinPartitions("number", "kind", "key", F.col("page_id").asc_nulls_first())
+    both = blocks.unionByName(wanted).repartition(tasks(pages), "number").sortWithinPartitions("number", "kind", "key", F.col("page_id").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, waiting, index = None, [], None
@@ -251,8 +260,10 @@ def lookup(pages: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
 
 
 def read_captures(captures: DataFrame, folder: str) -> DataFrame:
-    """Range reads of captured records, in file order: FOUND rows, from what the archives hold."""
-    ordered = captures.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    """Range reads of captured records, in file order: FOUND rows, from what the archives hold. Tasks are dealt stretches of
+    archives, so that each has about as many bytes to read as rows of one length would give it."""
+    stretch = F.floor(F.col("offset") / STRETCH)
+    ordered = captures.repartition(tasks(captures), "archive", stretch).sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None

@@ -72,6 +72,23 @@ def test_encoder_equals_the_library():
     assert encoder.encode([None, ""]) == [b"", b""]
 
 
+def test_pieces_of_one_hash_are_told_apart():
+    """With a hash that only sees lengths nearly every piece meets another one; ids are the library's all the same."""
+    encoder = bitplanes.WordEncoder(queries.tokenizer_path(), keep=500)
+    encoder.salt[:] = 3
+    texts = ["some words of the same length", "more text that meets them", "it's 12 of them"]
+    assert encoder.encode(texts) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    rng = random.Random(41)
+    encoder = bitplanes.WordEncoder(queries.tokenizer_path())
+    for word in ("plain's", "漢字", "Ünï"):
+        text = " ".join(word + "x" * rng.randint(0, 5) + rng.choice(["", ".\n", "\t!"]) for _ in range(150_000)) + " " + "y" * 600_000 + " end"
+        assert len([*bitplanes.chunks_of(text)]) > 1 and "".join(bitplanes.chunks_of(text)) == text
+        assert encoder.encode([text, "a b"]) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in (text, "a b")]
+
+
 def plain_tokens(docs):
     from tokenizers import Tokenizer
 
@@ -257,6 +274,62 @@ def test_spans_of_changed_templates(make):
     assert (got[4].base_labels, got[4].labels, got[4].score) == ("cc-by", "cc-by,cc-by-nc-4.0-line", 1.0)
 
 
+def plain_spans(scanner, templates, words, min_match, max_gap):
+    """Best share of each template by brute force: every run that ends and cannot go on, every chain of them."""
+    sequences = [t.split() for t in templates.values()]
+    holds = lambda run: [(t, k) for t, s in enumerate(sequences) for k in range(len(s) - len(run) + 1) if s[k : k + len(run)] == run]
+    longest = [max(n for n in range(k + 2) if n == 0 or holds(words[k + 1 - n : k + 1])) for k in range(len(words))]
+    found = {}
+    for k, n in enumerate(longest):
+        if n >= min_match and (k + 1 == len(words) or longest[k + 1] <= n):
+            for t, there in holds(words[k + 1 - n : k + 1]):
+                found.setdefault(t, []).append((k + 1 - n, there, n))
+    best = {}
+
+    def chains(t, last, covered):
+        best[t] = max(best.get(t, 0), min(covered, len(sequences[t])))
+        for here, there, n in found[t]:
+            h, a, w = last
+            gained = n - max(0, a + w - there, h + w - here)
+            if h < here and a < there and here - h - w <= max_gap and there - a - w <= max_gap and gained > 0 and here - h <= max_gap + 4 * len(sequences[t]):
+                chains(t, (here, there, n), covered + gained)
+
+    for t, matches in found.items():
+        for m in matches:
+            chains(t, m, m[2])
+    return {label: best[t] / len(sequences[t]) for t, label in enumerate(templates) if best.get(t, 0)}
+
+
+def test_chains_labels_and_score_equal_brute_force(make):
+    rng = random.Random(42)
+    templates = {f"t{k}": " ".join(random_words(rng, 12, 40)) for k in range(4)}
+    scanner = license_scan.LicenseScanner(templates, {"w1 w2": "p"})
+    docs, wanted = [], {}
+    for k in range(60):
+        words = random_words(rng, rng.randint(0, 5), 40)
+        for _ in range(2):
+            part = rng.choice([*templates.values()]).split()
+            words += [w for w in part[rng.randint(0, 4) :] if rng.random() < 0.92] + random_words(rng, rng.randint(0, 5), 40)
+        docs.append((k, " ".join(words)))
+        wanted[k] = {t: s for t, s in plain_spans(scanner, templates, words, 3, 12).items() if s >= 0.6}
+    got = {r.doc_id: r for r in license_scan.scan(make(docs), templates=templates, phrases={"w1 w2": "p"}).collect()}
+    assert sum(map(len, wanted.values())) > 30
+    for k, shares in wanted.items():
+        labels = {*filter(None, got[k].labels.split(","))} - {"p"}
+        assert got[k].score == pytest.approx(max([*shares.values(), 0.5 if got[k].n_base else 0]))
+        assert labels <= {*shares} and {t for t, s in shares.items() if s == max(shares.values())} <= labels
+        for s in got[k].spans:
+            assert s.share <= shares[s.label] + 1e-9
+        lost = {*shares} - labels  # only where a better covered one lies over the same words
+        assert all(any(s.share > shares[t] for s in got[k].spans) for t in lost)
+
+
+def test_licences_that_differ_in_a_word(make):
+    lines = {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("4.0-line")}
+    got = license_scan.scan(make([(n, f"Text before. {v} Text after.") for n, v in enumerate(lines.values())] * 2)).orderBy("doc_id").collect()
+    assert [[s.label for s in r.spans] for r in got] == [[label] for label in lines for _ in range(2)]
+
+
 def test_licences_of_odd_rows(odd, none):
     got = license_scan.scan(odd).collect()
     assert len(got) == odd.count() and {r.n_base for r in got} == {0} and {r.first_word for r in got} == {None}
@@ -284,6 +357,24 @@ def test_archives_of_odd_rows(spark):
     assert warc.archive_and_read(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_every_record_has_an_id_of_its_own(spark):
+    pages = spark.createDataFrame([(8, "http://a/1", "same"), (8, "http://a/2", "same"), (8, "http://a/3", "other"), (3, "u", "same"), (None, "v", "w")], PAGES)
+    space = Workspace(spark, "ids")
+    captures = space.write(warc.write_archives(warc.plan_records(pages, space), space.path("archives")), "captures").collect()
+    records, heads = [], []
+    for c in captures:
+        fs, path = warc.store(f"{space.path('archives')}/{c.archive}")
+        with fs.open_input_file(path) as file:
+            raw = file.read_at(c.length, c.offset)
+        records.append(warc.read_record(raw))
+        heads.append(warc.gzip.decompress(raw).split(b"\r\n\r\n")[0].decode())
+    ids = [r["record_id"] for r in records]
+    assert len({*ids}) == len(ids) == 5 and sorted(r["page_id"] or 0 for r in records) == [0, 3, 8, 8, 8]
+    revisit = next(h for h, r in zip(heads, records, strict=True) if r["record_type"] == "revisit")
+    refers = revisit.split("WARC-Refers-To: ")[1].split("\r\n")[0]
+    assert any(r["record_id"] == refers and r["payload"] == b"same" and r["record_type"] == "response" for r in records)
+
+
 def test_min_revisit_bytes(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "v", "abcd"), (4, "v", "abcd")], PAGES)
     got = {r.page_id: r.record_type for r in warc.archive_and_read(pages, min_revisit_bytes=3).collect()}
@@ -335,6 +426,21 @@ def test_frequent_lines_deplete(make):
     assert got[200].n_removed_words == 0 and got[201].kept
 
 
+def test_remove_lines(make, odd, none):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    shared = " ".join(f"s{j}" for j in range(30))
+    rows = [(k, f"{words(k)}\n\n  {shared} \nend", "hot") for k in range(40)] + [(100 + k, f"{shared.upper()}\n a b", "hot") for k in range(5)] + [(200, f"{shared}\n{words(9)}", "calm")]
+    docs = make(rows)
+    options = {"min_docs": 20, "max_share": 0.1}
+    got = {r.doc_id: r.text for r in line_frequency.remove_lines(docs, **options).collect()}
+    kept = {r.doc_id: r for r in line_frequency.quality(docs, **options).where("kept").collect()}
+    assert got.keys() == kept.keys() == {*range(40), 200}
+    assert got[7].split("\n")[:2] == [words(7), ""] and "s5" not in got[7] and got[200] == rows[-1][1]
+    texts = dict((k, t) for k, t, _ in rows)
+    assert all(len(texts[k].split()) - len(t.split()) == kept[k].n_removed_words for k, t in got.items())
+    assert line_frequency.remove_lines(odd).columns == odd.columns and line_frequency.remove_lines(none).count() == 0
+
+
 # 6. curriculum
 
 
@@ -466,6 +572,51 @@ def test_interactions_are_learned():
     assert (1, 0) in model.pair_tables and ((model.score(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.95
 
 
+def plain_features(text):
+    words = (text or "").split()
+    if not words:
+        return [0.0] * len(gam_classifier.FEATURES)
+    raw, n, low = text.encode(), len(words), [w.lower() for w in words]
+    lines = [x for x in text.split("\n") if x.strip()]
+    share = lambda of: sum(raw.count(bytes([b])) for b in of) / len(raw)
+    return [
+        np.log1p(n), sum(len(w) for w in words) / n, share(range(65, 91)), share(b"#*$%&|<>@^~{}[]\\=+_"), share(b"0123456789"), share(b".,;:!?\"'()-/"),
+        len({*low}) / n, max(low.count(w) for w in {*low}) / n, sum(w[-1] in ".!?" for w in words) / n, n / max(1, len(lines)), 1 - len({*lines}) / max(1, len(lines)),
+        sum(a == b for a, b in zip(low, low[1:], strict=False)) / n, sum(not any(c.isalpha() for c in w) for w in words) / n, sum(w.isupper() for w in words) / n,
+        len({*zip(low, low[1:], strict=False)}) / max(1, n - 1), sum(len(w) > 14 for w in words) / n,
+    ]
+
+
+def test_scores_equal_brute_force(spark):
+    """The query's scores from features computed plainly and tables looked up one by one."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    model = gam_classifier.fit(docs, labels)
+    assert len(model.tables) == len(gam_classifier.FEATURES) and len(model.pair_tables) == model.n_pairs
+    got = {r.doc_id: r for r in queries.op7_gam_quality(spark, SMALL).collect()}
+    for r in docs.collect():
+        x = plain_features(r.text)
+        at = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        total = model.start + sum(t[k] for t, k in zip(model.tables, at, strict=True)) + sum(t[at[a], at[b]] for (a, b), t in model.pair_tables.items())
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_trees_take_the_best_cuts():
+    rng = np.random.default_rng(43)
+    model = gam_classifier.AdditiveModel()
+    leaf = lambda g, h: g.sum() ** 2 / (h.sum() + model.smooth)
+    for _ in range(30):
+        g, h = rng.normal(size=9), rng.random(9) + 0.1
+        gain, at = model._cut(g, h)
+        tries = {k: leaf(g[:k], h[:k]) + leaf(g[k:], h[k:]) - leaf(g, h) for k in range(1, 9)}
+        best = max(tries, key=tries.get)
+        assert (gain, at) == ((pytest.approx(tries[best]), best) if tries[best] > 1e-9 else (0.0, 0))
+        step = model._tree(g, h)
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), 9]
+        assert len(cuts) <= 5 and at in cuts
+        assert all(np.allclose(step[a:b], model.rate * g[a:b].sum() / (h[a:b].sum() + model.smooth)) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 def test_classifier_never_sees_held_out_labels(spark, make):
     docs = make([(k, "good words here " * (k % 7 + 3) if k % 2 else "### $$$ %%% " * 9) for k in range(200)])
     true = [(k, k % 2) for k in range(200)]

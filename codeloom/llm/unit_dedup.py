@@ -7,7 +7,9 @@ of the query, whatever their length (min_words can ask for more). Offsets of wha
 A passage need not be a whole unit, so every window of WINDOW words is a repeat as well where it stands in a row of
 smaller rank, or WINDOW words or more behind its first place in the same text. Repeated units and windows that overlap or
 touch are one run. Windows are exact: of all runs of GRAM words the smallest hash of each window is a mark of its row
-(winnowing), so equal windows share a mark, and only the windows that hold a mark found again are compared.
+(winnowing), so equal windows share a mark, and only the windows that hold a mark found again are compared. Where units that
+follow each other follow each other in the same keeper too, the keeper has the windows inside them as well, and neither
+their marks nor they are looked at again.
 
 Defined results: rank is doc_id, null last; of rows that share a doc_id, or have none, one that is the same for all units
 of equal place in the order of rows keeps, so that of repeated rows exactly one stays; null, empty and wordless texts have
@@ -139,31 +141,37 @@ def marks_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return chosen, grams[chosen]
 
 
-def marks_by_text(texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
-    """Distinct marks of each text, and whether one of them stands in it twice."""
-    marks, own = [], []
+MARK_ARROW = pa.struct([("mark", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("twice", pa.bool_())])
+
+
+def marks_by_text(texts: list[str | None]) -> list[list[np.ndarray]]:
+    """The columns of MARK_ARROW for each text: its distinct marks, the words that all windows around them cover (from lo, up to
+    hi), and whether a mark stands in it twice."""
+    out = []
     for a, b in text_parts(texts):
         words = Words(texts[a:b])
         place, found = marks_of(words)
+        ends = np.searchsorted(words.text, np.arange(b - a + 1))
         cuts = np.searchsorted(words.text[place], np.arange(b - a + 1))
         for k in range(b - a):
-            once = np.unique(found[cuts[k] : cuts[k + 1]])
-            marks.append(once.view(np.int64))
-            own.append(len(once) < cuts[k + 1] - cuts[k])
-    return marks, own
+            once, back = np.unique(found[cuts[k] : cuts[k + 1]], return_inverse=True)
+            order = np.argsort(back, kind="stable")
+            at, count = place[cuts[k] : cuts[k + 1]][order] - ends[k], np.bincount(back, minlength=len(once))
+            first, last = at[np.cumsum(count) - count], at[np.cumsum(count) - 1]
+            out.append([once.view(np.int64), np.maximum(0, first - (WINDOW - GRAM)), np.minimum(ends[k + 1] - ends[k], last + WINDOW), count > 1])
+    return out
 
 
 WINDOW_TYPE = "array<struct<high:bigint,low:bigint,word:int,start:int,stop:int,again:boolean,open:boolean>>"
 WINDOW_ARROW = pa.struct([("high", pa.int64()), ("low", pa.int64()), *[(n, pa.int32()) for n in ("word", "start", "stop")], *[(n, pa.bool_()) for n in ("again", "open")]])
 
 
-def windows_of(text: str, asked: np.ndarray, runs: list[tuple[int, int]]) -> list[np.ndarray]:
-    """The columns of WINDOW_ARROW for all windows whose mark is asked for, or stands in the text twice. Open are those that
-    no run (from word, up to word) holds already."""
+def windows_of(text: str, asked: np.ndarray, runs: list[tuple[int, int]], same: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The columns of WINDOW_ARROW for all windows whose mark is asked for, but those inside same: runs (from word, up to word)
+    that a keeper holds as they are. Open are those that no run of repeated units holds already."""
     words = Words([text], BASES)
     place, found = marks_of(words)
-    _, back, count = np.unique(found, return_inverse=True, return_counts=True)
-    held = np.unique(found[(count[back] > 1) | np.isin(found, asked.view(np.uint64))])
+    held = np.unique(found[np.isin(found, asked.view(np.uint64))])
     at = np.zeros(0, np.int64)
     if len(held):
         at = np.flatnonzero(np.isin(sliding(words.runs(GRAM), WINDOW - GRAM + 1, np.minimum), held))
@@ -172,94 +180,118 @@ def windows_of(text: str, asked: np.ndarray, runs: list[tuple[int, int]]) -> lis
     pairs["high"], pairs["low"] = high, low
     _, first, back = np.unique(pairs, return_index=True, return_inverse=True)
     before = at[first[back]] if len(at) else at
-    last = np.full(len(words.starts) + 1, -1)
-    for start, stop in runs:
-        last[start:stop] = stop
     starts, stops = words.chars()
-    fresh, again, free = before == at, at - before >= WINDOW, last[at] < at + WINDOW
-    use = fresh | free
+    fresh, again, free = before == at, at - before >= WINDOW, ~inside_runs(at, runs)
+    use = (fresh | free) & ~inside_runs(at, same)
     return [c[use] for c in (high, low, at, starts[at], stops[at + WINDOW - 1], again, free)]
 
 
-def lists_of(values: list[list] | list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.cumsum([0, *[len(v) for v in values]])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values), kind))
+def inside_runs(at: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
+    """Whether the window at each place lies inside one of the runs, which do not overlap."""
+    bounds = np.array(sorted(runs), np.int64).reshape(-1, 2)
+    k = np.searchsorted(bounds[:, 0], at, "right") - 1
+    return (k >= 0) & (np.append(bounds[:, 1], -1)[k] >= at + WINDOW)
+
+
+def lists_of(values: list[list[np.ndarray]], kind: pa.StructType) -> pa.ListArray:
+    """An array of structs for each entry, which are lists of columns."""
+    offsets = np.cumsum([0, *[len(v[0]) for v in values]])
+    columns = [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*values, strict=True), kind, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, [f.name for f in kind]))
 
 
 def unit_table(rows: DataFrame, kind: str, min_words: int) -> DataFrame:
-    """row, doc_id, rank, units, marks, own (a mark stands in the text twice) and text (null without marks), from rows (row,
-    doc_id, text). One pass over the texts."""
+    """row, doc_id, rank, units, marks and text (null without marks), from rows (row, doc_id, text). One pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in UNIT_TYPE]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 texts = some.column(2).to_pylist()
-                found = [units_of(t, kind, min_words) for t in texts]
-                offsets = np.cumsum([0, *map(len, found)])
-                flat = [u for units in found for u in units]
-                cols = list(zip(*flat, strict=True)) if flat else [()] * len(names)
-                made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, UNIT_TYPE, strict=True)], names)
-                units = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)
-                marks, own = marks_by_text(texts)
+                found = [[np.array(c) for c in zip(*u, strict=True)] if (u := units_of(t, kind, min_words)) else [np.zeros(0, int)] * len(UNIT_TYPE) for t in texts]
+                marks = marks_by_text(texts)
                 # only texts with marks are asked for again
-                kept = pa.array([t if len(m) else None for t, m in zip(texts, marks, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), units, lists_of(marks, pa.int64()), pa.array(own), kept], ["row", "doc_id", "units", "marks", "own", "text"])
+                kept = pa.array([t if len(m[0]) else None for t, m in zip(texts, marks, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), lists_of(found, UNIT_TYPE), lists_of(marks, MARK_ARROW), kept], ["row", "doc_id", "units", "marks", "text"])
 
-    kinds = "row long, doc_id long, units array<struct<high:long,low:long,start:int,stop:int,words:int,word:int,again:boolean>>, marks array<long>, own boolean, text string"
+    kinds = "row long, doc_id long, units array<struct<high:long,low:long,start:int,stop:int,words:int,word:int,again:boolean>>, marks array<struct<mark:long,lo:int,hi:int,twice:boolean>>, text string"
     return rows.select("row", "doc_id", "text").mapInArrow(run, kinds).withColumn("rank", F.coalesce("doc_id", F.lit(LAST_RANK)))
 
 
 def window_table(texts: DataFrame) -> DataFrame:
-    """row, doc_id, rank, windows, from row, doc_id, rank, text, asked (marks that were found again), runs (of repeated units)."""
+    """row, doc_id, rank, windows, from row, doc_id, rank, text, asked (marks that were found again), runs (of repeated units) and
+    same (runs that a keeper holds as they are)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = lambda runs: [(r["word"], r["end"]) for r in runs or ()]
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 rows = batch.slice(at, 100)
-                given = zip(*[rows.column(k).to_pylist() for k in (3, 4, 5)], strict=True)
-                found = [windows_of(t, np.array(a or [], np.int64), [(r["word"], r["end"]) for r in u or []]) for t, a, u in given]
-                offsets = np.cumsum([0, *[len(w[0]) for w in found]])
-                cols = [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), WINDOW_ARROW, strict=True)]
-                made = pa.StructArray.from_arrays(cols, [f.name for f in WINDOW_ARROW])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:3], lists], ["row", "doc_id", "rank", "windows"])
+                given = zip(*[rows.column(k).to_pylist() for k in (3, 4, 5, 6)], strict=True)
+                found = [windows_of(t, np.array(a, np.int64), pairs(u), pairs(v)) for t, a, u, v in given]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], lists_of(found, WINDOW_ARROW)], ["row", "doc_id", "rank", "windows"])
 
     return texts.mapInArrow(run, f"row long, doc_id long, rank long, windows {WINDOW_TYPE}")
 
 
-def keepers(places: DataFrame) -> DataFrame:
-    """_high, _low, keeper (the row that keeps), first (its doc_id) of every digest that places (high, low, row, rank, doc_id)
-    hold more than once. Pre-aggregated before the shuffle, whatever its frequency."""
-    groups = places.groupBy(F.col("high").alias("_high"), F.col("low").alias("_low"))
-    found = groups.agg(F.min_by("row", "rank").alias("keeper"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    return found.where("n > 1").drop("n")
-
+def repeated_units(table: DataFrame, space: Workspace) -> DataFrame:
+    """row, word, end, start, stop, n_units (1), first, keeper, shift of every unit that is not its digest's first one in its
+    keeper, written. keeper is the row of smallest rank that holds the digest, and word + shift its place there.
 
-def repeats(placed: DataFrame, groups: DataFrame) -> DataFrame:
-    """The places that are not their digest's first one in its keeper. Both sides come fresh from tables, so that a hot digest
-    is split among tasks at run time."""
-    found = placed.join(groups, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")))
-    return found.where(F.col("again") | (F.col("keeper") != F.col("row")))
+    Digests are pre-aggregated before the shuffle, and both sides of the join come from tables, so that a hot one is split
+    among tasks at run time."""
+    placed = table.select("row", "doc_id", "rank", F.explode("units").alias("u")).select("row", "doc_id", "rank", "u.*")
+    first = F.min_by(F.struct("row", "word"), F.when(~F.col("again"), F.col("rank"))).alias("keeper")
+    groups = placed.groupBy(F.col("high").alias("_high"), F.col("low").alias("_low")).agg(first, F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = space.write(groups.where("n > 1").drop("n"), "groups")
+    found = placed.drop("doc_id", "rank").join(groups, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")))
+    found = found.where(F.col("again") | (F.col("keeper.row") != F.col("row")))
+    end, shift = (F.col("word") + F.col("words")).alias("end"), (F.col("keeper.word") - F.col("word")).alias("shift")
+    out = space.write(found.select("row", "word", end, "start", "stop", F.lit(1).cast("long").alias("n_units"), "first", F.col("keeper.row").alias("keeper"), shift), "repeated")
+    space.drop("groups")
+    return out
 
 
-def repeated_windows(space: Workspace, table: DataFrame, runs: DataFrame) -> DataFrame:
+def same_runs(pieces: DataFrame) -> DataFrame:
+    """row, word, end of the longest runs of repeated units that stand in one keeper as they are."""
+    in_row = Window.partitionBy("row").orderBy("word")
+    goes_on = (F.lag("end").over(in_row) == F.col("word")) & (F.lag("keeper").over(in_row) == F.col("keeper")) & (F.lag("shift").over(in_row) == F.col("shift"))
+    apart = pieces.withColumn("_apart", F.when(goes_on, 0).otherwise(1))
+    runs = apart.withColumn("_run", F.sum("_apart").over(in_row.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("row", "_run").agg(F.min("word").alias("word"), F.max("end").alias("end")).drop("_run")
+
+
+def asked_marks(table: DataFrame, same: DataFrame, space: Workspace) -> DataFrame:
+    """_row, asked: the marks of each row that are found again, but those of which all windows lie in a run of same."""
+    marks = table.select("row", F.explode("marks").alias("m")).select("row", F.col("m.lo").alias("at"), "m.hi", "m.mark", "m.twice", F.lit(None).cast("int").alias("end"))
+    runs = same.select("row", F.col("word").alias("at"), F.lit(None).cast("int").alias("hi"), F.lit(None).cast("long").alias("mark"), F.lit(None).cast("boolean").alias("twice"), "end")
+    # runs do not overlap: the last one that begins at or before a mark's windows is the one that can hold them
+    before = Window.partitionBy("row").orderBy("at", F.col("end").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    held = marks.unionByName(runs).withColumn("_reach", F.max("end").over(before)).where(F.col("mark").isNotNull() & F.coalesce(F.col("_reach") < F.col("hi"), F.lit(True)))
+    left = space.write(held.select("row", "mark", "twice"), "marks")
+    again = left.groupBy("mark").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1")
+    again = space.write(again.select(F.col("mark").alias("_mark")), "marks_again")
+    return left.join(again, F.col("mark") == F.col("_mark")).groupBy(F.col("row").alias("_row")).agg(F.collect_list("mark").alias("asked"))
+
+
+def repeated_windows(space: Workspace, table: DataFrame, runs: DataFrame, same: DataFrame) -> DataFrame:
     """row, word, end, start, stop, n_units (0), first of every repeated window of WINDOW words that no run holds already."""
-    marks = table.select("row", F.explode("marks").alias("mark"))
-    again = space.write(marks.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("_mark")), "marks")
-    asked = marks.join(again, F.col("mark") == F.col("_mark")).groupBy("row").agg(F.collect_list("mark").alias("asked"))
-    own = table.where("own").select("row", F.array().cast("array<long>").alias("asked"))
-    wanted = asked.unionByName(own).groupBy(F.col("row").alias("_row")).agg(F.flatten(F.collect_list("asked")).alias("asked"))
-    held = runs.groupBy(F.col("row").alias("_held")).agg(F.collect_list(F.struct("word", "end")).alias("runs"))
-    wanted = space.write(wanted.join(held, F.col("_row") == F.col("_held"), "left").drop("_held"), "asked")
+    listed = lambda df, name: df.groupBy(F.col("row").alias(f"_{name}")).agg(F.collect_list(F.struct("word", "end")).alias(name))
+    wanted = asked_marks(table, same, space)
+    for name, df in (("runs", runs), ("same", same)):
+        wanted = wanted.join(listed(df, name), F.col("_row") == F.col(f"_{name}"), "left").drop(f"_{name}")
+    wanted = space.write(wanted, "asked")
     space.drop("marks")
-    texts = table.where("text is not null").join(wanted, F.col("row") == F.col("_row")).select("row", "doc_id", "rank", "text", "asked", "runs")
+    space.drop("marks_again")
+    texts = table.where("text is not null").join(wanted, F.col("row") == F.col("_row")).select("row", "doc_id", "rank", "text", "asked", "runs", "same")
     windows = space.write(window_table(texts), "windows")
     space.drop("asked")
     placed = windows.select("row", "doc_id", "rank", F.explode("windows").alias("w")).select("row", "doc_id", "rank", "w.*")
-    groups = space.write(keepers(placed), "window_groups")
-    found = repeats(placed.where("open").drop("doc_id", "rank"), groups)
+    groups = placed.groupBy(F.col("high").alias("_high"), F.col("low").alias("_low"))
+    groups = groups.agg(F.min_by("row", "rank").alias("keeper"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = space.write(groups, "window_groups")
+    found = placed.where("open").drop("doc_id", "rank").join(groups, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")))
+    found = found.where(F.col("again") | (F.col("keeper") != F.col("row")))
     return found.select("row", "word", (F.col("word") + F.lit(WINDOW)).alias("end"), "start", "stop", F.lit(0).cast("long").alias("n_units"), "first")
 
 
@@ -278,13 +310,11 @@ def joined(pieces: DataFrame) -> DataFrame:
 def spans_of_rows(rows: DataFrame, space: Workspace, unit: str, min_words: int) -> DataFrame:
     """row, start, stop, n_units, n_words, first_doc_id, doc_id of each run that goes, from rows (row, doc_id, text)."""
     table = space.write(unit_table(rows, unit, min_words), "units")
-    placed = table.select("row", "doc_id", "rank", F.explode("units").alias("u")).select("row", "doc_id", "rank", "u.*")
-    groups = space.write(keepers(placed), "groups")
-    found = repeats(placed.drop("doc_id", "rank"), groups)
-    pieces = found.select("row", "word", (F.col("word") + F.col("words")).alias("end"), "start", "stop", F.lit(1).cast("long").alias("n_units"), "first")
-    units = space.write(joined(pieces), "unit_runs")
-    space.drop("groups")
-    runs = space.write(joined(units.unionByName(repeated_windows(space, table, units))), "runs")
+    pieces = repeated_units(table, space)
+    units = space.write(joined(pieces.drop("keeper", "shift")), "unit_runs")
+    same = space.write(same_runs(pieces), "same_runs")
+    space.drop("repeated")
+    runs = space.write(joined(units.unionByName(repeated_windows(space, table, units, same))), "runs")
     names = table.select(F.col("row").alias("_row"), "doc_id")
     out = runs.join(names, F.col("row") == F.col("_row")).drop("_row")
     return out.select("row", "doc_id", "start", "stop", "n_units", (F.col("end") - F.col("word")).cast("long").alias("n_words"), F.col("first").alias("first_doc_id"))

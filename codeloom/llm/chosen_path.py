@@ -164,16 +164,15 @@ def children(paths: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, mix(mix(paths[at] * ODD + place.astype(np.uint64) + np.uint64(1)) + value)
 
 
-#: Paths of sets; where tied, the path is the set that this one is tied to.
-PATHS = "path long, set long, label long, tied boolean"
+PATHS = "path long, set long, label long"
 
 
 def sketches_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, PLACES)
 
 
-def path_batch(path: np.ndarray, sets: np.ndarray, label: np.ndarray, tied: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(path), pa.array(sets), pa.array(label), pa.array(np.full(len(sets), tied))], ["path", "set", "label", "tied"])
+def path_batch(path: np.ndarray, sets: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(sets), pa.array(label)], ["path", "set", "label"])
 
 
 def first_paths(sets: DataFrame, runs: int) -> DataFrame:
@@ -185,28 +184,35 @@ def first_paths(sets: DataFrame, runs: int) -> DataFrame:
             if batch.num_rows:
                 own = batch.column("set").to_numpy(zero_copy_only=False)
                 at, new = children(np.tile(roots, len(own)), sketches_of(batch.column("sketch"))[np.repeat(np.arange(len(own)), runs)])
-                yield path_batch(new.view(np.int64), own[at // runs], own[at // runs], False)
+                yield path_batch(new, own[at // runs], own[at // runs])
 
     return sets.select("set", "sketch").mapInArrow(run, PATHS)
 
 
-def next_paths(large: DataFrame, least: float) -> DataFrame:
-    """PATHS of the children of large buckets' rows (path, set, label, sketch, lead, lead_label, lead_sketch), and a tied row for
-    each set that the check of its sketch now ties to its lead; both have the lead's label from there on."""
+def next_paths(rows: DataFrame) -> DataFrame:
+    """PATHS of the children of rows (path, set, label, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                path, own, label, lead, to = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("path", "set", "label", "lead", "lead_label"))
-                sketches = sketches_of(batch.column("sketch"))
-                alike = (sketches == sketches_of(batch.column("lead_sketch"))).mean(axis=1) >= least
-                new = alike & (label != to)
-                if new.any():
-                    yield path_batch(lead[new], own[new], to[new], True)
-                at, below = children(path.view(np.uint64), sketches)
-                yield path_batch(below.view(np.int64), own[at], np.where(alike, to, label)[at], False)
+                path, own, label = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("path", "set", "label"))
+                at, below = children(path.view(np.uint64), sketches_of(batch.column("sketch")))
+                yield path_batch(below, own[at], label[at])
 
-    return large.mapInArrow(run, PATHS)
+    return rows.select("path", "set", "label", "sketch").mapInArrow(run, PATHS)
+
+
+def tied_to_leads(rows: DataFrame, least: float) -> DataFrame:
+    """rows (path, set, label, lead, lead_label, sketch, lead_sketch) with alike, whether the two sketches agree, in their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                alike = (sketches_of(batch.column("sketch")) == sketches_of(batch.column("lead_sketch"))).mean(axis=1) >= least
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(alike)], ["path", "set", "label", "lead", "lead_label", "alike"])
+
+    given = rows.select("path", "set", "label", "lead", "lead_label", "sketch", "lead_sketch")
+    return given.mapInArrow(run, "path long, set long, label long, lead long, lead_label long, alike boolean")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
@@ -288,12 +294,10 @@ def meetings(sets: DataFrame, space: Workspace, *, recall: float, depth: int, sm
     paths = space.write(first_paths(sets, runs_for(recall, depth, least)), "paths-1")
     leaves, ties = [], []
     for level in range(1, depth + 1):
-        sizes = paths.where("not tied").groupBy(F.col("path").alias("_path"))
+        sizes = paths.groupBy(F.col("path").alias("_path"))
         sizes = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("lead"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("n > 1 and _lo <> _hi")
         sizes = space.write(sizes.select("_path", "n", "lead"), f"sizes-{level}")
-        members = space.write(paths.where("not tied").join(sizes, F.col("path") == F.col("_path")).select("path", "set", "label", "n", "lead"), f"members-{level}")
-        if level > 1:
-            ties.append(space.write(paths.where("tied").select(F.col("set").alias("a"), F.col("path").alias("b")).distinct(), f"ties-{level}"))
+        members = space.write(paths.join(sizes, F.col("path") == F.col("_path")).select("path", "set", "label", "n", "lead"), f"members-{level}")
         space.drop(f"paths-{level}")
         large = members.where(F.col("n") > small)
         if level == depth or large.isEmpty():
@@ -302,8 +306,14 @@ def meetings(sets: DataFrame, space: Workspace, *, recall: float, depth: int, sm
         leaves.append(members.where(F.col("n") <= small).select("path", "set", F.lit(1).cast("long").alias("blocks")))
         lead = large.where("set = lead").join(slim, F.col("set") == F.col("_set")).select(F.col("path").alias("_path"), F.col("label").alias("lead_label"), F.col("sketch").alias("lead_sketch"))
         lead = space.write(lead, f"leads-{level}")
-        known = large.join(slim, F.col("set") == F.col("_set")).join(lead, F.col("path") == F.col("_path"))
-        paths = space.write(next_paths(known.select("path", "set", "label", "sketch", "lead", "lead_label", "lead_sketch"), least), f"paths-{level + 1}")
+        checked = tied_to_leads(large.join(slim, F.col("set") == F.col("_set")).join(lead, F.col("path") == F.col("_path")), least)
+        checked = space.write(checked, f"checked-{level}")
+        ties.append(checked.where("alike and label <> lead_label").select(F.col("set").alias("a"), F.col("lead").alias("b")))
+        now = checked.select("path", "set", F.when(F.col("alike"), F.col("lead_label")).otherwise(F.col("label")).alias("label"))
+        open_ = now.groupBy(F.col("path").alias("_path")).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
+        open_ = space.write(open_.select("_path"), f"open-{level}")
+        going = now.join(open_, F.col("path") == F.col("_path")).join(slim, F.col("set") == F.col("_set"))
+        paths = space.write(next_paths(going), f"paths-{level + 1}")
     all_leaves = leaves[0]
     for more in leaves[1:]:
         all_leaves = all_leaves.unionByName(more)
@@ -312,7 +322,7 @@ def meetings(sets: DataFrame, space: Workspace, *, recall: float, depth: int, sm
         out = out.unionByName(more)
     out = space.write(out.distinct(), "meetings")
     for k in range(1, level + 1):
-        for name in ("sizes", "members", "leads", "ties"):
+        for name in ("sizes", "members", "leads", "checked", "open"):
             space.drop(f"{name}-{k}")
     return out
 

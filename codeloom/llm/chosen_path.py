@@ -43,6 +43,8 @@ from codeloom.llm.components import components
 
 WIDTH = 5
 PLACES = 64
+#: Sets of a large bucket that all its others are compared with first.
+LEADS = 8
 #: Similarity as a fraction: links have common * below >= above * union.
 ABOVE, BELOW = 4, 5
 _rng = np.random.default_rng(20240229)
@@ -202,17 +204,88 @@ def next_paths(rows: DataFrame) -> DataFrame:
     return rows.select("path", "set", "label", "sketch").mapInArrow(run, PATHS)
 
 
+def with_sketches(rows: DataFrame, slim: DataFrame) -> DataFrame:
+    """rows (set) with the sketch of slim (_set, sketch)."""
+    return rows.join(slim, F.col("set") == F.col("_set")).drop("_set")
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """_path, sets, labels, sketches of rows (path, set, label, sketch), of which a path has only a few: lists in order of sets,
+    the sketches one after another."""
+    some = rows.groupBy(F.col("path").alias("_path")).agg(F.array_sort(F.collect_list(F.struct("set", "label", "sketch"))).alias("_l"))
+    part = lambda name: F.transform("_l", lambda x: x[name])
+    return some.select("_path", part("set").alias("sets"), part("label").alias("labels"), F.aggregate(part("sketch"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("sketches"))
+
+
+def leads_of(large: DataFrame, slim: DataFrame) -> DataFrame:
+    """listed() sets of each large bucket: the smallest of each of LEADS parts of its sets."""
+    part = F.pmod(F.xxhash64(F.lit(7), "set"), F.lit(LEADS))
+    least = [F.min(F.when(part == k, F.col("set"))) for k in range(LEADS)]
+    chosen = large.groupBy(F.col("path").alias("_path")).agg(F.array_compact(F.array(*least)).alias("_leads")).select("_path", F.explode("_leads").alias("_lead"))
+    mine = large.join(chosen, (F.col("path") == F.col("_path")) & (F.col("set") == F.col("_lead"))).select("path", "set", "label")
+    return listed(with_sketches(mine, slim))
+
+
+def by_path(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[int], list[int], np.ndarray]]:
+    """(rows, sets, labels, sketches of what is listed) for each path of a batch."""
+    _, first, back = np.unique(batch.column("path").to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+    for k, at in enumerate(first.tolist()):
+        sets, labels, raw = (batch.column(n)[at].as_py() for n in ("sets", "labels", "sketches"))
+        yield np.flatnonzero(back == k), sets, labels, np.frombuffer(raw, np.uint32).reshape(-1, PLACES)
+
+
+def agreeing(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of x agree with which of y in the share least of places."""
+    same = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(PLACES):
+        same += x[:, None, k] == y[None, :, k]
+    return same >= least * PLACES
+
+
 def tied_to_leads(rows: DataFrame, least: float) -> DataFrame:
-    """rows (path, set, label, lead, lead_label, sketch, lead_sketch) with alike, whether the two sketches agree, in their place."""
+    """path, set, label, main, ties of rows (path, set, label, sketch) with the leads of their bucket listed beside them: ties are
+    leads that agree with the set, one of each group of leads that agree; label is the group's from there on, and main that
+    of the largest group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, label = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("set", "label"))
+                sketches, main, ties = sketches_of(batch.column("sketch")), np.zeros(len(own), np.int64), [()] * len(own)
+                label = label.copy()
+                for at, sets, labels, leads in by_path(batch):
+                    group = roots_of(agreeing(leads, leads, least))
+                    of_group = {g: min(labels[k] for k in np.flatnonzero(group == g).tolist()) for g in np.unique(group).tolist()}
+                    main[at] = of_group[int(np.bincount(group).argmax())]
+                    for row, found in zip(at.tolist(), agreeing(sketches[at], leads, least), strict=True):
+                        if found.any():
+                            met = {int(group[k]): sets[k] for k in np.flatnonzero(found).tolist()}
+                            ties[row] = [s for s in met.values() if s != own[row]]
+                            label[row] = min(of_group[g] for g in met)
+                columns = [batch.column("path"), batch.column("set"), pa.array(label), pa.array(main), pa.array(ties, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "set", "label", "main", "ties"])
+
+    given = rows.select("path", "set", "label", "sketch", "sets", "labels", "sketches")
+    return given.mapInArrow(run, "path long, set long, label long, main long, ties array<long>")
+
+
+def compare_with_listed(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): each listed set b with a set of each other label among rows (path, set, label, sketch, listed sets) that agrees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: dict[tuple[int, int], int] = {}
             if batch.num_rows:
-                alike = (sketches_of(batch.column("sketch")) == sketches_of(batch.column("lead_sketch"))).mean(axis=1) >= least
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(alike)], ["path", "set", "label", "lead", "lead_label", "alike"])
+                own, label, sketches = batch.column("set").to_pylist(), batch.column("label").to_pylist(), sketches_of(batch.column("sketch"))
+                for at, sets, labels, others in by_path(batch):
+                    for r, k in zip(*(x.tolist() for x in np.nonzero(agreeing(sketches[at], others, least))), strict=True):
+                        row = int(at[r])
+                        if label[row] != labels[k]:
+                            found.setdefault((sets[k], label[row]), own[row])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([*found.values()], pa.int64()), pa.array([b for b, _ in found], pa.int64())], ["a", "b"])
 
-    given = rows.select("path", "set", "label", "lead", "lead_label", "sketch", "lead_sketch")
-    return given.mapInArrow(run, "path long, set long, label long, lead long, lead_label long, alike boolean")
+    return rows.select("path", "set", "label", "sketch", "sets", "labels", "sketches").mapInArrow(run, "a long, b long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
@@ -272,10 +345,7 @@ def compare_sketches(buckets: DataFrame, least: float) -> DataFrame:
         for _, rows in groups(batches, ["path", "low", "high"]):
             sets = rows["set"]
             x = np.frombuffer(b"".join(rows["sketch"]), np.uint32).reshape(-1, PLACES)
-            agree = np.zeros((len(x), len(x)), np.uint8)
-            for k in range(PLACES):
-                agree += x[:, None, k] == x[None, :, k]
-            out += [(a, sets[r]) for a, r in zip(sets, roots_of(agree >= least * PLACES).tolist(), strict=True) if a != sets[r]]
+            out += [(a, sets[r]) for a, r in zip(sets, roots_of(agreeing(x, x, least)).tolist(), strict=True) if a != sets[r]]
             if len(out) > 20_000:
                 yield pairs(out)
                 out = []
@@ -295,24 +365,27 @@ def meetings(sets: DataFrame, space: Workspace, *, recall: float, depth: int, sm
     leaves, ties = [], []
     for level in range(1, depth + 1):
         sizes = paths.groupBy(F.col("path").alias("_path"))
-        sizes = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("lead"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("n > 1 and _lo <> _hi")
-        sizes = space.write(sizes.select("_path", "n", "lead"), f"sizes-{level}")
-        members = space.write(paths.join(sizes, F.col("path") == F.col("_path")).select("path", "set", "label", "n", "lead"), f"members-{level}")
+        sizes = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("n > 1 and _lo <> _hi")
+        sizes = space.write(sizes.select("_path", "n"), f"sizes-{level}")
+        members = space.write(paths.join(sizes, F.col("path") == F.col("_path")).select("path", "set", "label", "n"), f"members-{level}")
         space.drop(f"paths-{level}")
         large = members.where(F.col("n") > small)
         if level == depth or large.isEmpty():
             leaves.append(members.select("path", "set", F.ceil(F.col("n") / block).alias("blocks")))
             break
         leaves.append(members.where(F.col("n") <= small).select("path", "set", F.lit(1).cast("long").alias("blocks")))
-        lead = large.where("set = lead").join(slim, F.col("set") == F.col("_set")).select(F.col("path").alias("_path"), F.col("label").alias("lead_label"), F.col("sketch").alias("lead_sketch"))
-        lead = space.write(lead, f"leads-{level}")
-        checked = tied_to_leads(large.join(slim, F.col("set") == F.col("_set")).join(lead, F.col("path") == F.col("_path")), least)
+        leads = space.write(leads_of(large, slim), f"leads-{level}")
+        checked = tied_to_leads(with_sketches(large, slim).join(leads, F.col("path") == F.col("_path")), least)
         checked = space.write(checked, f"checked-{level}")
-        ties.append(checked.where("alike and label <> lead_label").select(F.col("set").alias("a"), F.col("lead").alias("b")))
-        now = checked.select("path", "set", F.when(F.col("alike"), F.col("lead_label")).otherwise(F.col("label")).alias("label"))
-        open_ = now.groupBy(F.col("path").alias("_path")).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
-        open_ = space.write(open_.select("_path"), f"open-{level}")
-        going = now.join(open_, F.col("path") == F.col("_path")).join(slim, F.col("set") == F.col("_set"))
+        ties.append(checked.select(F.col("set").alias("a"), F.explode("ties").alias("b")))
+        others = checked.where("label <> main")
+        left = space.write(others.groupBy(F.col("path").alias("_path")).agg(F.count(F.lit(1)).alias("others")), f"left-{level}")
+        few, many = (left.where(F.col("others") <= small).select("_path"), left.where(F.col("others") > small).select("_path"))
+        known = listed(with_sketches(others.join(few, F.col("path") == F.col("_path")).drop("_path"), slim))
+        known = space.write(known, f"others-{level}")
+        met = compare_with_listed(with_sketches(checked, slim).join(known, F.col("path") == F.col("_path")), least)
+        ties.append(space.write(met, f"met-{level}"))
+        going = with_sketches(checked.join(many, F.col("path") == F.col("_path")).drop("_path"), slim)
         paths = space.write(next_paths(going), f"paths-{level + 1}")
     all_leaves = leaves[0]
     for more in leaves[1:]:
@@ -322,7 +395,7 @@ def meetings(sets: DataFrame, space: Workspace, *, recall: float, depth: int, sm
         out = out.unionByName(more)
     out = space.write(out.distinct(), "meetings")
     for k in range(1, level + 1):
-        for name in ("sizes", "members", "leads", "checked", "open"):
+        for name in ("sizes", "members", "leads", "checked", "left", "others", "met"):
             space.drop(f"{name}-{k}")
     return out
 

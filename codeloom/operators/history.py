@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from codeloom.operators.triage import score_color
@@ -18,10 +19,22 @@ def with_defaults(rows: DataFrame) -> DataFrame:
 
 
 def numbered_after(rows: DataFrame, existing: DataFrame, order: str) -> DataFrame:
-    """rows with ids that go on after the largest existing one, in the given order (rows are one call's few inserts)."""
+    """rows with ids that go on after the largest existing one, in the given order.
+
+    Numbers of any amount of rows are dealt out in stretches of the order column, whose sizes are summed first. Only an order
+    that is no number is one window over all rows, for one call's few inserts."""
     last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    place = F.row_number().over(Window.orderBy(order))
-    return rows.crossJoin(F.broadcast(last)).withColumn("id", (F.col("_last") + place).cast("long")).drop("_last")
+    if not isinstance(rows.schema[order].dataType, NumericType):
+        place = F.row_number().over(Window.orderBy(order))
+        return rows.crossJoin(F.broadcast(last)).withColumn("id", (F.col("_last") + place).cast("long")).drop("_last")
+    span = rows.agg(F.min(order).alias("_lo"), F.greatest(F.max(order) - F.min(order), F.lit(1)).alias("_span"), F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_parts"))
+    part = F.coalesce(F.floor((F.col(order) - F.col("_lo")) / F.col("_span") * F.col("_parts")), F.lit(-1))
+    dealt = rows.crossJoin(F.broadcast(span)).withColumn("_part", part).drop("_lo", "_span", "_parts")
+    ahead = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(ahead, F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    numbered = dealt.withColumn("_place", place).join(sizes, "_part").crossJoin(F.broadcast(last))
+    return numbered.withColumn("id", (F.col("_last") + F.col("_ahead") + F.col("_place")).cast("long")).drop("_part", "_place", "_ahead", "_last")
 
 
 def latest(rows: DataFrame, limit: int = PAGE) -> DataFrame:
@@ -51,6 +64,32 @@ def upsert_by_name(files: DataFrame, uploads: DataFrame) -> DataFrame:
     return moved.select("ord", "name", F.coalesce("_new", "code").alias("code"))
 
 
+def renamed(files: DataFrame, old: str, new: str) -> DataFrame:
+    """files (name) with one renamed, if there is one of the old name and none of the new."""
+    taken = files.where(F.col("name") == new).limit(1).agg((F.count(F.lit(1)) > 0).alias("_taken"))
+    name = F.when((F.col("name") == old) & ~F.col("_taken"), F.lit(new)).otherwise(F.col("name"))
+    return files.crossJoin(F.broadcast(taken)).withColumn("name", name).drop("_taken")
+
+
+def with_new_file(files: DataFrame, stem: str = "untitled", ending: str = ".py") -> DataFrame:
+    """files (ord, name, code) with an empty one more, last, whose name is the first of stem_1, stem_2, ... not yet taken."""
+    number = F.try_element_at(F.regexp_extract_all("name", F.lit(rf"\A{stem}_([0-9]+)\{ending}\z"), F.lit(1)), F.lit(1)).cast("int")
+    known = files.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_last"), F.array_sort(F.collect_set(number)).alias("_taken"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("_taken") + 1), "_taken"))
+    new = known.select((F.col("_last") + 1).alias("ord"), F.concat(F.lit(f"{stem}_"), free.cast("string"), F.lit(ending)).alias("name"), F.lit("").alias("code"))
+    return files.select("ord", "name", "code").unionByName(new)
+
+
+def with_snippets(messages: DataFrame, snippets: DataFrame, key: str = "snippet_id") -> DataFrame:
+    """Messages beside the columns of the snippet that they are about."""
+    return messages.join(snippets.withColumnRenamed("id", "_snippet"), F.col(key) == F.col("_snippet")).drop("_snippet")
+
+
+def sidebar(snippets: DataFrame, limit: int = PAGE) -> DataFrame:
+    """What a list of saved snippets shows: the latest ones, as display() has them."""
+    return display(latest(snippets, limit)).orderBy(F.desc("id"))
+
+
 def remove_file(files: DataFrame, name: str) -> DataFrame:
     """files without the named one, unless nothing would be left."""
     rest = files.where(F.col("name") != name)

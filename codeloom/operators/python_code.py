@@ -1,14 +1,13 @@
 """Structure of Python source: one parse per file in Arrow batches, everything else as native expressions on its result."""
 
 import ast
-import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import is_blank, split_lines, text
+from codeloom.operators.rules import exploded
 
 FUNCTION = "struct<name:string,lineno:int,args:array<string>,class:string,decorators:array<string>,docstring:string,line_count:int>"
 CLASS = "struct<name:string,lineno:int,bases:array<string>,docstring:string>"
@@ -25,12 +24,8 @@ UNPARSED = (ValueError, RecursionError, MemoryError)
 
 
 def python_column(column: str, analyse: Callable[[str], object], schema: str) -> Column:
-    """analyse(code) of a text column, carried as JSON and read by the engine; batches are Arrow."""
-
-    def run(codes: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(analyse(c or "")) for c in codes], dtype="object")
-
-    return F.from_json(F.pandas_udf(run, "string")(F.col(column)), schema)
+    """analyse(code) of a text column; batches are Arrow."""
+    return F.udf(lambda code: analyse(code or ""), schema, useArrow=True)(F.col(column))
 
 
 def parsed(code: str) -> tuple[ast.Module | None, dict | None]:
@@ -53,11 +48,12 @@ def outline(tree: ast.AST) -> Iterator[tuple[ast.AST, str | None]]:
         waiting += [(child, inner) for child in reversed([*ast.iter_child_nodes(node)])]
 
 
-def structure(code: str) -> dict:
+def structure(code: str, module: tuple[ast.Module | None, dict | None] | None = None) -> dict:
+    """What INFO holds; module is what parsed() says of the code, if that is known already."""
     info = {"syntax_ok": True, "syntax_error": None, "functions": [], "classes": [], "imports": [], "complexity": 0, "line_count": len(code.splitlines()), "node_count": 0}
     if not code.strip():
         return info
-    tree, wrong = parsed(code)
+    tree, wrong = module or parsed(code)
     if tree is None:
         return info | {"syntax_ok": False, "syntax_error": wrong}
     nodes = [*outline(tree)]
@@ -100,23 +96,27 @@ def with_structure(files: DataFrame, code: str = "code", column: str = "ast_info
     return files.withColumn(column, python_column(code, structure, INFO))
 
 
+def stub(code: Column) -> Column:
+    """ast_info of a file of another language: its number of lines."""
+    return F.struct(
+        F.lit(True).alias("syntax_ok"), F.lit(None).cast("struct<message:string,lineno:int,offset:int,text:string>").alias("syntax_error"),
+        F.array().cast(f"array<{FUNCTION}>").alias("functions"), F.array().cast(f"array<{CLASS}>").alias("classes"),
+        F.array().cast("array<string>").alias("imports"), F.lit(0).alias("complexity"), F.size(split_lines(code)).alias("line_count"), F.lit(0).alias("node_count"),
+    )
+
+
 def with_any_structure(files: DataFrame, language: str = "language") -> DataFrame:
     """files with ast_info: parsed for Python, a stub with the number of lines for other languages. The branches are
     parted before the Python function, which would run on every row otherwise."""
     python = with_structure(files.where(F.col(language) == "python"))
-    stub = F.struct(
-        F.lit(True).alias("syntax_ok"), F.lit(None).cast("struct<message:string,lineno:int,offset:int,text:string>").alias("syntax_error"),
-        F.array().cast(f"array<{FUNCTION}>").alias("functions"), F.array().cast(f"array<{CLASS}>").alias("classes"),
-        F.array().cast("array<string>").alias("imports"), F.lit(0).alias("complexity"), F.size(split_lines(F.col("code"))).alias("line_count"), F.lit(0).alias("node_count"),
-    )
-    others = files.where(F.coalesce(F.col(language), F.lit("")) != "python").withColumn("ast_info", stub)
+    others = files.where(F.coalesce(F.col(language), F.lit("")) != "python").withColumn("ast_info", stub(F.col("code")))
     return python.unionByName(others)
 
 
 def python_chunks(files: DataFrame) -> DataFrame:
     """Chunks of non-blank Python files (path, code), ord from 0 in the file."""
     made = files.where(~is_blank(F.col("code"))).withColumn("_chunks", python_column("code", pieces, CHUNK))
-    rows = made.select(*[c for c in files.columns if c != "code"], F.posexplode("_chunks").alias("ord", "_c")).select("*", "_c.*").drop("_c")
+    rows = exploded(made, "_chunks", "ord", *[c for c in files.columns if c != "code"]).select("*", "_i.*").drop("_i")
     whole = F.col("kind") == "file"
     rows = rows.withColumn("id", F.when(whole, F.col("path")).otherwise(F.concat("path", F.lit("::"), "name")))
     return rows.withColumn("text", F.concat_ws(" ", "path", "name", text("code")))

@@ -19,7 +19,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.python_code import FUNCTIONS, parsed, python_column
+from codeloom.operators.python_code import FUNCTIONS, INFO, parsed, python_column, structure
 from codeloom.operators.rules import ISSUE, style_score
 from codeloom.operators.triage import complexity_issue_columns, complexity_rank
 
@@ -38,10 +38,14 @@ def found(line: int, col: int, code: str, message: str, severity: str, category:
     return {"line": line, "col": col, "code": code, "message": message, "severity": severity, "category": category}
 
 
-def errors(code: str) -> list[dict]:
+#: What parsed() says of a text; functions that take it parse themselves without.
+Module = tuple[ast.Module | None, dict | None]
+
+
+def errors(code: str, module: Module | None = None) -> list[dict]:
     if not code.strip():
         return []
-    tree, wrong = parsed(code)
+    tree, wrong = module or parsed(code)
     if tree is None:
         return [found(wrong["lineno"] or 0, wrong["offset"] or 0, "E999", f"SyntaxError: {wrong['message']}", "error", "error")]
     out = []
@@ -58,36 +62,37 @@ def errors(code: str) -> list[dict]:
             flag(n, "UndefinedName", f"undefined name {n.id!r}")
         elif isinstance(n, ast.Import | ast.ImportFrom) and getattr(n, "module", "") != "__future__":
             for a in n.names:
-                name, whole = a.asname or a.name.split(".")[0], a.name if isinstance(n, ast.Import) else f"{'.' * n.level}{n.module or ''}.{a.name}"
+                name, start = a.asname or a.name.split(".")[0], "" if isinstance(n, ast.Import) else "." * n.level + (n.module or "")
+                whole = start + ("" if start.endswith(".") or not start else ".") + a.name
                 if a.name != "*" and name not in used:
                     flag(n, "UnusedImport", f"{whole + (f' as {a.asname}' if a.asname else '')!r} imported but unused")
         elif isinstance(n, FUNCTIONS):
             args = [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs, *filter(None, (n.args.vararg, n.args.kwarg))]
-            for a in {a.arg: a for a in args if sum(b.arg == a.arg for b in args) > 1}.values():
+            times = Counter(a.arg for a in args)
+            for a in {a.arg: a for a in args if times[a.arg] > 1}.values():
                 flag(n, "DuplicateArgument", f"duplicate argument {a.arg!r} in function definition")
-            inside = [*ast.walk(n)]
+            inside, own = [*ast.walk(n)], _own(n)
             reads = {m.id for m in inside if isinstance(m, ast.Name) and not isinstance(m.ctx, ast.Store)} | {x for m in inside if isinstance(m, ast.Global | ast.Nonlocal) for x in m.names}
             if "locals" not in reads:
                 for m in inside:
                     if isinstance(m, ast.Assign | ast.AnnAssign) and m.value is not None:
                         for t in m.targets if isinstance(m, ast.Assign) else [m.target]:
-                            if isinstance(t, ast.Name) and t.id not in reads and _owner(n, m):
+                            if isinstance(t, ast.Name) and t.id not in reads and id(m) in own:
                                 flag(t, "UnusedVariable", f"local variable {t.id!r} is assigned to but never used")
     _misplaced(tree.body, False, False, flag)
     _redefined(tree, flag)
     return sorted(out, key=lambda x: x["line"])
 
 
-def _owner(function: ast.AST, statement: ast.AST) -> bool:
-    """Whether the statement stands in the function itself, not in a scope inside it."""
-    waiting = [*ast.iter_child_nodes(function)]
+def _own(function: ast.AST) -> set[int]:
+    """Identities of the nodes that stand in the function itself, not in a scope inside it."""
+    found, waiting = set(), [*ast.iter_child_nodes(function)]
     while waiting:
         node = waiting.pop()
-        if node is statement:
-            return True
+        found.add(id(node))
         if not isinstance(node, SCOPES):
             waiting += ast.iter_child_nodes(node)
-    return False
+    return found
 
 
 def _bound(tree: ast.AST) -> set[str]:
@@ -212,9 +217,9 @@ def branches(node: ast.AST) -> int:
     return total
 
 
-def blocks(code: str) -> list[dict]:
+def blocks(code: str, module: Module | None = None) -> list[dict]:
     """Functions, methods and classes with their complexity; a class has the mean of its methods and one more."""
-    tree, out = parsed(code)[0], []
+    tree, out = (module or parsed(code))[0], []
     for n in tree.body if tree else ():
         if isinstance(n, FUNCTIONS):
             out.append({"line": n.lineno, "name": n.name, "complexity": 1 + branches(n)})
@@ -225,9 +230,9 @@ def blocks(code: str) -> list[dict]:
     return out
 
 
-def maintainability(code: str) -> int:
+def maintainability(code: str, module: Module | None = None) -> int:
     """0 to 100; 100 for blank or unparsable code."""
-    tree = parsed(code)[0] if code.strip() else None
+    tree = (module or parsed(code))[0] if code.strip() else None
     if tree is None:
         return 100
     operators, operands = Counter(), Counter()
@@ -253,8 +258,8 @@ def maintainability(code: str) -> int:
     return max(0, min(100, round(index * 100 / 171)))
 
 
-def security(code: str) -> list[dict]:
-    tree, out = parsed(code)[0] if code.strip() else None, []
+def security(code: str, module: Module | None = None) -> list[dict]:
+    tree, out = (module or parsed(code))[0] if code.strip() else None, []
 
     def flag(n: ast.AST, test: str, message: str, severity: str, confidence: str, cwe: int) -> None:
         out.append(found(n.lineno, 1, test, message, "error" if severity in ("HIGH", "MEDIUM") else "warning", "security") | {"bandit_severity": severity, "bandit_confidence": confidence, "cwe": str(cwe)})
@@ -283,13 +288,22 @@ def security(code: str) -> list[dict]:
     return sorted(out, key=lambda x: x["line"])
 
 
+LINT = f"struct<errors:array<{ISSUE}>,style_issues:array<{ISSUE}>,security_issues:{SECURITY},_blocks:{BLOCK},maintainability:int,ast_info:{INFO}>"
+
+
+def lint(code: str) -> dict:
+    """All that LINT holds, from one parse."""
+    module = parsed(code) if code.strip() else (ast.Module([], []), None)
+    return {
+        "errors": errors(code, module), "style_issues": sorted(style(code), key=lambda x: x["line"]), "security_issues": security(code, module), "_blocks": blocks(code, module),
+        "maintainability": maintainability(code, module), "ast_info": structure(code, module),
+    }
+
+
 def with_lint(files: DataFrame) -> DataFrame:
-    """Python files with errors, style_issues, style_score, security_issues, complexity_issues and maintainability."""
-    made = files.withColumns({
-        "errors": python_column("code", errors, f"array<{ISSUE}>"), "style_issues": F.array_sort(python_column("code", style, f"array<{ISSUE}>"), lambda a, b: a["line"] - b["line"]),
-        "security_issues": python_column("code", security, SECURITY), "_blocks": python_column("code", blocks, BLOCK),
-        "maintainability": python_column("code", lambda c: {"x": maintainability(c)}, "struct<x:int>").getField("x"),
-    })
+    """Python files with errors, style_issues, style_score, security_issues, complexity_issues, maintainability and ast_info: one
+    Python function, which parses a file once."""
+    made = files.withColumn("_lint", python_column("code", lint, LINT)).select(*files.columns, "_lint.*")
 
     def as_issue(b):  # noqa: ANN001, ANN202
         rank = complexity_rank(b["complexity"])

@@ -17,7 +17,7 @@ LONGEST = 120
 CAP = 50
 PENALTY = 3
 # Markers, the first of which counts for a line.
-MARKERS = ("TODO", "FIXME", "HACK", "XXX")
+MARKERS = ("TODO", "FIXME", "HACK", "XXX")  # messages of the rules below are fixed values too
 BRACKETS = (("(", ")"), ("[", "]"), ("{", "}"))
 ISSUE = "struct<line:int,col:int,code:string,message:string,severity:string,category:string>"
 NO_ISSUES = f"array<{ISSUE}>"
@@ -124,7 +124,13 @@ def with_rules(files: DataFrame) -> DataFrame:
 
 def issue_rows(files: DataFrame, column: str, *keys: str) -> DataFrame:
     """One row per issue, with its number in the file from 0."""
-    return files.select(*keys, F.posexplode(column).alias("ord", "_i")).select(*keys, "ord", "_i.*")
+    return exploded(files, column, "ord", *keys).select(*keys, "ord", "_i.*")
+
+
+def exploded(files: DataFrame, column: str, ord_name: str, *keys: str) -> DataFrame:
+    """keys, number from 0 and _i of each entry of an array column. The explode is an outer one whose empty row goes again: for
+    any other the optimiser would filter by the size of the array first, and compute the array twice."""
+    return files.select(*keys, F.posexplode_outer(column).alias(ord_name, "_i")).where(F.col(ord_name).isNotNull())
 
 
 def style_check_rows(reports: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.json import SCAN_REPORT
+
 MAX_FILES = 200
 SIZE_LIMIT = 102_400
 # Parts of paths that are never scanned.
@@ -47,8 +49,30 @@ def triage(files: DataFrame) -> DataFrame:
 
 
 def review_targets(triaged: DataFrame, limit: int = 5) -> DataFrame:
-    """The flagged files of highest priority, ties in input order."""
-    return triaged.where("flagged").orderBy(F.desc("priority_score"), "ord").limit(limit)
+    """The flagged files of highest priority, ties in input order: a top-k of all files, from which the others then go, so that
+    no filter makes the optimiser compute the rules twice."""
+    return triaged.orderBy(~F.col("flagged"), F.desc("priority_score"), "ord").limit(limit).where("flagged")
+
+
+def flag_counts(triaged: DataFrame, *keys: str) -> DataFrame:
+    return triaged.groupBy(*keys).agg(F.count_if("flagged").alias("n_flagged"), F.count_if(~F.col("flagged")).alias("n_clean"))
+
+
+def security_columns(report: Column) -> dict[str, Column]:
+    """Columns of an entry of a security report (functions.json.SCAN_REPORT), with defaults for what it lacks."""
+    level = F.upper(F.coalesce(report.issue_severity, F.lit("LOW")))
+    return {
+        "line": F.coalesce(report.line_number, F.lit(0)), "code": F.coalesce(report.test_id, F.lit("B000")), "message": F.coalesce(report.issue_text, F.lit("Security issue")),
+        "severity": F.when(level.isin("HIGH", "MEDIUM"), "error").otherwise("warning"), "bandit_severity": level,
+        "bandit_confidence": F.upper(F.coalesce(report.issue_confidence, F.lit("LOW"))), "cwe": F.coalesce(report.issue_cwe.id.cast("string"), F.lit("")),
+    }
+
+
+def security_rows(reports: DataFrame, column: str, *keys: str) -> DataFrame:
+    """One row per finding of security reports as JSON text."""
+    parsed = reports.select(*keys, F.from_json(column, SCAN_REPORT)["results"].alias("_r"))
+    found = parsed.select(*keys, F.posexplode_outer("_r").alias("_ord", "_i")).where("_ord is not null")
+    return found.select(*keys, *[c.alias(n) for n, c in security_columns(F.col("_i")).items()])
 
 
 def score_color(score: Column) -> Column:

@@ -14,9 +14,10 @@ def analyse(files: DataFrame) -> DataFrame:
 
     Python files go through the syntax tree, others through native rules; the two are parted before any Python runs."""
     others = rules.with_rules(files.where(F.coalesce(F.col("language"), F.lit("")) != "python")).drop("line_count")
+    others = others.withColumn("ast_info", python_code.stub(F.col("code")))
     python = python_lint.with_lint(files.where(F.col("language") == "python"))
-    structured = python_code.with_any_structure(others.unionByName(python, allowMissingColumns=True))
-    return triage.totals(structured.withColumn("complexity", F.col("ast_info.complexity")))
+    both = others.unionByName(python, allowMissingColumns=True)
+    return triage.totals(both.withColumn("complexity", F.col("ast_info.complexity")))
 
 
 def scan(files: DataFrame, language_aware: bool = True) -> DataFrame:

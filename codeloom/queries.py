@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import json as replies
 from codeloom.functions import languages, text
 from codeloom.operators import history, prompts, python_code, python_lint, retrieval, rules, triage, urls
 from codeloom.plans import chat, scan
+from codeloom.sources import store
 from codeloom.sources.files import CORPUS_SQL, corpus, named, sql_over, table
 from codeloom.streaming import streams
 
@@ -103,16 +105,19 @@ def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.issue_rows(ruled(spark, sf_dir), "style_issues", "file_id").drop("ord")
 
 
-def one_rule(name: str, code: str) -> None:
+def one_rule(name: str, code: str, made: Callable[[Column, Column], Column]) -> None:
+    """The rows of one rule alone, from the code and its lines."""
+
     @query(name, FILE_SQL + f"select file_id, {', '.join(ISSUE_COLUMNS)} from issues where {RULED} and code in ({code})")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rules.issue_rows(ruled(spark, sf_dir), "style_issues", "file_id").where(f"code in ({code})").drop("ord")
+        files = corpus(spark, sf_dir).where(RULED if name != "js_rules" else "language in ('javascript', 'typescript')")
+        return rules.issue_rows(files.withColumn("_found", made(F.col("code"), text.split_lines(F.col("code")))), "_found", "file_id").drop("ord")
 
 
-one_rule("trail_ws", "'TRAIL_WS'")
-one_rule("markers", "'TODO', 'FIXME', 'HACK', 'XXX'")
-one_rule("bracket_balance", "'UNBALANCED'")
-one_rule("js_rules", "'NO_VAR', 'CONSOLE_LOG', 'LOOSE_EQ'")
+one_rule("trail_ws", "'TRAIL_WS'", lambda code, lines: rules.trailing_space(lines))
+one_rule("markers", "'TODO', 'FIXME', 'HACK', 'XXX'", lambda code, lines: rules.markers(lines))
+one_rule("bracket_balance", "'UNBALANCED'", lambda code, lines: rules.unbalanced(code))
+one_rule("js_rules", "'NO_VAR', 'CONSOLE_LOG', 'LOOSE_EQ'", lambda code, lines: rules.script_issues(lines))
 
 
 @query("line_len", f"""
@@ -120,10 +125,11 @@ with l as (select doc_id, unnest(ls) line, generate_subscripts(ls, 1) n from (se
 select doc_id, n::int line, 'Line too long (' || length(line) || ' > 120 chars)' message from l where length(line) > 120""")
 def line_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = text.split_lines(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(rules.long_lines(lines)).alias("i")).select("doc_id", "i.line", "i.message")
+    files = table(spark, sf_dir, "documents").select("doc_id", rules.long_lines(lines).alias("found"))
+    return rules.exploded(files, "found", "ord", "doc_id").select("doc_id", "_i.line", "_i.message")
 
 
-CAP_FILES = f"select file_id, path, repeat(code || chr(10), 30) as code from ({CORPUS_SQL}) where file_id % 20 = 3"
+CAP_FILES = f"select file_id, path, repeat(code || chr(10), 30) as code from ({CORPUS_SQL})"
 
 
 @query("issue_cap50", issues_sql(CAP_FILES) + f"select file_id, code, count(*)::bigint n, min(line)::int first_line, max(line)::int last_line from issues where {RULED} group by file_id, code")
@@ -257,7 +263,7 @@ def scan_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flag_counts", FILE_SQL + "select language, count(*) filter (flagged)::bigint n_flagged, count(*) filter (not flagged)::bigint n_clean from triaged group by language")
 def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triaged(spark, sf_dir).groupBy("language").agg(F.count_if("flagged").alias("n_flagged"), F.count_if(~F.col("flagged")).alias("n_clean"))
+    return triage.flag_counts(triaged(spark, sf_dir), "language")
 
 
 @query("first_open", FILE_SQL + "select file_id, filename from triaged order by not (error_count > 0 or style_score < 70), ord limit 1")
@@ -380,10 +386,10 @@ def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("vector_fallback", KNN_SQL.replace("select query_id, vec_id, round(distance, 6) distance, rank::int rank from r where rank <= 4", """
-select i.i query_id, coalesce(r.vec_id, -1) found, r.rank is not null by_vector from (select unnest(range(0, 500, 50)) i) i left join (select * from r where rank = 1) r on r.query_id = i.i"""))
+select i.i query_id, coalesce(r.vec_id, -1) found, r.rank is not null by_vector from (select vec_id i from embeddings where vec_id % 50 = 0) i left join (select * from r where rank = 1) r on r.query_id = i.i"""))
 def vector_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = knn_top(spark, sf_dir).where("rank = 1").select("query_id", F.col("vec_id").alias("found"), F.lit(True).alias("by_vector"))
-    keyword = spark.range(0, 500, 50).select(F.col("id").alias("query_id"), F.lit(-1).cast("long").alias("found"), F.lit(False).alias("by_vector"))
+    keyword = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit(-1).cast("long").alias("found"), F.lit(False).alias("by_vector"))
     return retrieval.retrieve(keyword, vector)
 
 
@@ -418,9 +424,9 @@ def snippet_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.without(rows, rows.where("id % 7 = 0")).select("id", "title")
 
 
-@query("snippet_save", "select ((select max(event_id) from events) + row_number() over (order by c_custkey))::bigint id, c_name title, '' code, 'python' language, 0 style_score, (c_custkey % 3)::int error_count, 0 style_issue_count from customer where c_custkey <= 20")
+@query("snippet_save", "select ((select max(event_id) from events) + row_number() over (order by c_custkey))::bigint id, c_name title, '' code, 'python' language, 0 style_score, (c_custkey % 3)::int error_count, 0 style_issue_count from customer")
 def snippet_save(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = table(spark, sf_dir, "customer").where("c_custkey <= 20").select("c_custkey", F.col("c_name").alias("title"), (F.col("c_custkey") % 3).cast("int").alias("error_count"))
+    new = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("title"), (F.col("c_custkey") % 3).cast("int").alias("error_count"))
     made = history.numbered_after(history.with_defaults(new), snippets(spark, sf_dir), "c_custkey")
     return made.select("id", "title", "code", "language", "style_score", "error_count", "style_issue_count")
 
@@ -465,15 +471,15 @@ def chat_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.chat_history(rows, 5).select(F.col("id").alias("turn"), "role", "text")
 
 
-@query("chat_save", "select ((select max(turn) from conversations) + row_number() over (order by c_custkey))::bigint id, c_custkey snippet_id, 'user' role, c_name as content from customer where c_custkey <= 10")
+@query("chat_save", "select ((select max(turn) from conversations) + row_number() over (order by c_custkey))::bigint id, c_custkey snippet_id, 'user' role, c_name as content from customer")
 def chat_save(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = table(spark, sf_dir, "customer").where("c_custkey <= 10").select(F.col("c_custkey").alias("snippet_id"), F.lit("user").alias("role"), F.col("c_name").alias("content"))
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("snippet_id"), F.lit("user").alias("role"), F.col("c_name").alias("content"))
     return history.numbered_after(new, table(spark, sf_dir, "conversations").select(F.col("turn").alias("id")), "snippet_id")
 
 
 @query("chat_snippets", f"with s as ({SNIPPETS}) select conv_id, turn, title from conversations join s on conv_id = id")
 def chat_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").join(snippets(spark, sf_dir), F.col("conv_id") == F.col("id")).select("conv_id", "turn", "title")
+    return history.with_snippets(table(spark, sf_dir, "conversations"), snippets(spark, sf_dir), "conv_id").select("conv_id", "turn", "title")
 
 
 # JSON and scalars
@@ -488,13 +494,7 @@ select o_orderkey, coalesce((j ->> '$.line_number')::int, 0) line, coalesce(j ->
   upper(coalesce(j ->> '$.issue_confidence', 'LOW')) bandit_confidence, coalesce(j ->> '$.issue_cwe.id', '') cwe from x""")
 def bandit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sql_over(spark, REPORT_SQL, "orders", table(spark, sf_dir, "orders"))
-    found = rows.select("o_orderkey", F.explode(F.from_json("report", replies.SCAN_REPORT)["results"]).alias("r"))
-    level = F.upper(F.coalesce("r.issue_severity", F.lit("LOW")))
-    return found.select(
-        "o_orderkey", F.coalesce("r.line_number", F.lit(0)).alias("line"), F.coalesce("r.test_id", F.lit("B000")).alias("code"), F.coalesce("r.issue_text", F.lit("Security issue")).alias("message"),
-        F.when(level.isin("HIGH", "MEDIUM"), "error").otherwise("warning").alias("severity"), level.alias("bandit_severity"),
-        F.upper(F.coalesce("r.issue_confidence", F.lit("LOW"))).alias("bandit_confidence"), F.coalesce(F.col("r.issue_cwe.id").cast("string"), F.lit("")).alias("cwe"),
-    )
+    return triage.security_rows(rows, "report", "o_orderkey")
 
 
 REPLIES_SQL = """select o_orderkey, case o_orderkey % 6 when 0 then ' {"summary": "s' || o_custkey || '"} ' when 1 then 'Here:' || chr(10) || '```json' || chr(10) || '{"summary": "f' || o_custkey || '"}' || chr(10) || '```'
@@ -525,20 +525,25 @@ def terminal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", out.alias("shown"))
 
 
-@query("type_strip")
+@query("type_strip", """with x as (select o_orderkey, 'type T = string;' || chr(10) || 'interface A { x: number }' || chr(10) || 'function f' || (o_orderkey % 7) || '(a: number, b: Array<string>): void { return g<T>(a' || repeat(' ', (o_orderkey % 3)::int) || '); } // ' || o_orderpriority code from orders),
+y as (select o_orderkey, regexp_replace(code, ':[\\s]*[A-Za-z<>\\[\\]|&]+([\\s,)=;{])', '\\1', 'g') code from x),
+z as (select o_orderkey, regexp_replace(replace(code, 'g<T>(', 'g('), '\\binterface\\s+\\w+\\s*\\{[^}]*\\}', '', 'g') code from y)
+select o_orderkey, regexp_replace(code, '\\btype\\s+\\w+\\s*=\\s*[^;]+;', '', 'g') js from z""".replace("\\\\", "\\"))
 def type_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.concat(F.lit("type T = string;\ninterface A { x: number }\nfunction f(a: number, b: string): void { return g<T>(a); } // "), "o_orderpriority")
+    number, gap = (F.col("o_orderkey") % 7).cast("string"), F.expr("repeat(' ', int(o_orderkey % 3))")
+    code = F.concat(F.lit("type T = string;\ninterface A { x: number }\nfunction f"), number, F.lit("(a: number, b: Array<string>): void { return g<T>(a"), gap, F.lit("); } // "), "o_orderpriority")
     return table(spark, sf_dir, "orders").select("o_orderkey", text.without_types(code).alias("js"))
 
 
 # Python code
 
 
-PYTHON_SAMPLE = '''"""Module {k}."""
-import os, sys
-from . import util as u
-from a.b import c
-
+#: Parts of a sample module: for which customers it has them, and their text. {k} is the customer's number.
+PARTS = {
+    "head": ("true", '"""Module {k}."""\nimport os, sys\n'),
+    "near": ("c_custkey % 2 = 1", "from . import util as u\n"),
+    "far": ("c_custkey % 3 = 0", "from a.b import c\n"),
+    "box": ("c_custkey % 3 <> 1", '''
 
 class Box(Base{k}):
     """Holds things."""
@@ -552,11 +557,15 @@ class Box(Base{k}):
             if i and y or x:
                 self.size += i
         return self.size
+'''),
+    "later": ("c_custkey % 5 = 2", '''
 
+class Later(object):
     async def later(self):
         async with self.lock:
             await self.go()
-
+'''),
+    "check": ("c_custkey % 4 > 0", '''
 
 def check(value):
     assert value
@@ -566,71 +575,154 @@ def check(value):
         raise ValueError(value)
     else:
         password = "x"
+    return undefined_name
+'''),
+    "outer": ("c_custkey % 4 > 1", '''
+
+def outer(items, /, key):
+    def inner(y):
+        return y
+    keep = [i for i in key if i if not i] or None
     try:
         eval("1")
     except ValueError:
         pass
     except (KeyError, OSError):
-        while value:
-            value -= 1
-    return undefined_name
-'''
+        while items:
+            items -= 1
+    return inner(keep)
+'''),
+    "kind": ("c_custkey % 6 = 2", '''
+
+def kind(shape):
+    match shape:
+        case [a, b] if a:
+            return b
+        case _:
+            return None
+'''),
+}
+PYTHON_SQL = "select c_custkey as file_id, c_custkey as ord, concat('pkg/m', cast(c_custkey as string), '.py') as path, case when c_custkey % 10 = 0 then '  \n' when c_custkey % 10 = 1 then 'def broken(:\n  pass\n' else replace(concat(" + ", ".join(f"case when {on} then '{part}' else '' end" for on, part in PARTS.values()) + "), '{k}', cast(c_custkey as string)) end as code from customer"
+#: What the parts hold, in lines counted from 1 in the part itself: the answers that the SQL below puts together.
+PARTS_SQL = "with parts as (" + " union all ".join(f"select c_custkey file_id, {n} part, '{name}' name, replace('{part}', '{{k}}', c_custkey::varchar) body, {part.count(chr(10))} size from customer where c_custkey % 10 > 1 and {on}" for n, (name, (on, part)) in enumerate(PARTS.items())) + """),
+spot as (select *, coalesce(sum(size) over (partition by file_id order by part rows between unbounded preceding and 1 preceding), 0)::int above from parts),
+defs as (select * from (values ('box', 9, 'total', 'self,x', 'Box', 'property', 'Sum.', 6), ('later', 4, 'later', 'self', 'Later', '', '', 3), ('check', 3, 'check', 'value', null, '', '', 9),
+  ('outer', 3, 'outer', 'key', null, '', '', 12), ('outer', 4, 'inner', 'y', null, '', '', 2), ('kind', 3, 'kind', 'shape', null, '', '', 6)) v(part_name, line, name, args, class, decorators, docstring, line_count)),
+found as (select * from (values ('head', 2, 0, 'errors', 1, 'UnusedImport', '''os'' imported but unused', 'warning', 'error'), ('head', 2, 1, 'errors', 1, 'UnusedImport', '''sys'' imported but unused', 'warning', 'error'),
+  ('near', 1, 0, 'errors', 1, 'UnusedImport', '''.util as u'' imported but unused', 'warning', 'error'), ('far', 1, 0, 'errors', 1, 'UnusedImport', '''a.b.c'' imported but unused', 'warning', 'error'),
+  ('box', 3, 0, 'errors', 11, 'UndefinedName', 'undefined name ''Base{k}''', 'error', 'error'), ('check', 10, 0, 'errors', 9, 'UnusedVariable', 'local variable ''password'' is assigned to but never used', 'warning', 'error'),
+  ('check', 11, 0, 'errors', 12, 'UndefinedName', 'undefined name ''undefined_name''', 'error', 'error'), ('head', 2, 0, 'style', 10, 'E401', 'multiple imports on one line', 'error', 'style'),
+  ('check', 5, 0, 'style', 14, 'E711', 'comparison to None should be ''if cond is None:''', 'error', 'style')) v(part_name, line, k, list, col, code, message, severity, category)),
+issues as (
+  select file_id, row_number() over (partition by file_id, list order by above + line, k) - 1 ord, list, (above + line)::int line, col, code, replace(message, '{k}', file_id::varchar) message, severity, category
+  from spot join found on name = part_name
+  union all select c_custkey, 0, 'errors', 1, 12, 'E999', 'SyntaxError: invalid syntax', 'error', 'error' from customer where c_custkey % 10 = 1)
+"""
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python file for each customer: most parse, some are blank or broken."""
-    key = F.col("c_custkey")
-    code = F.when(key % 10 == 0, "  \n").when(key % 10 == 1, "def broken(:\n  pass\n").otherwise(F.replace(F.lit(PYTHON_SAMPLE), F.lit("{k}"), key.cast("string")))
-    rows = table(spark, sf_dir, "customer").select(key.alias("file_id"), key.alias("ord"), F.concat(F.lit("pkg/m"), key.cast("string"), F.lit(".py")).alias("path"), code.alias("code"))
-    return named(rows)
+    return named(sql_over(spark, PYTHON_SQL, "customer", table(spark, sf_dir, "customer")))
 
 
-@query("ast_info", "select c_custkey file_id, c_custkey % 10 <> 1 syntax_ok, case when c_custkey % 10 = 0 or c_custkey % 10 = 1 then 0 else 11 end complexity, case c_custkey % 10 when 0 then 1 when 1 then 2 else 40 end line_count, case when c_custkey % 10 < 2 then 0 else 3 end n_functions from customer")
+@query("ast_info", PARTS_SQL + """, facts as (select file_id, sum(size) lines, sum(case name when 'box' then 4 when 'check' then 3 when 'outer' then 4 else 0 end) branches from spot group by file_id),
+  made as (select file_id, count(*) n from spot join defs on spot.name = part_name group by file_id)
+select c_custkey file_id, c_custkey % 10 <> 1 syntax_ok, case when c_custkey % 10 < 2 then 0 else 1 + branches end::int complexity, case c_custkey % 10 when 0 then 1 when 1 then 2 else lines end::int line_count,
+  coalesce(n, 0)::int n_functions from customer left join facts on facts.file_id = c_custkey left join made on made.file_id = c_custkey""")
 def ast_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("ast_info")
     return python_code.with_structure(python_files(spark, sf_dir)).select("file_id", i.syntax_ok.alias("syntax_ok"), i.complexity.alias("complexity"), i.line_count.alias("line_count"), F.size(i.functions).alias("n_functions"))
 
 
-@query("functions")
+def structures(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """file_id, _i: each entry of a list of a file's structure."""
+    return rules.exploded(python_code.with_structure(python_files(spark, sf_dir)), f"ast_info.{part}", "ord", "file_id")
+
+
+@query("functions", PARTS_SQL + "select file_id, d.name, (above + line)::int lineno, args, class, decorators, docstring, line_count from spot join defs d on spot.name = part_name")
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.with_structure(python_files(spark, sf_dir)).select("file_id", F.explode("ast_info.functions").alias("f")).select("file_id", "f.*")
+    found = structures(spark, sf_dir, "functions").select("file_id", "_i.*")
+    return found.withColumns({n: F.array_join(n, ",") for n in ("args", "decorators")})
 
 
-@query("classes")
+@query("classes", PARTS_SQL + """select file_id, upper(name[1]) || name[2:] "name", above + 3 lineno, case when name = 'box' then 'Base' || file_id else 'object' end bases, case when name = 'box' then 'Holds things.' else '' end docstring
+from spot where name in ('box', 'later')""")
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.with_structure(python_files(spark, sf_dir)).select("file_id", F.explode("ast_info.classes").alias("c")).select("file_id", "c.*")
+    return structures(spark, sf_dir, "classes").select("file_id", "_i.*").withColumn("bases", F.array_join("bases", ","))
 
 
-@query("imports", "select c_custkey file_id, unnest(['a.b.c', '.util', 'os', 'sys']) import from customer where c_custkey % 10 > 1")
+@query("imports", PARTS_SQL + "select file_id, unnest(case name when 'head' then ['os', 'sys'] when 'near' then ['.util'] when 'far' then ['a.b.c'] else [] end) import from spot")
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.with_structure(python_files(spark, sf_dir)).select("file_id", F.explode("ast_info.imports").alias("import"))
+    return structures(spark, sf_dir, "imports").select("file_id", F.col("_i").alias("import"))
 
 
-@query("py_chunks")
-def py_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.python_chunks(python_files(spark, sf_dir).select("file_id", "path", "code")).drop("code")
+PY_CHUNKS_SQL = PARTS_SQL + """, cuts as (select * from (values ('box', 0, 9, 14, 'Box.total', 'method'), ('box', 1, 3, 14, 'Box', 'class'), ('later', 0, 4, 6, 'Later.later', 'method'), ('later', 1, 3, 6, 'Later', 'class'),
+  ('check', 0, 3, 11, 'check', 'function'), ('outer', 0, 3, 14, 'outer', 'function'), ('kind', 0, 3, 8, 'kind', 'function')) v(part_name, k, first, last, name, kind)),
+py as (select file_id, code, path from (PYTHON) where file_id % 10 <> 0),
+cut as (select spot.file_id, row_number() over (partition by spot.file_id order by part, k) - 1 ord, cuts.name, above + first line, kind, array_to_string(list_slice(string_split(body, chr(10)), first, last), chr(10)) code from spot join cuts on spot.name = part_name),
+whole as (select file_id, 0 ord, 'module' "name", 1 line, 'file' kind, code from py where file_id not in (select file_id from cut)),
+py_chunk as (select py.path, x.*, case when kind = 'file' then py.path else py.path || '::' || name end id, py.path || ' ' || name || ' ' || x.code text from (select * from cut union all select * from whole) x join py using (file_id))
+""".replace("PYTHON", PYTHON_SQL)
 
 
-@query("cfg_nodes")
+@query("py_chunks", PY_CHUNKS_SQL + "select file_id, path, ord::int ord, name, line::int line, kind, id, md5(text) text_md5 from py_chunk")
+def py_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return python_code.python_chunks(python_files(spark, sf_dir).select("file_id", "path", "code")).drop("code").withColumn("text", F.md5("text")).withColumnRenamed("text", "text_md5")
+
+
+#: Flow of the function that a file's graph shows, or of its first lines where it has none.
+FLOW_SQL = PARTS_SQL + """, shown as (
+  select file_id, case when bool_or(name = 'check') then 'check' when bool_or(name = 'kind') then 'kind' when bool_or(name = 'box') then 'box' when bool_or(name = 'later') then 'later' else 'lines' end flow,
+    bool_or(name = 'near') near, bool_or(name = 'far') far from spot group by file_id),
+nodes as (select * from (values
+  ('check', 0, 'START', 'start'), ('check', 1, 'def check()', 'def'), ('check', 2, 'assert value', 'plain'), ('check', 3, 'if value == None', 'branch'), ('check', 4, 'return 1', 'leave'), ('check', 5, 'if value > {k}', 'branch'),
+  ('check', 6, 'raise ValueError(value)', 'leave'), ('check', 7, 'password = "x"', 'plain'), ('check', 8, 'merge', 'join'), ('check', 9, 'merge', 'join'), ('check', 10, 'return undefined_name', 'leave'), ('check', 11, 'END', 'end'),
+  ('kind', 0, 'START', 'start'), ('kind', 1, 'def kind()', 'def'), ('kind', 2, 'match shape:', 'plain'), ('kind', 3, 'END', 'end'),
+  ('box', 0, 'START', 'start'), ('box', 1, 'def total()', 'def'), ('box', 2, 'QQQSum.QQQ', 'plain'), ('box', 3, 'for i in ...', 'branch'), ('box', 4, 'if i and y or x', 'branch'), ('box', 5, 'self.size += i', 'plain'),
+  ('box', 6, 'merge', 'join'), ('box', 7, 'after loop', 'join'), ('box', 8, 'return self.size', 'leave'), ('box', 9, 'END', 'end'),
+  ('later', 0, 'START', 'start'), ('later', 1, 'def later()', 'def'), ('later', 2, 'async with self.lock:', 'plain'), ('later', 3, 'END', 'end')) v(flow, node_id, label, color)),
+links as (select * from (values
+  ('check', 0, 1, ''), ('check', 1, 2, ''), ('check', 2, 3, ''), ('check', 3, 4, ''), ('check', 3, 5, ''), ('check', 5, 6, ''), ('check', 5, 7, ''), ('check', 7, 8, 'False'), ('check', 8, 9, 'False'), ('check', 9, 10, ''),
+  ('check', 4, 11, ''), ('check', 6, 11, ''), ('check', 10, 11, ''), ('kind', 0, 1, ''), ('kind', 1, 2, ''), ('kind', 2, 3, ''),
+  ('box', 0, 1, ''), ('box', 1, 2, ''), ('box', 2, 3, ''), ('box', 3, 4, ''), ('box', 4, 5, ''), ('box', 5, 6, 'True'), ('box', 4, 6, ''), ('box', 6, 3, 'loop'), ('box', 3, 7, 'exit'), ('box', 7, 8, ''), ('box', 8, 9, ''),
+  ('later', 0, 1, ''), ('later', 1, 2, ''), ('later', 2, 3, '')) v(flow, src, dst, label)),
+listed as (select file_id, list_filter(['START', 'QQQModule ' || file_id || '.QQQ', 'import os, sys', case when near then 'from . import util as u' end, case when far then 'from a.b import c' end, 'END'], lambda x: x is not null) xs from shown where flow = 'lines'),
+counted as (select file_id, generate_subscripts(xs, 1) - 1 node_id, unnest(xs) label from listed),
+all_nodes as (
+  select file_id, node_id, replace(label, '{k}', file_id::varchar) label, color from shown join nodes using (flow)
+  union all select file_id, node_id, label, case label when 'START' then 'start' when 'END' then 'end' else 'plain' end from counted),
+all_edges as (select file_id, src, dst, label from shown join links using (flow) union all select file_id, node_id - 1, node_id, '' from counted where node_id > 0)
+""".replace("QQQ", '"""')
+
+
+COLORS_SQL = " ".join(f"when '{name}' then '{color}'" for name, color in python_code.COLORS.items())
+
+
+@query("cfg_nodes", FLOW_SQL + f"select file_id, node_id::int node_id, label, case color {COLORS_SQL} end color from all_nodes")
 def cfg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.with_flow(python_files(spark, sf_dir)).select("file_id", F.explode("cfg.nodes").alias("n")).select("file_id", "n.*")
+    return rules.exploded(python_code.with_flow(python_files(spark, sf_dir)), "cfg.nodes", "ord", "file_id").select("file_id", "_i.*")
 
 
-@query("cfg_edges")
+@query("cfg_edges", FLOW_SQL + "select file_id, src::int src, dst::int dst, label from all_edges")
 def cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.with_flow(python_files(spark, sf_dir)).select("file_id", F.explode("cfg.edges").alias("e")).select("file_id", "e.*")
+    return rules.exploded(python_code.with_flow(python_files(spark, sf_dir)), "cfg.edges", "ord", "file_id").select("file_id", "_i.*")
 
 
-def linted(name: str, column: str) -> None:
-    @query(name)
+def linted(name: str, column: str, sql: str) -> None:
+    @query(name, PARTS_SQL + sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rules.issue_rows(python_lint.with_lint(python_files(spark, sf_dir)), column, "file_id")
 
 
-linted("py_errors", "errors")
-linted("py_style", "style_issues")
-linted("complexity", "complexity_issues")
-linted("security", "security_issues")
+linted("py_errors", "errors", "select file_id, ord::int ord, line, col, code, message, severity, category from issues where list = 'errors'")
+linted("py_style", "style_issues", "select file_id, ord::int ord, line, col, code, message, severity, category from issues where list = 'style'")
+linted("complexity", "complexity_issues", """select file_id, 0 ord, (above + 3)::int line, 1 col, 'CC-B' code, '''outer'' has cyclomatic complexity 8 (rank B) — consider refactoring' message, 'warning' severity, 'complexity' category,
+  'outer' "name", 8 complexity, 'B' "rank" from spot where name = 'outer'""")
+linted("security", "security_issues", """, tests as (select * from (values ('check', 4, 'B101', 'Use of assert detected. The enclosed code will be removed when compiling to optimised byte code.', 'warning', 'LOW', 'HIGH', '703'),
+  ('check', 10, 'B105', 'Possible hardcoded password: ''x''', 'warning', 'LOW', 'MEDIUM', '259'), ('outer', 8, 'B307', 'Use of possibly insecure function - consider using safer ast.literal_eval.', 'error', 'MEDIUM', 'HIGH', '78'))
+  v(part_name, line, code, message, severity, bandit_severity, bandit_confidence, cwe))
+select file_id, (row_number() over (partition by file_id order by above + line) - 1)::int ord, (above + line)::int line, 1 col, code, message, severity, 'security' category, bandit_severity, bandit_confidence, cwe
+from spot join tests on name = part_name""")
 
 
 @query("maintainability")
@@ -644,12 +736,16 @@ def repo_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.display(scan.scan(mixed))
 
 
-@query("repo_scan_literal")
+@query("repo_scan_literal", f"""select file_id ord, path, string_split(path, '/')[-1] filename, 0 complexity, 1 error_count, 100 - 3 * n style_score, true flagged, 3 + greatest(0, 3 * n - 30) // 10 priority_score, '' fetch_error,
+  case when 100 - 3 * n >= 80 then 'green' else 'yellow' end score_color, 'green' complexity_color, 'red' error_color, 'FLAGGED' status_label, 'red' status_color
+from (select *, (ls[1][-1] = ' ')::int + 1 + len(list_filter(ls, lambda x: length(x) > 100)) + 1 n from (select *, string_split(code, chr(10)) ls from ({CORPUS_SQL})))""")
 def repo_scan_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.display(scan.scan(corpus(spark, sf_dir), language_aware=False))
 
 
-@query("index_repo")
+@query("index_repo", PY_CHUNKS_SQL + f""", given as ({CORPUS_SQL})
+select ord::int ord, path, id, name, line::int line, kind from py_chunk
+union all select 0, path, case when ends_with(path, '.py') then path else path || '::L1' end, case when ends_with(path, '.py') then 'module' else 'lines 1-3' end, 1, case when ends_with(path, '.py') then 'file' else 'block' end from given""")
 def index_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = python_files(spark, sf_dir).unionByName(corpus(spark, sf_dir).select("file_id", "ord", "path", "code", "filename", "language"))
     return scan.index_chunks(mixed).drop("code", "text")
@@ -692,7 +788,9 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.size("messages").alias("n"), F.md5(said).alias("said_md5"))
 
 
-@query("batch_prompt")
+@query("batch_prompt", FILE_SQL + f""", top as (select * from triaged where flagged order by priority_score desc, ord limit 5)
+select '{prompts.BATCH_HEAD.replace("'", "''")}' || string_agg('### `' || path || '`' || chr(10) || 'Language: ' || language || ' | Errors: ' || error_count || ' | Complexity: 0 | Style: ' || style_score || '/100' || chr(10)
+  || '```' || language || chr(10) || substr(code, 1, 2000) || chr(10) || '```', chr(10) || chr(10) order by ord) prompt from top""")
 def batch_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = triage.review_targets(triaged(spark, sf_dir))
     section = prompts.file_section(F.col("path"), F.col("language"), F.col("error_count"), F.col("complexity"), F.col("style_score"), F.lit(0), F.col("code"))
@@ -730,11 +828,16 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.user_sessions(table(spark, sf_dir, "events"))
 
 
-@query("stream_issues")
+@query("stream_issues", FILE_SQL + f"select path, (row_number() over (partition by f.file_id order by line, rk, i.ord) - 1)::int ord, {', '.join('i.' + c for c in ISSUE_COLUMNS)} from issues i join f using (file_id) where f.{RULED}")
 def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on a stream of the corpus, as far as it is there, appended to a folder and read again."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
     folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    atexit.register(store.remove, spark, folder)
     files = corpus(spark, sf_dir)
     files.where(RULED).write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(files.schema).parquet(f"{folder}/in")

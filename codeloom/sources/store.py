@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,15 @@ CHAT = "id bigint, snippet_id bigint, role string, content string, ts timestamp_
 CHUNKS = "ord int, path string, id string, name string, code string, line int, kind string, text string, repo_id string"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder; at exit the gateway may be gone, and then it stays."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001, S110
+        pass
+
+
 class Table:
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
@@ -39,13 +51,18 @@ class Table:
         self._typed(rows).write.mode("append").parquet(f"{self.folder}/v{max(1, self.version())}")
 
     def replace(self, rows: DataFrame) -> None:
-        """Writes a new version beside the old one (which rows may read), then removes the old one."""
-        fs, _, path = self._fs()
-        n = self.version()
-        self._typed(rows).write.parquet(f"{self.folder}/new")
-        fs.rename(path(f"{self.folder}/new"), path(f"{self.folder}/v{n + 1}"))
+        """Writes a new version beside the old one (which rows may read), then removes the old one, and what is left of
+        replacements that broke off more than a day ago."""
+        fs, folder, path = self._fs()
+        n, new = self.version(), f"{self.folder}/new-{uuid.uuid4().hex}"
+        self._typed(rows).write.parquet(new)
+        if not fs.rename(path(new), path(f"{self.folder}/v{n + 1}")):
+            raise RuntimeError(f"version {n + 1} of {self.folder} could not be put in place")
         if n:
             fs.delete(path(f"{self.folder}/v{n}"), True)
+        for entry in fs.listStatus(folder):
+            if entry.getPath().getName().startswith("new") and entry.getModificationTime() < 1000 * (time.time() - 86_400):
+                fs.delete(entry.getPath(), True)
 
 
 def stamped(rows: DataFrame, column: str) -> DataFrame:

@@ -9,6 +9,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions import text
 from codeloom.operators import history, prompts, python_code, python_lint, retrieval, triage, urls
 from codeloom.plans import scan
 from codeloom.sources import files as sources
@@ -243,6 +244,73 @@ def test_web_source(spark):
     assert web.headers("t")["Authorization"] == "Bearer t"
 
 
+def test_tree_and_raw_files(spark):
+    tree = b'{"tree": [{"path": "a.py", "type": "blob", "size": 5}, {"path": "node_modules/b.js", "type": "blob", "size": 1}], "truncated": true}'
+    pages = {"/repos/o/new/git/trees/main?recursive=1": tree, "/repos/o/old/git/trees/master?recursive=1": tree, "/raw/o/new/main/a%20b.py": b"x" * 10 + "é".encode() * 5, "/raw/o/new/main/c.bin": b"\xff\xfe"}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path in pages else 404)
+            self.end_headers()
+            self.wfile.write(pages.get(self.path, b"{}"))
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    web.register(spark)
+    rows = spark.read.format("tree").option("repositories", "o/new o/old o/none").option("api", base).load()
+    got = {(r.repository, r.path): (r.branch, r.truncated, r.error) for r in rows.collect()}
+    raw = spark.read.format("web").option("urls", web.raw_addresses("o/new", "main", ["a b.py", "c.bin"], f"{base}/raw")).option("longest", "13").load().collect()
+    listed = sources.named(rows.where("path is not null"))
+    assert {r.path for r in listed.where(triage.in_tree(F.col("path"), F.col("type"), F.col("size"), F.col("language"))).collect()} == {"a.py"}
+    server.shutdown()
+    assert got["o/new", "a.py"] == ("main", True, None) and got["o/old", "a.py"] == ("master", True, None) and got["o/none", None] == (None, False, web.NOT_FOUND)
+    assert {r.url.rsplit("/", 1)[-1]: (r.body, r.error) for r in raw} == {"a%20b.py": ("x" * 10 + "é", None), "c.bin": (None, "Binary file")}
+
+
+def test_numbers_of_any_amount(spark):
+    old = spark.createDataFrame([(7,)], "id long")
+    rows = spark.range(5000).selectExpr("case when id % 10 = 0 then null else id * id end as k", "cast(id as string) as s")
+    for order in ("k", "s"):
+        got = history.numbered_after(rows, old, order).orderBy("id").collect()
+        assert [r.id for r in got] == [*range(8, 5008)]
+        values = [r[order] for r in got]
+        assert values == sorted(values, key=lambda v: (v is not None, v))
+    assert history.numbered_after(rows.where("false"), old, "k").count() == 0
+
+
+def test_new_and_renamed_files(spark):
+    files = spark.createDataFrame([(0, "untitled_1.py", "1"), (4, "untitled_3.py", "2")], "ord int, name string, code string")
+    made = history.with_new_file(files)
+    assert [(r.ord, r.name, r.code) for r in made.orderBy("ord").collect()][-1] == (5, "untitled_2.py", "")
+    assert [r.name for r in history.with_new_file(files.where("false")).collect()] == ["untitled_1.py"]
+    assert {r.name for r in history.renamed(files, "untitled_1.py", "a.py").collect()} == {"a.py", "untitled_3.py"}
+    assert {r.name for r in history.renamed(files, "untitled_1.py", "untitled_3.py").collect()} == {"untitled_1.py", "untitled_3.py"}
+
+
+def test_base64(spark):
+    df = spark.createDataFrame([("aGVs\nbG8=\n",), ("not base64!",), (None,), ("//79",)], "b string")
+    assert [r.x for r in df.select(text.from_base64(F.col("b")).alias("x")).collect()] == ["hello", None, None, None]
+
+
+def test_replacement_after_a_crash(spark, tmp_path):
+    kept = store.Table(spark, str(tmp_path / "t"), "id int")
+    kept.append(spark.createDataFrame([(1,)], "id int"))
+    (tmp_path / "t/new").mkdir()
+    (tmp_path / "t/new-left").mkdir()
+    kept.replace(kept.read().selectExpr("id + 1 as id"))
+    assert [r.id for r in kept.read().collect()] == [2] and kept.version() == 2
+
+
+def test_texts_for_failures(spark):
+    df = spark.createDataFrame([("Model x not found", "ollama"), ("quota", "groq"), ("boom", "groq")], "m string, b string")
+    got = [r.x for r in df.select(prompts.error_text(F.col("m"), F.col("b"), F.lit("tiny")).alias("x")).collect()]
+    assert "ollama pull tiny" in got[0] and "quota" in got[1] and "boom" in got[2] and "GROQ_API_KEY" in prompts.no_backend_text()
+
+
 def test_event_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/", pathGlobFilter="events.parquet")
@@ -265,4 +333,7 @@ def test_plans(spark):
     assert "o_totalprice" not in top  # columns that nothing needs are not read
     assert "WindowGroupLimit" in plan_of(queries.QUERIES["knn_top"](spark, SMALL))
     assert "Exchange" not in plan_of(queries.QUERIES["line_rules"](spark, SMALL))
+    for name, sign in (("line_rules", "LINE_LEN"), ("triage_top", "LINE_LEN"), ("scan_display", "LINE_LEN"), ("py_errors", "ArrowEvalPython"), ("functions", "ArrowEvalPython"), ("cfg_edges", "ArrowEvalPython"), ("repo_scan_literal", "ArrowEvalPython")):
+        assert plan_of(queries.QUERIES[name](spark, SMALL)).count(f"{sign} [" if sign.startswith("Arrow") else sign) == 1, name  # rules and Python run once
+    assert "LINE_LEN" not in plan_of(queries.QUERIES["js_rules"](spark, SMALL))
     assert "PushedFilters: [IsNotNull(conv_id), EqualTo(conv_id,5)]" in plan_of(queries.QUERIES["chat_by_id"](spark, SMALL))

@@ -192,16 +192,16 @@ def first_paths(sets: DataFrame, runs: int) -> DataFrame:
 
 
 def next_paths(rows: DataFrame) -> DataFrame:
-    """PATHS of the children of rows (path, set, label, sketch)."""
+    """PATHS of the children of rows (path, set, label, sketch), with their sketches: few go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 path, own, label = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("path", "set", "label"))
                 at, below = children(path.view(np.uint64), sketches_of(batch.column("sketch")))
-                yield path_batch(below, own[at], label[at])
+                yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), pa.array(own[at]), pa.array(label[at]), batch.column("sketch").take(pa.array(at))], ["path", "set", "label", "sketch"])
 
-    return rows.select("path", "set", "label", "sketch").mapInArrow(run, PATHS)
+    return rows.select("path", "set", "label", "sketch").mapInArrow(run, f"{PATHS}, sketch binary")
 
 
 def with_sketches(rows: DataFrame, slim: DataFrame) -> DataFrame:
@@ -217,13 +217,12 @@ def listed(rows: DataFrame) -> DataFrame:
     return some.select("_path", part("set").alias("sets"), part("label").alias("labels"), F.aggregate(part("sketch"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("sketches"))
 
 
-def leads_of(large: DataFrame, slim: DataFrame) -> DataFrame:
+def leads_of(large: DataFrame) -> DataFrame:
     """listed() sets of each large bucket: the smallest of each of LEADS parts of its sets."""
     part = F.pmod(F.xxhash64(F.lit(7), "set"), F.lit(LEADS))
     least = [F.min(F.when(part == k, F.col("set"))) for k in range(LEADS)]
     chosen = large.groupBy(F.col("path").alias("_path")).agg(F.array_compact(F.array(*least)).alias("_leads")).select("_path", F.explode("_leads").alias("_lead"))
-    mine = large.join(chosen, (F.col("path") == F.col("_path")) & (F.col("set") == F.col("_lead"))).select("path", "set", "label")
-    return listed(with_sketches(mine, slim))
+    return listed(large.join(chosen, (F.col("path") == F.col("_path")) & (F.col("set") == F.col("_lead"))).select("path", "set", "label", "sketch"))
 
 
 def by_path(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[int], list[int], np.ndarray]]:
@@ -243,7 +242,7 @@ def agreeing(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
 
 
 def tied_to_leads(rows: DataFrame, least: float) -> DataFrame:
-    """path, set, label, main, ties of rows (path, set, label, sketch) with the leads of their bucket listed beside them: ties are
+    """path, set, label, sketch, main, ties of rows (path, set, label, sketch) with the leads of their bucket listed beside them: ties are
     leads that agree with the set, one of each group of leads that agree; label is the group's from there on, and main that
     of the largest group."""
 
@@ -262,11 +261,11 @@ def tied_to_leads(rows: DataFrame, least: float) -> DataFrame:
                             met = {int(group[k]): sets[k] for k in np.flatnonzero(found).tolist()}
                             ties[row] = [s for s in met.values() if s != own[row]]
                             label[row] = min(of_group[g] for g in met)
-                columns = [batch.column("path"), batch.column("set"), pa.array(label), pa.array(main), pa.array(ties, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["path", "set", "label", "main", "ties"])
+                columns = [batch.column("path"), batch.column("set"), pa.array(label), batch.column("sketch"), pa.array(main), pa.array(ties, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "set", "label", "sketch", "main", "ties"])
 
     given = rows.select("path", "set", "label", "sketch", "sets", "labels", "sketches")
-    return given.mapInArrow(run, "path long, set long, label long, main long, ties array<long>")
+    return given.mapInArrow(run, f"{PATHS}, sketch binary, main long, ties array<long>")
 
 
 def compare_with_listed(rows: DataFrame, least: float) -> DataFrame:
@@ -367,33 +366,35 @@ def meetings(sets: DataFrame, space: Workspace, *, recall: float, depth: int, sm
         sizes = paths.groupBy(F.col("path").alias("_path"))
         sizes = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("n > 1 and _lo <> _hi")
         sizes = space.write(sizes.select("_path", "n"), f"sizes-{level}")
-        members = space.write(paths.join(sizes, F.col("path") == F.col("_path")).select("path", "set", "label", "n"), f"members-{level}")
+        members = space.write(paths.join(sizes, F.col("path") == F.col("_path")).drop("_path"), f"members-{level}")
         space.drop(f"paths-{level}")
         large = members.where(F.col("n") > small)
-        if level == depth or large.isEmpty():
-            leaves.append(members.select("path", "set", F.ceil(F.col("n") / block).alias("blocks")))
+        last = level == depth or large.isEmpty()
+        leaf = (members if last else members.where(F.col("n") <= small)).withColumn("blocks", F.ceil(F.col("n") / block))
+        # sketches are joined to the paths of the first level only: from there on the few rows that go on have theirs with them
+        leaves.append((with_sketches(leaf, slim) if level == 1 else leaf).select("path", "blocks", "set", "sketch"))
+        if last:
             break
-        leaves.append(members.where(F.col("n") <= small).select("path", "set", F.lit(1).cast("long").alias("blocks")))
-        leads = space.write(leads_of(large, slim), f"leads-{level}")
-        checked = tied_to_leads(with_sketches(large, slim).join(leads, F.col("path") == F.col("_path")), least)
+        if level == 1:
+            large = space.write(with_sketches(large, slim), "large")
+        leads = space.write(leads_of(large), f"leads-{level}")
+        checked = tied_to_leads(large.join(leads, F.col("path") == F.col("_path")), least)
         checked = space.write(checked, f"checked-{level}")
         ties.append(checked.select(F.col("set").alias("a"), F.explode("ties").alias("b")))
         others = checked.where("label <> main")
         left = space.write(others.groupBy(F.col("path").alias("_path")).agg(F.count(F.lit(1)).alias("others")), f"left-{level}")
         few, many = (left.where(F.col("others") <= small).select("_path"), left.where(F.col("others") > small).select("_path"))
-        known = listed(with_sketches(others.join(few, F.col("path") == F.col("_path")).drop("_path"), slim))
-        known = space.write(known, f"others-{level}")
-        met = compare_with_listed(with_sketches(checked, slim).join(known, F.col("path") == F.col("_path")), least)
-        ties.append(space.write(met, f"met-{level}"))
-        going = with_sketches(checked.join(many, F.col("path") == F.col("_path")).drop("_path"), slim)
-        paths = space.write(next_paths(going), f"paths-{level + 1}")
+        known = space.write(listed(others.join(few, F.col("path") == F.col("_path")).drop("_path")), f"others-{level}")
+        ties.append(space.write(compare_with_listed(checked.join(known, F.col("path") == F.col("_path")), least), f"met-{level}"))
+        paths = space.write(next_paths(checked.join(many, F.col("path") == F.col("_path"))), f"paths-{level + 1}")
     all_leaves = leaves[0]
     for more in leaves[1:]:
         all_leaves = all_leaves.unionByName(more)
-    out = compare_sketches(all_leaves.join(slim, F.col("set") == F.col("_set")).select("path", "blocks", "set", "sketch"), least)
+    out = compare_sketches(all_leaves, least)
     for more in ties:
         out = out.unionByName(more)
     out = space.write(out.distinct(), "meetings")
+    space.drop("large")
     for k in range(1, level + 1):
         for name in ("sizes", "members", "leads", "checked", "left", "others", "met"):
             space.drop(f"{name}-{k}")

@@ -10,6 +10,8 @@ from codeloom.functions.text import is_blank, split_lines, tokens
 
 WINDOW, STEP, CUT = 60, 30, 2000
 K1, B = 1.5, 0.75
+#: Bytes of query vectors that are broadcast at once.
+BLOCK_BYTES = 32_000_000
 
 
 def line_chunks(files: DataFrame, *, window: int = WINDOW, step: int = STEP, cut: int = CUT) -> DataFrame:
@@ -84,9 +86,14 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, *, top: int = 4, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
     """query_id, key, distance, rank: exact nearest vectors of each stated query, ties by key.
 
-    Every vector meets every query (queries are few, stated by the caller and bounded; they are what is broadcast), and only the
+    Every vector meets every query, in blocks of queries whose size is checked (BLOCK_BYTES); they are what is broadcast. Only the
     best of each query per partition are shuffled: the rank limit is pushed below the exchange."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).select(query_key, key, squared_distance(F.col(vector), F.col(query_vector)).alias("distance"))
+    size = queries.agg(F.sum(8 * F.size(query_vector) + 32).alias("n")).first().n or 0
+    blocks, pairs = max(1, -(-size // BLOCK_BYTES)), None
+    for k in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == k)
+        found = vectors.crossJoin(F.broadcast(some)).select(query_key, key, squared_distance(F.col(vector), F.col(query_vector)).alias("distance"))
+        pairs = found if pairs is None else pairs.unionByName(found)
     best = Window.partitionBy(query_key).orderBy("distance", key)
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 

@@ -64,6 +64,19 @@ def test_bm25(spark):
     assert found == {q: plain_bm25(docs, t, 3) for q, t in asked.items() if plain_bm25(docs, t, 3)} | {4: [1, 2, 3]}
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    vectors = spark.range(40).selectExpr("id as vec_id", "array(cast(id * 7 % 11 as float), cast(id % 5 as float)) as embedding")
+    asked = vectors.where("vec_id % 4 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    answer = lambda: sorted(map(tuple, retrieval.nearest(vectors, asked).collect()))
+    whole = answer()
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 100)
+    assert answer() == whole and len(whole) == 40
+    rows = {r.vec_id: r.embedding for r in vectors.collect()}
+    for query in range(0, 40, 4):
+        near = sorted(rows, key=lambda k: (sum((a - b) ** 2 for a, b in zip(rows[k], rows[query], strict=True)), k))[:4]
+        assert [k for _, k, _, _ in sorted((r for r in whole if r[0] == query), key=lambda r: r[3])] == near
+
+
 def test_bm25_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id int, text string")
     assert retrieval.bm25(empty, spark.createDataFrame([(1, "a")], "query_id int, query string")).count() == 0

@@ -1,6 +1,7 @@
 """Structure of Python source: one parse per file in Arrow batches, everything else as native expressions on its result."""
 
 import ast
+import warnings
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,9 @@ def python_column(column: str, analyse: Callable[[str], object], schema: str) ->
 def parsed(code: str) -> tuple[ast.Module | None, dict | None]:
     """The module, or what is wrong with it."""
     try:
-        return ast.parse(code), None
+        with warnings.catch_warnings():  # of escapes in the analysed code: a worker's log is no place for them
+            warnings.simplefilter("ignore")
+            return ast.parse(code), None
     except SyntaxError as e:
         return None, {"message": str(e.msg), "lineno": e.lineno, "offset": e.offset, "text": e.text or ""}
     except UNPARSED as e:

@@ -1,10 +1,11 @@
 """Checks of Python source on its syntax tree and lines: a subset of what the well-known checkers find.
 
-errors      E999, UndefinedName, UnusedImport, UnusedVariable, RedefinedWhileUnused, DuplicateArgument,
-            ReturnOutsideFunction, BreakOutsideLoop, ContinueOutsideLoop
-style       E501 (100), E302, E303, E305, E401, E701, E703, E711, E712, E722, W191, W291, W292, W293, W391
+errors      E999, UndefinedName, UndefinedLocal, UnusedImport, ImportShadowedByLoopVar, ImportStarUsed, UnusedVariable,
+            RedefinedWhileUnused, DuplicateArgument, ReturnOutsideFunction, BreakOutsideLoop, ContinueOutsideLoop,
+            FStringMissingPlaceholders, IsLiteral, AssertTuple, IfTuple, RaiseNotImplemented, repeated dictionary keys
+style       E501 (100), E302, E303, E305, E401, E701, E703, E711, E712, E722, W191, W291, W292, W293, W391, and those of python_spacing
 complexity  cyclomatic complexity of functions, methods and classes above 5, with ranks
-security    B101, B102, B105, B301, B307, B324, B506, B602
+security    the tests of python_security
 index       maintainability index from Halstead volume, complexity, lines and comments
 
 This is partial parity with those checkers, stated as such in the README.
@@ -15,11 +16,13 @@ import builtins
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.python_code import FUNCTIONS, INFO, parsed, python_column, structure
+from codeloom.operators import python_security, python_spacing
+from codeloom.operators.python_code import FUNCTIONS, INFO, UNPARSED, parsed, python_column, structure
 from codeloom.operators.rules import ISSUE, style_score
 from codeloom.operators.triage import complexity_issue_columns, complexity_rank
 
@@ -81,9 +84,92 @@ def errors(code: str, module: Module | None = None) -> list[dict]:
                                 flag(t, "UnusedVariable", f"local variable {t.id!r} is assigned to but never used")
     _misplaced(tree.body, False, False, flag)
     _redefined(tree, flag)
+    _shadowed(tree, flag)
+    _suspicious(tree, flag)
     return sorted(out, key=lambda x: x["line"])
 
 
+def _in_order(body: list[ast.stmt]):  # noqa: ANN202
+    """(name, whether it is read) of a function's own scope in the order of evaluation; an augmented target is read, then written."""
+    waiting: list = [(n, None) for n in reversed(body)]
+    while waiting:
+        node, read = waiting.pop()
+        if isinstance(node, ast.Name):
+            yield node, isinstance(node.ctx, ast.Load) if read is None else read
+            continue
+        if isinstance(node, (*SCOPES, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)):
+            continue
+        parts = [(p, None) for p in ast.iter_child_nodes(node)]
+        if isinstance(node, ast.Assign | ast.AnnAssign | ast.AugAssign | ast.NamedExpr):
+            parts.sort(key=lambda p: p[0] is not node.value)
+        elif isinstance(node, ast.For | ast.AsyncFor):
+            parts = [(p, None) for p in (node.iter, node.target, *node.body, *node.orelse)]
+        if isinstance(node, ast.AugAssign) and isinstance(node.target, ast.Name):
+            parts.insert(0, (node.target, True))
+        waiting += reversed(parts)
+
+
+def _shadowed(tree: ast.Module, flag) -> None:  # noqa: ANN001
+    """Names of the module that a function reads before it makes them its own, and imports that a loop writes over."""
+    lines = {n.id: n.lineno for s in tree.body if not isinstance(s, SCOPES) for n in ast.walk(s) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+    imported: dict[str, int] = {}
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Import | ast.ImportFrom):
+            for a in n.names:
+                imported.setdefault(a.asname or a.name.split(".")[0], n.lineno)
+    for n in ast.walk(tree):
+        if isinstance(n, ast.For | ast.AsyncFor):
+            for t in ast.walk(n.target):
+                if isinstance(t, ast.Name) and isinstance(t.ctx, ast.Store) and imported.get(t.id, t.lineno) < t.lineno:
+                    flag(t, "ImportShadowedByLoopVar", f"import {t.id!r} from line {imported[t.id]} shadowed by loop variable")
+        elif isinstance(n, FUNCTIONS):
+            args = {a.arg for a in ast.walk(n.args) if isinstance(a, ast.arg)}
+            declared = {x for m in ast.walk(n) if isinstance(m, ast.Global | ast.Nonlocal) for x in m.names}
+            read, written = {}, args | declared
+            for name, reads in _in_order(n.body):
+                if reads:
+                    read[name.id] = name
+                elif name.id not in written:
+                    written.add(name.id)
+                    if name.id in read and name.id in lines:
+                        flag(read[name.id], "UndefinedLocal", f"local variable {name.id!r} defined in enclosing scope on line {lines[name.id]} referenced before assignment")
+
+
+def _suspicious(tree: ast.Module, flag) -> None:  # noqa: ANN001
+    """Expressions that mean something else than they seem to."""
+    specs = {id(v.format_spec) for v in ast.walk(tree) if isinstance(v, ast.FormattedValue)}
+    for n in ast.walk(tree):
+        if isinstance(n, ast.JoinedStr) and id(n) not in specs and not any(isinstance(v, ast.FormattedValue) for v in n.values):
+            flag(n, "FStringMissingPlaceholders", "f-string is missing placeholders")
+        elif isinstance(n, ast.Compare):
+            sides = [n.left, *n.comparators]
+            for op, a, b in zip(n.ops, sides, sides[1:], strict=False):
+                if isinstance(op, ast.Is | ast.IsNot) and any(_literal(x) for x in (a, b)):
+                    flag(n, "IsLiteral", "use ==/!= to compare constant literals (str, bytes, int, float, tuple)")
+        elif isinstance(n, ast.Assert) and isinstance(n.test, ast.Tuple) and n.test.elts:
+            flag(n, "AssertTuple", "assertion is always true, perhaps remove parentheses?")
+        elif isinstance(n, ast.If | ast.IfExp) and isinstance(n.test, ast.Tuple) and n.test.elts:
+            flag(n, "IfTuple", "'if tuple literal' is always true, perhaps remove accidental comma?")
+        elif isinstance(n, ast.Raise) and getattr(n.exc.func if isinstance(n.exc, ast.Call) else n.exc, "id", "") == "NotImplemented":
+            flag(n, "RaiseNotImplemented", "'raise NotImplemented' should be 'raise NotImplementedError'")
+        elif isinstance(n, ast.Dict):
+            values: dict[str, list] = {}
+            for k, v in zip(n.keys, n.values, strict=True):
+                if isinstance(k, ast.Constant | ast.Name):
+                    values.setdefault(ast.dump(k), []).append((k, ast.dump(v)))
+            for k, _ in (x for same in values.values() if len({v for _, v in same}) > 1 for x in same):
+                name = k.id if isinstance(k, ast.Name) else repr(k.value)
+                flag(k, "MultiValueRepeatedKeyVariable" if isinstance(k, ast.Name) else "MultiValueRepeatedKeyLiteral", f"dictionary key {'variable ' * isinstance(k, ast.Name)}{name} repeated with different values")
+        elif isinstance(n, ast.ImportFrom) and any(a.name == "*" for a in n.names):
+            flag(n, "ImportStarUsed", f"'from {'.' * n.level}{n.module or ''} import *' used; unable to detect undefined names")
+        elif isinstance(n, ast.ExceptHandler) and n.name and not any(isinstance(m, ast.Name) and m.id == n.name and not isinstance(m.ctx, ast.Store) for s in n.body for m in ast.walk(s)):
+            flag(n, "UnusedVariable", f"local variable {n.name!r} is assigned to but never used")
+
+
+def _literal(node: ast.AST) -> bool:
+    return (isinstance(node, ast.Tuple) and all(_literal(x) for x in node.elts)) or (isinstance(node, ast.Constant) and isinstance(node.value, str | bytes | int | float) and not isinstance(node.value, bool))
+
+
 def _own(function: ast.AST) -> set[int]:
     """Identities of the nodes that stand in the function itself, not in a scope inside it."""
     found, waiting = set(), [*ast.iter_child_nodes(function)]
@@ -147,7 +233,7 @@ def _redefined(tree: ast.Module, flag) -> None:  # noqa: ANN001
             last |= dict.fromkeys(names, n.lineno)
 
 
-def style(code: str) -> list[dict]:
+def style(code: str, module: Module | None = None) -> list[dict]:
     if not code.strip():
         return []
     out, lines, blank = [], code.splitlines(), 0
@@ -195,6 +281,8 @@ def style(code: str) -> list[dict]:
         flag(len(lines) - blank + 1, 1, "W391", "blank line at end of file")
     elif not code.endswith(("\n", "\r")):
         flag(len(lines), len(lines[-1]) + 1, "W292", "no newline at end of file")
+    for finding in python_spacing.findings(code, (module or parsed(code))[0]):
+        flag(*finding)
     return out
 
 
@@ -259,44 +347,34 @@ def maintainability(code: str, module: Module | None = None) -> int:
 
 
 def security(code: str, module: Module | None = None) -> list[dict]:
-    tree, out = (module or parsed(code))[0] if code.strip() else None, []
-
-    def flag(n: ast.AST, test: str, message: str, severity: str, confidence: str, cwe: int) -> None:
-        out.append(found(n.lineno, 1, test, message, "error" if severity in ("HIGH", "MEDIUM") else "warning", "security") | {"bandit_severity": severity, "bandit_confidence": confidence, "cwe": str(cwe)})
-
-    for n in ast.walk(tree) if tree else ():
-        if isinstance(n, ast.Assert):
-            flag(n, "B101", "Use of assert detected. The enclosed code will be removed when compiling to optimised byte code.", "LOW", "HIGH", 703)
-        elif isinstance(n, ast.Assign) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str):
-            if any(re.search("pass(word|wd)?$|pwd|token|secret", getattr(t, "id", getattr(t, "attr", "")), re.I) for t in n.targets):
-                flag(n, "B105", f"Possible hardcoded password: {n.value.value!r}", "LOW", "MEDIUM", 259)
-        elif isinstance(n, ast.Call):
-            name = ast.unparse(n.func)
-            shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value for k in n.keywords)
-            if name == "eval":
-                flag(n, "B307", "Use of possibly insecure function - consider using safer ast.literal_eval.", "MEDIUM", "HIGH", 78)
-            elif name == "exec":
-                flag(n, "B102", "Use of exec detected.", "MEDIUM", "HIGH", 78)
-            elif name.startswith("subprocess.") and shell:
-                flag(n, "B602", "subprocess call with shell=True identified, security issue.", "HIGH", "HIGH", 78)
-            elif name in ("pickle.load", "pickle.loads"):
-                flag(n, "B301", "Pickle and modules that wrap it can be unsafe when used to deserialize untrusted data, possible security issue.", "MEDIUM", "HIGH", 502)
-            elif name == "yaml.load" and not any(k.arg == "Loader" for k in n.keywords):
-                flag(n, "B506", "Use of unsafe yaml load. Allows instantiation of arbitrary objects. Consider yaml.safe_load().", "MEDIUM", "HIGH", 20)
-            elif name in ("hashlib.md5", "hashlib.sha1"):
-                flag(n, "B324", f"Use of weak {name[8:].upper()} hash for security. Consider usedforsecurity=False", "HIGH", "HIGH", 327)
+    tree = (module or parsed(code))[0] if code.strip() else None
+    out = [
+        found(n.lineno, 1, test, message, "error" if severity in ("HIGH", "MEDIUM") else "warning", "security") | {"bandit_severity": severity, "bandit_confidence": confidence, "cwe": str(cwe)}
+        for n, test, message, severity, confidence, cwe in (python_security.findings(tree) if tree else ())
+    ]
     return sorted(out, key=lambda x: x["line"])
 
 
 LINT = f"struct<errors:array<{ISSUE}>,style_issues:array<{ISSUE}>,security_issues:{SECURITY},_blocks:{BLOCK},maintainability:int,ast_info:{INFO}>"
 
 
+def attempt(check: Callable[[str, Module], object], code: str, module: Module, otherwise: Callable[[Exception], object]) -> object:
+    """What a check says, or otherwise where an expression is nested too deeply for it: one such file must not end the job."""
+    try:
+        return check(code, module)
+    except UNPARSED as e:
+        return otherwise(e)
+
+
 def lint(code: str) -> dict:
-    """All that LINT holds, from one parse."""
+    """All that LINT holds, from one parse. A check that a file's nesting defeats finds nothing (errors: E999; index: 100)."""
     module = parsed(code) if code.strip() else (ast.Module([], []), None)
+    unexpected = lambda e: [found(0, 0, "E999", f"{type(e).__name__}: {e}", "error", "error")]
+    nothing = lambda _: []
     return {
-        "errors": errors(code, module), "style_issues": sorted(style(code), key=lambda x: x["line"]), "security_issues": security(code, module), "_blocks": blocks(code, module),
-        "maintainability": maintainability(code, module), "ast_info": structure(code, module),
+        "errors": attempt(errors, code, module, unexpected), "style_issues": sorted(attempt(style, code, module, nothing), key=lambda x: x["line"]),
+        "security_issues": attempt(security, code, module, nothing), "_blocks": attempt(blocks, code, module, nothing),
+        "maintainability": attempt(maintainability, code, module, lambda _: 100), "ast_info": structure(code, module),
     }
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import history
+from codeloom.operators import history, retrieval
 
 SNIPPET = "id bigint, title string, code string, language string, style_score int, error_count int, style_issue_count int, created_at timestamp_ntz"
 CHAT = "id bigint, snippet_id bigint, role string, content string, ts timestamp_ntz"
-CHUNKS = "ord int, path string, id string, name string, code string, line int, kind string, text string, repo_id string"
+CHUNKS = "ord int, path string, id string, name string, code string, line int, kind string, text string, repo_id string, embedding array<float>"
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -105,19 +109,47 @@ class Chat(Table):
         return history.chat_history(self.read(), snippet_id)
 
 
-class ChunkIndex(Table):
-    """Chunks by repository; indexing a repository replaces its chunks."""
+class ChunkIndex:
+    """Chunks by repository, with a vector each where an embedder is given. Every repository is a table of its own in a folder named
+    after it, so that indexing or clearing one touches no other; its chunks are replaced as a whole."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        super().__init__(spark, folder, CHUNKS)
+    def __init__(self, spark: SparkSession, folder: str, embed: Callable[[list[str]], list[list[float]]] | None = None):
+        self.spark, self.folder, self.embed = spark, folder.rstrip("/"), embed
+
+    def _table(self, repo_id: str) -> Table:
+        readable = re.sub("[^a-zA-Z0-9_-]", "_", repo_id)[:60]
+        return Table(self.spark, f"{self.folder}/{readable}-{hashlib.sha256(repo_id.encode()).hexdigest()[:16]}", CHUNKS)
+
+    def _with_vectors(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """rows with the embedder's vectors of a text column, an Arrow batch at a time; without an embedder, nulls."""
+        embed = self.embed
+        if embed is None:
+            return rows.withColumn(name, F.lit(None).cast("array<float>"))
+
+        def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series([[float(x) for x in v] for v in embed(texts.fillna("").tolist())], dtype=object)
+
+        return rows.withColumn(name, F.pandas_udf(vectors, "array<float>")(F.col(column)))
 
     def index(self, repo_id: str, chunks: DataFrame) -> int:
-        rest = self.read().where(F.col("repo_id") != repo_id)
-        self.replace(rest.unionByName(self._typed(chunks.withColumn("repo_id", F.lit(repo_id)))))
-        return self.of(repo_id).count()
+        table = self._table(repo_id)
+        table.replace(self._with_vectors(chunks.withColumn("repo_id", F.lit(repo_id)), "text", "embedding"))
+        return table.read().count()
 
     def clear(self, repo_id: str) -> None:
-        self.replace(self.read().where(F.col("repo_id") != repo_id))
+        remove(self.spark, self._table(repo_id).folder)
 
     def of(self, repo_id: str) -> DataFrame:
-        return self.read().where(F.col("repo_id") == repo_id)
+        return self._table(repo_id).read()
+
+    def search(self, repo_id: str, questions: DataFrame, top: int = 4) -> DataFrame:
+        """query_id, chunk_key (the chunk's id), rank of the chunks for questions (query_id, query): nearest vectors, or BM25 for a
+        question that vectors give nothing for, and for all of them without an embedder."""
+        chunks = self.of(repo_id).withColumn("chunk_key", F.col("id"))
+        keyword = retrieval.bm25(chunks, questions, "chunk_key", top=top).select("query_id", "chunk_key", "rank")
+        if self.embed is None:
+            return keyword
+        asked = self._with_vectors(questions.select("query_id", "query"), "query", "_vector").select("query_id", "_vector")
+        near = retrieval.nearest(chunks.where("embedding is not null").select("chunk_key", "embedding"), asked, top=top, key="chunk_key", query_vector="_vector")
+        return retrieval.retrieve(keyword, near.select("query_id", "chunk_key", "rank"))

@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
-from codeloom.operators import history, prompts, python_code, python_lint, retrieval, triage, urls
+from codeloom.operators import history, prompts, python_code, python_lint, python_spacing, retrieval, triage, urls
 from codeloom.plans import scan
 from codeloom.sources import files as sources
-from codeloom.sources import store, web
+from codeloom.sources import database, store, web
 from codeloom.streaming import streams
 
 
@@ -171,6 +171,69 @@ def test_python_style_and_security():
     assert python_lint.maintainability("") == 100 and 0 <= python_lint.maintainability("x = 1 + 2\n") <= 100
 
 
+@pytest.mark.parametrize(
+    ("code", "wanted"),
+    [
+        ("f( a)\n", [(1, 3, "E201")]), ("f(a )\n", [(1, 4, "E202")]), ("f(a , b)\n", [(1, 4, "E203")]), ("f (a)\n", [(1, 2, "E211")]), ("x  = 1\n", [(1, 2, "E221")]),
+        ("x =  1\n", [(1, 4, "E222")]), ("x=1\n", [(1, 2, "E225")]), ("if x in(1, 2):\n    pass\n", [(1, 8, "E225")]), ("f(a,b)\n", [(1, 5, "E231")]), ("f(a,  b)\n", [(1, 5, "E241")]),
+        ("f(a = 1)\n", [(1, 4, "E251"), (1, 6, "E251")]), ("def f(a: int=1):\n    pass\n", [(1, 13, "E252")]), ("x = 1 # a\n", [(1, 6, "E261")]), ("x = 1  #a\n", [(1, 8, "E262")]),
+        ("#a\n", [(1, 1, "E265")]), ("## a\n", [(1, 1, "E266")]), ("import  os\n", [(1, 7, "E271")]), ("x = 1\nimport os\n", [(2, 1, "E402")]), ("a = 1; b = 2\n", [(1, 6, "E702")]),
+        ("if not a in b:\n    pass\n", [(1, 4, "E713")]), ("if not a is b:\n    pass\n", [(1, 4, "E714")]), ("x = type(a) == type(b)\n", [(1, 5, "E721")]), ("f = lambda x=1: x\n", [(1, 1, "E731")]),
+        ("l = 1\n", [(1, 1, "E741")]), ("x = b'\\N'\n", [(1, 7, "W605")]), ("if a:\n  b = 1\n", [(2, 1, "E111")]), ("#!/bin/sh\n#: x\n", []), ("x = r'\\d'\n", []),
+        ("def f(a: int = 1, *, b=2) -> int:\n    # note\n    return a[1:2, ::3]\n", []), ("x = f'{a:>10}{b!r}'\n", []), ("x = (\n    1,\n    2,\n)\nprint(*x, **y)\n", []),
+        ("match x:\n    case [1, 2]:\n        pass\n", []), ('"""Text."""\nfrom __future__ import annotations\n__all__ = []\nimport os\n', []), ("x=(\n", []),
+    ],
+)
+def test_python_spacing(code, wanted):
+    assert [f[:3] for f in python_spacing.findings(code, python_code.parsed(code)[0])] == wanted
+
+
+def test_python_shadows_and_suspicions():
+    found = lambda code: [(i["line"], i["code"]) for i in python_lint.errors(code)]
+    assert found("x = 1\ndef f():\n    print(x)\n    x = 2\n    return x\n") == [(3, "UndefinedLocal")]
+    assert found("n = 0\ndef f():\n    n += 1\n    return n\ndef g():\n    global n\n    n += 1\ndef h(n):\n    n = n + 1\n    return n\n") == [(3, "UndefinedLocal")]
+    assert found("import os\nfor os in range(3):\n    print(os)\n") == [(2, "ImportShadowedByLoopVar")]
+    assert found("x = f'a'\nassert (x, 'y')\nif x is 'a':\n    raise NotImplemented\n") == [(1, "FStringMissingPlaceholders"), (2, "AssertTuple"), (3, "IsLiteral"), (4, "RaiseNotImplemented")]
+    assert found("d = {'a': 1, 'a': 2, 'b': 3, 'b': 3}\n") == [(1, "MultiValueRepeatedKeyLiteral")] * 2
+    assert found("try:\n    pass\nexcept ValueError as e:\n    pass\n") == [(3, "UnusedVariable")]
+
+
+def test_python_security():
+    code = '''import subprocess
+from random import randint as r
+import hashlib as h
+def f(password="x", t="/tmp/a"):
+    """0.0.0.0"""
+    try:
+        r(1, 2)
+    except Exception:
+        pass
+    subprocess.run(["ls"])
+    subprocess.run("ls " + t, shell=True)
+    os.system(t)
+    requests.get(u, verify=False)
+    requests.get(u, timeout=3)
+    os.chmod("a", 0o777)
+    q = "select * from t where a = " + t
+    h.md5(b"", usedforsecurity=False)
+    h.md5(b"")
+    login(token="abc", host="0.0.0.0")
+    return f"delete from {t}"
+'''
+    wanted = [
+        (1, "B404"), (4, "B107"), (4, "B108"), (7, "B311"), (8, "B110"), (10, "B603"), (10, "B607"), (11, "B602"), (12, "B605"), (13, "B113"), (13, "B501"), (15, "B103"),
+        (16, "B608"), (18, "B324"), (19, "B104"), (19, "B106"), (20, "B608"),
+    ]
+    assert sorted((i["line"], i["code"]) for i in python_lint.security(code)) == wanted
+
+
+@pytest.mark.parametrize("code", ["x = " + " + ".join(["a"] * 3000) + "\n", "f()" + "()" * 3000, "if f" + "()" * 3000 + ":\n    pass\n", "\0", "def g():\n\tif x:\n        y\n"])
+def test_nesting_never_ends_a_job(code):
+    made = python_lint.lint(code)
+    assert 0 <= made["maintainability"] <= 100 and made["ast_info"]["line_count"] >= 1
+    assert python_code.pieces(code) and "nodes" in python_code.flow(code)
+
+
 def test_analyse_and_scan(spark):
     given = [(0, "a.py", "import os\n"), (1, "b.js", "var x = 1;\n"), (2, "c.md", None), (3, "d.py", "def (")]
     df = sources.named(spark.createDataFrame(given, "ord int, path string, code string"))
@@ -225,6 +288,37 @@ def test_store(spark, tmp_path):
     assert (index.of("r1").count(), index.of("r2").count()) == (0, 1)
 
 
+def test_chunk_vectors(spark, tmp_path):
+    """Vectors answer where there is an embedder; repositories of like names stay apart; without vectors, keywords answer."""
+    embed = lambda texts: [[float(t.count(c)) for c in "xyz"] for t in texts]
+    chunks = retrieval.line_chunks(spark.createDataFrame([("1.js", "xxx\n"), ("2.js", "yyyy\n"), ("3.js", "zz zz\n")], "path string, code string"))
+    asked = spark.createDataFrame([(1, "yyy"), (2, "zz")], "query_id int, query string")
+    index = store.ChunkIndex(spark, str(tmp_path / "v"), embed)
+    assert index.index("a/b", chunks) == 3 and index.index("a_b", chunks.where("path = '1.js'")) == 1
+    assert {(r.query_id, r.chunk_key) for r in index.search("a/b", asked, top=1).collect()} == {(1, "2.js::L1"), (2, "3.js::L1")}
+    assert {r.chunk_key for r in index.search("a_b", asked, top=1).collect()} == {"1.js::L1"}
+    plain = store.ChunkIndex(spark, str(tmp_path / "w"))
+    assert plain.index("r", chunks) == 3
+    assert {(r.query_id, r.chunk_key) for r in plain.search("r", asked).collect()} == {(2, "3.js::L1")}
+    index.clear("a/b")
+    assert index.of("a/b").count() == 0 and index.of("a_b").count() == 1
+
+
+def test_database(spark, tmp_path):
+    """An embedded database that comes with Spark: written, read in stretches, replaced."""
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(100).selectExpr("id as ID", "concat('t', id) as TITLE", "cast(id % 7 as int) as N")
+    database.write(rows, url, "SNIPPET", tasks=2, createTableColumnTypes="TITLE varchar(100)", **options)
+    database.write(spark.range(100, 110).selectExpr("id as ID", "'new' as TITLE", "0 as N"), url, "SNIPPET", **options)
+    got = database.read(spark, url, "SNIPPET", '"ID"', 4, **options)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 110
+    assert [r.ID for r in got.where("TITLE = 'new'").orderBy("ID").collect()] == [*range(100, 110)]
+    database.write(rows.limit(0), url, "SNIPPET", mode="overwrite", **options)
+    assert database.read(spark, url, "SNIPPET", '"ID"', 4, **options).count() == 0
+    assert database.address("postgresql://h/d", "x") == database.address("postgres://h/d", "x") == "jdbc:postgresql://h/d"
+    assert database.address(None, "x") == database.address("postgresql://<user>@h/d", "x") == "x" and database.address("jdbc:a:b", "x") == "jdbc:a:b"
+
+
 def test_file_sources(spark, tmp_path):
     (tmp_path / "d/node_modules").mkdir(parents=True)
     for name, body in {"a.py": b"x = 1\n", "b.bin": b"\xff\xfe", "d/c.js": b"var a\n", "d/node_modules/e.js": b"1", "f.md": b"\xff\xff"}.items():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bitplanes, chosen_path, curriculum, gam_classifier, license_scan, line_frequency, phrase_index, site_spread, unit_dedup, warc
+from codeloom.llm import bitplanes, chosen_path, curriculum, gam_classifier, grouped_ranking, license_scan, line_frequency, phrase_index, site_spread, unit_dedup, warc
 from codeloom.llm.common import table
 
 
@@ -221,6 +221,28 @@ from ends e left join timed a on a.r = e.r and a.which = 1 left join timed b on
 """
 
 
+def op11_counting_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_ranking.sale_lines_ranked(table(spark, sf_dir, "sale_lines"))
+
+
+OP11_SQL = r"""
+with recursive bits as (select i, i c, 0 k from range(256) r(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+crcs as (select list(c order by i) v from bits where k = 8),
+ids as (select sale_id, xor(list_reduce(list_transform(string_split(sale_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, b: xor(c >> 8, v[xor(c, b) % 256 + 1]), 4294967295::bigint), 4294967295) crc
+  from (select distinct sale_id from sale_lines where sale_id is not null), crcs),
+l as (
+  select coalesce(crc % 5 = 0, false) one, vendor_id, coalesce(item_id % 2, -1) part, coalesce(100 * year(shipped_at) + month(shipped_at), -1) m, sale_id, line_no::bigint line_no, quantity::bigint quantity,
+    floor(quantity / 10)::bigint tens, floor(100 * discount + 0.5)::bigint percent, floor(100 * amount + 0.5)::bigint amount_cents
+  from sale_lines left join ids using (sale_id)),
+g as (select case when one then -1 else vendor_id end::bigint vendor_id, case when one then -1 else part end::bigint part, case when one then -1 else m end::bigint as month, sale_id, line_no, quantity, tens, percent, amount_cents from l),
+r as (
+  select *, dense_rank() over (partition by vendor_id, part, month order by tens desc nulls last, percent nulls last) place,
+    row_number() over (partition by vendor_id, part, month order by tens desc nulls last, percent nulls last, sale_id nulls last, line_no nulls last, quantity nulls last, amount_cents nulls last) pos,
+    count(*) over (partition by vendor_id, part, month, tens, percent) tied from g)
+select vendor_id, part, month, pos, place, sale_id, line_no, quantity, percent, amount_cents, tied from r where place <= 5
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -239,6 +261,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chosen_path_join": op8_chosen_path_join,
         "op9_phrase_decontamination": op9_phrase_decontamination,
         "op10_site_spread_lines": op10_site_spread_lines,
+        "op11_counting_rank": op11_counting_rank,
         "pipeline": pipeline,
     }
 
@@ -252,4 +275,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_chosen_path_join": OP8_SQL,
         "op9_phrase_decontamination": OP9_SQL,
         "op10_site_spread_lines": OP10_SQL,
+        "op11_counting_rank": OP11_SQL,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bitplanes, chosen_path, curriculum, gam_classifier, grouped_ranking, license_scan, line_frequency, phrase_index, site_spread, unit_dedup, warc
+from codeloom.llm import bitplanes, chosen_path, curriculum, gam_classifier, grouped_ranking, license_scan, line_frequency, phrase_index, site_spread, spelling_groups, unit_dedup, warc
 from codeloom.llm.common import table
 
 
@@ -243,6 +243,34 @@ select vendor_id, part, month, pos, place, sale_id, line_no, quantity, percent,
 """
 
 
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with recursive bits as (select i, i c, 0 k from range(256) r(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+crcs as (select list(c order by i) v from bits where k = 8),
+runs as (select coalesce(doc_id::varchar, '') d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') r from documents),
+counted as (select d, r, count(*) c from runs group by all),
+hex as (select d, r, c, hex(encode(d || ':' || r)) x from counted),
+h as (select d, r, c, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::bigint), lambda a, b: xor(a >> 8, v[xor(a, b) % 256 + 1]), 4294967295::bigint), 4294967295) h from hex, crcs),
+made as (select case when h % 97 = 0 then substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) else r end word, c from h),
+words as (select word, sum(c)::bigint n from made where length(word) >= 5 group by word having sum(c) >= 3),
+places as (select word, n, unnest(range(1, length(word) + 1)) i from words),
+holes as (select word, n, i, substr(word, 1, i - 1) a, substr(word, i + 1) b from places),
+near as (
+  select x.word, y.word other, y.n other_n from holes x join holes y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+  union select x.word, y.word, y.n from holes x join words y on y.word = x.a || x.b
+  union select y.word, x.word, x.n from holes x join words y on y.word = x.a || x.b),
+said as (select word, count(*) n_near, arg_min(other, (-other_n, other)) form, max(other_n) form_n from near group by word),
+forms as (select word, form, form_n from said join words using (word) where form_n >= 2 * n),
+walk as (select word, form root, 1 k from forms union all select w.word, f.form, k + 1 from walk w join forms f on f.word = w.root),
+ends as (select word, arg_max(root, k) root from walk group by word)
+select word, n, form, coalesce(root, word) root, coalesce(n_near, 0) n_near, forms.form_n
+from words left join (select word, n_near from said) using (word) left join forms using (word) left join ends using (word)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -262,6 +290,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_phrase_decontamination": op9_phrase_decontamination,
         "op10_site_spread_lines": op10_site_spread_lines,
         "op11_counting_rank": op11_counting_rank,
+        "op12_spelling_groups": op12_spelling_groups,
         "pipeline": pipeline,
     }
 
@@ -276,4 +305,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_phrase_decontamination": OP9_SQL,
         "op10_site_spread_lines": OP10_SQL,
         "op11_counting_rank": OP11_SQL,
+        "op12_spelling_groups": OP12_SQL,
     }

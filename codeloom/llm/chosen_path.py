@@ -38,60 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import SOME_CHARS, WORD_BYTES, Workspace, tasks, text_parts
+from codeloom.llm.common import Workspace, tasks, text_parts
 from codeloom.llm.components import components
+from codeloom.llm.families import compare_block_pair, dealt, groups, roots_of, shingle_sets
+from codeloom.llm.shingles import ODD, mix, shingle_hashes
 
-WIDTH = 5
 PLACES = 64
 #: Sets of a large bucket that all its others are compared with first.
 LEADS = 8
 #: Similarity as a fraction: links have common * below >= above * union.
 ABOVE, BELOW = 4, 5
-_rng = np.random.default_rng(20240229)
-SALT = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-FACTORS = _rng.integers(1, 2**63, PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers whose results look independent."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(raw: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hash of each word raw[first:stop]: the sum of salt[byte] * odd ** place in the word, mixed."""
-    size = stop - first
-    begin = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(begin, size)
-    powers = np.full(int(size.max()), ODD, np.uint64)
-    powers[0] = 1
-    return mix(np.add.reduceat(SALT[raw[place + np.repeat(first, size)]] * np.cumprod(powers)[place], begin))
-
-
-def shingle_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the shingles of all texts, one after another, and the number of each text's (repeats included)."""
-    parts = [(t or "").encode("utf-8", "replace").translate(WORD_BYTES) + b" " for t in texts]
-    raw = np.frombuffer(b"".join(parts), np.uint8)
-    inside = raw != 32
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    first, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    ends = np.cumsum([len(p) for p in parts])
-    n_words = np.diff(np.searchsorted(first, ends), prepend=0)
-    if not len(first):
-        return np.zeros(0, np.uint64), n_words * 0
-    cuts = np.unique(np.searchsorted(first, np.arange(0, len(raw) + SOME_CHARS, SOME_CHARS)))
-    words = np.concatenate([word_hashes(raw, first[a:b], stop[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-    counts = np.where(n_words >= WIDTH, n_words - WIDTH + 1, np.minimum(n_words, 1))
-    starts = np.cumsum(n_words) - n_words
-    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    width = np.repeat(np.minimum(n_words, WIDTH), counts)
-    total = width.astype(np.uint64)
-    for k in range(WIDTH):
-        on = width > k
-        total[on] = total[on] * ODD + words[at[on] + k]
-    return mix(total), counts
+FACTORS = np.random.default_rng(20240301).integers(1, 2**63, PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sketch(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -170,7 +127,7 @@ PATHS = "path long, set long, label long"
 
 
 def sketches_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, PLACES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
 
 
 def path_batch(path: np.ndarray, sets: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
@@ -230,15 +187,15 @@ def by_path(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[int], list
     _, first, back = np.unique(batch.column("path").to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
     for k, at in enumerate(first.tolist()):
         sets, labels, raw = (batch.column(n)[at].as_py() for n in ("sets", "labels", "sketches"))
-        yield np.flatnonzero(back == k), sets, labels, np.frombuffer(raw, np.uint32).reshape(-1, PLACES)
+        yield np.flatnonzero(back == k), sets, labels, np.frombuffer(raw, np.uint32).reshape(len(sets), -1)
 
 
 def agreeing(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     """Which rows of x agree with which of y in the share least of places."""
     same = np.zeros((len(x), len(y)), np.uint8)
-    for k in range(PLACES):
+    for k in range(x.shape[1]):
         same += x[:, None, k] == y[None, :, k]
-    return same >= least * PLACES
+    return same >= least * x.shape[1]
 
 
 def tied_to_leads(rows: DataFrame, least: float) -> DataFrame:
@@ -287,54 +244,6 @@ def compare_with_listed(rows: DataFrame, least: float) -> DataFrame:
     return rows.select("path", "set", "label", "sketch", "sets", "labels", "sketches").mapInArrow(run, "a long, b long")
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
-    """Rows of equal keys, which follow each other, as lists of columns."""
-    key, held = None, None
-    for batch in batches:
-        cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-        tags = list(zip(*(cols[k] for k in keys), strict=True))
-        at = 0
-        while at < len(tags):
-            end = at + 1
-            while end < len(tags) and tags[end] == tags[at]:
-                end += 1
-            if tags[at] == key:
-                for n, values in cols.items():
-                    held[n] += values[at:end]
-            else:
-                if held is not None:
-                    yield key, held
-                key, held = tags[at], {n: values[at:end] for n, values in cols.items()}
-            at = end
-    if held is not None:
-        yield key, held
-
-
-def roots_of(linked: np.ndarray) -> np.ndarray:
-    """Smallest index of each index's component of a symmetric boolean matrix."""
-    n = len(linked)
-    label = np.arange(n)
-    while True:
-        new = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1, initial=n))
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
-def dealt(rows: DataFrame, key: str, blocks: str) -> DataFrame:
-    """rows (set, key, blocks) with low, high and side: each row once for every pair of blocks of its key that its own block is
-    in, dealt by the number of the pair, so that the pairs of one key are spread evenly over all tasks."""
-    n, n_tasks = F.col(blocks).cast("long"), tasks(rows)
-    own = F.pmod(F.xxhash64(F.lit(3), "set"), n)
-    pair = lambda k: F.struct(F.least(k, own).alias("low"), F.greatest(k, own).alias("high"), own.alias("side"))
-    spread = rows.withColumn("_pair", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), pair)))
-    spread = spread.select(*rows.columns, "_pair.*")
-    number = F.col("low") * n - F.expr("low * (low - 1) div 2") + F.col("high") - F.col("low")
-    task = F.pmod(F.xxhash64(F.lit(5), key) + number, F.lit(n_tasks)).cast("int")
-    return spread.repartitionById(n_tasks, task).sortWithinPartitions(key, "low", "high", "set")
-
-
 def compare_sketches(buckets: DataFrame, least: float) -> DataFrame:
     """(a, b) that join the sets whose sketches agree in at least the share least of places, in each bucket (path, blocks, set,
     sketch) or pair of its blocks."""
@@ -343,7 +252,7 @@ def compare_sketches(buckets: DataFrame, least: float) -> DataFrame:
         out = []
         for _, rows in groups(batches, ["path", "low", "high"]):
             sets = rows["set"]
-            x = np.frombuffer(b"".join(rows["sketch"]), np.uint32).reshape(-1, PLACES)
+            x = np.frombuffer(b"".join(rows["sketch"]), np.uint32).reshape(len(sets), -1)
             out += [(a, sets[r]) for a, r in zip(sets, roots_of(agreeing(x, x, least)).tolist(), strict=True) if a != sets[r]]
             if len(out) > 20_000:
                 yield pairs(out)
@@ -404,47 +313,6 @@ def meetings(sets: DataFrame, space: Workspace, *, recall: float, depth: int, sm
 LINKS = "set long, links long, root long"
 
 
-def compare_block_pair(sets: list[np.ndarray], copies: list[int], side: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each set of a block pair, copies counted, and its component's smallest index. side: the block of each set where
-    only pairs across the two count."""
-    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(n), size)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owner, column = owner[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((n, n), np.int64)
-    step = max(256, 8_000_000 // max(1, n))  # columns at once: a matrix of 32 MB, whose products are exact
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        a, b = np.searchsorted(column, [low, low + step])
-        part = np.zeros((n, min(step, int(column[b - 1]) - low + 1)), np.float32)
-        part[owner[a:b], column[a:b] - low] = 1
-        common += (part @ part.T).astype(np.int64)
-    linked = BELOW * common >= ABOVE * (size[:, None] + size[None, :] - common)
-    np.fill_diagonal(linked, False)
-    if side is not None:
-        sides = np.array(side)
-        linked &= sides[:, None] != sides[None, :]
-    return linked @ np.array(copies, np.int64), roots_of(linked)
-
-
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """set, family, blocks, copies, shingles (sorted distinct hashes as bytes) from the same with text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given = batch.column(4).to_pylist()
-            for at, stop in text_parts(given):
-                hashes, counts = shingle_hashes(given[at:stop])
-                ends = np.cumsum(counts)
-                found = [np.unique(hashes[e - n : e]).tobytes() for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, stop - at).columns[:4], pa.array(found, pa.binary())], ["set", "family", "blocks", "copies", "shingles"])
-
-    return texts.select("set", "family", "blocks", "copies", "text").mapInArrow(run, "set long, family long, blocks long, copies long, shingles binary")
-
-
 def exact_links(docs: DataFrame, sets: DataFrame, families: DataFrame, space: Workspace, block: int, block_shingles: int) -> DataFrame:
     """LINKS of the sets of families, from whole texts. A block has about block sets and block_shingles shingles at most, and
     a family that is a large share of all work has blocks enough for every task to get some of its pairs."""

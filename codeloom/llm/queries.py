@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bitplanes, chosen_path, curriculum, gam_classifier, grouped_ranking, license_scan, line_frequency, phrase_index, site_spread, spelling_groups, unit_dedup, warc
+from codeloom.llm import bitplanes, chosen_path, curriculum, gam_classifier, grouped_ranking, license_scan, line_frequency, minhash, phrase_index, site_spread, spelling_groups, unit_dedup, warc
 from codeloom.llm.common import table
 
 
@@ -271,6 +271,24 @@ from words left join (select word, n_near from said) using (word) left join form
 """
 
 
+def op13_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with recursive d as (select row_number() over () r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w from documents),
+s as (select distinct r, array_to_string(list_slice(w, k, k + least(5, len(w)) - 1), ' ') v
+  from (select r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) k from d where len(w) > 0)),
+n as (select r, count(*) n from s group by r),
+c as (select a.r a, b.r b, count(*) c from s a join s b using (v) where a.r <> b.r group by all),
+e as (select a, b from c join n x on a = x.r join n y on b = y.r where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a),
+low as (select a r, min(doc_id) m from (select a, b from reach union select r, r from d) z join d on z.b = d.r group by a)
+select doc_id, coalesce(n.n, 0)::bigint n_shingles, low.m component_id, doc_id is not distinct from low.m kept from d join low using (r) left join n using (r)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -291,6 +309,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_site_spread_lines": op10_site_spread_lines,
         "op11_counting_rank": op11_counting_rank,
         "op12_spelling_groups": op12_spelling_groups,
+        "op13_minhash_components": op13_minhash_components,
         "pipeline": pipeline,
     }
 
@@ -306,4 +325,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_site_spread_lines": OP10_SQL,
         "op11_counting_rank": OP11_SQL,
         "op12_spelling_groups": OP12_SQL,
+        "op13_minhash_components": OP13_SQL,
     }

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from codeloom.operators.triage import score_color
 
 PAGE, MEMORY = 50, 12
+#: Rows that quantiles are taken from, and the parts between them.
+SAMPLED, MOST_PARTS = 10_000, 256
 # What a snippet without a value gets.
 DEFAULTS = {"title": "untitled.py", "code": "", "language": "python", "style_score": 0, "error_count": 0, "style_issue_count": 0}
 
@@ -18,23 +22,30 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     return rows.withColumns({n: F.coalesce(F.col(n), F.lit(v)) if n in rows.columns else F.lit(v) for n, v in DEFAULTS.items()})
 
 
-def numbered_after(rows: DataFrame, existing: DataFrame, order: str) -> DataFrame:
-    """rows with ids that go on after the largest existing one, in the given order.
+def parted(rows: DataFrame, order: str) -> DataFrame:
+    """rows with _key (order, and a hash of the row that parts equal ones) and _part, from 0: between quantiles of the keys, found in a
+    sample of at most about SAMPLED rows, so that no value, outlier or null makes one part larger than others."""
+    own = [c for c in rows.columns if not isinstance(rows.schema[c].dataType, T.MapType)]
+    keyed = rows.withColumn("_key", F.struct(F.col(order).alias("o"), F.xxhash64(*own).alias("h")))
+    n = rows.count()
+    some = keyed.where(F.pmod(F.xxhash64("_key.h", F.lit(1)), F.lit(max(1, n // SAMPLED))) == 0).select("_key")
+    sample = [r._key for r in some.orderBy("_key").collect()]
+    parts = min(MOST_PARTS, math.isqrt(n) + 1, len(sample) + 1)
+    cuts = [tuple(sample[k * len(sample) // parts]) for k in range(1, parts)]
+    known = rows.sparkSession.createDataFrame([(cuts,)], T.StructType([T.StructField("_cuts", T.ArrayType(keyed.schema["_key"].dataType))]))
+    return keyed.crossJoin(F.broadcast(known)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("_key")))).drop("_cuts")
 
-    Numbers of any amount of rows are dealt out in stretches of the order column, whose sizes are summed first. Only an order
-    that is no number is one window over all rows, for one call's few inserts."""
+
+def numbered_after(rows: DataFrame, existing: DataFrame, order: str) -> DataFrame:
+    """rows with ids that go on after the largest existing one, in the given order. Numbers are dealt out in parts, whose sizes, summed
+    up first, say where each one's numbers begin."""
     last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    if not isinstance(rows.schema[order].dataType, NumericType):
-        place = F.row_number().over(Window.orderBy(order))
-        return rows.crossJoin(F.broadcast(last)).withColumn("id", (F.col("_last") + place).cast("long")).drop("_last")
-    span = rows.agg(F.min(order).alias("_lo"), F.greatest(F.max(order) - F.min(order), F.lit(1)).alias("_span"), F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_parts"))
-    part = F.coalesce(F.floor((F.col(order) - F.col("_lo")) / F.col("_span") * F.col("_parts")), F.lit(-1))
-    dealt = rows.crossJoin(F.broadcast(span)).withColumn("_part", part).drop("_lo", "_span", "_parts")
+    dealt = parted(rows, order)
     ahead = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(ahead, F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    numbered = dealt.withColumn("_place", place).join(sizes, "_part").crossJoin(F.broadcast(last))
-    return numbered.withColumn("id", (F.col("_last") + F.col("_ahead") + F.col("_place")).cast("long")).drop("_part", "_place", "_ahead", "_last")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
+    numbered = dealt.withColumn("_place", place).join(F.broadcast(sizes), "_part").crossJoin(F.broadcast(last))
+    return numbered.withColumn("id", (F.col("_last") + F.col("_ahead") + F.col("_place")).cast("long")).drop("_part", "_place", "_ahead", "_last", "_key")
 
 
 def latest(rows: DataFrame, limit: int = PAGE) -> DataFrame:

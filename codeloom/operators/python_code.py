@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import is_blank, split_lines, text
+from codeloom.functions.text import is_blank, split_lines
+from codeloom.operators.retrieval import chunk_rows
 from codeloom.operators.rules import exploded
 
 FUNCTION = "struct<name:string,lineno:int,args:array<string>,class:string,decorators:array<string>,docstring:string,line_count:int>"
@@ -118,11 +119,7 @@ def with_any_structure(files: DataFrame, language: str = "language") -> DataFram
 
 def python_chunks(files: DataFrame) -> DataFrame:
     """Chunks of non-blank Python files (path, code), ord from 0 in the file."""
-    made = files.where(~is_blank(F.col("code"))).withColumn("_chunks", python_column("code", pieces, CHUNK))
-    rows = exploded(made, "_chunks", "ord", *[c for c in files.columns if c != "code"]).select("*", "_i.*").drop("_i")
-    whole = F.col("kind") == "file"
-    rows = rows.withColumn("id", F.when(whole, F.col("path")).otherwise(F.concat("path", F.lit("::"), "name")))
-    return rows.withColumn("text", F.concat_ws(" ", "path", "name", text("code")))
+    return chunk_rows(files.where(~is_blank(F.col("code"))), python_column("code", pieces, CHUNK))
 
 
 # Colours of a control-flow graph's nodes.

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.functions.text import is_blank, split_lines, tokens
+from codeloom.functions.text import is_blank, split_lines, text, tokens
+from codeloom.operators.rules import computed_once, exploded
 
 WINDOW, STEP, CUT = 60, 30, 2000
 K1, B = 1.5, 0.75
@@ -14,20 +15,35 @@ K1, B = 1.5, 0.75
 BLOCK_BYTES = 32_000_000
 
 
+def windows(lines: Column, *, window: int = WINDOW, step: int = STEP, cut: int = CUT) -> Column:
+    """Overlapping windows of an array of lines, as array of name, line, kind and code."""
+    count = F.size(lines)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(1), count) - 1, F.lit(step))
+
+    def made(start: Column) -> Column:
+        name = F.concat(F.lit("lines "), (start + 1).cast("string"), F.lit("-"), F.least(start + window, count).cast("string"))
+        body = F.substring(F.array_join(F.slice(lines, start + 1, F.lit(window)), "\n"), 1, cut)
+        return F.struct(name.alias("name"), (start + 1).alias("line"), F.lit("block").alias("kind"), body.alias("code"))
+
+    return F.transform(starts, made)
+
+
 def line_chunks(files: DataFrame, *, window: int = WINDOW, step: int = STEP, cut: int = CUT) -> DataFrame:
     """Overlapping windows of lines of each non-blank file (path, code): one row per chunk, ord from 0 in the file.
 
     Windows are made from the file's own array; nothing is shuffled."""
-    lines = files.where(~is_blank(F.col("code"))).withColumn("_lines", split_lines(F.col("code")))
-    count = F.size("_lines")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(1), count) - 1, F.lit(step))
-    rows = lines.select(*files.columns, "_lines", F.posexplode(starts).alias("ord", "_start"))
-    end = F.least(F.col("_start") + window, count)
-    name = F.concat(F.lit("lines "), (F.col("_start") + 1).cast("string"), F.lit("-"), end.cast("string"))
-    body = F.substring(F.array_join(F.slice("_lines", F.col("_start") + 1, F.lit(window)), "\n"), 1, cut)
-    out = rows.withColumns({"name": name, "line": F.col("_start") + 1, "kind": F.lit("block"), "_body": body})
-    out = out.withColumn("id", F.concat("path", F.lit("::L"), F.col("line").cast("string"))).withColumn("code", F.col("_body"))
-    return out.withColumn("text", F.concat_ws(" ", "path", "name", "code")).drop("_lines", "_start", "_body")
+    lines = computed_once(files.where(~is_blank(F.col("code"))), "_lines", split_lines(F.col("code")))
+    return chunk_rows(lines, windows(F.col("_lines"), window=window, step=step, cut=cut)).drop("_lines")
+
+
+def chunk_rows(files: DataFrame, chunks: Column) -> DataFrame:
+    """A row for each of the chunks of files (path, code), with ord from 0, id and text; windows are called by their first line,
+    others by their name, and a whole file by its path."""
+    rest = [c for c in files.columns if c != "code"]
+    rows = exploded(files.withColumn("_chunks", chunks), "_chunks", "ord", *rest).select("*", "_i.*").drop("_i")
+    own = F.when(F.col("kind") == "block", F.concat(F.lit("L"), F.col("line").cast("string"))).when(F.col("kind") != "file", F.col("name"))
+    named = rows.withColumn("id", F.coalesce(F.concat("path", F.lit("::"), own), F.col("path")))
+    return named.withColumn("text", F.concat_ws(" ", "path", "name", text("code")))
 
 
 def repo_stats(chunks: DataFrame, *keys: str) -> DataFrame:

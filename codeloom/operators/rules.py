@@ -103,6 +103,12 @@ def style_score(n_issues: Column) -> Column:
     return F.greatest(F.lit(0), 100 - F.least(PENALTY * n_issues, F.lit(100))).cast("int")
 
 
+def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is made once, whatever reads it: the optimiser copies an expression into every filter and column
+    above it, but not one that an explode of a single row gives (an outer one: of others the array's size is filtered first)."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def with_rules(files: DataFrame) -> DataFrame:
     """files (code, language; languages other than Python) with line_count, errors, style_issues and style_score.
 
@@ -113,7 +119,7 @@ def with_rules(files: DataFrame) -> DataFrame:
     made = F.when(is_blank(F.col("code")), none).otherwise(
         F.concat(generic_issues(F.col("code"), F.col("_lines")), F.when(script, script_issues(F.col("_lines"))).otherwise(none))
     )
-    out = out.withColumn("_issues", made)
+    out = computed_once(out, "_issues", made)
     return (
         out.withColumn("style_issues", by_line(F.col("_issues")))
         .withColumn("errors", F.filter("_issues", lambda x: x.category == "error"))

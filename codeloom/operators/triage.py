@@ -80,16 +80,20 @@ def score_color(score: Column) -> Column:
 
 
 def display(triaged: DataFrame) -> DataFrame:
-    """Display columns without contents, in display order: flagged first, then by priority, ties in input order."""
+    """Display columns without contents, in display order: flagged first, then by priority, ties in input order.
+
+    A sort of all rows reads its input twice, to sample it; the few columns are shuffled first, so that what they are made of runs
+    once, and the sort reads the shuffle's files."""
     fetch = F.coalesce("fetch_error", F.lit("")) if "fetch_error" in triaged.columns else F.lit("")
-    return triaged.select(
+    shown = triaged.select(
         "ord", "path", "filename", "complexity", "error_count", "style_score", "flagged", "priority_score", fetch.alias("fetch_error"),
         score_color(F.col("style_score")).alias("score_color"),
         F.when(F.col("complexity") > 10, "red").when(F.col("complexity") > 5, "yellow").otherwise("green").alias("complexity_color"),
         F.when(F.col("error_count") > 0, "red").otherwise("green").alias("error_color"),
         F.when(F.col("flagged"), "FLAGGED").otherwise("CLEAN").alias("status_label"),
         F.when(F.col("flagged"), "red").otherwise("green").alias("status_color"),
-    ).orderBy(~F.col("flagged"), F.desc("priority_score"), "ord")
+    )
+    return shown.repartition("path").orderBy(~F.col("flagged"), F.desc("priority_score"), "ord")
 
 
 def first_open(triaged: DataFrame) -> DataFrame:

@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.languages import chunk_language
+from codeloom.functions.text import is_blank, split_lines
 from codeloom.operators import prompts, python_code, python_lint, retrieval, rules, triage
 
 
 def analyse(files: DataFrame) -> DataFrame:
     """files (ord, path, filename, language, code) with ast_info, errors, style_issues, style_score, complexity, totals.
 
-    Python files go through the syntax tree, others through native rules; the two are parted before any Python runs."""
-    others = rules.with_rules(files.where(F.coalesce(F.col("language"), F.lit("")) != "python")).drop("line_count")
-    others = others.withColumn("ast_info", python_code.stub(F.col("code")))
-    python = python_lint.with_lint(files.where(F.col("language") == "python"))
-    both = others.unionByName(python, allowMissingColumns=True)
-    return triage.totals(both.withColumn("complexity", F.col("ast_info.complexity")))
+    Python files go through the syntax tree, others through native rules, in one pass: each sees no text of the other's files."""
+    is_python = F.coalesce(F.col("language") == "python", F.lit(False))
+    given = files.withColumns({"_python": is_python, "_whole": F.col("code")})
+    python = python_lint.with_lint(given.withColumn("code", F.when(F.col("_python"), F.col("_whole"))))
+    found = [c for c in python.columns if c not in given.columns]
+    python = python.select(*given.columns, *[F.col(n).alias(f"_found_{n}") for n in found])
+    ruled = rules.with_rules(python.withColumn("code", F.when(~F.col("_python"), F.col("_whole"))))
+    ruled = ruled.withColumn("ast_info", python_code.stub(F.col("code")))
+    both = {n: F.when(F.col("_python"), F.col(f"_found_{n}")).otherwise(F.col(n) if n in ruled.columns else F.lit(None)).alias(n) for n in found}
+    out = ruled.select(*[F.col("_whole").alias(c) if c == "code" else c for c in files.columns], *both.values())
+    return triage.totals(out.withColumn("complexity", F.col("ast_info.complexity")))
 
 
 def scan(files: DataFrame, language_aware: bool = True) -> DataFrame:
@@ -28,10 +34,14 @@ def scan(files: DataFrame, language_aware: bool = True) -> DataFrame:
 
 def index_chunks(files: DataFrame) -> DataFrame:
     """Chunks of files (path, code): Python by its syntax tree, others by windows of lines."""
-    kind = chunk_language(F.col("path"))
-    columns = ["ord", "path", "id", "name", "code", "line", "kind", "text"]
-    base = files.select("path", "code")
-    return retrieval.line_chunks(base.where(kind != "python")).select(columns).unionByName(python_code.python_chunks(base.where(kind == "python")).select(columns))
+    is_python = chunk_language(F.col("path")) == "python"
+    base = files.select("path", "code").where(~is_blank(F.col("code"))).withColumn("_python", is_python)
+    # each way sees the texts of its own files only
+    base = base.withColumn("_own", F.when(F.col("_python"), F.col("code")))
+    base = base.withColumn("_pieces", python_code.python_column("_own", python_code.pieces, python_code.CHUNK))
+    base = rules.computed_once(base, "_lines", split_lines(F.when(~F.col("_python"), F.col("code"))))
+    chunks = F.when(F.col("_python"), F.col("_pieces")).otherwise(retrieval.windows(F.col("_lines")))
+    return retrieval.chunk_rows(base, chunks).select("ord", "path", "id", "name", "code", "line", "kind", "text")
 
 
 def review_prompts(triaged: DataFrame, limit: int = 5) -> DataFrame:

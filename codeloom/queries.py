@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import json as replies
 from codeloom.functions import languages, text
-from codeloom.operators import history, prompts, python_code, python_lint, retrieval, rules, triage, urls
+from codeloom.operators import history, prompts, python_code, python_lint, retrieval, rules, temporal, triage, urls
 from codeloom.plans import chat, scan
 from codeloom.sources import store
 from codeloom.sources.files import CORPUS_SQL, corpus, named, sql_over, table
+from codeloom.sources.keyword_index import KeywordIndex
+from codeloom.sources.vector_index import VectorIndex
 from codeloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,6 +305,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ord", "line", "kind", "name", "id", F.length("code").alias("code_length"), F.md5("text").alias("text_md5"))
 
 
+@query("issues_in_chunks", CHUNK_SQL + f""", x as (select 'doc/' || doc_id || '.txt' path, n line from (select doc_id, unnest(ls) t, generate_subscripts(ls, 1) n from (select doc_id, {LINES_SQL.replace('code', 'text')} ls from documents)) where length(t) > 120)
+select k.path, x.line::int issue_line, k.id chunk, k.line chunk_line from x join k on k.path = x.path and x.line between k.line and k.line + 59""")
+def issues_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long lines with the chunks that hold them; windows overlap, so that most lines are in two."""
+    files = documents(spark, sf_dir)
+    found = files.select("path", rules.long_lines(text.split_lines(F.col("code"))).alias("found"))
+    issues = rules.exploded(found, "found", "ord", "path").select("path", F.col("_i.line").alias("issue_line"))
+    spans = retrieval.line_chunks(files).select("path", F.col("id").alias("chunk"), F.col("line").alias("chunk_line"), (F.col("line") + retrieval.WINDOW - 1).alias("chunk_end"))
+    return temporal.within(issues, spans, ["path"], "issue_line", "chunk_line", "chunk_end", width=retrieval.STEP).drop("chunk_end")
+
+
 @query("repo_stats", CHUNK_SQL + ", d as (select k.*, source from k join documents using (doc_id)) select source, count(*)::bigint total_chunks, 0::bigint functions, 0::bigint methods, 0::bigint classes, count(distinct path)::bigint files from d group by source")
 def repo_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
@@ -327,6 +340,37 @@ def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.term_counts(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "term", "dl", "tf")
 
 
+#: Indexes that this process has built, by application and table folder.
+BUILT: dict[tuple[str, str, str], KeywordIndex | VectorIndex] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, which goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(store.remove, spark, folder)
+    return folder
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The stored index of documents, built by the first query that asks it."""
+    at = (spark.sparkContext.applicationId, sf_dir, "keyword")
+    if at not in BUILT:
+        BUILT[at] = KeywordIndex(spark, shared_folder(spark, "keyword")).build(table(spark, sf_dir, "documents"), "doc_id")
+    return BUILT[at]
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    at = (spark.sparkContext.applicationId, sf_dir, "vector")
+    if at not in BUILT:
+        BUILT[at] = VectorIndex(spark, shared_folder(spark, "vector")).build(table(spark, sf_dir, "embeddings"), "vec_id")
+    return BUILT[at]
+
+
 def bm25_sql(queries: str, top: int) -> str:
     return f"""
 {TERMS_SQL}, dl as (select doc_id, count(*) dl from t group by doc_id), st as (select (select count(*) from documents) n, (select sum(dl) from dl) / (select count(*) from documents) avgdl),
@@ -344,19 +388,25 @@ ONE_QUERY = "select 1 query_id, 'the of license ingre and' query"
 
 @query("bm25_top", bm25_sql(ONE_QUERY, 4))
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.sql(ONE_QUERY)
-    return retrieval.bm25(table(spark, sf_dir, "documents"), asked).withColumn("score", F.round("score", 6))
+    return keyword_index(spark, sf_dir).search(spark.sql(ONE_QUERY)).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_multi_query", bm25_sql("select item_id query_id, text query from benchmark", 4))
 def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return keyword_index(spark, sf_dir).search(asked).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_scan", bm25_sql("select item_id query_id, text query from benchmark where item_id % 5 = 0", 4))
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an index: every fifth item is asked of all documents."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return retrieval.bm25(table(spark, sf_dir, "documents"), asked).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_empty_query", "select 1 query_id, doc_id, null::double score, row_number() over (order by doc_id)::int rank from (select doc_id from documents order by doc_id limit 4)")
 def bm25_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(table(spark, sf_dir, "documents"), spark.sql("select 1 query_id, ' ?! ' query"))
+    return keyword_index(spark, sf_dir).search(spark.sql("select 1 query_id, ' ?! ' query"))
 
 
 KNN_SQL = """
@@ -370,8 +420,27 @@ select query_id, vec_id, round(distance, 6) distance, rank::int rank from r wher
 @query("knn_top", KNN_SQL)
 def knn_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return retrieval.nearest(vectors.select("vec_id", "embedding"), asked).withColumn("distance", F.round("distance", 6))
+    return retrieval.nearest(vectors.select("vec_id", "embedding"), vector_questions(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+
+
+def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query("knn_index", KNN_SQL)
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the stored index, which leaves out cells that cannot hold anything nearer."""
+    return vector_index(spark, sf_dir).search(vector_questions(spark, sf_dir), exact=True).withColumn("distance", F.round("distance", 6))
+
+
+@query("knn_recall", "select count(*)::bigint n_queries, true reached from embeddings where vec_id % 100 = 0")
+def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index's few cells give nine tenths of what all vectors give, ten for each question."""
+    asked = vector_questions(spark, sf_dir)
+    true = retrieval.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), asked, top=10).select("query_id", "vec_id")
+    found = vector_index(spark, sf_dir).search(asked, top=10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = true.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("reached"))
 
 
 @query("context_text", bm25_sql("select item_id query_id, text query from benchmark", 3).replace("select query_id, doc_id, round(score, 6)", ", top as (select query_id, doc_id, round(score, 6)") + """)
@@ -382,14 +451,23 @@ def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("chunk_key"), "text", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("file").alias("kind"), F.lit("module").alias("name"), F.lit(1).alias("line"), F.col("text").alias("code")
     )
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return chat.context_for(docs, asked, top=3).where("context <> ''")
+    return chat.context_for(docs, asked, top=3, index=keyword_index(spark, sf_dir)).where("context <> ''")
+
 
+FALLBACK_SQL = f"""
+select i.vec_id query_id, coalesce(v.vec_id, k.doc_id) found, v.vec_id is not null by_vector from embeddings i
+left join ({KNN_SQL}) v on v.query_id = i.vec_id and v.rank = 1
+left join ({bm25_sql("select vec_id query_id, substr(text, 1, 60) query from embeddings join documents on doc_id = vec_id where vec_id % 50 = 0", 1)}) k on k.query_id = i.vec_id
+where i.vec_id % 50 = 0 and (v.vec_id is not null or k.doc_id is not null)"""
 
-@query("vector_fallback", KNN_SQL.replace("select query_id, vec_id, round(distance, 6) distance, rank::int rank from r where rank <= 4", """
-select i.i query_id, coalesce(r.vec_id, -1) found, r.rank is not null by_vector from (select vec_id i from embeddings where vec_id % 50 = 0) i left join (select * from r where rank = 1) r on r.query_id = i.i"""))
+
+@query("vector_fallback", FALLBACK_SQL)
 def vector_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vector = knn_top(spark, sf_dir).where("rank = 1").select("query_id", F.col("vec_id").alias("found"), F.lit(True).alias("by_vector"))
-    keyword = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit(-1).cast("long").alias("found"), F.lit(False).alias("by_vector"))
+    """Questions with a vector each second time; the others are answered by keywords."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").join(table(spark, sf_dir, "documents"), F.col("doc_id") == F.col("vec_id"))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    vector = vector_index(spark, sf_dir).search(vector_questions(spark, sf_dir), top=1, exact=True).select("query_id", F.col("vec_id").alias("found"), F.lit(True).alias("by_vector"))
+    keyword = keyword_index(spark, sf_dir).search(asked, top=1).where("score is not null").select("query_id", F.col("doc_id").alias("found"), F.lit(False).alias("by_vector"))
     return retrieval.retrieve(keyword, vector)
 
 
@@ -813,6 +891,20 @@ def backend_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", "s.backend", "s.status")
 
 
+# Versions in time
+
+
+@query("asof_changes", """
+with v as (select client_id, valid_at, change_id, op, segment from client_changes where client_id is not null and valid_at is not null
+  qualify row_number() over (partition by client_id, valid_at order by coalesce(seq, -1) desc, coalesce(change_id, -1) desc) = 1)
+select s.sale_id, s.client_id, s.sold_at, v.change_id, v.op, v.segment from sales s asof left join v on s.client_id = v.client_id and s.sold_at >= v.valid_at""")
+def asof_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sale with what was last known of its client when it was made."""
+    versions = table(spark, sf_dir, "client_changes").withColumns({"seq": F.coalesce("seq", F.lit(-1)), "_id": F.coalesce("change_id", F.lit(-1))})
+    sales = table(spark, sf_dir, "sales").select("sale_id", "client_id", "sold_at")
+    return temporal.as_of(sales, versions, "client_id", "sold_at", "valid_at", ["seq", "_id"], ["change_id", "op", "segment"])
+
+
 # Streams (extensions)
 
 
@@ -831,13 +923,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_issues", FILE_SQL + f"select path, (row_number() over (partition by f.file_id order by line, rk, i.ord) - 1)::int ord, {', '.join('i.' + c for c in ISSUE_COLUMNS)} from issues i join f using (file_id) where f.{RULED}")
 def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on a stream of the corpus, as far as it is there, appended to a folder and read again."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    atexit.register(store.remove, spark, folder)
+    folder = shared_folder(spark, "stream")
     files = corpus(spark, sf_dir)
     files.where(RULED).write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(files.schema).parquet(f"{folder}/in")

@@ -15,7 +15,8 @@ linked if their sets have a Jaccard similarity of 4/5 or more. Steps:
 3. Sets that met and whose sketches agree well enough, far below the threshold, form families: connected components.
 4. In a family all pairs are compared exactly, from the shingle sets of whole texts. Families are dealt into blocks of
    bounded size (sets and shingles), and the pairs of blocks evenly among tasks; pairs of sets are counted there and never
-   leave it as rows. A block pair returns for each set its number of links (copies counted) and its component there.
+   leave it as rows. A block pair returns for each set its number of links (copies counted) and its component there. Where only
+   classes are asked for (keep_one), a large family's sets meet leads first, and then only what those have not tied together.
 5. Components of those are the classes.
 
 A link between different texts is lost only if no path of meetings joins its two sets, which is far rarer than that
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import Workspace, tasks, text_parts
 from codeloom.llm.components import components
-from codeloom.llm.families import compare_block_pair, dealt, groups, roots_of, shingle_sets
+from codeloom.llm.families import compare_block_pair, dealt, groups, linked_classes, roots_of, shingle_sets
 from codeloom.llm.shingles import ODD, mix, shingle_hashes
 
 PLACES = 64
@@ -348,10 +349,13 @@ def exact_links(docs: DataFrame, sets: DataFrame, families: DataFrame, space: Wo
 
 
 def near_duplicates(
-    docs: DataFrame, *, recall: float = 0.995, depth: int = 6, small: int = 64, least: float = 0.55, block: int = 512, block_shingles: int = 2_000_000
+    docs: DataFrame, *, recall: float = 0.995, depth: int = 6, small: int = 64, least: float = 0.55, block: int = 512, block_shingles: int = 2_000_000, count_links: bool = True
 ) -> DataFrame:
     """row, doc_id, text_hash, class_root (a number of the class), class_id, n_links of each document, copies included.
 
+    n_links needs every pair of a family to be compared. Without count_links it is null, and a family of n near copies is not: its sets
+    meet a few leads and those outside its largest class only (families.joined), n / block sets of shuffled leads in all.
+
     recall is that of a pair at the threshold whose buckets are large down to the last depth; the fewer levels a pair's
     buckets need, the higher it is (recall_of)."""
     space = Workspace(docs.sparkSession, "paths")
@@ -362,11 +366,17 @@ def near_duplicates(
     sets = space.write(sets, "sets")
     met = meetings(sets.select("set", "sketch"), space, recall=recall, depth=depth, small=small, least=least, block=block)
     families = components(met, space, "families")
-    links = space.write(exact_links(docs, sets, families, space, block, block_shingles), "links")
-    for dead in ("sets", "meetings", "families", "member", "sized", "shingles"):
+    if count_links:
+        links = space.write(exact_links(docs, sets, families, space, block, block_shingles), "links")
+        classes = components(links.select(F.col("set").alias("a"), F.col("root").alias("b")), space, "classes")
+        linked = links.groupBy(F.col("set").alias("_set")).agg(F.sum("links").alias("links"))
+    else:
+        known = sets.select("set", "doc_id", "text_hash")
+        classes = linked_classes(docs, known, families, space, above=ABOVE, below=BELOW, block=block, block_shingles=block_shingles)
+        linked = sets.select(F.col("set").alias("_set"), F.lit(None).cast("long").alias("links"))
+    for dead in ("sets", "meetings", "families", "member", "sized", "shingles") if count_links else ("meetings", "families"):
         space.drop(dead)
-    classes = components(links.select(F.col("set").alias("a"), F.col("root").alias("b")), space, "classes").withColumnRenamed("root", "class_root")
-    linked = links.groupBy(F.col("set").alias("_set")).agg(F.sum("links").alias("links"))
+    classes = classes.withColumnRenamed("root", "class_root")
     known = copies.join(linked, F.col("set") == F.col("_set"), "left").drop("_set").join(classes, F.col("set") == F.col("node"), "left")
     known = known.select(
         "_digest", "low", F.coalesce("class_root", "set").alias("class_root"), (F.coalesce(F.col("links"), F.lit(0)) + F.col("copies") - 1).alias("n_links")
@@ -379,14 +389,14 @@ def near_duplicates(
     out = table.drop("sketch").join(known, F.col("digest") == F.col("_digest"), "left")
     return out.select(
         "row", "doc_id", "text_hash", F.coalesce("class_root", "row").alias("class_root"),
-        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links") if count_links else F.lit(None).cast("long").alias("n_links"),
     )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class: the one with its smallest doc_id. All columns stay."""
     space = Workspace(docs.sparkSession, "keep")
-    rows = space.write(near_duplicates(docs, **options), "rows")
+    rows = space.write(near_duplicates(docs, count_links=False, **options), "rows")
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_root").agg(F.min("row").alias("__cl_row"))
     # rows alike in doc_id and text are all found by the key of the one that stays: they are made one below
     named = [F.col("doc_id").alias("__cl_doc"), F.col("text_hash").alias("__cl_hash")]

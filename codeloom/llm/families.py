@@ -153,7 +153,10 @@ def joined(sets: DataFrame, space: Workspace, *, block: int, block_shingles: int
     sets outside the family's largest component then meet all blocks, in blocks of their own: their links to what they are not
     joined with yet may be anywhere. Sets within the largest component need no more links."""
     sized = sets.groupBy(F.col("family").alias("_family")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("shingles") / 8).alias("_shingles"))
-    sized = sized.select("_family", F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_shingles") / block_shingles), F.lit(1)).alias("blocks"))
+    # a family that is a large share of all sets has blocks enough for every task
+    n_all = max(1, sets.count())
+    even = F.least(F.ceil(F.col("_n") / 64), F.ceil(F.col("_n") * F.lit(tasks(sets) / n_all)))
+    sized = sized.select("_family", F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_shingles") / block_shingles), F.when(F.col("_n") > block, even), F.lit(1)).alias("blocks"))
     given = space.write(sets.join(space.write(sized, "family-sizes"), F.col("family") == F.col("_family")).drop("_family"), "family-sets")
     own = F.pmod(F.xxhash64(F.lit(3), "set"), F.col("blocks"))
     least = [F.min(F.when(F.pmod(F.xxhash64(F.lit(7), "set"), F.lit(LEADS)) == k, F.col("set"))) for k in range(LEADS)]
@@ -189,3 +192,21 @@ def joined(sets: DataFrame, space: Workspace, *, block: int, block_shingles: int
     for dead in ("joined", "labels", "mains", "outside", "outside-sizes", "family-sizes", "family-sets", "family-leads"):
         space.drop(dead)
     return out.unionByName(more)
+
+
+def linked_classes(
+    docs: DataFrame, sets: DataFrame, families: DataFrame, space: Workspace, *, above: int, below: int, block: int, block_shingles: int, bytes_to: bytes = WORD_BYTES
+) -> DataFrame:
+    """node, root (smallest set of its class), written, of the sets that have links: sets (set, doc_id, text_hash) of families (node,
+    root), from the whole texts of docs (doc_id, text)."""
+    named = families.join(sets, F.col("node") == F.col("set")).select("set", F.col("root").alias("family"), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    member = space.write(named, "members")
+    # the texts of members are shuffled for this at every size: they are a share of the corpus, never a side to broadcast
+    alike = (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member.hint("merge"), alike)
+    one = F.lit(1).cast("long")
+    shingles = space.write(shingle_sets(texts.withColumns({"blocks": one, "copies": one}), bytes_to).select("family", "set", "shingles"), "shingles")
+    classes = components(joined(shingles, space, block=block, block_shingles=block_shingles, above=above, below=below), space, "classes")
+    for dead in ("members", "shingles", "links-1", "links-2"):
+        space.drop(dead)
+    return classes

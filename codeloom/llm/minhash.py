@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.chosen_path import compare_sketches, compare_with_listed, leads_of, listed, sketches_of, tied_to_leads
 from codeloom.llm.common import Workspace, text_parts
 from codeloom.llm.components import components
-from codeloom.llm.families import joined, shingle_sets
+from codeloom.llm.families import linked_classes
 from codeloom.llm.shingles import ODD, mix, shingle_hashes
 
 BANDS, ROWS = 26, 5
@@ -136,20 +136,13 @@ def components_of(docs: DataFrame, *, small: int = 256, least: float = 0.65, blo
     copies = space.write(copies, "copies")
     sets = space.write(table.join(copies.select("set"), F.col("row") == F.col("set")).select("set", "doc_id", "text_hash", "sketch"), "sets")
     families = components(agreements(sets.select("set", "sketch"), space, small=small, least=least, block=block), space, "families")
-    member = families.join(sets.drop("sketch"), F.col("node") == F.col("set")).select(
-        "set", F.col("root").alias("family"), F.lit(1).alias("blocks"), F.lit(1).alias("copies"), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")
-    )
-    member = space.write(member, "members")
-    # the texts of members are shuffled for this at every size: they are a share of the corpus, never a side to broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member.hint("merge"), (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    shingles = shingle_sets(texts.withColumns({n: F.col(n).cast("long") for n in ("blocks", "copies")}), SPACE_BYTES).select("family", "set", "shingles")
-    links = joined(space.write(shingles, "shingles"), space, block=block, block_shingles=block_shingles, above=ABOVE, below=BELOW)
-    classes = components(links, space, "classes").withColumnRenamed("root", "class_root")
+    classes = linked_classes(docs, sets.drop("sketch"), families, space, above=ABOVE, below=BELOW, block=block, block_shingles=block_shingles, bytes_to=SPACE_BYTES)
+    classes = classes.withColumnRenamed("root", "class_root")
     known = copies.join(classes, F.col("set") == F.col("node"), "left").select("_digest", "low", F.coalesce("class_root", "set").alias("class_root"))
     known = space.write(known, "known-sets")
     lows = known.groupBy(F.col("class_root").alias("_root")).agg(F.min("low").alias("component_id"))
     known = space.write(known.join(lows, F.col("class_root") == F.col("_root")).select("_digest", "class_root", "component_id"), "known")
-    for dead in ("copies", "sets", "agreements", "families", "members", "shingles", "links-1", "links-2", "classes", "known-sets"):
+    for dead in ("copies", "sets", "agreements", "families", "classes", "known-sets"):
         space.drop(dead)
     out = table.drop("sketch").join(known, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -3,7 +3,8 @@
 All templates (licence texts and notices, and short phrases) go word by word into one suffix automaton. A text is streamed
 through it: at each word the automaton knows the longest run of words, ending here, that stands in any template (matching
 statistics). Runs that end here and cannot go on are matches; long matches that follow each other in the text and in one
-template are chained into spans, each with the share of the template that it covers.
+template are chained into spans, each with the share of the template that it covers; a tag that names a licence by its public
+identifier is a span of its own. Templates of one licence, a text, a notice or a line, have one label in the result, the licence's.
 
 Two words that stand next to each other in no template end every run, so only stretches of pairs known to some template
 are streamed; the rest of a text costs an array lookup per word. Results are those of streaming every word.
@@ -16,6 +17,7 @@ first in the text comes first; an empty table gives no rows; other columns, what
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -23,6 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codeloom.llm.common import lower_words
 
@@ -63,9 +66,40 @@ TEMPLATES = {
     "cc-by-nd-4.0-line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "bsd-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "mit-line-2": "This project is licensed under the terms of the MIT license.",
+    "apache-2.0-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "gpl-3.0-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "gpl-2.0-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it.",
+    "lgpl-3.0-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "mpl-2.0-text": "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
     "rights-reserved-line": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means, without the prior written permission of the publisher.",
 }
 
+# Identifiers of the public list of licences, as tags in source files name them.
+SPDX = """
+0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0
+CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EFL-2.0 EPL-1.0 EPL-2.0
+EUPL-1.1 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ICU ISC LGPL-2.0-only LGPL-2.1 LGPL-2.1-only
+LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0
+PHP-3.01 PostgreSQL Python-2.0 QPL-1.0 Ruby SSPL-1.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1
+""".split()
+TAG = "SPDX-License-Identifier: "
+#: Bytes of templates from a table: the automaton is in every task.
+MOST_TEMPLATE_BYTES = 16_000_000
+
+
+def licence_of(template: str) -> str:
+    """The licence that a template belongs to: its name without what the template is of it."""
+    return re.sub(r"-(text|line|notice|part|disclaimer)(-\d+)?$", "", template)
+
+
+def templates_of(rows: DataFrame) -> dict[str, str]:
+    """Templates from a table (licence, text) of licence texts and notices, several of a licence if it likes."""
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    if size > MOST_TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes; {MOST_TEMPLATE_BYTES} at most")
+    found = rows.where("licence is not null and text is not null").select("licence", "text").orderBy("licence", "text").collect()
+    return {f"{r.licence}-text-{k}": r.text for k, r in enumerate(found)}
+
 
 class SuffixAutomaton:
     """Generalised suffix automaton of word sequences, numbered as they are added."""
@@ -144,13 +178,13 @@ class Span:
 
 
 class LicenseScanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, min_match: int = 3, max_gap: int = 12, min_share: float = 0.6):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, tags: list[str] = SPDX, min_match: int = 3, max_gap: int = 12, min_share: float = 0.6):
         self.min_match, self.max_gap, self.min_share = min_match, max_gap, min_share
         self.labels, self.sizes, self.vocabulary = [*templates], [], {}
         self.automaton = SuffixAutomaton()
         sequences = [lower_words(t) for t in templates.values()]
         self.sizes = [len(s) for s in sequences]
-        extra = [lower_words(p) for p in phrases]
+        extra = [lower_words(p) for p in [*phrases, *(TAG + t for t in tags)]]
         coded = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in s] for s in [*sequences, *extra]]
         for k, words in enumerate(coded):
             self.automaton.add(k, words)
@@ -161,21 +195,22 @@ class LicenseScanner:
         #: Whether a pair can be one, by the low bits of its number: nearly all others end here.
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.pairs & (len(self.maybe) - 1)] = True
-        # phrases that end where a state's run ends: (label, words), found at the state itself or at its suffix links
-        own: dict[int, list[tuple[str, int]]] = {}
-        for label, words in zip(phrases.values(), coded[len(sequences) :], strict=True):
+        # phrases that end where a state's run ends: (label, words, whether it is a tag), found at the state itself or at its suffix links
+        own: dict[int, list[tuple[str, int, bool]]] = {}
+        named = [*((label, False) for label in phrases.values()), *((t.lower(), True) for t in tags)]
+        for (label, is_tag), words in zip(named, coded[len(sequences) :], strict=True):
             state = 0
             for word in words:
                 state = self.automaton.next[state][word]
-            own.setdefault(state, []).append((label, len(words)))
+            own.setdefault(state, []).append((label, len(words), is_tag))
         self.own = own
         #: The first state with a phrase of its own among a state and its suffix links, 0 without.
         self.nearest = [0] * len(self.automaton.next)
         for s in sorted(range(1, len(self.nearest)), key=self.automaton.length.__getitem__):
             self.nearest[s] = s if s in own else self.nearest[self.automaton.link[s]]
 
-    def phrases_at(self, state: int) -> Iterator[tuple[str, int]]:
-        """(label, words) of each phrase that a state's runs end with."""
+    def phrases_at(self, state: int) -> Iterator[tuple[str, int, bool]]:
+        """(label, words, whether it is a tag) of each phrase that a state's runs end with."""
         while state := self.nearest[state]:
             yield from self.own[state]
             state = self.automaton.link[state]
@@ -200,8 +235,9 @@ class LicenseScanner:
         return codes, np.cumsum(sizes) - sizes
 
     def scan(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[str, int]], list[Span]]]:
-        """Per text: places of phrases (label, first word), and spans of templates."""
+        """Per text: places of phrases (label, first word), and spans of templates and tags."""
         places: list[list[tuple[str, int]]] = [[] for _ in texts]
+        tags: list[dict[int, Span]] = [{} for _ in texts]
         matches: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         if not texts:
             return []
@@ -218,12 +254,16 @@ class LicenseScanner:
                 state, run = step(state, run, word)
                 if run <= before[1] and before[1] >= self.min_match:
                     self._match(matches[text], *before, first + k - 1 - base)
-                for label, size in phrases_at(state):
+                for label, size, is_tag in phrases_at(state):
                     if run >= size:
-                        places[text].append((label, first + k + 1 - size - base))
+                        at = first + k + 1 - size - base
+                        if is_tag:  # a longer identifier at the same place comes later and stays
+                            tags[text][at] = Span(label, at, at + size - 1, size, 1.0)
+                        else:
+                            places[text].append((label, at))
             if run >= self.min_match:
                 self._match(matches[text], state, run, stop - base)
-        return [(p, self.chain(m)) for p, m in zip(places, matches, strict=True)]
+        return [(p, sorted([*t.values(), *self.chain(m)], key=lambda s: (-s.share, s.first, s.label))) for p, t, m in zip(places, tags, matches, strict=True)]
 
     def _match(self, out: list, state: int, run: int, last: int) -> None:
         """(template, first word in it, first word in the text, words) for every place of the run in a template."""
@@ -288,7 +328,7 @@ RESULT = [
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
-    """Per document (doc_id, text): n_words, places of phrases (n_base, first_word, last_word, base_labels), labels (those of
+    """Per document (doc_id, text): n_words, places of phrases (n_base, first_word, last_word, base_labels), labels (the licences of
     spans too), score (share of the best covered template; 0.5 at least where a phrase stands), and the spans themselves.
 
     One pass over the texts in batches; nothing is shuffled, and the automaton is as large as the templates."""
@@ -305,7 +345,7 @@ def scan(docs: DataFrame, **options) -> DataFrame:
                     score = max([0.5 if places else 0.0, *(s.share for s in spans)])
                     out.append((
                         doc_id, len(words), len(places), min(where, default=None), max(where, default=None), ",".join(sorted(base)),
-                        ",".join(sorted(base | {s.label for s in spans})), score, [{"label": s.label, "first": s.first, "last": s.last, "share": s.share} for s in spans],
+                        ",".join(sorted(base | {licence_of(s.label) for s in spans})), score, [{"label": s.label, "first": s.first, "last": s.last, "share": s.share} for s in spans],
                     ))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t, _) in zip(zip(*out, strict=True), RESULT, strict=True)], [n for n, _, _ in RESULT])
 

@@ -269,9 +269,9 @@ def test_spans_of_changed_templates(make):
     mit = license_scan.TEMPLATES["mit-text"]
     given = [(1, "x " + mit.replace("free of charge", "gratis") + " y"), (2, mit[: len(mit) // 4]), (3, f"{mit}\n\n{mit}"), (4, "Licensed under CC BY-NC 4.0.")]
     got = {r.doc_id: r for r in license_scan.scan(make(given)).collect()}
-    assert "mit-text" in got[1].labels and got[1].score > 0.9 and got[2].labels == ""
+    assert got[1].labels == "mit" and got[1].spans[0].label == "mit-text" and got[1].score > 0.9 and got[2].labels == ""
     assert [s.label for s in got[3].spans].count("mit-text") == 2
-    assert (got[4].base_labels, got[4].labels, got[4].score) == ("cc-by", "cc-by,cc-by-nc-4.0-line", 1.0)
+    assert (got[4].base_labels, got[4].labels, got[4].score) == ("cc-by", "cc-by,cc-by-nc-4.0", 1.0)
 
 
 def plain_spans(scanner, templates, words, min_match, max_gap):
@@ -330,6 +330,34 @@ def test_licences_that_differ_in_a_word(make):
     assert [[s.label for s in r.spans] for r in got] == [[label] for label in lines for _ in range(2)]
 
 
+def test_licences_have_one_label_each(make):
+    """Texts, notices, lines and tags of a licence; the longest identifier of a tag counts."""
+    apache = (
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined"
+    )
+    given = [
+        (1, apache), (2, "// SPDX-License-Identifier: BSD-3-Clause\nint x;"), (3, "SPDX-License-Identifier: BSD-3-Clause-Clear"), (4, "spdx license identifier"),
+        (5, "This project is licensed under the terms of the MIT license. Released under the MIT License."), (6, "SPDX-License-Identifier: GPL-2.0-or-later OR MIT"),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(make(given)).collect()}
+    assert [got[k].labels for k in range(1, 7)] == ["apache,apache-2.0", "bsd-3-clause", "bsd-3-clause-clear", "", "mit", "gpl-2.0-or-later"]
+    assert (got[2].n_base, got[2].score, got[2].spans[0].first, got[2].spans[0].last) == (0, 1.0, 0, 5)
+
+
+def test_templates_from_a_table(spark, make):
+    rows = spark.createDataFrame([("house-1", "one two three four five six"), ("house-1", "seven eight nine ten eleven"), ("house-2", None)], "licence string, text string")
+    got = license_scan.scan(make([(1, "x seven eight nine ten eleven"), (2, "one two three four five six y")]), templates=license_scan.templates_of(rows)).collect()
+    assert {r.labels for r in got} == {"house-1"}
+
+
+def test_long_texts_of_licences(make):
+    """A licence in the middle of two million words."""
+    words = "lorem ipsum dolor " * 350_000
+    (got,) = license_scan.scan(make([(1, f"{words}{license_scan.TEMPLATES['isc-text']} {words}")])).collect()
+    assert (got.labels, got.n_words, got.spans[0].first) == ("isc", 2 * 1_050_000 + 34, 1_050_000)
+
+
 def test_licences_of_odd_rows(odd, none):
     got = license_scan.scan(odd).collect()
     assert len(got) == odd.count() and {r.n_base for r in got} == {0} and {r.first_word for r in got} == {None}

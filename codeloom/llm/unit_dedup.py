@@ -241,7 +241,7 @@ def repeated_units(table: DataFrame, space: Workspace) -> DataFrame:
     Digests are pre-aggregated before the shuffle, and both sides of the join come from tables, so that a hot one is split
     among tasks at run time."""
     placed = table.select("row", "doc_id", "rank", F.explode("units").alias("u")).select("row", "doc_id", "rank", "u.*")
-    first = F.min_by(F.struct("row", "word"), F.when(~F.col("again"), F.col("rank"))).alias("keeper")
+    first = F.min(F.when(~F.col("again"), F.struct("rank", "row", "word"))).alias("keeper")  # of equal ranks always the same one
     groups = placed.groupBy(F.col("high").alias("_high"), F.col("low").alias("_low")).agg(first, F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     groups = space.write(groups.where("n > 1").drop("n"), "groups")
     found = placed.drop("doc_id", "rank").join(groups, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")))
@@ -288,7 +288,7 @@ def repeated_windows(space: Workspace, table: DataFrame, runs: DataFrame, same:
     space.drop("asked")
     placed = windows.select("row", "doc_id", "rank", F.explode("windows").alias("w")).select("row", "doc_id", "rank", "w.*")
     groups = placed.groupBy(F.col("high").alias("_high"), F.col("low").alias("_low"))
-    groups = groups.agg(F.min_by("row", "rank").alias("keeper"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = groups.agg(F.min(F.struct("rank", "row"))["row"].alias("keeper"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     groups = space.write(groups, "window_groups")
     found = placed.where("open").drop("doc_id", "rank").join(groups, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")))
     found = found.where(F.col("again") | (F.col("keeper") != F.col("row")))

@@ -71,7 +71,7 @@ def plan_records(pages: DataFrame, space: Workspace, min_revisit_bytes: int = 0)
     hot payload are split among tasks at run time."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", html.alias("html"), payload_digest(html.cast("binary")).alias("_digest"), F.octet_length(html).cast("long").alias("_bytes"))
-    groups = rows.where(F.col("_bytes") >= min_revisit_bytes).groupBy("_digest").agg(F.max("page_id").alias("_first"), F.max_by("row", "page_id").alias("_first_row"), F.count(F.lit(1)).alias("_n"))
+    groups = rows.where(F.col("_bytes") >= min_revisit_bytes).groupBy("_digest").agg(F.max("page_id").alias("_first"), F.max(F.struct("page_id", "row"))["row"].alias("_first_row"), F.count(F.lit(1)).alias("_n"))
     groups = space.write(groups.where("_n > 1 and _first is not null").select(F.col("_digest").alias("_d"), "_first", "_first_row"), "groups")
     return rows.join(groups, F.col("_digest") == F.col("_d"), "left").drop("_d")
 

@@ -29,6 +29,7 @@ def valid_json(value: Column) -> Column:
 def recovered_json(reply: Column) -> Column:
     """JSON text of a reply: all of it, or a fenced object, or what lies between the first { and the last }; null without."""
     whole = strip(text(reply))
+    # fixed value: the pattern of a fence decides which object of several is found
     fenced = F.nullif(F.regexp_extract(whole, r"```(?:json)?\s*(\{[\s\S]*?\})\s*```", 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(whole, r"\{[\s\S]*\}", 0), F.lit(""))
     return F.coalesce(valid_json(whole), valid_json(fenced), valid_json(braces))

@@ -66,6 +66,16 @@ def without_types(code: Column) -> Column:
     return out
 
 
+def to_base64(value: Column) -> Column:
+    """The base64 of a text's UTF-8, in one line, which the function alone does not give."""
+    return F.regexp_replace(F.base64(value.cast("binary")), r"\s", "")
+
+
+def data_uri(value: Column, kind: str = "image/png") -> Column:
+    """Bytes as an address that holds them."""
+    return F.concat(F.lit(f"data:{kind};base64,"), to_base64(value))
+
+
 def from_base64(value: Column) -> Column:
     """The text of base64 as listings carry it, broken into lines; null where it is no base64 or no UTF-8."""
     return F.try_validate_utf8(F.try_to_binary(F.regexp_replace(value, r"\s", ""), F.lit("base64")).cast("string"))

@@ -82,11 +82,12 @@ def renamed(files: DataFrame, old: str, new: str) -> DataFrame:
     return files.crossJoin(F.broadcast(taken)).withColumn("name", name).drop("_taken")
 
 
-def with_new_file(files: DataFrame, stem: str = "untitled", ending: str = ".py") -> DataFrame:
-    """files (ord, name, code) with an empty one more, last, whose name is the first of stem_1, stem_2, ... not yet taken."""
+def with_new_file(files: DataFrame, stem: str = "file", ending: str = ".py") -> DataFrame:
+    """files (ord, name, code) with an empty one more, last, called by how many there are then: of two files, file_3.py is the new one. If
+    that name is taken the next free number counts."""
     number = F.try_element_at(F.regexp_extract_all("name", F.lit(rf"\A{stem}_([0-9]+)\{ending}\z"), F.lit(1)), F.lit(1)).cast("int")
-    known = files.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_last"), F.array_sort(F.collect_set(number)).alias("_taken"))
-    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("_taken") + 1), "_taken"))
+    known = files.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_last"), F.count(F.lit(1)).cast("int").alias("_n"), F.collect_set(number).alias("_taken"))
+    free = F.array_min(F.array_except(F.sequence(F.col("_n") + 1, F.col("_n") + F.size("_taken") + 1), "_taken"))
     new = known.select((F.col("_last") + 1).alias("ord"), F.concat(F.lit(f"{stem}_"), free.cast("string"), F.lit(ending)).alias("name"), F.lit("").alias("code"))
     return files.select("ord", "name", "code").unionByName(new)
 

@@ -102,6 +102,11 @@ def first_open(triaged: DataFrame) -> DataFrame:
     return triaged.where(F.coalesce(F.length("code"), F.lit(0)) > 0).orderBy(~pressing, "ord").limit(1)
 
 
+def editor_files(analysed: DataFrame) -> DataFrame:
+    """What an editor opens of a scan: ord, name and code of files with content."""
+    return analysed.where(F.length("code") > 0).select("ord", F.col("filename").alias("name"), "code")
+
+
 def totals(analysed: DataFrame) -> DataFrame:
     """Issues of each kind per file and altogether; an error that is a style issue too counts in both."""
     kinds = ("errors", "style_issues", "security_issues", "complexity_issues")

@@ -61,5 +61,8 @@ def scan_report(reviews: DataFrame) -> DataFrame:
 
 
 def progress_text(total: int, flagged: int, clean: int, sent: int, truncated: bool) -> str:
-    cut = " (Repo truncated at 200 files)" if truncated else ""
-    return f"Static analysis done — {flagged} flagged, {clean} clean.{cut}\n\nSending {sent} flagged files to AI..." if total else ""
+    """One line about a scan, for whoever waits for it; nothing where there were no files."""
+    if not total:
+        return ""
+    cut = f", the first {triage.MAX_FILES} of the repository" if truncated else ""
+    return f"{total} files checked{cut}: {flagged} need a look, {clean} do not. {sent} go to the model."

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import json as replies
 from codeloom.functions import languages, text
-from codeloom.operators import history, prompts, python_code, python_lint, retrieval, rules, temporal, triage, urls
+from codeloom.operators import history, prompts, python_code, python_lint, retrieval, rollups, rules, temporal, triage, urls
 from codeloom.plans import chat, scan
 from codeloom.sources import store
 from codeloom.sources.files import CORPUS_SQL, corpus, named, sql_over, table
@@ -186,7 +186,7 @@ TREE = """select file_id, path, case when file_id % 9 = 0 then 'tree' else 'blob
 from (select file_id, concat(case file_id % 6 when 0 then 'vendor/' when 1 then 'dist/' when 2 then 'a.git/' else 'lib/' end, path, case when file_id % 10 = 7 then '.min.js' else '' end) as path from ({corpus}))"""
 
 
-@query("tree_filter", f"""select file_id, path, coalesce(size, 0)::bigint size, string_split(path, '/')[-1] filename, {LANGUAGE_SQL.format(p="path")} as language
+@query("tree_filter", f"""select file_id, path, coalesce(size, 0)::bigint size, string_split(path, '/')[-1] filename, {LANGUAGE_SQL.format(p="path")} as language, count(*) over () > 200 truncated
 from ({TREE.format(corpus=CORPUS_SQL)}) where type = 'blob' and {LANGUAGE_SQL.format(p="path")} <> '' and coalesce(size, 0) < 102400
   and not (contains(path, 'node_modules/') or contains(path, '.git/') or contains(path, 'vendor/') or contains(path, '__pycache__/') or contains(path, 'dist/')
     or contains(path, 'build/') or contains(path, '.min.js') or contains(path, '.min.css'))
@@ -194,7 +194,7 @@ order by file_id limit 200""")
 def tree_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = named(sql_over(spark, TREE.format(corpus=CORPUS_SQL), "orders", table(spark, sf_dir, "orders")))
     kept = rows.where(triage.in_tree(F.col("path"), F.col("type"), F.col("size"), F.col("language")))
-    return triage.first_files(kept, "file_id").select("file_id", "path", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "filename", "language")
+    return triage.first_files(kept, "file_id").select("file_id", "path", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "filename", "language", "truncated")
 
 
 URLS = """select p_partkey, case p_partkey % 11 when 0 then 'https://github.com/o{k}/r{k}' when 1 then ' github.com/o{k}/r{k}.git ' when 2 then 'https://github.com/o{k}/r{k}/'
@@ -273,6 +273,11 @@ def first_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.first_open(triaged(spark, sf_dir)).select("file_id", "filename")
 
 
+@query("scan_files", FILE_SQL + "select ord, filename \"name\", md5(code) code_md5 from triaged where length(code) > 0")
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.editor_files(triaged(spark, sf_dir)).select("ord", "name", F.md5("code").alias("code_md5"))
+
+
 @query("clean_files", FILE_SQL + "select file_id, style_score from triaged where not flagged")
 def clean_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triaged(spark, sf_dir).where(~F.col("flagged")).select("file_id", "style_score")
@@ -842,8 +847,8 @@ def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled(spark, sf_dir).select("file_id", prompts.issue_summary(F.col("style_issues"), "Style Issues").alias("summary"))
 
 
-@query("analysis_prompt", PROMPT_SQL + """select f.file_id, 'Analyze this ' || upper(language) || ' code:' || chr(10) || chr(10) || '```' || language || chr(10) || substr(f.code, 1, 6000) || chr(10) || '```' || chr(10) || chr(10) || 'Static Analysis:' || chr(10)
-  || coalesce(s, 'Style Issues: None') || chr(10) || chr(10) || chr(10) || chr(10) || 'Code Structure:' || chr(10) || 'Lines: 3, Functions: 0, Classes: 0' || chr(10) || chr(10) || 'Return ONLY a JSON object matching the required schema.' prompt
+@query("analysis_prompt", PROMPT_SQL + """select f.file_id, 'Please review this ' || upper(language) || ' file.' || chr(10) || chr(10) || '```' || language || chr(10) || substr(f.code, 1, 6000) || chr(10) || '```' || chr(10) || chr(10) || 'What the rules found:' || chr(10)
+  || coalesce(s, 'Style Issues: None') || chr(10) || chr(10) || chr(10) || chr(10) || 'What it consists of:' || chr(10) || 'Lines: 3, Functions: 0, Classes: 0' || chr(10) || chr(10) || 'Answer with the JSON object and nothing else.' prompt
 from facts f left join said using (file_id)""")
 def analysis_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [prompts.issue_summary(F.col("style_issues"), "Style Issues"), F.lit(""), F.lit("")]
@@ -851,8 +856,8 @@ def analysis_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled(spark, sf_dir).select("file_id", prompts.analysis_prompt(F.col("code"), F.col("language"), parts, structure).alias("prompt"))
 
 
-@query("chat_prompt", """select conv_id, turn, text || chr(10) || chr(10) || '[Current sql code in editor:]' || chr(10) || '```sql' || chr(10) || 'select 1' || chr(10) || '```'
-  || case when role = 'user' then chr(10) || chr(10) || '[Relevant code from project:]' || chr(10) || role else '' end prompt from conversations""")
+@query("chat_prompt", """select conv_id, turn, text || chr(10) || chr(10) || '[In the editor, sql:]' || chr(10) || '```sql' || chr(10) || 'select 1' || chr(10) || '```'
+  || case when role = 'user' then chr(10) || chr(10) || '[From the project:]' || chr(10) || role else '' end prompt from conversations""")
 def chat_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = F.when(F.col("role") == "user", F.col("role")).otherwise("")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.chat_prompt(F.col("text"), F.lit("select 1"), F.lit("sql"), context).alias("prompt"))
@@ -891,6 +896,32 @@ def backend_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", "s.backend", "s.status")
 
 
+ROLLUP_SQL = """
+with d as (select lang, source, doc_id, n_chars from documents),
+g as (select lang, source, 2 - grouping(lang) - grouping(source) level, count(*)::bigint n, sum(n_chars)::double total from d group by rollup (lang, source))
+select lang, source, level::int level, n, total, true near_distinct, true near_median from g"""
+
+
+@query("sketch_rollup", ROLLUP_SQL)
+def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by language and source: exact counts, and whether the merged sketches keep their bounds."""
+    docs, levels = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars"), ["lang", "source"]
+    made = rollups.rolled(rollups.sketched(docs, levels, "doc_id", "n_chars"), levels)
+    exact = docs.rollup(*levels).agg(F.countDistinct("doc_id").alias("distinct"), F.percentile("n_chars", F.array(F.lit(0.46), F.lit(0.54))).alias("around"), (F.lit(2) - F.grouping("lang") - F.grouping("source")).alias("level"))
+    exact = exact.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("level").cast("int").alias("_level"), "distinct", "around")
+    both = made.join(exact, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("level") == F.col("_level")))
+    median, few = F.col("quantiles")[0], F.col("n") < 50
+    return both.select(
+        "lang", "source", "level", "n", "total", (F.abs(F.col("n_distinct") - F.col("distinct")) <= 0.07 * F.col("distinct") + 1).alias("near_distinct"),
+        (few | F.col("around").isNull() | median.between(F.col("around")[0] - 1, F.col("around")[1] + 1)).alias("near_median"),
+    )
+
+
+@query("base64_text", "select doc_id, md5(base64(encode(text))) base64_md5 from documents")
+def base64_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.to_base64(F.col("text"))).alias("base64_md5"))
+
+
 # Versions in time
 
 

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a reading or writing task fetches or sends at once.
 BATCH = 10_000
 
 
-def address(setting: str | None, default: str) -> str:
-    """The JDBC address of a setting such as postgresql://host/name; default where it is unset or still has a placeholder (<...>)."""
+def connection(setting: str | None, default: str) -> tuple[str, dict[str, str]]:
+    """The JDBC address of a setting such as postgresql://user:password@host/name, and the options user and password, which drivers do not
+    take from the address; default where the setting is unset or still has a placeholder (<...>). sqlite:///x is a file x."""
     if not setting or not setting.strip() or "<" in setting:
-        return default
+        return default, {}
     url = setting.strip()
     if url.startswith("jdbc:"):
-        return url
+        return url, {}
     kind, _, rest = url.partition("://")
-    return f"jdbc:{ {'postgres': 'postgresql'}.get(kind.split('+')[0], kind.split('+')[0]) }://{rest}".replace(" ", "")
+    kind = kind.split("+")[0]
+    if kind == "sqlite":
+        return f"jdbc:sqlite:{rest.removeprefix('/')}", {}
+    who, _, where = rest.rpartition("@")
+    user, colon, password = who.partition(":")
+    options = {"user": unquote(user)} if user else {}
+    return f"jdbc:{ {'postgres': 'postgresql'}.get(kind, kind) }://{where}", options | ({"password": unquote(password)} if colon else {})
+
+
+def address(setting: str | None, default: str) -> str:
+    """The address of connection() alone."""
+    return connection(setting, default)[0]
 
 
 def read(spark: SparkSession, url: str, table: str, key: str | None = None, tasks: int = 1, **options: str) -> DataFrame:

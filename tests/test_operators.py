@@ -316,6 +316,8 @@ def test_database(spark, tmp_path):
     database.write(rows.limit(0), url, "SNIPPET", mode="overwrite", **options)
     assert database.read(spark, url, "SNIPPET", '"ID"', 4, **options).count() == 0
     assert database.address("postgresql://h/d", "x") == database.address("postgres://h/d", "x") == "jdbc:postgresql://h/d"
+    assert database.connection("postgresql+asyncpg://me:p%40ss@h:1/d", "x") == ("jdbc:postgresql://h:1/d", {"user": "me", "password": "p@ss"})
+    assert database.connection("sqlite:///a.db", "x") == ("jdbc:sqlite:a.db", {}) and database.connection("sqlite:////t/a.db", "x")[0] == "jdbc:sqlite:/t/a.db"
     assert database.address(None, "x") == database.address("postgresql://<user>@h/d", "x") == "x" and database.address("jdbc:a:b", "x") == "jdbc:a:b"
 
 
@@ -392,14 +394,16 @@ def test_numbers_of_any_amount(spark):
 def test_new_and_renamed_files(spark):
     files = spark.createDataFrame([(0, "untitled_1.py", "1"), (4, "untitled_3.py", "2")], "ord int, name string, code string")
     made = history.with_new_file(files)
-    assert [(r.ord, r.name, r.code) for r in made.orderBy("ord").collect()][-1] == (5, "untitled_2.py", "")
-    assert [r.name for r in history.with_new_file(files.where("false")).collect()] == ["untitled_1.py"]
+    assert [(r.ord, r.name, r.code) for r in made.orderBy("ord").collect()][-1] == (5, "file_3.py", "")
+    assert [r.name for r in history.with_new_file(files.where("false")).collect()] == ["file_1.py"]
+    assert "file_4.py" in {r.name for r in history.with_new_file(files.withColumn("name", F.expr("if(ord = 4, 'file_3.py', name)"))).collect()}
     assert {r.name for r in history.renamed(files, "untitled_1.py", "a.py").collect()} == {"a.py", "untitled_3.py"}
     assert {r.name for r in history.renamed(files, "untitled_1.py", "untitled_3.py").collect()} == {"untitled_1.py", "untitled_3.py"}
 
 
 def test_base64(spark):
     df = spark.createDataFrame([("aGVs\nbG8=\n",), ("not base64!",), (None,), ("//79",)], "b string")
+    assert df.limit(1).select(text.to_base64(F.lit("é")).alias("x"), text.data_uri(F.lit(b"ab")).alias("y")).first() == ("w6k=", "data:image/png;base64,YWI=")
     assert [r.x for r in df.select(text.from_base64(F.col("b")).alias("x")).collect()] == ["hello", None, None, None]
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +59,32 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(in_tree(F.col("path"), F.col("type"), F.col("size"), F.col("language"))).drop("type")
 
 
+def heads(files: DataFrame) -> DataFrame:
+    """path, content: the first LONGEST bytes of files (path), of which no more is read; a character that is cut in two goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                local = path.startswith("file:")
+                fs, name = (pafs.LocalFileSystem(), re.sub("^file:/+", "/", path)) if local else pafs.FileSystem.from_uri(path)
+                with fs.open_input_stream(name) as file:
+                    raw = file.read(LONGEST)
+                try:
+                    raw = codecs.getincrementaldecoder("utf-8")().decode(raw).encode()
+                except UnicodeDecodeError:
+                    pass  # it is no text, which the caller says
+                yield pa.RecordBatch.from_pydict({"path": [path], "content": [raw]}, pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return files.select("path").mapInArrow(run, "path string, content binary")
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, filename, language, code, fetch_error of every file below a folder: texts of up to LONGEST bytes, cut there;
-    what is no UTF-8 has no code."""
+    what is no UTF-8 has no code. Of a longer file only the beginning is read, however large it is."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    head = F.substring(F.col("content"), 1, LONGEST)
-    code = F.try_validate_utf8(head.cast("string"))
+    whole = found.where(F.col("length") <= LONGEST).select("path", "content")
+    code = F.try_validate_utf8(F.col("content").cast("string"))
     base = folder.rstrip("/") + "/"
-    rows = found.select(F.substring_index(F.col("path"), base, -1).alias("path"), code.alias("code"))
+    both = whole.unionByName(heads(found.where(F.col("length") > LONGEST)))
+    rows = both.select(F.substring_index(F.col("path"), base, -1).alias("path"), code.alias("code"))
     return named(rows).withColumn("fetch_error", F.when(F.col("code").isNull(), "Binary file").otherwise(""))

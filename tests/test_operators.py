@@ -327,6 +327,10 @@ def test_file_sources(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     assert {r.path for r in sources.list_files(spark, str(tmp_path)).collect()} == {"a.py", "d/c.js", "f.md"}
     got = {r.path: r for r in sources.read_files(spark, str(tmp_path)).collect()}
+    (tmp_path / "long.js").write_bytes(b"x" + "é".encode() * 200_000)
+    (tmp_path / "long.bin").write_bytes(b"\xff" * 300_000)
+    longer = {r.path: r for r in sources.read_files(spark, str(tmp_path)).collect()}
+    assert longer["long.js"].code == "x" + "é" * 102_399 and longer["long.bin"].fetch_error == "Binary file" and longer.keys() == got.keys() | {"long.js", "long.bin"}
     assert got["a.py"].code == "x = 1\n" and got["f.md"].code is None and got["f.md"].fetch_error == "Binary file"
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import is_blank, split_lines
 from codeloom.operators.retrieval import chunk_rows
-from codeloom.operators.rules import exploded
 
 FUNCTION = "struct<name:string,lineno:int,args:array<string>,class:string,decorators:array<string>,docstring:string,line_count:int>"
 CLASS = "struct<name:string,lineno:int,bases:array<string>,docstring:string>"

@@ -448,7 +448,25 @@ def test_plans(spark):
     assert "o_totalprice" not in top  # columns that nothing needs are not read
     assert "WindowGroupLimit" in plan_of(queries.QUERIES["knn_top"](spark, SMALL))
     assert "Exchange" not in plan_of(queries.QUERIES["line_rules"](spark, SMALL))
-    for name, sign in (("line_rules", "LINE_LEN"), ("triage_top", "LINE_LEN"), ("scan_display", "LINE_LEN"), ("py_errors", "ArrowEvalPython"), ("functions", "ArrowEvalPython"), ("cfg_edges", "ArrowEvalPython"), ("repo_scan_literal", "ArrowEvalPython")):
+    for name, sign in (("line_rules", "LINE_LEN"), ("triage_top", "LINE_LEN"), ("scan_display", "LINE_LEN"), ("clean_files", "LINE_LEN"), ("py_errors", "ArrowEvalPython"), ("functions", "ArrowEvalPython"), ("cfg_edges", "ArrowEvalPython"), ("repo_scan_literal", "ArrowEvalPython")):
         assert plan_of(queries.QUERIES[name](spark, SMALL)).count(f"{sign} [" if sign.startswith("Arrow") else sign) == 1, name  # rules and Python run once
     assert "LINE_LEN" not in plan_of(queries.QUERIES["js_rules"](spark, SMALL))
+    for name in ("repo_scan", "index_repo"):  # two tables of files, each read once
+        assert plan_of(queries.QUERIES[name](spark, SMALL)).count("FileScan") == 2, name
     assert "PushedFilters: [IsNotNull(conv_id), EqualTo(conv_id,5)]" in plan_of(queries.QUERIES["chat_by_id"](spark, SMALL))
+
+
+def test_display_runs_what_it_shows_once(spark):
+    """A sort of all rows samples its input; what the columns are made of must not run twice for that."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def score(k):
+        ran.add(1)
+        return k % 100
+
+    made = spark.range(1000).select(
+        F.col("id").cast("int").alias("ord"), F.concat(F.lit("p"), "id").alias("path"), F.lit("f").alias("filename"), F.lit(0).alias("complexity"), F.lit(0).alias("error_count"),
+        F.udf(score, "int")("id").alias("style_score"), (F.col("id") % 2 == 0).alias("flagged"), F.lit(1).alias("priority_score"),
+    )
+    shown = triage.display(made).collect()
+    assert ran.value == 1000 and [r.flagged for r in shown] == [True] * 500 + [False] * 500 and [r.ord for r in shown[:3]] == [0, 2, 4]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import SPACE, is_blank, rstrip, split_lines, strip, text
+from codeloom.functions.text import GAP, OTHER_BREAK, SPACE, is_blank, rstrip, split_lines, strip, text
 
 LONGEST = 120
 CAP = 50
@@ -45,23 +45,35 @@ def long_lines(lines: Column, longest: int = LONGEST) -> Column:
 
 
 def trailing_space(lines: Column) -> Column:
-    return per_line(lines, lambda x: x.rlike(rf"{SPACE}\z"), lambda x, n: issue(n, F.length(rstrip(x)) + 1, "TRAIL_WS", "Trailing whitespace", "warning", "style"))
+    return per_line(lines, lambda x: F.right(x, F.lit(1)).rlike(SPACE), lambda x, n: issue(n, F.length(rstrip(x)) + 1, "TRAIL_WS", "Trailing whitespace", "warning", "style"))
 
 
-def bracket_nets(code: Column) -> dict[str, Column]:
-    """Opening less closing brackets of each kind outside quotes. A quote runs to the next one of its kind, or to the end
-    of the text; what is quoted is taken out, and what is left is counted by length."""
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with the value computed once, however often it is used."""
+    return F.transform(F.array(value), made)[0]
+
+
+def nets(code: Column) -> Column:
+    """Opening less closing brackets of each kind of BRACKETS outside quotes, as an array. A quote runs to the next one of its kind, or
+    to the end of the text; what is quoted is taken out, and what is left is counted by length."""
     bare = F.regexp_replace(text(code), r"\"[^\"]*(?:\"|\z)|'[^']*(?:'|\z)", "")
-    count = lambda ch: F.length(bare) - F.length(F.replace(bare, F.lit(ch), F.lit("")))
-    return {a: count(a) - count(b) for a, b in BRACKETS}
+    without = lambda t, ch: F.length(F.replace(t, F.lit(ch), F.lit("")))
+    return bound(bare, lambda t: F.array(*[without(t, b) - without(t, a) for a, b in BRACKETS]))
+
+
+def bracket_nets(code: Column) -> dict[str, Column]:
+    return {a: nets(code)[k] for k, (a, _) in enumerate(BRACKETS)}
 
 
 def unbalanced(code: Column) -> Column:
-    found = [
-        F.when(net != 0, issue(0, 0, "UNBALANCED", F.format_string(f"Unbalanced bracket '{ch}' (net: %+d)", net), "error", "error"))
-        for ch, net in bracket_nets(code).items()
-    ]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    def found(net: Column) -> Column:
+        made = [
+            F.when(net[k] != 0, issue(0, 0, "UNBALANCED", F.format_string(f"Unbalanced bracket '{ch}' (net: %+d)", net[k]), "error", "error"))
+            for k, (ch, _) in enumerate(BRACKETS)
+        ]
+        return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+    return bound(nets(code), found)
 
 
 def marker(line: Column) -> Column:
@@ -74,9 +86,17 @@ def markers(lines: Column) -> Column:
     return per_line(lines, lambda x: marker(x).isNotNull(), lambda x, n: issue(n, 1, marker(x), F.concat(marker(x), F.lit(" marker found")), "info", "style"))
 
 
+def where_any(holds: Column, issues: Column) -> Column:
+    """The issues of a rule, whose lines are looked at only where a look at the whole text has found that some may hold."""
+    return F.when(holds, issues).otherwise(F.array().cast(NO_ISSUES))
+
+
 def generic_issues(code: Column, lines: Column) -> Column:
     """The rules of any language, cut after CAP issues in this order."""
-    return F.slice(F.concat(long_lines(lines), trailing_space(lines), unbalanced(code), markers(lines)), 1, CAP)
+    whole = text(code)
+    trailing = where_any(whole.rlike(rf"{GAP}(?:[\n{OTHER_BREAK[1:]}|\z)"), trailing_space(lines))
+    marked = where_any(marker(whole).isNotNull(), markers(lines))
+    return F.slice(F.concat(long_lines(lines), trailing, unbalanced(code), marked), 1, CAP)
 
 
 def script_issues(lines: Column) -> Column:
@@ -86,7 +106,7 @@ def script_issues(lines: Column) -> Column:
         lambda x, k: F.array(
             F.when(x.rlike(rf"\A{SPACE}*var{SPACE}+"), issue(k + 1, 1, "NO_VAR", "Prefer 'let' or 'const' over 'var'", "warning", "style")),
             F.when(x.contains("console.log("), issue(k + 1, F.instr(x, "console.log("), "CONSOLE_LOG", "console.log() found — remove before production", "info", "style")),
-            F.when(strip(x).rlike("[^=!<>]==[^=]"), issue(k + 1, 1, "LOOSE_EQ", "Use '===' (strict equality) instead of '=='", "warning", "style")),
+            F.when(x.contains("==") & strip(x).rlike("[^=!<>]==[^=]"), issue(k + 1, 1, "LOOSE_EQ", "Use '===' (strict equality) instead of '=='", "warning", "style")),
         ),
     )
     return F.filter(F.flatten(rules), lambda x: x.isNotNull())

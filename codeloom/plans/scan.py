@@ -10,13 +10,18 @@ from codeloom.functions.text import is_blank, split_lines
 from codeloom.operators import prompts, python_code, python_lint, retrieval, rules, triage
 
 
-def analyse(files: DataFrame) -> DataFrame:
-    """files (ord, path, filename, language, code) with ast_info, errors, style_issues, style_score, complexity, totals.
+#: What triage and its display need of the analysis of Python.
+SHOWN = ("errors", "style_score", "ast_info")
+
+
+def analyse(files: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """files (ord, path, filename, language, code) with ast_info, errors, style_issues, style_score, complexity, totals; of what Python
+    files have, only the columns asked for (ast_info among them), if any are named.
 
     Python files go through the syntax tree, others through native rules, in one pass: each sees no text of the other's files."""
     is_python = F.coalesce(F.col("language") == "python", F.lit(False))
     given = files.withColumns({"_python": is_python, "_whole": F.col("code")})
-    python = python_lint.with_lint(given.withColumn("code", F.when(F.col("_python"), F.col("_whole"))))
+    python = python_lint.with_lint(given.withColumn("code", F.when(F.col("_python"), F.col("_whole"))), *columns)
     found = [c for c in python.columns if c not in given.columns]
     python = python.select(*given.columns, *[F.col(n).alias(f"_found_{n}") for n in found])
     ruled = rules.with_rules(python.withColumn("code", F.when(~F.col("_python"), F.col("_whole"))))
@@ -26,10 +31,10 @@ def analyse(files: DataFrame) -> DataFrame:
     return triage.totals(out.withColumn("complexity", F.col("ast_info.complexity")))
 
 
-def scan(files: DataFrame, language_aware: bool = True) -> DataFrame:
-    """Triaged files. Without language_aware every file is taken for Python, so that most others have a syntax error."""
+def scan(files: DataFrame, language_aware: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Triaged files, with the columns of analyse. Without language_aware every file is taken for Python, so that most others have a syntax error."""
     given = files if language_aware else files.withColumn("language", F.lit("python"))
-    return triage.triage(analyse(given))
+    return triage.triage(analyse(given, columns))
 
 
 def index_chunks(files: DataFrame) -> DataFrame:

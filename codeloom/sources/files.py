@@ -30,9 +30,17 @@ from orders
 """
 
 
+def spread(rows: DataFrame, key: str, rows_a_task: int = 16_384) -> DataFrame:
+    """Narrow rows dealt over tasks by a key, before much is made of each of them: a table of a few MB is one task else, whatever its
+    rows turn into. The number of tasks is stated, since a shuffle of so few bytes would be gathered into few tasks again."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // rows_a_task))
+    return rows.repartition(tasks, key)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, ord, path, filename, language, code."""
-    made = sql_over(spark, CORPUS_SQL, "orders", table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    made = sql_over(spark, CORPUS_SQL, "orders", spread(orders, "o_orderkey"))
     return named(made.withColumn("ord", F.col("file_id")))
 
 

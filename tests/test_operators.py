@@ -5,16 +5,19 @@ import math
 import re
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import queries as engine
 from codeloom.functions import text
-from codeloom.operators import history, prompts, python_code, python_lint, python_spacing, retrieval, triage, urls
+from codeloom.operators import history, prompts, python_code, python_lint, python_spacing, retrieval, rules, triage, urls
 from codeloom.plans import scan
 from codeloom.sources import files as sources
 from codeloom.sources import database, store, web
 from codeloom.streaming import streams
+from helpers import SMALL
 
 
 def test_urls(spark):
@@ -470,3 +473,43 @@ def test_display_runs_what_it_shows_once(spark):
     )
     shown = triage.display(made).collect()
     assert ran.value == 1000 and [r.flagged for r in shown] == [True] * 500 + [False] * 500 and [r.ord for r in shown[:3]] == [0, 2, 4]
+
+
+def test_checks_run_only_where_asked(spark, monkeypatch):
+    """A query of one list of findings runs the check that makes it; the rows are those of all checks together."""
+    codes = ["import os\nif x == None:\n    assert x\n", "def f(:\n", "", "def f(a):\n" + "    if a:\n        a = 1\n" * 7]
+    files = spark.createDataFrame([*enumerate(codes)], "file_id int, code string")
+    whole = {r.file_id: r for r in python_lint.with_lint(files).collect()}
+    for column in ("errors", "style_issues", "style_score", "security_issues", "complexity_issues", "maintainability", "ast_info"):
+        one = python_lint.with_lint(files, column)
+        assert {r.file_id: r[column] for r in one.collect()} == {k: r[column] for k, r in whole.items()}
+    assert python_lint.with_lint(files, "errors").columns == ["file_id", "code", "errors"]
+    called = []
+    monkeypatch.setattr(python_lint, "style", lambda *a: called.append(a) or [])
+    assert [*python_lint.lint(codes[0], ["errors"])] == ["errors"] and not called
+
+
+def test_narrow_tables_are_spread(spark):
+    """Files made of a table of one small file are made in many tasks."""
+    assert spark.read.parquet(f"{SMALL}/customer.parquet").rdd.getNumPartitions() < 4
+    for made in (engine.python_files(spark, SMALL), engine.corpus(spark, SMALL)):
+        sizes = made.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < made.count() / 2
+
+
+def test_cached_walk_is_ast_walk():
+    tree = ast.parse(Path(python_lint.__file__).read_text())
+    assert python_code.walk(tree) == [*ast.walk(tree)] == python_code.walk(tree)
+    assert python_code.walk(tree.body[-1]) == [*ast.walk(tree.body[-1])]
+
+
+def test_ends_of_lines_of_any_kind(spark):
+    codes = ["a \nb", "a\n", "a\r\nb\r\n", "a \x0bb\u2028c\u00a0", "\n", "", None, " \t\n", "a\n\n", "TODO\x85x\u3000\x85", "a \r"]
+    rows = spark.createDataFrame([*enumerate(codes)], "k int, code string")
+    out = rows.select("k", text.split_lines(F.col("code")).alias("l"), text.is_blank(F.col("code")).alias("b"), rules.generic_issues(F.col("code"), text.split_lines(F.col("code"))).alias("i"))
+    for r in out.collect():
+        code = codes[r.k] or ""
+        lines = code.splitlines()
+        assert r.l == lines and r.b == (not code.strip())
+        wanted = [(n, "TRAIL_WS") for n, x in enumerate(lines, 1) if x != x.rstrip()] + [(n, "TODO") for n, x in enumerate(lines, 1) if "TODO" in x]
+        assert [(i.line, i.code) for i in r.i] == wanted

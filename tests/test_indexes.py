@@ -119,3 +119,19 @@ def test_only_new_texts_are_embedded(spark, tmp_path):
     assert index.of("r").where("embedding is null").count() == 0
     got = index.search("r", spark.createDataFrame([(1, "3.js lines 1-1 changed aaa")], "query_id int, query string"), top=1).first()
     assert got.chunk_key == "3.js::L1"
+
+
+def test_index_is_built_where_texts_lie(texts, tmp_path):
+    """No copy of the words is written, and no posting is shuffled on the way into a block; spans over two batches count whole."""
+    index = KeywordIndex(texts.sparkSession, str(tmp_path / "k")).build(texts, "doc_id")
+    assert not (tmp_path / "k/words").exists()
+    held = index._blocks().where("term = 'common'").agg(F.sum("held"), F.sum(F.size("postings"))).first()
+    assert tuple(held) == (2000, 2000)
+
+
+def test_equal_scores_across_stretches(spark, tmp_path):
+    """Of equal texts the smallest keys come first, also where keys are texts and stretches many."""
+    docs = spark.range(9000).selectExpr("concat('k', id) as doc_id", "if(id % 2 = 0, 'a b', 'a c') as text").repartition(3, "doc_id")
+    asked = spark.createDataFrame([(None, "b"), (2, "a c")], "query_id long, query string")
+    index = KeywordIndex(spark, str(tmp_path / "k")).build(docs, "doc_id", span=4)
+    assert rows(index.search(asked)) == rows(retrieval.bm25(docs, asked))

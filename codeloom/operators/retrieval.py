@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions.text import is_blank, split_lines, text, tokens
+from codeloom.operators import blockwise
 from codeloom.operators.rules import computed_once, exploded
 
 WINDOW, STEP, CUT = 60, 30, 2000
 K1, B = 1.5, 0.75
-#: Bytes of query vectors that are broadcast at once.
-BLOCK_BYTES = 32_000_000
+#: Bytes of query vectors, and vectors, that meet at once.
+BLOCK_BYTES, BLOCK_ROWS = 32_000_000, 8192
 
 
 def windows(lines: Column, *, window: int = WINDOW, step: int = STEP, cut: int = CUT) -> Column:
@@ -102,16 +103,22 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, *, top: int = 4, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
     """query_id, key, distance, rank: exact nearest vectors of each stated query, ties by key.
 
-    Every vector meets every query, in blocks of queries whose size is checked (BLOCK_BYTES); they are what is broadcast. Only the
-    best of each query per partition are shuffled: the rank limit is pushed below the exchange."""
-    size = queries.agg(F.sum(8 * F.size(query_vector) + 32).alias("n")).first().n or 0
-    blocks, pairs = max(1, -(-size // BLOCK_BYTES)), None
-    for k in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == k)
-        found = vectors.crossJoin(F.broadcast(some)).select(query_key, key, squared_distance(F.col(vector), F.col(query_vector)).alias("distance"))
-        pairs = found if pairs is None else pairs.unionByName(found)
+    Every vector meets every query of its length: blocks of vectors meet blocks of queries (of BLOCK_BYTES at most), each pair of blocks
+    in memory, and only the best of each query in a block are shuffled. Vectors that are null, or hold a null, have no part in it; a query
+    that does is near to nothing, and gets the first vectors in order of keys without a distance."""
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(F.coalesce(F.col(c), F.array()), lambda x: x.isNull())
+    held, asking = vectors.where(whole(vector)), queries.where(whole(query_vector))
+    n, size = held.count(), asking.agg(F.sum(8 * F.size(query_vector) + 32).alias("n")).first().n or 0
+    parts, blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-size // BLOCK_BYTES))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    some = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    rows = held.select(F.col(key).alias("key"), F.col(vector).alias("vector"), F.size(vector).alias("length"), some(key, parts).alias("part"), every(blocks).alias("block"))
+    asked = asking.select(F.col(query_key).alias("query"), F.col(query_vector).alias("q"), F.size(query_vector).alias("length"), some(query_key, blocks).alias("block"), every(parts).alias("part"))
+    found = blockwise.nearest_in(rows, asked, ["length", "part", "block"], top).select(F.col("query").alias(query_key), F.col("key").alias(key), "distance")
+    first = vectors.select(key).orderBy(key).limit(top)
+    without = queries.where(~whole(query_vector)).select(query_key).crossJoin(F.broadcast(first)).select(query_key, key, F.lit(None).cast("double").alias("distance"))
     best = Window.partitionBy(query_key).orderBy("distance", key)
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return found.unionByName(without).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 
 def retrieve(keyword: DataFrame, vector: DataFrame | None, query_key: str = "query_id") -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.operators.retrieval import squared_distance
+from codeloom.operators import blockwise
+from codeloom.operators.retrieval import BLOCK_ROWS, nearest, squared_distance
 
 #: Cells are as many as the root of the vectors, up to this; then centroids of 1,000 numbers are 32 MB, which are broadcast.
 MOST_CELLS = 4096
@@ -62,8 +63,9 @@ class VectorIndex:
         share = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(max(1, n // ASKED))) == 0
         asked = self._read("vectors").where(share).select(F.col("key").alias("query"), F.col("vector").alias("q")).limit(2 * ASKED)
         asked = self.spark.createDataFrame(asked.collect(), asked.schema)
-        true = self._read("vectors").crossJoin(F.broadcast(asked)).where("key <> query")
-        true = first_of(true.select("query", "key", "cell", squared_distance(F.col("vector"), F.col("q")).alias("distance")), 10)
+        # one more than ten, since a question finds itself
+        near = nearest(self._read("vectors"), asked, top=11, key="key", vector="vector", query_key="query", query_vector="q")
+        true = first_of(near.where("key <> query").select("query", "key", "distance"), 10).join(self._read("vectors").select("key", "cell"), "key")
         order = Window.partitionBy("query").orderBy("away", "cell")
         places = asked.crossJoin(F.broadcast(self._read("centres"))).select("query", "cell", F.sqrt(squared_distance(F.col("centre"), F.col("q"))).alias("away"))
         met = true.join(places.withColumn("place", F.row_number().over(order)), ["query", "cell"])
@@ -82,8 +84,12 @@ class VectorIndex:
 
     def _scored(self, cells: DataFrame, top: int) -> DataFrame:
         """query, key, distance of the nearest vectors in the cells (query, q, cell) of each query."""
-        found = self._read("vectors").join(cells.select("query", "q", "cell"), "cell")
-        return first_of(found.select("query", "key", squared_distance(F.col("vector"), F.col("q")).alias("distance")), top)
+        largest = self._read("centres").agg(F.max("held").alias("n")).first().n or 0
+        parts = max(1, -(-largest // BLOCK_ROWS))
+        held = self._read("vectors").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+        held = held.join(cells.select("cell").distinct(), "cell", "left_semi").withColumn("length", F.size("vector"))
+        asked = cells.select("query", "q", "cell", F.size("q").alias("length"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        return first_of(blockwise.nearest_in(held, asked, ["cell", "part", "length"], top), top)
 
     def search(
         self, queries: DataFrame, *, top: int = 4, key: str = "vec_id", query_key: str = "query_id", query_vector: str = "query", probes: int | None = None, exact: bool = False

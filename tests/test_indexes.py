@@ -135,3 +135,13 @@ def test_equal_scores_across_stretches(spark, tmp_path):
     asked = spark.createDataFrame([(None, "b"), (2, "a c")], "query_id long, query string")
     index = KeywordIndex(spark, str(tmp_path / "k")).build(docs, "doc_id", span=4)
     assert rows(index.search(asked)) == rows(retrieval.bm25(docs, asked))
+
+
+def test_distances_are_no_rows(vectors):
+    """Only the best of each block leave it; vectors of another length or with a null have no part, and a question without a vector no distance."""
+    spark = vectors.sparkSession
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, None]), (3, None), (4, [5.0, 2.0])], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "query_id long, query array<float>")
+    found = retrieval.nearest(odd, asked, top=3)
+    assert rows(found) == rows(spark.createDataFrame([(1, 1, 0.0, 1), (1, 4, 16.0, 2), (2, 1, None, 1), (2, 2, None, 2), (2, 3, None, 3)], "a long, b long, c double, d int"))
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()

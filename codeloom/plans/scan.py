@@ -11,12 +11,12 @@ from codeloom.operators import prompts, python_code, python_lint, retrieval, rul
 
 
 #: What triage and its display need of the analysis of Python.
-SHOWN = ("errors", "style_score", "ast_info")
+SHOWN = ("errors", "style_score", "complexity")
 
 
 def analyse(files: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """files (ord, path, filename, language, code) with ast_info, errors, style_issues, style_score, complexity, totals; of what Python
-    files have, only the columns asked for (ast_info among them), if any are named.
+    files have, only the columns asked for (ast_info or complexity among them), if any are named, and then no totals.
 
     Python files go through the syntax tree, others through native rules, in one pass: each sees no text of the other's files."""
     is_python = F.coalesce(F.col("language") == "python", F.lit(False))
@@ -25,10 +25,11 @@ def analyse(files: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     found = [c for c in python.columns if c not in given.columns]
     python = python.select(*given.columns, *[F.col(n).alias(f"_found_{n}") for n in found])
     ruled = rules.with_rules(python.withColumn("code", F.when(~F.col("_python"), F.col("_whole"))))
-    ruled = ruled.withColumn("ast_info", python_code.stub(F.col("code")))
+    ruled = ruled.withColumns({"ast_info": python_code.stub(F.col("code")), "complexity": F.lit(0)})
     both = {n: F.when(F.col("_python"), F.col(f"_found_{n}")).otherwise(F.col(n) if n in ruled.columns else F.lit(None)).alias(n) for n in found}
     out = ruled.select(*[F.col("_whole").alias(c) if c == "code" else c for c in files.columns], *both.values())
-    return triage.totals(out.withColumn("complexity", F.col("ast_info.complexity")))
+    out = out if "complexity" in found else out.withColumn("complexity", F.col("ast_info.complexity"))
+    return out if columns else triage.totals(out)
 
 
 def scan(files: DataFrame, language_aware: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:

@@ -44,7 +44,8 @@ def index_chunks(files: DataFrame) -> DataFrame:
     base = files.select("path", "code").where(~is_blank(F.col("code"))).withColumn("_python", is_python)
     # each way sees the texts of its own files only
     base = base.withColumn("_own", F.when(F.col("_python"), F.col("code")))
-    base = base.withColumn("_pieces", python_code.python_column("_own", python_code.pieces, python_code.CHUNK))
+    pieces = lambda code: python_code.pieces(code) if code else []
+    base = base.withColumn("_pieces", python_code.python_column("_own", pieces, python_code.CHUNK))
     base = rules.computed_once(base, "_lines", split_lines(F.when(~F.col("_python"), F.col("code"))))
     chunks = F.when(F.col("_python"), F.col("_pieces")).otherwise(retrieval.windows(F.col("_lines")))
     return retrieval.chunk_rows(base, chunks).select("ord", "path", "id", "name", "code", "line", "kind", "text")

@@ -563,3 +563,16 @@ def test_chunks_of_other_files_meet_no_parser(spark, monkeypatch):
     files = spark.createDataFrame([(0, "a.py", "x = 1\n"), (1, "b.js", "var x;\n")], "ord int, path string, code string")
     assert [(r.path, r.kind) for r in scan.index_chunks(files).orderBy("path").collect()] == [("a.py", "file"), ("b.js", "block")]
     assert given[0]("") == [] and given[0]("x = 1\n") == python_code.pieces("x = 1\n")
+
+
+def test_pieces_are_whole(spark):
+    """Functions, classes and modules longer than some thousand characters keep their ends, also behind a form feed."""
+    body = "".join(f"    value_{k} = {k}\n" for k in range(400))
+    code = f"x = '\x0c'\n\ndef long(a):\n{body}    return 'last'\n\nclass Long:\n    def m(self):\n{body.replace('    ', '        ')}        return 'end'\n"
+    found = {p["name"]: p["code"] for p in python_code.pieces(code)}
+    assert found["long"] == f"def long(a):\n{body}    return 'last'"
+    assert found["Long.m"].startswith("    def m") and found["Long.m"].endswith("return 'end'") and len(found["Long"]) > 8000
+    module = "x = 1\n" * 2000
+    rows = {"a.py": code, "b.py": module}
+    chunks = python_code.python_chunks(spark.createDataFrame([*rows.items()], "path string, code string")).collect()
+    assert {(r.name, r.text) for r in chunks} == {(n, f"a.py {n} {c}") for n, c in found.items()} | {("module", f"b.py module {module}")}

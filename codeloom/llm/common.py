@@ -76,8 +76,9 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.uri}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+        """The rows, reread. A writer holds 100 rows at least, and a reader those of a group, so that large rows ask for a few a file."""
+        df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(self.path(name))
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

@@ -36,8 +36,10 @@ from codeloom.llm.common import WORD_BYTES, AtomicFile, Workspace, lower_words,
 GAP = 1_000
 #: Bytes of text that a piece takes.
 PIECE_BYTES = 8 << 20
-#: Candidates that a shard looks at together.
-CANDIDATES = 2_000_000
+#: Candidates that a shard looks at together, and windows that it is asked for together.
+CANDIDATES, WINDOWS = 2_000_000, 100_000
+#: Shards in a file: a task holds no more of them at once, however many its texts make.
+SHARDS = 4
 SHARD_TYPES = [
     ("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("known", pa.list_(pa.bool_())), ("whole", pa.list_(pa.bool_())), ("starts", pa.list_(pa.int64())),
     ("offsets", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("firsts", pa.list_(pa.int64())), ("postings", pa.binary()),
@@ -242,25 +244,31 @@ def block(uri: str) -> Block:
 def search_shard(row: dict, blocks: Iterator[Block], slop: int) -> list[tuple]:
     """Columns of FOUND for the documents, or pieces of documents, of a shard."""
     shard, starts, counts = open_shard(row), np.array(row["starts"], np.int64), np.array(row["n_words"], np.int64)
-    total = int((starts + counts).max(initial=0))
-    change = np.zeros(total + 2, np.int64)
+    # hits are marked by words, with one place between documents, since the gaps between many short ones are longer than all of them
+    firsts = np.cumsum(counts + 1) - counts - 1
+    change = np.zeros(int((counts + 1).sum()) + 1, np.int32)
     exact: dict[int, set[str]] = {}
     near: dict[int, set[str]] = {}
     for asked in blocks:
-        windows = np.where(np.arange(asked.windows.shape[1]) < asked.sizes[:, None], shard.numbers(asked.words)[asked.windows], -1) if len(asked.windows) else np.zeros((0, 1), np.int64)
-        for found, names in ((shard.find(windows, asked.sizes), exact), (shard.find(windows, asked.sizes, slop), near)):
-            for window, start, at in found:
-                if names is exact:
-                    np.add.at(change, start, 1)
-                    np.add.at(change, start + asked.sizes[window], -1)
-                for piece, items in asked.items_of(window, np.searchsorted(starts, at, "right") - 1):
-                    names.setdefault(piece, set()).update(items)
+        numbers = shard.numbers(asked.words)
+        for at in range(0, len(asked.windows), WINDOWS):
+            sizes = asked.sizes[at : at + WINDOWS]
+            windows = np.where(np.arange(asked.windows.shape[1]) < sizes[:, None], numbers[asked.windows[at : at + WINDOWS]], -1)
+            for found, names in ((shard.find(windows, sizes), exact), (shard.find(windows, sizes, slop), near)):
+                for window, start, place in found:
+                    pieces = np.searchsorted(starts, place, "right") - 1
+                    if names is exact:
+                        first = start - starts[pieces] + firsts[pieces]
+                        np.add.at(change, first, 1)
+                        np.add.at(change, first + sizes[window], -1)
+                    for piece, items in asked.items_of(at + window, pieces):
+                        names.setdefault(piece, set()).update(items)
     hit = np.concatenate([[False], np.cumsum(change) > 0, [False]])
     edges = np.flatnonzero(hit[1:] != hit[:-1])
     spans: dict[int, list[dict]] = {}
     for first, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        piece = int(np.searchsorted(starts, first, "right")) - 1
-        shift = row["offsets"][piece] - int(starts[piece])
+        piece = int(np.searchsorted(firsts, first, "right")) - 1
+        shift = row["offsets"][piece] - int(firsts[piece])
         spans.setdefault(piece, []).append({"start": first + shift, "stop": stop + shift})
     out = []
     for k, (number, doc_id, known, whole, own) in enumerate(zip(*(row[n] for n in ("rows", "doc_ids", "known", "whole", "own")), strict=True)):
@@ -304,7 +312,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, slop: int
         raise ValueError(f"windows of {width} words with a slop of {slop} reach over {GAP} words")
     space = space or Workspace(docs.sparkSession, "phrases")
     rows = docs if "row" in docs.columns else docs.withColumn("row", F.monotonically_increasing_id())
-    index = space.write(build_index(rows.select("row", "doc_id", "text")), "index")
+    index = space.write(build_index(rows.select("row", "doc_id", "text")), "index", SHARDS)
     names = write_blocks(benchmark, space.path("blocks"), width, block_bytes)
     found = search(index, space.path("blocks"), names, slop)
     long_rows = index.select(F.explode(F.arrays_zip("rows", "whole")).alias("p")).where("not p.whole")

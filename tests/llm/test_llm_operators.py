@@ -954,3 +954,38 @@ def test_pipeline_stages(spark):
     last = seen["tokens"][0].select("doc_id", "text").orderBy("doc_id").collect()
     assert [tuple(r) for r in docs.orderBy("start").collect()] == plain_tokens([tuple(r) for r in last])
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+def test_index_holds_few_shards_at_once(spark, make, monkeypatch, tmp_path):
+    """However many shards a task makes, a file holds few of them, so that neither its writer nor its reader has them all."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    whole = phrase_index.build_index
+    monkeypatch.setattr(phrase_index, "build_index", lambda docs: whole(docs, shard_words=50))
+    docs = make([(k, " ".join(f"w{(k * 7 + j) % 90}" for j in range(20))) for k in range(200)]).coalesce(1)
+    items = docs.where("doc_id % 40 = 0").selectExpr("cast(doc_id as string) item_id", "text")
+    space = Workspace(spark, "few")
+    got = {r.doc_id: r.items for r in phrase_index.matches(docs, items, space=space).collect()}
+    assert len(got) == 200 and all(str(k) in got[k] for k in range(0, 200, 40))
+    held = [pq.ParquetFile(f).metadata.num_rows for f in Path(space.path("index").removeprefix("file://")).glob("*.parquet")]
+    assert sum(held) > 20 and max(held) <= 4
+
+
+def test_short_documents_take_no_memory_for_gaps(make):
+    """Hits are marked by words: 20,000 texts of a word or none are no 20 million places."""
+    import tracemalloc
+
+    n = 20_000
+    texts = [("lone" if k % 3 else "") for k in range(n)]
+    texts[5], texts[n - 1] = "first second", "before first second after"
+    row = next(r.asDict() for r in phrase_index.build_index(with_rows(make([*enumerate(texts)])).coalesce(1), shard_words=10**7).collect())
+    asked = phrase_index.Block(phrase_index.Block.pack({(b"first", b"second"): [0]}, ["x"], 13))
+    tracemalloc.start()
+    found = phrase_index.search_shard(row, iter([asked]), 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = {i: (hit, spans) for i, hit, spans in zip(found[1], found[4], found[5], strict=True) if hit}
+    assert at == {5: (2, [{"start": 0, "stop": 2}]), n - 1: (2, [{"start": 1, "stop": 3}])}
+    assert peak < 40_000_000

@@ -129,16 +129,19 @@ def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
+def issues_of(code: Column, lines: Column, script: Column) -> Column:
+    """The issues of a text, rule by rule; none of a blank one."""
+    none = F.array().cast(NO_ISSUES)
+    return F.when(is_blank(code), none).otherwise(F.concat(generic_issues(code, lines), F.when(script, script_issues(lines)).otherwise(none)))
+
+
 def with_rules(files: DataFrame) -> DataFrame:
     """files (code, language; languages other than Python) with line_count, errors, style_issues and style_score.
 
     errors are the issues of category error; they are style issues too. Blank files have none and score 100."""
     script = F.col("language").isin("javascript", "typescript")
-    none = F.array().cast(NO_ISSUES)
     out = files.withColumn("_lines", split_lines(F.col("code"))).withColumn("line_count", F.size("_lines"))
-    made = F.when(is_blank(F.col("code")), none).otherwise(
-        F.concat(generic_issues(F.col("code"), F.col("_lines")), F.when(script, script_issues(F.col("_lines"))).otherwise(none))
-    )
+    made = issues_of(F.col("code"), F.col("_lines"), script)
     out = computed_once(out, "_issues", made)
     return (
         out.withColumn("style_issues", by_line(F.col("_issues")))

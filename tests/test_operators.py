@@ -576,3 +576,29 @@ def test_pieces_are_whole(spark):
     rows = {"a.py": code, "b.py": module}
     chunks = python_code.python_chunks(spark.createDataFrame([*rows.items()], "path string, code string")).collect()
     assert {(r.name, r.text) for r in chunks} == {(n, f"a.py {n} {c}") for n, c in found.items()} | {("module", f"b.py module {module}")}
+
+
+def test_issue_counts(spark):
+    """Counted as arrays, ASCII or not, issues are those of the rules: by code their number, first and last line, after the cap."""
+    import random
+
+    from codeloom.operators import rule_counts
+
+    rng = random.Random(5)
+    parts = ["var x = 1", " var\ty;", "var", "if (a == b) {", "a ===b", "==c ", " a ==", "console.log(", "todo", "FixMe hack", "xXx", "'(", '"[', '"', "}", "]", " ", "\t", "\x1f", "\x00", "x" * 121, "y" * 120, "\n", "\n", "\n", "\r\n", "\r", "\x0b", "\x1c"]
+    odd = ["\x85", " ", " ", "K", "ﬁxme", "ı", "é" * 121]
+    codes = ["".join(rng.choices(parts + (odd if k % 4 == 0 else []), k=rng.randint(0, 120))) for k in range(600)] + [None, "", " \n\t", "\n", "\x1f\n", "x" * 130 + " \n", ("t" * 121 + " \n") * 40 + "todo\n(", "a \n" * 60, "hack\n" * 60 + "TODO"]
+    rows = [(k, c, ["javascript", "typescript", "go", "", None][k % 5]) for k, c in enumerate(codes)]
+    files = spark.createDataFrame(rows, "file_id long, code string, language string").repartition(3)
+    plain = rules.issue_rows(rules.with_rules(files), "style_issues", "file_id").groupBy("file_id", "code").agg(F.count("*"), F.min("line"), F.max("line"))
+    counted = rules.exploded(rule_counts.with_issue_counts(files), "issue_counts", "ord", "file_id").select("file_id", "_i.*")
+    wanted, got = ({tuple(r) for r in df.collect()} for df in (plain, counted))
+    assert wanted == got and len(got) > 2000
+
+
+def test_capped_issues_are_no_rows(spark):
+    """The issues of issue_cap50 are counted where the text lies; ASCII texts do not meet the rules' expressions line by line."""
+    from codeloom import queries
+
+    plan = plan_of(queries.QUERIES["issue_cap50"](spark, SMALL))
+    assert plan.count("ArrowEvalPython [") == 1 and plan.count("LINE_LEN") == 1

@@ -4,6 +4,8 @@ The pairs of questions and rows are never rows of a table. Spark deals the block
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,6 +68,31 @@ def nearest_in(vectors: DataFrame, questions: DataFrame, by: list[str], top: int
     return vectors.groupBy(*by).cogroup(questions.groupBy(*by)).applyInArrow(run, schema)
 
 
+def heaviest(
+    queries: pa.ChunkedArray, slices: Callable[[int], Iterable[tuple[int, int]]], idf: np.ndarray, documents: np.ndarray, weight: np.ndarray, place: np.ndarray, top: int
+) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(row, document, score) of the documents of largest sums for each of queries, whose rows stand together: a row k weighs its idf in the
+    slices of documents and weight that its term has. Sums are compared at nine digits, ties by place."""
+    sums, found = np.zeros(len(place)), []
+    encoded = pc.dictionary_encode(queries, null_encoding="encode").combine_chunks()
+    encoded = encoded.chunk(0) if isinstance(encoded, pa.ChunkedArray) else encoded
+    code = encoded.indices.to_numpy(zero_copy_only=False)
+    bounds = np.flatnonzero(np.diff(code, prepend=-1, append=-1)) if len(code) else []
+    for first, last in zip(bounds, bounds[1:], strict=False):
+        sums[:] = 0
+        for k in range(first, last):
+            for start, end in slices(k):
+                sums[documents[start:end]] += idf[k] * weight[start:end]
+        digits = np.floor(sums * 1e9 + 0.5)
+        some = min(top, len(digits))
+        bar = max(1.0, np.partition(digits, len(digits) - some)[len(digits) - some]) if some else 1.0
+        near = np.flatnonzero(digits >= bar)
+        best = near[first_places(-digits[near], place[near], top)]
+        found.append((np.full(len(best), first), best, sums[best]))
+    row, document, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.array(row), pa.array(document), pa.array(score)
+
+
 def heaviest_in(postings: DataFrame, questions: DataFrame, by: str, top: int) -> DataFrame:
     """query, key, score: the keys of largest sums of idf times weight in each block, from its postings (by, term, postings of key and
     weight) and the questions (by, query, term, idf); sums are compared at nine digits, ties by key."""
@@ -81,24 +108,9 @@ def heaviest_in(postings: DataFrame, questions: DataFrame, by: str, top: int) ->
         held: dict[str, list[tuple[int, int]]] = {}
         for term, end, start in zip(block["term"].to_pylist(), ends, [0, *ends], strict=False):
             held.setdefault(term, []).append((start, end))
-        sums, found = np.zeros(len(keys.dictionary)), []
-        queries = pc.dictionary_encode(asked["query"], null_encoding="encode").combine_chunks()
-        queries = queries.chunk(0) if isinstance(queries, pa.ChunkedArray) else queries
-        code, terms, idf = queries.indices.to_numpy(zero_copy_only=False), asked["term"].to_pylist(), asked["idf"].to_numpy()
-        bounds = np.flatnonzero(np.diff(code, prepend=-1, append=-1)) if len(code) else []
-        for first, last in zip(bounds, bounds[1:], strict=False):
-            sums[:] = 0
-            for k in range(first, last):
-                for start, end in held.get(terms[k], ()):
-                    sums[documents[start:end]] += idf[k] * weight[start:end]
-            digits = np.floor(sums * 1e9 + 0.5)
-            some = min(top, len(digits))
-            bar = max(1.0, np.partition(digits, len(digits) - some)[len(digits) - some]) if some else 1.0
-            near = np.flatnonzero(digits >= bar)
-            best = near[first_places(-digits[near], place[near], top)]
-            found.append((np.full(len(best), first), best, sums[best]))
-        row, document, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query": asked["query"].take(pa.array(row)), "key": keys.dictionary.take(pa.array(document)), "score": pa.array(score)})
+        terms = asked["term"].to_pylist()
+        row, document, score = heaviest(asked["query"], lambda k: held.get(terms[k], ()), asked["idf"].to_numpy(), documents, weight, place, top)
+        return pa.table({"query": asked["query"].take(row), "key": keys.dictionary.take(document), "score": score})
 
     key = postings.schema["postings"].dataType.elementType["key"].dataType.simpleString()
     schema = f"query {questions.schema['query'].dataType.simpleString()}, key {key}, score double"

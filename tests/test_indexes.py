@@ -145,3 +145,31 @@ def test_distances_are_no_rows(vectors):
     found = retrieval.nearest(odd, asked, top=3)
     assert rows(found) == rows(spark.createDataFrame([(1, 1, 0.0, 1), (1, 4, 16.0, 2), (2, 1, None, 1), (2, 2, None, 2), (2, 3, None, 3)], "a long, b long, c double, d int"))
     assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scan_equals_bm25(spark, tmp_path, monkeypatch):
+    """Questions of texts that lie in many stretches get what the joins give; odd texts and questions count as they do there."""
+    from codeloom.operators import keyword_scan
+
+    monkeypatch.setattr(keyword_scan, "STRETCH", 7)
+    monkeypatch.setattr(keyword_scan, "SOME", 3)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.random() ** 3 * 40)}" for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    texts += [None, "", "?!", "W1-w2_W3", "İw1 Kelvin Kelvin é1w2", "w1" * 50, texts[0], texts[0]]
+    docs = spark.createDataFrame([(k * 3 % 128, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    asked = [(k, " ".join(f"w{rng.randrange(45)}" for _ in range(5))) for k in range(30)] + [(90, None), (91, "!"), (92, "nowhere"), (93, "KELVIN w1 w1"), (None, "w2 elvin")]
+    questions = spark.createDataFrame(asked, "query_id long, query string")
+    for k, top in enumerate((1, 4)):
+        wanted = {tuple(r) for r in retrieval.bm25(docs, questions, top=top).where("score is not null").collect()}
+        assert {tuple(r) for r in keyword_scan.search(docs, questions, f"file://{tmp_path}/{k}", top=top).collect()} == wanted and len(wanted) > 30 * top
+    nothing = keyword_scan.search(docs.limit(0), questions, f"file://{tmp_path}/e")
+    assert nothing.count() == 0 and keyword_scan.search(docs, questions.limit(0), f"file://{tmp_path}/n").count() == 0
+
+
+def test_fallback_builds_no_keyword_index(spark):
+    """One round of questions does not have all words indexed for it."""
+    from codeloom import queries
+    from helpers import SMALL
+
+    assert queries.QUERIES["vector_fallback"](spark, f"{SMALL}/").count() > 0
+    assert (spark.sparkContext.applicationId, f"{SMALL}/", "keyword") not in queries.BUILT

@@ -148,11 +148,11 @@ def test_distances_are_no_rows(vectors):
 
 
 def test_scan_equals_bm25(spark, tmp_path, monkeypatch):
-    """Questions of texts that lie in many stretches get what the joins give; odd texts and questions count as they do there."""
+    """Questions of texts that lie in several stretches get what the joins give; odd texts and questions count as they do there."""
+    import pyarrow as pa
+
     from codeloom.operators import keyword_scan
 
-    monkeypatch.setattr(keyword_scan, "STRETCH", 7)
-    monkeypatch.setattr(keyword_scan, "SOME", 3)
     rng = random.Random(8)
     texts = [" ".join(f"w{int(rng.random() ** 3 * 40)}" for _ in range(rng.randint(0, 30))) for _ in range(120)]
     texts += [None, "", "?!", "W1-w2_W3", "İw1 Kelvin Kelvin é1w2", "w1" * 50, texts[0], texts[0]]
@@ -162,6 +162,10 @@ def test_scan_equals_bm25(spark, tmp_path, monkeypatch):
     for k, top in enumerate((1, 4)):
         wanted = {tuple(r) for r in retrieval.bm25(docs, questions, top=top).where("score is not null").collect()}
         assert {tuple(r) for r in keyword_scan.search(docs, questions, f"file://{tmp_path}/{k}", top=top).collect()} == wanted and len(wanted) > 30 * top
+    asked_terms = pa.array([b"elvin", b"w0", b"w1", b"w9"], pa.binary())
+    whole = [x.tolist() for x in keyword_scan.cells(texts, asked_terms)]
+    monkeypatch.setattr(keyword_scan, "SOME", 3)
+    assert [x.tolist() for x in keyword_scan.cells(texts, asked_terms)] == whole and len(whole[0]) > 50  # split into words some at a time
     nothing = keyword_scan.search(docs.limit(0), questions, f"file://{tmp_path}/e")
     assert nothing.count() == 0 and keyword_scan.search(docs, questions.limit(0), f"file://{tmp_path}/n").count() == 0
 
